@@ -1,5 +1,10 @@
+import sys
+from pathlib import Path
+
 import pytest
 
+sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[2])]
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
