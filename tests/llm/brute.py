@@ -40,3 +40,24 @@ def near_duplicates(rows, words, percent):
     links = [(a, b) for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
     parts = smallest_reachable(list(sets), links)
     return {key: (len(sets[key]), parts[key], parts[key] == key) for key in sets}
+
+
+def vector_links(rows, threshold):
+    """rows of (id, vector, label): pairs of row numbers that link."""
+    import math
+
+    def unit(v):
+        if not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
+            return None
+        top = max(map(abs, v))
+        v = [x / top for x in v]
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n for x in v]
+
+    units = [unit(v) if key is not None and label is not None else None for key, v, label in rows]
+    return [
+        (i, j)
+        for i in range(len(rows))
+        for j in range(i)
+        if units[i] and units[j] and rows[i][2] == rows[j][2] and len(units[i]) == len(units[j]) and sum(a * b for a, b in zip(units[i], units[j])) >= threshold
+    ]
