@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvid.llm import itq, minhash, packing
+from corvid.llm import fingerprint, itq, linededup, minhash, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.remove_repeats(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",")
+    return done.select(F.col("record.doc_id").alias("doc_id"), "text", "n_units", "n_removed", spans.alias("removed"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op9_canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -32,9 +47,27 @@ def op7_itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_itq_near_vectors": op7_itq_near_vectors,
+    "op8_external_shuffle": op8_external_shuffle,
+    "op9_canonical_fingerprint": op9_canonical_fingerprint,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": r"""
+        WITH units AS (
+            SELECT doc_id, pos - 1 AS pos, unit, trim(regexp_replace(lower(unit), '[\s\u00a0]+', ' ', 'g')) AS folded
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+        ), placed AS (
+            SELECT *, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM units
+        ), ranked AS (
+            SELECT *, len(string_split(folded, ' ')) >= 5 AND row_number() OVER (PARTITION BY folded ORDER BY doc_id, pos) > 1 AS gone FROM placed
+        )
+        SELECT doc_id, coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, CAST(count(*) AS INTEGER) AS n_units,
+               CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
+               coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(length(unit) AS VARCHAR), ',' ORDER BY pos) FILTER (gone), '') AS removed
+        FROM ranked GROUP BY doc_id
+    """,
+}
