@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import fingerprint, itq, linededup, minhash, packing, sharding
+from corvid.llm import fingerprint, itq, linededup, minhash, packing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.remove_repeats(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",")
@@ -47,6 +51,7 @@ def op7_itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc_archive": op3_warc_archive,
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_itq_near_vectors": op7_itq_near_vectors,
@@ -58,7 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op4_line_dedup": r"""
         WITH units AS (
-            SELECT doc_id, pos - 1 AS pos, unit, trim(regexp_replace(lower(unit), '[\s\u00a0]+', ' ', 'g')) AS folded
+            SELECT doc_id, pos - 1 AS pos, unit, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS folded
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
         ), placed AS (
             SELECT *, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM units
