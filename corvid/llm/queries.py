@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import fingerprint, itq, linededup, minhash, packing, sharding, warc
+from corvid.llm import fingerprint, itq, langid, linededup, minhash, packing, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.fold(F.col("doc_id"), 5) == 0
+    field = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out))
+    doc, score = F.col("record.doc_id"), F.col("score")
+    return quality.score(docs, field).select(doc.alias("doc_id"), (langid.fold(doc, 5) == 0).alias("held_out"), "score", F.when(score >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(table(spark, sf_dir, "pages"))
 
@@ -46,14 +54,24 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, langid.fold(F.col("doc_id"), 3) != 1)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    doc = F.col("record.doc_id")
+    return found.select(doc.alias("doc_id"), (langid.fold(doc, 3) == 1).alias("held_out"), "found.lang_pred", "found.score")
+
+
 def op7_itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_crf": op2_quality_crf,
     "op3_warc_archive": op3_warc_archive,
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language_id": op6_language_id,
     "op7_itq_near_vectors": op7_itq_near_vectors,
     "op8_external_shuffle": op8_external_shuffle,
     "op9_canonical_fingerprint": op9_canonical_fingerprint,
