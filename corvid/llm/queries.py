@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import fingerprint, itq, langid, linededup, minhash, packing, quality, sharding, warc
+from corvid.llm import fingerprint, itq, langid, linededup, minhash, packing, pieces, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    text = F.encode("text", "UTF-8")
+    return decoded.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.length("text").alias("decoded_chars"), F.crc32(text).alias("decoded_crc32"))
+
+
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = langid.fold(F.col("doc_id"), 5) == 0
@@ -67,6 +74,7 @@ def op7_itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_crf": op2_quality_crf,
     "op3_warc_archive": op3_warc_archive,
     "op4_line_dedup": op4_line_dedup,
