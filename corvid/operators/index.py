@@ -67,9 +67,12 @@ def evicted(artifacts: DataFrame, budget: int) -> DataFrame:
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """Feature hashing: each token adds to one dimension, at unit length. An offline stand-in for a model."""
     cells = F.transform(t.tokens(text), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dims)).cast("int"))
-    counted = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(cells, lambda c: c == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counted, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    # a transform over a one-element array evaluates what is in it once
+    count = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(own, lambda c: c == d)).cast("double"))
+    counted = F.transform(F.array(cells), count)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    with_norm = F.transform(counted, lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return F.transform(with_norm, lambda p: F.transform(p["v"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(0.0).cast("float")))[0]
 
 
 def embed(chunks: DataFrame, cache: DataFrame, embedder: Callable[[Column], Column] = hash_embedding, provider: str = "hash", name: str = "crc32-64") -> tuple[DataFrame, DataFrame]:

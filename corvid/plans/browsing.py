@@ -121,6 +121,9 @@ _CLEAN = r"regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|
 _TAGS = rf"regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '(?i)<h([1-6])[^>]*>', chr(10) || '# ', 'g'), '(?i)<(p|br|li|div|tr|/h[1-6]|/p|/li)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
 _ENT = f"replace(replace(replace(replace(replace(replace({_TAGS}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 
+PAGE_TEXT = rf"trim(regexp_replace(regexp_replace({_ENT}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ')"
+PAGE_URI = f"'web://crawl/pages/' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || CASE WHEN {_PATH} = '' THEN 'index' ELSE {_PATH} END || '.md'"
+
 ORACLE = {
     "ls_children": f"""SELECT name, 'docs://corpus/en/' || name AS path, max(deeper) AS is_dir, count(*) AS n_objects FROM (SELECT split_part(rest, '/', 1) AS name, contains(rest, '/') AS deeper FROM
         (SELECT substring({DOC_URI}, length('docs://corpus/en/') + 1) AS rest FROM documents WHERE lang = 'en')) GROUP BY name""",
@@ -145,5 +148,5 @@ ORACLE = {
         e AS (SELECT page_id, unnest(a) AS link, generate_subscripts(a, 1) AS i FROM f), g AS (SELECT page_id, link, min(i) AS i FROM e GROUP BY ALL)
         SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, link FROM g""",
     "web_allowed": "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), ':[0-9]+$', '') IN ('example.com', 'blog.tionble.example.com') AS allowed FROM pages",
-    "html_to_text": rf"SELECT page_id, trim(regexp_replace(regexp_replace({_ENT}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ') AS text FROM pages",
+    "html_to_text": f"SELECT page_id, {PAGE_TEXT} AS text FROM pages",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvid.functions import text as t
 from corvid.model import OVERFETCH
 from corvid.operators import grep, search
+from corvid.plans.browsing import PAGE_TEXT, PAGE_URI
 from corvid.plans.common import CHUNKS, DOC_URI, LINES, WORDS, bm25_sql
 from corvid.sources.tables import document_chunks, document_uri, page_objects, table
 
@@ -140,6 +141,10 @@ ORACLE = {
         lines AS (SELECT object_uri, unnest({LINES.format('text')}) AS line, generate_subscripts({LINES.format('text')}, 1) AS n FROM scanned)
         SELECT object_uri AS source, '{{"lines":[' || n || ',' || (n + 1) || ']}}' AS locator, line AS content, 'linear' AS via FROM lines WHERE contains(line, 'rely and') QUALIFY row_number() OVER (PARTITION BY object_uri ORDER BY n) <= 200
         UNION ALL SELECT '', NULL, (count(*) - 200) || ' objects not scanned', 'notice' FROM objects HAVING count(*) > 200""",
+    "grep_chain_union": f"""WITH pages_ AS (SELECT {PAGE_URI} AS object_uri, {PAGE_TEXT} AS text FROM pages ORDER BY object_uri LIMIT 200),
+        lines AS (SELECT object_uri, unnest({LINES.format('text')}) AS line, generate_subscripts({LINES.format('text')}, 1) AS n FROM pages_)
+        SELECT object_uri AS source, 'bm25' AS via FROM ({bm25_sql(['rely'], k=100)}) UNION ALL
+        SELECT object_uri, 'linear' FROM lines WHERE contains(line, 'rely') QUALIFY row_number() OVER (PARTITION BY object_uri ORDER BY n) <= 200""",
     "connector_match": f"""WITH r(root) AS (VALUES ('docs://corpus'), ('docs://corpus/en'), ('docs://corpus/e'), ('docs://corpus/de/src1')), p AS (SELECT {DOC_URI} AS path FROM documents)
         SELECT path, root, path AS object_prefix FROM (SELECT path, root, row_number() OVER (PARTITION BY path ORDER BY length(root) DESC) AS n FROM p JOIN r ON path = root OR starts_with(path, root || '/')) WHERE n = 1""",
 }
