@@ -1,2 +1,176 @@
-QUERIES = {}
-ORACLE = {}
+"""Change detection and mutation queries with their DuckDB counterparts.
+
+The old state of a source is made from the same rows: labelled documents are known, toxic ones under an outdated
+fingerprint, and known paths of Spanish documents have since gone.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from corvid.functions import text as t
+from corvid.operators import index, sync
+from corvid.plans.common import CHUNKS
+from corvid.sources.tables import document_chunks, document_uri, table
+from corvid.streaming import feed
+
+
+def old_listing(spark, d):
+    docs, labels = document_uri(table(spark, d, "documents")), table(spark, d, "labels")
+    fresh = F.when(F.col("toxic") == 1, F.lit("outdated")).otherwise(F.sha1("text"))
+    return docs.join(labels, "doc_id").select(F.col("object_uri").alias("path"), fresh.alias("fingerprint"))
+
+
+def new_listing(spark, d):
+    docs = document_uri(table(spark, d, "documents")).where("lang <> 'es'")
+    return docs.select(F.col("object_uri").alias("path"), F.sha1("text").alias("fingerprint"))
+
+
+def file_states(spark, d):
+    """(old, new) file states: German documents moved to another folder, French ones were rewritten in place, English ones only touched."""
+    docs = table(spark, d, "documents")
+    path = F.concat_ws("/", "lang", F.col("doc_id").cast("string"))
+    old = docs.select(path.alias("path"), F.length("text").cast("long").alias("size"), F.lit(1).alias("mtime"), F.col("doc_id").alias("inode"), F.sha1("text").alias("sha1"), F.lit("indexed").alias("status"))
+    moved = F.when(F.col("lang") == "de", F.concat(F.lit("moved/"), F.col("doc_id").cast("string"))).otherwise(path)
+    text = F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    inode = F.when(F.col("source") == "src0", -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    new = docs.select(moved.alias("path"), F.length(text).cast("long").alias("size"), F.when(F.col("lang") == "es", 1).otherwise(2).alias("mtime"), inode.alias("inode"), F.sha1(text).alias("sha1"))
+    return old, new
+
+
+def sync_diff(spark, d):
+    return sync.diff(old_listing(spark, d), new_listing(spark, d))
+
+
+def file_diff(spark, d):
+    old, new = file_states(spark, d)
+    return sync.file_diff(old, new).select("path", "change")
+
+
+def rename_pairing(spark, d):
+    old, new = file_states(spark, d)
+    return sync.renames(sync.file_diff(old, new)).groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("old_path").alias("sources"))
+
+
+def delete_gating(spark, d):
+    """What an incremental listing yields of the same difference."""
+    changes = sync.gated(sync.diff(old_listing(spark, d), new_listing(spark, d)), "full_scan", incremental=True)
+    return changes.groupBy("change").agg(F.count("*").alias("n"))
+
+
+def since_merge(spark, d):
+    return sync.merged(old_listing(spark, d), new_listing(spark, d), "path", since=True)
+
+
+def manifest_diff(spark, d):
+    old, new = file_states(spark, d)
+    return sync.manifest_diff(new, old)
+
+
+def upload_replay(spark, d):
+    docs = table(spark, d, "documents")
+    path = F.concat_ws("/", "lang", F.col("doc_id").cast("string"))
+    status = F.when(F.col("lang") == "es", "deleted").when(F.col("lang") == "en", "indexed").otherwise("staged")
+    moved = F.when(F.col("lang") == "de", F.concat(F.lit("old/"), path))
+    return sync.replayed(docs.select(path.alias("path"), status.alias("status"), moved.alias("renamed_from")))
+
+
+def fingerprint_count_max(spark, d):
+    return sync.table_fingerprint(table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")), "day")
+
+
+def schema_fingerprint(spark, d):
+    return spark.createDataFrame([(sync.schema_fingerprint(table(spark, d, "customer")),)], "fingerprint string")
+
+
+def upsert_chunks(spark, d):
+    """English documents come again with another end."""
+    old = document_chunks(table(spark, d, "documents"))
+    new = old.where(F.col("object_uri").startswith("docs://corpus/en/")).withColumn("content", F.concat("content", F.lit("!")))
+    return index.upsert(old, new).select("chunk_id", F.sha1("content").alias("sha1"))
+
+
+def delete_by_object(spark, d):
+    gone = document_uri(table(spark, d, "documents").join(table(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi")).select("object_uri")
+    return index.delete_objects(document_chunks(table(spark, d, "documents")), gone).select("chunk_id", "object_uri")
+
+
+def rename_rekey(spark, d):
+    """German documents move to another folder: new ids, same contents."""
+    chunks = document_chunks(table(spark, d, "documents"))
+    moves = chunks.where(F.col("object_uri").startswith("docs://corpus/de/")).select(F.col("object_uri").alias("old_uri"), F.replace("object_uri", F.lit("/de/"), F.lit("/deutsch/")).alias("new_uri"))
+    return index.rename(chunks, moves).select("chunk_id", "object_uri")
+
+
+def orphan_gc(spark, d):
+    """Chunks of documents that the new listing lacks."""
+    return index.orphans(document_chunks(table(spark, d, "documents")), new_listing(spark, d).withColumnRenamed("path", "object_uri")).select("chunk_id", "object_uri")
+
+
+def last_write_wins(spark, d):
+    """Line items repeat their key; of each key the last by all columns stays."""
+    items = table(spark, d, "lineitem").withColumn("key", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    order = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    rows = items.select("key", order.alias("seq"), "l_shipdate", "l_partkey")
+    return index.latest(rows, "key", "seq").select("key", F.col("l_shipdate").cast("date").alias("shipped"), "l_partkey")
+
+
+def lru_evict(spark, d):
+    """Parts as artifacts: what must go for the rest to fit into 20,000."""
+    artifacts = table(spark, d, "part").select(F.col("p_name").alias("last_accessed"), F.col("p_partkey").alias("object_uri"), F.col("p_size").cast("long").alias("size_bytes"))
+    return index.evicted(artifacts, 20_000).select("object_uri", "size_bytes")
+
+
+def event_feed_dedupe(spark, d):
+    """Each event once, though the feed repeats it."""
+    events = table(spark, d, "events").select("event_id", "ts", "event_type", "value")
+    return feed.hourly(events.unionAll(events).dropDuplicates(["event_id"])).groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+def event_hours(spark, d):
+    """Counts by hour and type (an extension: the record sources have no event-time windows)."""
+    return feed.hourly(table(spark, d, "events")).select("hour", "event_type", "n")
+
+
+def stream_sync(spark, d):
+    """A stream of chunk rows drained into a snapshot table, twice; the second time changes nothing."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    work = f"{base.rstrip('/')}/corvid-stream/{spark.sparkContext.applicationId}-{abs(hash(d))}-{id(object())}"
+    rows = document_chunks(table(spark, d, "documents")).drop("doc_id")
+    rows.write.mode("overwrite").parquet(f"{work}/in")
+    snapshots = index.Snapshots(spark, f"{work}/chunks", rows.schema)
+    for name in ("a", "b"):
+        feed.sync(spark.readStream.schema(rows.schema).parquet(f"{work}/in"), snapshots, f"{work}/checkpoint-{name}")
+    return snapshots.read().select("chunk_id", "object_uri", F.sha1("content").alias("sha1"))
+
+
+QUERIES = {f.__name__: f for f in (sync_diff, file_diff, rename_pairing, delete_gating, since_merge, manifest_diff, upload_replay, fingerprint_count_max, schema_fingerprint, upsert_chunks, delete_by_object, rename_rekey, orphan_gc, last_write_wins, lru_evict, event_feed_dedupe, event_hours, stream_sync)}
+
+_URI = "'docs://corpus/' || lang || '/' || source || '/' || doc_id || '.md'"
+_OLD = f"SELECT {_URI} AS path, CASE WHEN toxic = 1 THEN 'outdated' ELSE sha1(text) END AS fingerprint FROM documents JOIN labels USING (doc_id)"
+_NEW = f"SELECT {_URI} AS path, sha1(text) AS fingerprint FROM documents WHERE lang <> 'es'"
+_DIFF = f"SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN o.fingerprint = n.fingerprint THEN 'unchanged' ELSE 'modified' END AS change FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.path = n.path"
+
+ORACLE = {
+    "sync_diff": _DIFF,
+    "file_diff": """SELECT lang || '/' || doc_id AS path, CASE lang WHEN 'de' THEN 'deleted' WHEN 'fr' THEN 'modified' WHEN 'en' THEN 'touched' ELSE 'unchanged' END AS change FROM documents
+        UNION ALL SELECT 'moved/' || doc_id, 'added' FROM documents WHERE lang = 'de'""",
+    "rename_pairing": """SELECT reason, count(*) AS n, count(*) AS sources FROM (SELECT CASE WHEN source = 'src0' AND NOT (doc_id < 0) THEN 'sha1' ELSE 'inode' END AS reason FROM documents WHERE lang = 'de') GROUP BY reason""",
+    "delete_gating": f"SELECT change, count(*) AS n FROM ({_DIFF}) WHERE change <> 'deleted' GROUP BY change",
+    "since_merge": f"{_NEW} UNION ALL SELECT * FROM ({_OLD}) WHERE path NOT IN (SELECT path FROM ({_NEW}))",
+    "manifest_diff": """SELECT lang || '/' || doc_id AS path, CASE lang WHEN 'de' THEN 'delete_candidate' WHEN 'es' THEN 'keep' ELSE 'upload' END AS action FROM documents UNION ALL SELECT 'moved/' || doc_id, 'upload' FROM documents WHERE lang = 'de'""",
+    "upload_replay": """SELECT lang || '/' || doc_id AS path, CASE WHEN lang = 'de' THEN 'old/de/' || doc_id END AS old_path, CASE lang WHEN 'es' THEN 'deleted' WHEN 'de' THEN 'renamed' ELSE 'modified' END AS change FROM documents WHERE lang <> 'en'""",
+    "fingerprint_count_max": "SELECT count(*) || '|' || CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS fingerprint FROM orders",
+    "schema_fingerprint": "SELECT 'c_custkey:bigint;c_name:string;c_nationkey:int;c_acctbal:double;c_mktsegment:string' AS fingerprint",
+    "upsert_chunks": f"SELECT chunk_id, sha1(CASE WHEN lang = 'en' THEN content || '!' ELSE content END) AS sha1 FROM ({CHUNKS})",
+    "delete_by_object": f"SELECT chunk_id, object_uri FROM ({CHUNKS}) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "rename_rekey": f"SELECT sha1('default|docs://corpus|' || u || '|body|') AS chunk_id, u AS object_uri FROM (SELECT replace({_URI}, '/de/', '/deutsch/') AS u FROM documents)",
+    "orphan_gc": f"SELECT chunk_id, object_uri FROM ({CHUNKS}) WHERE lang = 'es'",
+    "last_write_wins": "SELECT key, CAST(l_shipdate AS DATE) AS shipped, l_partkey FROM (SELECT l_orderkey || '-' || l_linenumber AS key, *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS n FROM lineitem) WHERE n = 1",
+    "lru_evict": """SELECT p_partkey AS object_uri, CAST(p_size AS BIGINT) AS size_bytes FROM (SELECT *, sum(p_size) OVER () AS total, coalesce(sum(p_size) OVER (ORDER BY p_name, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM part) WHERE total - freed > 20000""",
+    "event_feed_dedupe": "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type",
+    "event_hours": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "stream_sync": f"SELECT chunk_id, object_uri, sha1(content) AS sha1 FROM ({CHUNKS})",
+}
