@@ -127,36 +127,41 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20,
     bins = spark.createDataFrame(list(enumerate(shards)), "bin long, shard int")
     hashed = pages.withColumn("sha1", F.sha1("payload"))
     first = hashed.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = hashed.join(first, "sha1", "left")
-    placed = known.withColumn("bin", F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0))).join(F.broadcast(bins), "bin")
+    # which payload repeats is told by a light row just before the page's own, so that payloads are shuffled once only
+    notes = hashed.select("page_id", "sha1").distinct().join(first, "sha1").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha1", "first", F.lit(0).alias("kind"))
+    both = notes.unionByName(hashed.withColumns({"first": F.lit(None).cast("long"), "kind": F.lit(1)}))
+    placed = both.withColumn("bin", F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0))).join(F.broadcast(bins), "bin")
+    columns = ["shard", "page_id", "url", "payload", "sha1", "first", "kind"]
     files, at = file_system(folder)
     files.create_dir(at, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, last, copy = None, None, 0
+        roller, last, copy, noted = None, None, 0, (None, None, None)
 
         def parts() -> pa.RecordBatch:
             roller.close()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*roller.parts, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=MANIFEST.names)
 
         for batch in batches:
-            for shard, page, url, payload, sha1, best in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "payload", "sha1", "first")), strict=True):
+            for shard, page, url, payload, sha1, first_id, kind in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if roller is None or shard != roller.shard:
                     if roller is not None:
                         yield parts()
                     roller, last = Roller(folder, shard, file_bytes), None
+                if kind == 0:
+                    noted = (page, sha1, first_id)
+                    continue
                 # rows with one id and one payload follow each other: the first of them is the response
                 copy = copy + 1 if (page, sha1) == last else 0
                 last = (page, sha1)
-                alone = sha1 is None or (best is None and copy == 0)
-                revisit = not alone and (page != best or copy > 0)
+                best = noted[2] if noted[:2] == (page, sha1) else page
+                revisit = page != best or copy > 0
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 roller.add(member(record(page, url, payload, digest, best, revisit, copy, date)))
         if roller is not None:
             yield parts()
 
-    columns = ["shard", "page_id", "url", "payload", "sha1", "first"]
-    ordered = placed.select(*columns).repartition("shard").sortWithinPartitions("shard", "page_id", "sha1", "url")
+    ordered = placed.select(*columns).repartition("shard").sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
     return written(ordered.mapInArrow(run, MANIFEST), f"{folder}/_manifest")
 
 
