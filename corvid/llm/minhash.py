@@ -5,9 +5,9 @@ hash evaluations. Values are banded; documents that share a band are candidates,
 shingle sets, so nothing below the threshold is linked.
 
 Documents with equal sets are folded into one class first. In a band's bucket each member is paired with the bucket's smallest
-member only; after these pairs have been confirmed and joined into components, members outside their bucket's largest component
-are paired with all members of other components. So every candidate pair is either confirmed, refuted or already
-connected, and no bucket is expanded into all its pairs.
+member only; these pairs are confirmed and joined into components. Members outside their bucket's largest component are then
+compared with all members of other components, in blocks that yield links between components only. So every candidate pair is
+either confirmed, refuted or already connected, and no bucket is ever expanded into all its pairs.
 
 Edge cases: a null or blank text has no shingle; it links with nothing and is its own component. A text of fewer words than a
 shingle has one shingle, the whole sequence. A null doc_id links with nothing: its component_id is null and it is kept. Rows
@@ -33,6 +33,8 @@ from corvid.llm.common import components, shared_dir, written
 BLOCK = 2000
 #: Shingles that go through the permutations at once.
 CHUNK = 2048
+#: Most members of a bucket in one side of a comparison by blocks.
+STRAY_BLOCK = 512
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -122,14 +124,16 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, shingles) of the given documents."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+def full_sets(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, n, shingles, band keys) of the given documents."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashing = MinMax(bands, rows)
         for batch in blocks(batches, 500):
             sets = list(shingle_sets(batch.column(1), words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), list_array([s.view(np.int64) for s in sets], np.int64)], names=schema.names)
+            keys = [hashing.keys(s) if len(s) else np.zeros(bands, np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), list_array([s.view(np.int64) for s in sets], np.int64), list_array(keys, np.int64)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -144,6 +148,75 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.join(left, "a").join(right, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b")
 
 
+def stray_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what is still apart in the buckets of placed (key, doc_id, part).
+
+    Members outside their bucket's largest part are compared with all members of other parts, by blocks of bounded size: a
+    pair of blocks is one group, and yields at most one link for each pair of parts that it joins.
+    """
+    parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("largest"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    number = lambda n: F.ceil(n / STRAY_BLOCK).cast("int")
+    sizes = main.select("key", "main", number(F.col("all") - F.col("largest")).alias("rows"), number(F.col("all")).alias("columns"))
+    cut = placed.join(sizes, "key")
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    left = cut.where("part <> main").select("key", "doc_id", "part", F.lit(True).alias("stray"), place(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
+    right = cut.select("key", "doc_id", "part", F.lit(False).alias("stray"), place(F.col("columns")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"))
+    full = left.unionByName(right).join(sets, "doc_id")
+    cell = ["key", "i", "j"]
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def settle(key: int, rows: list[tuple]) -> list[tuple]:
+        """rows: (doc_id, part, stray, shingles, keys)"""
+        strays, others = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+        if not strays or not others:
+            return []
+        parent = {r[1]: r[1] for r in rows}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        size = np.array([len(r[3]) for r in others])
+        keys = np.stack([r[4] for r in others])
+        links = []
+        for doc, part, _, shingles, own in strays:
+            near = np.minimum(size, len(shingles)) * 100 >= np.maximum(size, len(shingles)) * percent
+            same = keys == own
+            # a pair is compared in the first band that it shares
+            near &= own[same.argmax(axis=1)] == key
+            chosen = [k for k in np.flatnonzero(near) if root(others[k][1]) != root(part)]
+            if not chosen:
+                continue
+            ends = np.cumsum([0, *(size[k] for k in chosen)])
+            hits = np.concatenate([[0], np.cumsum(np.isin(np.concatenate([others[k][3] for k in chosen]), shingles))])
+            both = hits[ends[1:]] - hits[ends[:-1]]
+            for k, n in zip(chosen, both.tolist(), strict=True):
+                if n * 100 >= (int(size[k]) + len(shingles) - n) * percent and (x := root(part)) != (y := root(others[k][1])):
+                    parent[x] = y
+                    links.append((doc, others[k][0]))
+        return links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows = None, []
+        for batch in batches:
+            links = []
+            shingles, keys = batch.column("shingles"), batch.column("keys")
+            for n, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (*cell, "doc_id", "part", "stray")), strict=True)):
+                if row[:3] != current:
+                    links += settle(current[0], rows) if rows else []
+                    current, rows = row[:3], []
+                rows.append((*row[3:], shingles[n].values.to_numpy(), keys[n].values.to_numpy()))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=schema.names)
+        if rows and (links := settle(current[0], rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=schema.names)
+
+    return full.repartition(*cell).sortWithinPartitions(*cell).select(*cell, "doc_id", "part", "stray", "shingles", "keys").mapInArrow(run, schema)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
@@ -159,23 +232,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     # a class's row of band keys: that of its smallest document
     chosen = linkable.join(classes, (linkable.digest == classes.digest) & (linkable.doc_id == F.col("class")), "left_semi").dropDuplicates(["doc_id", "digest"])
     members = chosen.select("doc_id", F.explode("keys").alias("key"))
-    firsts = members.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = members.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = written(members.join(firsts, "key"), f"{work}/members")
-    stars = written(members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), f"{work}/stars")
+    stars = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     wanted = members.select("doc_id").distinct()
-    sets = written(full_sets(docs.join(wanted, "doc_id", "left_semi"), words), f"{work}/sets")
+    sets = written(full_sets(docs.join(wanted, "doc_id", "left_semi"), words, bands, rows), f"{work}/sets")
     copies = linkable.join(classes, "digest").where("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = written(confirmed(stars, sets, percent), f"{work}/found1")
-    labels = components(found, f"{work}/first")
-    # second round: what its bucket's largest component leaves out
-    placed = written(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part")), f"{work}/placed")
-    parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    main = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    unsettled = written(placed.join(main, "key"), f"{work}/unsettled")
-    strays = unsettled.where("part <> main").select("key", F.col("doc_id").alias("x"), F.col("part").alias("part_x"))
-    more = strays.join(unsettled.select("key", F.col("doc_id").alias("y"), F.col("part").alias("part_y")), "key").where("part_x <> part_y")
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = found.union(confirmed(written(more, f"{work}/more"), sets, percent)).union(copies)
+    found = written(confirmed(stars, sets, percent), f"{work}/stars")
+    # what its bucket's largest component leaves out is compared with all of the bucket
+    labels = components(found, f"{work}/parts").withColumnRenamed("node", "doc_id")
+    placed = written(members.where("n > 2").select("key", "doc_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part")), f"{work}/placed")
+    found = found.union(written(stray_links(placed, sets, percent), f"{work}/strays"))
+    links = found.union(copies)
     labels = components(links, f"{work}/last")
     out = signed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

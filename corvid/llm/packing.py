@@ -13,6 +13,7 @@ each on its own. An empty table gives an empty result. Other columns of the inpu
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -94,12 +95,18 @@ class WordIds:
         return flat[source], ends[at - at[0]]
 
 
+@functools.lru_cache(maxsize=2)
+def word_ids(tokenizer_file: str) -> WordIds:
+    """The tokenizer of a worker: the words it remembers serve all of the worker's tasks."""
+    return WordIds(tokenizer_file)
+
+
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids, the end id last, cut every capacity ids."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_file)
+        words = word_ids(tokenizer_file)
         for batch in (b.slice(i, BLOCK) for b in batches for i in range(0, b.num_rows, BLOCK)):
             out: tuple[list, ...] = ([], [], [], [], [])
             flat, begins = words(batch.column(1))
@@ -139,31 +146,32 @@ def best_filling(value: np.ndarray, capacity: int) -> dict[int, int]:
     return dict(filling)
 
 
-def fractional_fillings(counts: np.ndarray, capacity: int, rounds: int = 120, step: float = 0.5) -> list[tuple[dict[int, int], float]]:
+def fractional_fillings(counts: np.ndarray, capacity: int, effort: int = 400_000, rate: float = 0.1) -> list[tuple[dict[int, int], float]]:
     """The configuration linear program by multiplicative weights: fillings and how often each is used, a fraction.
 
-    counts[l - 1] pieces have length l. In each round a length weighs its size times exp(-step * the share of it covered so
-    far), so what is badly covered gains weight; the filling priced best is used until its scarcest length is covered. No
-    length is ever covered more than its count, so the solution stays feasible when rounded down.
+    In each round the knapsack prices the best filling under the weights; a length's weight then grows or shrinks by
+    exp(rate * (1 - what this filling gives it, relative to what a sequence must give it on average)). The answer is the mean
+    over all rounds, scaled to the least number of sequences there can be. There are effort / capacity rounds, but 120 at
+    least and 3000 at most.
     """
-    wanted = counts.astype(float)
-    lengths = np.arange(1, len(counts) + 1)
-    covered = np.zeros(len(counts))
+    lengths = np.flatnonzero(counts) + 1
+    if not len(lengths):
+        return []
+    wanted = counts[lengths - 1]
+    least = float(max(-(-(lengths * wanted).sum() // capacity), wanted[2 * lengths > capacity].sum()))
+    rounds = min(3000, max(120, effort // capacity))
+    weight = (lengths / capacity) ** 1.3
     used: dict[tuple, float] = defaultdict(float)
+    value = np.zeros(len(counts))
     for _ in range(rounds):
-        open_ = covered < wanted
-        if not open_.any():
-            break
-        weight = np.where(open_, lengths * np.exp(-step * covered / np.maximum(wanted, 1e-9)) * (1 + 1e-3 * lengths / capacity), 0)
-        filling = best_filling(weight, capacity)
-        if not filling:
-            break
-        left = min((wanted[n - 1] - covered[n - 1]) / k for n, k in filling.items())
-        if left <= 0:
-            break
-        used[tuple(sorted(filling.items(), reverse=True))] += left
+        value[lengths - 1] = weight
+        filling = best_filling(value, capacity)
+        used[tuple(sorted(filling.items(), reverse=True))] += least / rounds
+        given = np.zeros(len(counts))
         for n, k in filling.items():
-            covered[n - 1] += k * left
+            given[n - 1] = k
+        weight = weight * np.exp(rate * np.clip(1 - given[lengths - 1] * least / wanted, -3, 1) / np.sqrt(rounds / 120))
+        weight /= weight.sum()
     return [(dict(f), x) for f, x in used.items()]
 
 
@@ -202,14 +210,14 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
     return done + [(f, n) for g in groups.values() for f, n in g]
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int, rounds: int = 120) -> list[tuple[dict[int, int], int]]:
+def plan_sequences(histogram: dict[int, int], capacity: int, effort: int = 400_000) -> list[tuple[dict[int, int], int]]:
     """Fillings and how many sequences use each; together they hold exactly the pieces of the histogram."""
     counts = np.zeros(capacity, dtype=np.int64)
     for length, number in histogram.items():
         counts[length - 1] = number
     plan: dict[tuple, int] = defaultdict(int)
     left = counts.copy()
-    for filling, times in fractional_fillings(counts, capacity, rounds):
+    for filling, times in fractional_fillings(counts, capacity, effort):
         number = min([int(times + 1e-9), *(int(left[n - 1]) // k for n, k in filling.items())])
         if number > 0:
             plan[tuple(sorted(filling.items(), reverse=True))] += number
@@ -235,7 +243,7 @@ def slots_of(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {length: np.asarray(r, dtype=np.int64) for length, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, rounds: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, effort: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs the pieces of all documents; adds sequence_id and offset to what token_pieces returns."""
     spark = docs.sparkSession
     work = shared_dir(spark)
@@ -246,7 +254,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = slots_of(plan_sequences(histogram, capacity, rounds))
+    slots = slots_of(plan_sequences(histogram, capacity, effort))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = pieces.withColumn("rank", F.row_number().over(within) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
 

@@ -86,6 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
+#: Smallest node reachable over links(a, b) from each of nodes(id).
+_REACH = """reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON r.b = l.a),
+        parts AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+_BITS = ", ".join(f"'{k:04b}'" for k in range(16))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {
     "op4_line_dedup": r"""
         WITH units AS (
@@ -101,4 +107,25 @@ ORACLE: dict[str, str] = {
                coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(length(unit) AS VARCHAR), ',' ORDER BY pos) FILTER (gone), '') AS removed
         FROM ranked GROUP BY doc_id
     """,
+    "op3_warc_archive": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages),
+        b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: [{_BITS}][instr('0123456789abcdef', substr(hex, i, 1))]), '') AS bits, max(page_id) OVER (PARTITION BY hex) AS first FROM p)
+        SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, k * 5 + j + 1, 1) AS INTEGER) * (16 >> j)))::INTEGER + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM b
+    """,
+    "op7_itq_near_vectors": f"""
+        WITH RECURSIVE u AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM u),
+        nodes AS (SELECT id FROM n),
+        links AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.label = y.label AND x.id < y.id WHERE list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.98), {_REACH}
+        SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id OR b = id) AS n_links, component_id, id = component_id AS kept FROM parts
+    """,
+    "op10_minhash_near_dedup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^ \t\n\x0b\f\r]+') AS words FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(words) >= 4 THEN list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i : i + 3], ' '))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM w),
+        nodes AS (SELECT doc_id AS id FROM s), e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+        links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))), {_REACH}
+        SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN parts ON id = doc_id
+    """,
 }

@@ -21,6 +21,26 @@ def test_matches_brute_force_on_documents(spark):
     assert got == brute.near_duplicates(rows, 4, 80)
 
 
+def test_strays_of_a_large_bucket_are_all_compared(spark, monkeypatch):
+    import random
+
+    from corvid.llm import minhash
+
+    monkeypatch.setattr(minhash, "STRAY_BLOCK", 7)
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(160):
+        own = list(base)
+        for at in rnd.sample(range(120), rnd.choice([0, 1, 3, 4, 5])):
+            own[at] = f"x{k}{at}"
+        rows.append((k, " ".join(own)))
+    rnd.shuffle(rows)
+    got = {r[0]: r[1:] for r in run(spark, rows, words=4, percent=80)}
+    assert got == brute.near_duplicates(rows, 4, 80)
+    assert len({v[1] for v in got.values()}) > 1
+
+
 def test_edges(spark):
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "One two"), (9, "one  TWO"), (3, "É two"), (2, "é two"), (None, "one two"), (9, "one  TWO"), (11, "a " * 60_000)]
     got = sorted(run(spark, rows, words=4), key=str)
