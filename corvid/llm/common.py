@@ -36,6 +36,34 @@ def hashed_share(key, rows: int, bound: int):
     return F.pmod(F.xxhash64(F.lit(7), key), F.lit(1_000_003)) < int(share * 1_000_003) + 1
 
 
+#: Words of 64 bits in the filter that spares rows a shuffle: at most so many rows of two longs are broadcast, whatever the input.
+FILTER_WORDS = 1 << 20
+
+
+def sifted(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """(record, maybe): maybe is false where the row's key is surely none of ids (a written table with a column key).
+
+    The ids' hashes set bits of a bitmap of fixed size, which is broadcast. Where ids are so many that it fills up, fewer
+    rows are told apart, so callers join what is left on the ids themselves.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_WORDS * 64))
+    word, bit = F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit")
+    words = ids.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    placed = rows.select(F.struct(*rows.columns).alias("record"), word, bit)
+    return placed.join(F.broadcast(words), "word", "left").select("record", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)).alias("maybe"))
+
+
+def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is one of ids; of the others hardly any is shuffled."""
+    return sifted(rows, key, ids).where("maybe").select("record.*").join(ids, key, "left_semi")
+
+
+def not_among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is none of ids (or null); hardly any of them is shuffled."""
+    told = sifted(rows, key, ids)
+    return told.where("not maybe").select("record.*").union(told.where("maybe").select("record.*").join(ids, key, "left_anti").select(*rows.columns))
+
+
 def components(edges: DataFrame, work: str) -> DataFrame:
     """Connected components of edges (a, b: long) as (node, component), component being the smallest node.
 

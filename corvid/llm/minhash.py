@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvid.llm.common import components, shared_dir, written
+from corvid.llm.common import among, components, shared_dir, written
 
 #: Documents whose words are hashed together.
 BLOCK = 2000
@@ -235,8 +235,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     firsts = members.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = written(members.join(firsts, "key"), f"{work}/members")
     stars = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    wanted = members.select("doc_id").distinct()
-    sets = written(full_sets(docs.join(wanted, "doc_id", "left_semi"), words, bands, rows), f"{work}/sets")
+    wanted = written(members.select("doc_id").distinct(), f"{work}/wanted")
+    sets = written(full_sets(among(docs, "doc_id", wanted).select("doc_id", "text"), words, bands, rows), f"{work}/sets")
     copies = linkable.join(classes, "digest").where("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b")).distinct()
     found = written(confirmed(stars, sets, percent), f"{work}/stars")
     # what its bucket's largest component leaves out is compared with all of the bucket
