@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import langid, linededup, minhash, packing, quality
-from corvid.llm.common import shared_dir, written
+from corvid.llm.common import not_among, shared_dir, written
 from corvid.llm.queries import tokenizer_path
 
 
@@ -29,8 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct(), f"{shared_dir(spark)}/gone")
+    return not_among(docs, "doc_id", gone)
 
 
 def repeated_line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
