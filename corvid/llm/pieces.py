@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANK = "\u2581"
-#: Stretches and pairs of pieces that a worker remembers before it starts anew; documents that are encoded together.
-MEMORY, PAIR_MEMORY, BLOCK = 500_000, 500_000, 4000
+#: Stretches and pairs of pieces that a worker remembers before it starts anew; bytes of text that are encoded together.
+MEMORY, PAIR_MEMORY, BLOCK_BYTES = 300_000, 300_000, 4 << 20
 STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -209,13 +209,22 @@ def piece_model(model_file: str) -> PieceModel:
 IDS = T.ArrayType(T.IntegerType())
 
 
+def blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about so many bytes; a longer text is a slice of its own."""
+    number = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", IDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_file)
-        for batch in (b.slice(i, BLOCK) for b in batches for i in range(0, b.num_rows, BLOCK)):
+        for batch in (part for b in batches for part in blocks(b, 1)):
             texts = batch.column(1)
             if pc.any(pc.match_substring(texts, "\0")).as_py():
                 parts = [model.encode(t or "") for t in texts.to_pylist()]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import fingerprint, itq, langid, linededup, minhash, packing, pieces, quality, sharding, warc
+from corvid.llm.common import shared_dir, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,9 @@ def tokenizer_path(name: str) -> str:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
-    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    # written in between: the same Python workers encode first and decode then, and a lost executor encodes nothing again
+    encoded = written(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), f"{shared_dir(spark)}/ids")
+    decoded = pieces.decode(encoded, model)
     text = F.encode("text", "UTF-8")
     return decoded.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.length("text").alias("decoded_chars"), F.crc32(text).alias("decoded_crc32"))
 
