@@ -23,6 +23,7 @@ import re
 import string
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -58,15 +59,15 @@ class PieceModel:
         self.rank = {p: r for p, r in self.rank.items() if self.merged(p) == [p]}  # merging can't make the others
         self.longest = max(map(len, self.rank))
         self.inside = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
-        sizes: dict[str, set[int]] = {}
+        self.automaton = ahocorasick.Automaton()
         for p in self.rank:
-            sizes.setdefault(p[-2:], set()).add(len(p))
-        #: lengths of the pieces that end in these two characters, longest first; one character is a piece anyway
-        self.sizes = {e: tuple(sorted({*own, 1}, reverse=True)) for e, own in sizes.items()}
+            self.automaton.add_word(p, p)
+        self.automaton.make_automaton()
         #: marks that never follow a letter within a piece
         self.marks = [c for c in string.punctuation if not any(b[1] == c and b[0].isalpha() for b in self.inside)]
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.packed = {p: np.asarray([i], dtype="<u4").tobytes() for p, (_, i) in self.rank.items()}
 
     def merged(self, text: str) -> list[str]:
         """What merging makes of a short text: again and again the neighbours whose union scores best, leftmost first."""
@@ -84,40 +85,44 @@ class PieceModel:
 
     def follows(self, left: str, right: str) -> bool:
         """Whether merging keeps the boundary between two pieces."""
-        if left[-1] + right[0] not in self.inside:
-            return True
         ok = self.fits.get((left, right))
         if ok is None:
             if len(self.fits) >= PAIR_MEMORY:
                 self.fits.clear()
-            ok = self.fits[left, right] = self.merged(left + right) == [left, right]
+            ok = self.fits[left, right] = left[-1] + right[0] not in self.inside or self.merged(left + right) == [left, right]
         return ok
 
     def extend(self, text: str, last: list[str], before: str) -> None:
-        """Appends to last, for each further end of text, the piece of the path that survives there; before: the committed piece."""
-        sizes, rank, inside, fits, one = self.sizes, self.rank, self.inside, self.fits, (1,)
-        for end in range(len(last) + 1, len(text) + 1):
-            for size in sizes.get(text[max(0, end - 2) : end], one):
-                begin = end - size
-                if begin < 0:
-                    continue
-                piece = text[begin:end]
-                if size > 1 and piece not in rank:
-                    continue
-                left = last[begin - 1] if begin else before
-                if not left or left[-1] + piece[0] not in inside:
-                    break
+        """Appends to last, for each further end of text, the piece of the path that survives there; before: the committed piece.
+
+        The automaton gives the pieces that end at each character, longest first; the first that may follow survives, and
+        where there is none a single character does.
+        """
+        fits, done = self.fits, len(last)
+        for end, piece in self.automaton.iter(text, max(0, done - self.longest + 1)):
+            if end < done:
+                continue
+            if len(last) < end:
+                last.extend(text[len(last) : end])
+            begin = end + 1 - len(piece)
+            left = last[begin - 1] if begin else before
+            if not left:
+                ok = True
+            else:
                 ok = fits.get((left, piece))
-                if ok or ok is None and self.follows(left, piece):
-                    break
-            last.append(piece)
+                if ok is None:
+                    ok = self.follows(left, piece)
+            if ok:
+                last.append(piece)
+                done = end + 1
+        last.extend(text[len(last) :])
 
     def pieces(self, chunks: Iterable[str]) -> Iterator[str]:
         """Streaming Viterbi over the characters of chunks (blanks already as BLANK); yields committed pieces."""
         text, last, before = "", [], ""
         for chunk in chunks:
-            for at in range(0, len(chunk), 2 * self.longest):
-                text += chunk[at : at + 2 * self.longest]
+            for at in range(0, len(chunk), 8 * self.longest):
+                text += chunk[at : at + 8 * self.longest]
                 self.extend(text, last, before)
                 if len(text) >= 4 * self.longest and (cut := self.meeting(last)):
                     done = self.path(last, cut)
@@ -128,16 +133,12 @@ class PieceModel:
 
     def meeting(self, last: list[str]) -> int:
         """The last boundary that the paths of all ends within reach of a further piece share."""
-        shared: set[int] | None = None
-        for end in range(len(last) - self.longest, len(last) + 1):
-            if end < 1:
-                continue
-            stops, at = set(), end
-            while at > 0:
-                stops.add(at)
-                at -= len(last[at - 1])
-            shared = stops if shared is None else shared & stops
-        return max(shared or {0})
+        at = set(range(max(1, len(last) - self.longest), len(last) + 1))
+        while len(at) > 1:  # the furthest goes back by its piece until all have met
+            top = max(at)
+            at.remove(top)
+            at.add(top - len(last[top - 1]))
+        return at.pop()
 
     @staticmethod
     def path(last: list[str], end: int) -> list[str]:
@@ -168,6 +169,23 @@ class PieceModel:
                 self.known[text] = packed
         return packed
 
+    def learn(self, stretches: list[str]) -> dict[str, bytes]:
+        """Packed ids of stretches without U+0000, by one stream over all that aren't known yet."""
+        new = [w for w in stretches if w not in self.known]
+        found, one, packed, nth = {}, [], self.packed, 0
+        for piece in self.pieces(["\0".join([*new, ""])]):
+            if piece == "\0":
+                found[new[nth]] = b"".join(one)
+                nth += 1
+                one = []
+            else:
+                one.append(packed.get(piece) or np.asarray(self.ids([piece]), dtype="<u4").tobytes())
+        known = {w: self.known[w] for w in stretches if w in self.known} | found
+        if len(self.known) + len(found) > MEMORY:
+            self.known.clear()
+        self.known.update(x for x in found.items() if len(x[0]) <= 64)
+        return known
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text."""
         if not text:
@@ -185,7 +203,9 @@ class PieceModel:
             marked = pc.replace_substring_regex(marked, rf"(\p{{L}})([{re.escape(''.join(self.marks))}])", "\\1\0\\2")
         lists = pc.split_pattern(marked, "\0")
         coded = pc.dictionary_encode(lists.flatten())
-        packed = [self.stretch(w) if w else b"" for w in coded.dictionary.to_pylist()]
+        words = coded.dictionary.to_pylist()
+        known = self.learn([w for w in words if w])
+        packed = [known[w] if w else b"" for w in words]
         size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
         first = np.concatenate([[0], np.cumsum(size)])
         flat = np.frombuffer(b"".join(packed), dtype="<u4")
