@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvid.functions import text as t
-from corvid.operators import browse
+from corvid.operators import browse, crawl
 from corvid.plans.common import DOC_URI, LINES
 from corvid.sources.tables import document_uri, page_objects, table
 
@@ -103,6 +103,16 @@ def web_links(spark, d):
     return page_objects(table(spark, d, "pages")).select("page_id", F.posexplode("links").alias("pos", "link"))
 
 
+def web_crawl(spark, d):
+    """The first 50 pages of a crawl in which page k links to pages 2k + 1 and 2k + 2 (the pages' own links lead nowhere)."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    parent = F.floor((F.col("page_id") - 1) / 2)
+    below = pages.groupBy(parent.alias("parent")).agg(F.array_sort(F.collect_list(F.struct("page_id", "url")))["url"].alias("links"))
+    linked = pages.join(below, F.col("page_id") == F.col("parent"), "left").select("url", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
+    seed = pages.where("page_id = 0").first()["url"]
+    return crawl.crawl(linked, [seed], most=50)
+
+
 def web_allowed(spark, d):
     return table(spark, d, "pages").select("page_id", t.allowed_domain(F.col("url"), ["example.com", "blog.tionble.example.com"]).alias("allowed"))
 
@@ -111,7 +121,7 @@ def html_to_text(spark, d):
     return page_objects(table(spark, d, "pages")).select("page_id", F.col("content").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (ls_children, tree_depth2, cat_range, head_n, tail_n, density_peek, density_skim, density_code, cat_meta, cat_locator_pk, cat_locator_row, cat_records_page, cat_budget_guard, export_partial, line_of_offset, record_rows, web_url_to_path, web_links, web_allowed, html_to_text)}
+QUERIES = {f.__name__: f for f in (ls_children, tree_depth2, cat_range, head_n, tail_n, density_peek, density_skim, density_code, cat_meta, cat_locator_pk, cat_locator_row, cat_records_page, cat_budget_guard, export_partial, line_of_offset, record_rows, web_url_to_path, web_links, web_crawl, web_allowed, html_to_text)}
 
 _L = LINES.format("text")
 _MD = r"regexp_replace(regexp_replace(regexp_replace(html, '<h[1-6]>(.*?)</h[1-6]>', chr(10) || '# \1' || chr(10), 'gis'), '<br>|<p>|</p>', chr(10), 'gi'), '<[^>]*>', '', 'g')"
@@ -147,6 +157,7 @@ ORACLE = {
     "web_links": """WITH f AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda u: regexp_replace(u, '#.*$', '')), lambda u: u <> '') AS a FROM pages),
         e AS (SELECT page_id, unnest(a) AS link, generate_subscripts(a, 1) AS i FROM f), g AS (SELECT page_id, link, min(i) AS i FROM e GROUP BY ALL)
         SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, link FROM g""",
+    "web_crawl": "SELECT url, CAST(floor(log2(page_id + 1)) AS INTEGER) AS depth, CAST(page_id AS INTEGER) AS nth FROM pages WHERE page_id < 50",
     "web_allowed": "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), ':[0-9]+$', '') IN ('example.com', 'blog.tionble.example.com') AS allowed FROM pages",
     "html_to_text": f"SELECT page_id, {PAGE_TEXT} AS text FROM pages",
 }

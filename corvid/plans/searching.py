@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvid.engine import Engine
 from corvid.functions import text as t
 from corvid.model import OVERFETCH
 from corvid.operators import grep, search
@@ -68,6 +69,22 @@ def search_envelope(spark, d):
     return search.envelope(hits, F.substring("content", 1, 80), F.col("chunk_kind"), F.lit(None).cast("string"))
 
 
+def engine_search(spark, d):
+    """The same through the engine's front, in one folder, collapsed."""
+    rows = chunks(spark, d)
+    hits = Engine(["docs://corpus"], rows, rows).search(QUERY, "docs://corpus/en", "keyword", collapse=True)
+    return hits.withColumn("content", F.substring("content", 1, 80))
+
+
+def engine_status(spark, d):
+    """Documents without a label aren't indexed and have no chunks; one connector is empty."""
+    rows = document_uri(table(spark, d, "documents")).withColumnRenamed("text", "content")
+    labels = table(spark, d, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
+    objects = rows.join(labels, "doc_id", "left").withColumn("search_status", F.when(F.col("known"), "indexed").otherwise("not_indexed"))
+    own = chunks(spark, d).join(labels.select("doc_id"), "doc_id", "left_semi")
+    return Engine(["docs://corpus", "web://crawl"], objects, own).status()
+
+
 def benchmark_retrieval(spark, d):
     """For each benchmark item the documents that hold all of its rarest words: one inverted-index join."""
     words = chunks(spark, d).select("doc_id", F.explode(F.array_distinct(t.tokens(F.col("content")))).alias("term"))
@@ -115,7 +132,7 @@ _DENSE = f"""SELECT vec_id, round({_DOT} / (sqrt(list_sum(list_transform(embeddi
     FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) ORDER BY score DESC, vec_id LIMIT """
 _HIT_LINES = f"(SELECT {DOC_URI} AS source, unnest({LINES.format('text')}) AS line, generate_subscripts({LINES.format('text')}, 1) AS n FROM documents)"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_scoped, bm25_kind_filter, token_stats, corpus_stats, dense_topk, hybrid_rrf, search_collapse, search_envelope, benchmark_retrieval, grep_literal, grep_regex, grep_sql_pushdown, grep_linear_notice, grep_chain_union, connector_match)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_scoped, bm25_kind_filter, token_stats, corpus_stats, dense_topk, hybrid_rrf, search_collapse, search_envelope, engine_search, engine_status, benchmark_retrieval, grep_literal, grep_regex, grep_sql_pushdown, grep_linear_notice, grep_chain_union, connector_match)}
 
 ORACLE = {
     "bm25_topk": bm25_sql(TERMS),
@@ -130,6 +147,9 @@ ORACLE = {
     "search_collapse": f"""SELECT folder, object_uri, score FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, chunk_id) AS r FROM
         (SELECT *, regexp_replace(object_uri, '/?[^/]*$', '') AS folder FROM ({bm25_sql(TERMS, k=30)}))) WHERE r = 1""",
     "search_envelope": f"""SELECT h.object_uri AS source, substring(c.content, 1, 80) AS content, score, CAST(NULL AS VARCHAR) AS locator, '{{"chunk_kind":"body"}}' AS metadata FROM ({bm25_sql(TERMS)}) h JOIN ({CHUNKS}) c USING (chunk_id)""",
+    "engine_search": f"""SELECT h.object_uri AS source, substring(c.content, 1, 80) AS content, score, CAST(NULL AS VARCHAR) AS locator, '{{"chunk_kind":"body"}}' AS metadata FROM ({bm25_sql(TERMS, "starts_with(object_uri, 'docs://corpus/en/')")}) h JOIN ({CHUNKS}) c USING (chunk_id)""",
+    "engine_status": """SELECT 'docs://corpus' AS connector_uri, count(*) AS objects, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS chunks, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS indexed FROM documents
+        UNION ALL SELECT 'web://crawl', 0, 0, 0""",
     "benchmark_retrieval": f"""WITH words AS (SELECT DISTINCT doc_id, unnest({WORDS.format('text')}) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM words GROUP BY term),
         items AS (SELECT DISTINCT item_id, unnest({WORDS.format('text')}) AS term FROM benchmark),
         known AS (SELECT item_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY df, term) AS nth FROM items JOIN df USING (term)) WHERE nth <= 5)
