@@ -159,16 +159,26 @@ def batch_marginals(gains: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, n
     return p, moved
 
 
+def spread(rows: np.ndarray, most: int, runs: int = 4) -> np.ndarray:
+    """rows, or where there are more than most, that many of them: runs of neighbours, evenly from the first row to the last."""
+    if len(rows) <= most:
+        return rows
+    length = max(1, most // runs)
+    begins = np.linspace(0, len(rows) - length, max(1, most // length)).astype(int)
+    return rows[np.unique(begins[:, None] + np.arange(length))]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, most_lines: int = 400, steps: int = 400, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """labels: (doc_id, quality) rows to learn from. About sample_rows of them are used, chosen by a hash of the id; of a
-    sampled document of more lines the first most_lines are learnt from (scoring always takes all)."""
+    sampled document of more lines about most_lines are learnt from, in four runs spread evenly over it (scoring always takes
+    all)."""
     labels = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("key"), F.col("quality").cast("int").alias("y"))
     chosen = labels.where(hashed_share(F.col("key"), labels.count(), sample_rows)).dropDuplicates(["key"]).limit(4 * sample_rows)
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("own", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [own_features(t or "")[0][:most_lines].astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
+            own = [spread(own_features(t or "")[0], most_lines).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.int64()), batch.column("y"), pa.array(own, pa.binary())], names=schema.names)
 
     # at most 4 * sample_rows small rows are broadcast

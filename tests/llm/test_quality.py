@@ -40,3 +40,15 @@ def test_edges(spark):
     assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
     assert len({r.score for r in got if r.record.doc_id in (1, 2)}) == 1
     assert quality.score(docs.limit(0), field).collect() == []
+
+
+def test_lines_learnt_from_are_spread_over_the_document():
+    import numpy as np
+
+    from corvid.llm.quality import spread
+
+    rows = np.arange(1000)
+    assert spread(rows, 1000) is rows
+    got = spread(rows, 40)
+    assert got[0] == 0 and got[-1] == 999 and len(got) == 40 and (np.diff(got) > 1).sum() == 3
+    assert len(spread(rows, 999)) <= 999 and len(spread(rows, 1)) == 1
