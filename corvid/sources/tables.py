@@ -19,11 +19,11 @@ def document_uri(df: DataFrame) -> DataFrame:
 
 
 def document_chunks(df: DataFrame) -> DataFrame:
-    """One body chunk for each document, in the chunk table's columns."""
+    """One body chunk with the whole text of each document, in the chunk table's columns."""
     located = document_uri(df)
     locator = F.lit(None).cast("string")
     kind = F.lit("body")
-    return located.select(t.chunk_id(F.col("connector_uri"), F.col("object_uri"), kind, locator).alias("chunk_id"), "connector_uri", "object_uri", locator.alias("locator"), F.substring("text", 1, 65_000).alias("content"), kind.alias("chunk_kind"), "doc_id")
+    return located.select(t.chunk_id(F.col("connector_uri"), F.col("object_uri"), kind, locator).alias("chunk_id"), "connector_uri", "object_uri", locator.alias("locator"), F.col("text").alias("content"), kind.alias("chunk_kind"), "doc_id")
 
 
 def page_objects(df: DataFrame) -> DataFrame:
