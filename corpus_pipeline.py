@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import langid, linededup, minhash, packing, quality
-from corvid.llm.common import not_among, shared_dir, written
+from corvid.llm.common import among, not_among, shared_dir, written
 from corvid.llm.queries import tokenizer_path
 
 
@@ -28,9 +28,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = written(minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct(), f"{shared_dir(spark)}/gone")
-    return not_among(docs, "doc_id", gone)
+    """One document, that of the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Ids may repeat or be null, so the graph's nodes are row numbers. In a group a null id ranks last, and rows of one id are
+    ranked by their text.
+    """
+    work = shared_dir(spark)
+    # row numbers are in a written table, so they never change
+    rows = written(docs.select(F.struct(*docs.columns).alias("record"), F.monotonically_increasing_id().alias("row")), f"{work}/rows")
+    found = minhash.near_duplicates(rows.select("row", F.col("record")["text"].alias("text")), words=5, percent=80, id_col="row")
+    linked = written(found.where("not kept").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), f"{work}/linked")
+    members = written(linked.union(linked.select(F.col("component").alias("row"), "component").distinct()), f"{work}/members")
+    doc = F.col("record")["doc_id"]
+    place = F.struct(doc.isNull().alias("last"), doc.alias("doc"), F.xxhash64(F.col("record")["text"]).alias("tie"), "row")
+    first = among(rows.select("row", place.alias("place")), "row", members).join(members, "row").groupBy("component").agg(F.min("place").alias("place"))
+    gone = written(members.select("row").join(first.select(F.col("place")["row"].alias("row")), "row", "left_anti"), f"{work}/gone")
+    return not_among(rows, "row", gone).select("record.*")
 
 
 def repeated_line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,15 @@ def test_edges(spark):
     for frame in (docs, docs.limit(0)):
         for _, stage in p.STAGES:
             stage(spark, frame, "/root/testdata/sf0.001").collect()
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    import corpus_pipeline as p
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(7, c), (5, a), (5, b), (7, c), (3, a), (None, d), (None, d), (None, c), (9, None), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = p.near_duplicate_stage(spark, docs, "/root/testdata/sf0.001")
+    assert got.columns == docs.columns
+    want = [(3, a), (5, b), (7, c), (None, d), (9, None), (9, None), (None, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
