@@ -1,19 +1,25 @@
-"""Substring de-duplication by hashed lines.
+"""Substring de-duplication by hashed lines and sentences.
 
-A text is cut into units (lines by default, or paragraphs). A unit is normalised (Unicode case and white space folded), and the
-digests of all units of the corpus are grouped. The earliest occurrence, by document and position, stays; the others are
-removed, and where they stood is kept as character offsets of the original text. Units of fewer words than a minimum are never
-removed.
+A text is cut into units that tile it: at line ends and, by default, after sentence ends as well, so that a passage is found
+wherever it stands in a line. A unit is normalised (Unicode case and white space folded), and the digests of all units of the
+corpus are grouped. Of each digest the earliest occurrence, by document and position, stays. Later ones are removed where
+neighbouring repeated units make a run of min_chars characters or more, so that a stock phrase alone costs a document nothing;
+min_chars=0 removes every repeat. Characters count in every script, whether it parts words or not. Where removed units stood is
+kept as character offsets of the original text.
 
-Only digests move: the one group a common line makes is folded before the shuffle, and the join back splits hot digests.
+Only digests move: the group that a common line makes is folded before the shuffle; the few digests that make up more than a
+thousandth of all units are joined by broadcast (there can't be more than a thousand of them); texts that lose nothing aren't
+shuffled.
 
-Edge cases: a null text stays null and has no unit. Repeated rows (same doc_id) are ranked by their text after their id, and
-of equal rows all but one lose their units. A null doc_id ranks last. An empty table gives an empty result. Other columns of
-the input are carried along in the column `record`, so names can't clash.
+Edge cases: a null text stays null and has no unit; blank units are never removed and don't end a run. Repeated rows (same
+doc_id) are ranked by their text after their id, and of equal rows all but one lose their units. A null doc_id ranks last. A
+very long text is cut like any other, and its units spread over all tasks. An empty table gives an empty result. Other columns
+of the input are carried along in the column `record`, so names can't clash.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,42 +27,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvid.llm.common import shared_dir, written
+from corvid.llm.common import shared_dir, sifted, written
 
+#: Where units end.
+LINES, PARAGRAPHS = r"(?<=\n)", r"(?<=\n\n)"
+SENTENCES = r"(?<=\n)|(?<=[.!?] )|(?<=[。！？])"
+#: Digests that are joined by broadcast make up at least so large a share of all units, and occur so often.
+HOT_SHARE, HOT_LEAST = 1000, 1000
 
-def remove_repeats(docs: DataFrame, min_words: int = 5, paragraphs: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def removable(repeated: list[tuple[int, int]], blank: list[bool], min_chars: int) -> list[int]:
+    """Positions of the repeated (position, characters) whose run has min_chars or more; blank units don't end a run."""
+    out: list[int] = []
+    run: list[int] = []
+    held, last = 0, -2
+    for pos, chars in [*sorted(repeated), (len(blank) + 1, 0)]:
+        if not all(blank[last + 1 : pos]) or last < 0 or pos > len(blank):
+            out += run if held >= min_chars else []
+            run, held = [], 0
+        run.append(pos)
+        held, last = held + chars, pos
+    return out
+
+
+def remove_repeats(docs: DataFrame, min_chars: int = 160, units: str = SENTENCES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(record, text, n_units, n_removed, removed): record is the input row; removed lists (start, length) in characters."""
     work = shared_dir(docs.sparkSession)
-    glue = "\n\n" if paragraphs else "\n"
     # row numbers tell rows apart that share a doc_id; they are in a written table, so they never change
     rows = written(docs.select(F.struct(*docs.columns).alias("record"), F.monotonically_increasing_id().alias("row")), f"{work}/rows")
     text = F.col("record")[text_col]
-    units = rows.select("row", F.col("record")[id_col].alias("doc"), F.xxhash64(text).alias("tie"), F.posexplode(F.split(text, glue)).alias("pos", "unit"))
+    cut_up = rows.select("row", F.col("record")[id_col].alias("doc"), F.hash(text).alias("tie"), F.posexplode(F.split(text, units)).alias("pos", "unit"))
     folded = F.trim(F.regexp_replace(F.lower("unit"), r"\s+", " "))
-    units = units.select("row", "doc", "tie", "pos", folded.alias("folded")).where(F.length("folded") > 0)
-    units = units.where(F.size(F.split("folded", " ")) >= min_words).select("row", F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), "tie", "pos", F.xxhash64(F.lit(1), "folded").alias("h1"), F.xxhash64(F.lit(2), "folded").alias("h2"))
-    units = written(units, f"{work}/units")
+    cut_up = cut_up.select("row", "doc", "tie", "pos", folded.alias("folded")).where(F.length("folded") > 0)
+    hashed = cut_up.select("row", F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), "tie", "pos", F.length("folded").alias("chars"), F.xxhash64(F.lit(1), "folded").alias("h1"), F.hash("folded").alias("h2"))
+    hashed = written(hashed, f"{work}/units")
     place = F.struct("doc", "tie", "row", "pos")
-    first = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    repeats = units.join(first, ["h1", "h2"]).where(place != F.col("first")).groupBy("row").agg(F.collect_set("pos").alias("gone"))
-    joined = rows.join(repeats, "row", "left").select("record", text.alias("text"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    digest = ["h1", "h2"]
+    first = written(hashed.groupBy(*digest).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), f"{work}/first")
+    often = max(HOT_LEAST, hashed.count() // HOT_SHARE)
+    likely = sifted(hashed, "h1", first).where("maybe").select("record.*")
+    hot = F.broadcast(first.where(F.col("n") >= often))
+    hot_ones = likely.join(hot, digest)
+    others = likely.join(hot.select(*digest), digest, "left_anti").join(first.where(F.col("n") < often), digest)
+    repeats = hot_ones.unionByName(others).where(place != F.col("first"))
+    # texts whose repeats are too short taken together lose nothing; the exact runs are told with the text at hand
+    losing = repeats.groupBy("row").agg(F.collect_list(F.struct("pos", "chars")).alias("repeated"), F.sum("chars").alias("chars")).where(F.col("chars") >= min_chars).drop("chars")
+    losing = written(losing, f"{work}/losing")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
-    schema = T.StructType([joined.schema["record"], T.StructField("text", T.StringType()), T.StructField("n_units", T.IntegerType()), T.StructField("n_removed", T.IntegerType()), T.StructField("removed", T.ArrayType(span))])
+    schema = T.StructType([rows.schema["record"], T.StructField("text", T.StringType()), T.StructField("n_units", T.IntegerType()), T.StructField("n_removed", T.IntegerType()), T.StructField("removed", T.ArrayType(span))])
+    told = sifted(rows, "row", losing.select("row"))
+    touched = told.where("maybe").select("record.*").join(losing, "row", "left").select("record", text.alias("text"), F.coalesce("repeated", F.array().cast(losing.schema["repeated"].dataType)).alias("repeated"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = re.compile(units)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for old, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                pieces, lost = [] if old is None else old.split(glue), set(gone)
+            for old, repeated in zip(batch.column("text").to_pylist(), batch.column("repeated").to_pylist(), strict=True):
+                pieces = [] if old is None else ends.split(old)
+                blank = [not p.strip(" \t\n\v\f\r") for p in pieces]
+                lost = set(removable([(r["pos"], r["chars"]) for r in repeated], blank, min_chars))
                 spans, at = [], 0
                 for i, piece in enumerate(pieces if lost else ()):
                     if i in lost:
                         spans.append({"start": at, "length": len(piece)})
-                    at += len(piece) + len(glue)
-                new = glue.join(p for i, p in enumerate(pieces) if i not in lost) if lost else old
+                    at += len(piece)
+                new = "".join(p for i, p in enumerate(pieces) if i not in lost) if lost else old
                 for column, value in zip(out, (new, len(pieces), len(lost), spans), strict=True):
                     column.append(value)
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("record"), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    whole = told.where("not maybe").select("record.record")
+    pieces = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, units)))
+    whole = whole.select("record", text.alias("text"), pieces.alias("n_units"), F.lit(0).alias("n_removed"), F.array().cast(schema["removed"].dataType).alias("removed"))
+    return whole.union(touched.mapInArrow(cut, schema))

@@ -99,16 +99,22 @@ ORACLE: dict[str, str] = {
     "op4_line_dedup": r"""
         WITH units AS (
             SELECT doc_id, pos - 1 AS pos, unit, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS folded
-            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+            FROM (SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) AS pos
+                  FROM (SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?] |[。！？])', '\1' || chr(57344), 'g'), chr(57344)) AS parts FROM documents))
         ), placed AS (
-            SELECT *, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM units
-        ), ranked AS (
-            SELECT *, len(string_split(folded, ' ')) >= 5 AND row_number() OVER (PARTITION BY folded ORDER BY doc_id, pos) > 1 AS gone FROM placed
-        )
-        SELECT doc_id, coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, CAST(count(*) AS INTEGER) AS n_units,
+            SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+                   row_number() OVER (PARTITION BY folded ORDER BY doc_id, pos) > 1 AS repeated
+            FROM units
+        ), runs AS (
+            SELECT doc_id, pos, length(folded) AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, repeated ORDER BY pos) AS run
+            FROM placed WHERE folded <> '' QUALIFY repeated
+        ), gone AS (
+            SELECT doc_id, pos, sum(chars) OVER (PARTITION BY doc_id, run) >= 160 AS gone FROM runs
+        ), told AS (SELECT p.*, coalesce(g.gone, false) AS gone FROM placed p LEFT JOIN gone g USING (doc_id, pos))
+        SELECT doc_id, coalesce(string_agg(unit, '' ORDER BY pos) FILTER (NOT gone), '') AS text, CAST(count(*) AS INTEGER) AS n_units,
                CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
                coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(length(unit) AS VARCHAR), ',' ORDER BY pos) FILTER (gone), '') AS removed
-        FROM ranked GROUP BY doc_id
+        FROM told GROUP BY doc_id
     """,
     "op3_warc_archive": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages),

@@ -61,3 +61,32 @@ def vector_links(rows, threshold):
         for j in range(i)
         if units[i] and units[j] and rows[i][2] == rows[j][2] and len(units[i]) == len(units[j]) and sum(a * b for a, b in zip(units[i], units[j])) >= threshold
     ]
+
+
+def without_repeats(rows, min_chars, ends=r"(?<=\n)|(?<=[.!?] )|(?<=[。！？])"):
+    """rows of (id, text), ids distinct: {id: (text, number of units, removed (start, length))}, by a plain walk in id order."""
+    seen, out = set(), {}
+    for key, text in sorted(rows):
+        at, kept, spans, run = 0, [], [], []
+        pieces = re.split(ends, text)
+
+        def settle():
+            long = sum(len(f) for _, _, f in run) >= min_chars
+            for start, piece, _ in run:
+                spans.append((start, len(piece))) if long else kept.append((start, piece))
+            run.clear()
+
+        for piece in pieces:
+            folded = re.sub(r"[ \t\n\v\f\r]+", " ", piece.lower()).strip(" ")
+            if folded in seen and folded:
+                run.append((at, piece, folded))
+            elif folded:
+                settle()
+                seen.add(folded)
+                kept.append((at, piece))
+            else:
+                kept.append((at, piece))
+            at += len(piece)
+        settle()
+        out[key] = ("".join(p for _, p in sorted(kept)), len(pieces), spans)
+    return out
