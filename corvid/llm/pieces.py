@@ -32,8 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANK = "\u2581"
-#: Stretches and pairs of pieces that a worker remembers before it starts anew; bytes of text that are encoded together.
-MEMORY, PAIR_MEMORY, BLOCK_BYTES = 300_000, 300_000, 4 << 20
+#: What a worker remembers before it starts anew: bytes of stretches with their ids, and pairs of pieces (about 150 bytes each).
+MEMORY_BYTES, PAIR_MEMORY = 24 << 20, 150_000
+#: Bytes of text that are encoded together, and ids that are decoded together.
+BLOCK_BYTES, BLOCK_IDS = 1 << 20, 1 << 18
+#: About what a remembered stretch takes besides its characters and ids.
+ENTRY_BYTES = 200
 STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -44,17 +48,13 @@ class PieceModel:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        size = model.get_piece_size()
-        self.bytes = [b""] * size
         self.rank: dict[str, tuple[float, int]] = {}
         self.byte_ids = [0] * 256
-        for i in range(size):
+        for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                self.bytes[i] = bytes([int(piece[3:5], 16)])
-                self.byte_ids[self.bytes[i][0]] = i
+                self.byte_ids[int(piece[3:5], 16)] = i
             elif not model.is_control(i) and not model.is_unknown(i):
-                self.bytes[i] = piece.replace(BLANK, " ").encode()
                 self.rank[piece] = (model.get_score(i), i)
         self.rank = {p: r for p, r in self.rank.items() if self.merged(p) == [p]}  # merging can't make the others
         self.longest = max(map(len, self.rank))
@@ -67,6 +67,7 @@ class PieceModel:
         self.marks = [c for c in string.punctuation if not any(b[1] == c and b[0].isalpha() for b in self.inside)]
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.packed = {p: np.asarray([i], dtype="<u4").tobytes() for p, (_, i) in self.rank.items()}
 
     def merged(self, text: str) -> list[str]:
@@ -163,11 +164,18 @@ class PieceModel:
         packed = self.known.get(text)
         if packed is None:
             packed = np.asarray(self.ids(self.pieces([text])), dtype="<u4").tobytes()
-            if len(text) <= 64:
-                if len(self.known) >= MEMORY:
+            self.remember({text: packed})
+        return packed
+
+    def remember(self, found: dict[str, bytes]) -> None:
+        """Keeps the ids of short stretches, within the bytes that a worker may hold."""
+        for text, packed in found.items():
+            if len(text) <= 64 and text not in self.known:
+                self.held += ENTRY_BYTES + 2 * len(text) + len(packed)
+                if self.held > MEMORY_BYTES:
                     self.known.clear()
+                    self.held = ENTRY_BYTES + 2 * len(text) + len(packed)
                 self.known[text] = packed
-        return packed
 
     def learn(self, stretches: list[str]) -> dict[str, bytes]:
         """Packed ids of stretches without U+0000, by one stream over all that aren't known yet."""
@@ -181,9 +189,7 @@ class PieceModel:
             else:
                 one.append(packed.get(piece) or np.asarray(self.ids([piece]), dtype="<u4").tobytes())
         known = {w: self.known[w] for w in stretches if w in self.known} | found
-        if len(self.known) + len(found) > MEMORY:
-            self.known.clear()
-        self.known.update(x for x in found.items() if len(x[0]) <= 64)
+        self.remember(found)
         return known
 
     def encode(self, text: str) -> np.ndarray:
@@ -214,11 +220,44 @@ class PieceModel:
         ends = np.concatenate([[0], np.cumsum(length)])
         return flat[np.repeat(first[code] - ends[:-1], length) + np.arange(ends[-1])], ends[at - at[0]]
 
+
+class PieceBytes:
+    """The bytes of every id, in one row: all that decoding needs."""
+
+    def __init__(self, model_file: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        each = []
+        for i in range(model.get_piece_size()):
+            piece = model.id_to_piece(i)
+            plain = b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(BLANK, " ").encode()
+            each.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else plain)
+        self.size = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        self.first = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        self.flat = np.frombuffer(b"".join(each), dtype=np.uint8)
+
+    def join(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of ids in a row, and where each id's end (0 first). An id that the model doesn't have raises."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size)):
+            raise ValueError(f"an id is outside 0 to {len(self.size) - 1}")
+        length = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return self.flat[np.repeat(self.first[ids] - ends[:-1], length) + np.arange(ends[-1])].tobytes(), ends
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces and bytes joined, without the blank that encoding puts in front."""
-        data = b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        data = b"".join(self.join(ids[i : i + BLOCK_IDS])[0] for i in range(0, len(ids), BLOCK_IDS))
         return data.removeprefix(b" ").decode("utf-8", "replace")
 
+    def decode_all(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        """The texts of neighbouring stretches of ids, at[k] to at[k + 1]."""
+        if len(at) == 2:
+            return [self.decode(ids[at[0] : at[1]])]
+        data, ends = self.join(ids[at[0] : at[-1]])
+        place = ends[at - at[0]].tolist()
+        return [data[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(place[:-1], place[1:], strict=True)]
+
 
 @functools.lru_cache(maxsize=2)
 def piece_model(model_file: str) -> PieceModel:
@@ -226,12 +265,18 @@ def piece_model(model_file: str) -> PieceModel:
     return PieceModel(model_file)
 
 
+@functools.lru_cache(maxsize=2)
+def piece_bytes(model_file: str) -> PieceBytes:
+    return PieceBytes(model_file)
+
+
 IDS = T.ArrayType(T.IntegerType())
 
 
-def blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have about so many bytes; a longer text is a slice of its own."""
-    number = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+def blocks(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose sizes add up to about most; a larger row is a slice of its own."""
+    size = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = np.cumsum(size) // most + np.cumsum(size >= most)
     cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if b > a:
@@ -244,7 +289,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_file)
-        for batch in (part for b in batches for part in blocks(b, 1)):
+        for batch in (part for b in batches for part in blocks(b, pc.binary_length(b.column(1)), BLOCK_BYTES)):
             texts = batch.column(1)
             if pc.any(pc.match_substring(texts, "\0")).as_py():
                 parts = [model.encode(t or "") for t in texts.to_pylist()]
@@ -253,6 +298,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 flat, begins = model.encode_all(texts)
             ids = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(flat.astype(np.int32)), mask=pc.is_null(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
@@ -262,11 +308,13 @@ def decode(encoded: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc_id
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_model(model_file)
-        for batch in batches:
+        piece_model.cache_clear()  # this worker may have encoded before
+        model = piece_bytes(model_file)
+        for batch in (part for b in batches for part in blocks(b, pc.list_value_length(b.column(len(keep))), BLOCK_IDS)):
             ids = batch.column(len(keep))
-            flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            texts = [None if null else model.decode(flat[a:b]) for a, b, null in zip(at[:-1], at[1:], ids.is_null().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], names=schema.names)
+            texts = pa.array(model.decode_all(ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()), pa.string())
+            texts = pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), texts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), texts], names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     return encoded.select(*keep, F.col(ids_col).alias("_ids_to_decode")).mapInArrow(run, schema)
