@@ -46,3 +46,26 @@ def test_order_is_shuffled_and_buckets_are_small(spark):
 def test_edges(spark):
     check(spark, [(1, None), (1, None), (2, ""), (None, "a"), (None, "a"), (3, "é" * 200_000), (4, "same"), (5, "same")])
     assert digest(frame(spark, [])).collect() == []
+
+
+def test_the_seed_alone_decides_the_order(spark):
+    df = frame(spark, [(i, "text " * (i % 40)) for i in range(1500)])
+    places = lambda d, **more: {(r.id, r.shard, r.slot) for r in shuffle_into_shards(d, f"{shared_dir(spark)}/s", shards=3, bucket_bytes=20_000, **more).selectExpr("record.doc_id as id", "shard", "slot").collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    one = places(df)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert places(df.repartition(11)) == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert places(df, seed=18) != one
+
+
+def test_repeated_rows_spread_over_buckets(spark):
+    df = frame(spark, [(7, "x" * 1000)] * 2000 + [(i, "y" * 1000) for i in range(1000)])
+    got = shuffle_into_shards(df, f"{shared_dir(spark)}/s", shards=2, bucket_bytes=100_000)
+    assert got.count() == 3000
+    # the other rows stand among the repeated ones all over the shard
+    hot = got.where("record.doc_id = 7").select("shard").first().shard
+    slots = sorted(r.slot for r in got.where(f"shard = {hot} and record.doc_id <> 7").collect())
+    assert slots[0] < 200 and slots[-1] > 2200
