@@ -14,7 +14,8 @@ def run(spark, rows, **more):
 
 
 def brute(rows):
-    order = sorted(((-(2**63) if i is None else i, t or "") for i, t in rows), key=lambda r: (-r[0], r[1].encode()))
+    tie = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63
+    order = sorted(((-(2**63) if i is None else i, t or "") for i, t in rows), key=lambda r: (-r[0], tie(r[1]), r[1].encode()))
     out = []
     for k, (i, t) in enumerate(order):
         following = order[(k + 1) % len(order)][1]
@@ -45,3 +46,10 @@ def test_equal_digests_of_different_texts_are_told_apart(spark):
     rows = [(i, t) for i, t in enumerate(["one", "One ", "two", "three", "three"])]
     got = {r.doc_id: r.fingerprint for r in run(spark, rows, hashed=lambda b: str(len(b)))}
     assert got[0] == got[1] != got[2] and got[3] == got[4] == "5" and got[0].startswith("3-")
+    assert got[2].startswith("3-") and got[2] != got[0]
+
+
+def test_a_third_of_all_rows_with_one_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 10)
+    rows = [(i % 3 and i, f"text {i} " * (i % 5)) for i in range(600)] + [(None, f"none {i}") for i in range(200)]
+    assert sorted(map(tuple, run(spark, rows)), key=str) == brute(rows)
