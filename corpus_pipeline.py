@@ -16,9 +16,9 @@ from corvid.llm.queries import tokenizer_path
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter go."""
+    """Documents in one of the learnt languages; those without a letter go, and those of which the machines are too unsure."""
     model = langid.train(docs, langid.fold(F.col("doc_id"), 3) != 1)
-    return langid.identify(docs, model).where("found.lang_pred <> 'und'").select("record.*")
+    return langid.identify(docs, model).where(langid.accepted()).select("record.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

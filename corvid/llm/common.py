@@ -36,6 +36,14 @@ def hashed_share(key, rows: int, bound: int):
     return F.pmod(F.xxhash64(F.lit(7), key), F.lit(1_000_003)) < int(share * 1_000_003) + 1
 
 
+def sample_of(rows: DataFrame, mark: str, bound: int) -> DataFrame:
+    """About bound rows of distinct marks (a column of hashes of what tells rows apart), chosen by their marks: the same ones in
+    every run, 2 * bound at most, and never none where there is a row. Copies of a row fold into one before they move."""
+    facts = rows.agg(F.count("*").alias("n"), F.min(mark).alias("least")).first()
+    chosen = rows.where(hashed_share(F.col(mark), facts["n"], bound) | (F.col(mark) == facts["least"]) if facts["n"] else F.lit(False))
+    return chosen.dropDuplicates([mark]).orderBy(mark).limit(2 * bound)
+
+
 #: Words of 64 bits in the filter that spares rows a shuffle: at most so many rows of two longs are broadcast, whatever the input.
 FILTER_WORDS = 1 << 20
 
@@ -53,6 +61,23 @@ def sifted(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(words), "word", "left").select("record", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)).alias("maybe"))
 
 
+#: Keys that are joined by broadcast are at least one of so many rows each, and occur so often: there are HOT_SHARE of them at most.
+HOT_SHARE, HOT_LEAST = 1000, 1000
+
+
+def matched(rows: DataFrame, keys: list[str], counted: DataFrame, total: int) -> DataFrame:
+    """rows (total of them) joined with counted, a written table of those keys that interest and of the n rows that each has.
+
+    Rows that have none of these keys are hardly shuffled, and the few keys that very many rows share are joined by broadcast,
+    so that no task gets them all.
+    """
+    often = max(HOT_LEAST, total // HOT_SHARE)
+    likely = sifted(rows, keys[0], counted).where("maybe").select("record.*")
+    hot = F.broadcast(counted.where(F.col("n") >= often))
+    others = likely.join(hot.select(*keys), keys, "left_anti").join(counted.where(F.col("n") < often), keys)
+    return likely.join(hot, keys).unionByName(others)
+
+
 def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows whose key is one of ids; of the others hardly any is shuffled."""
     return sifted(rows, key, ids).where("maybe").select("record.*").join(ids, key, "left_semi")

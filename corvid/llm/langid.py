@@ -3,12 +3,14 @@
 A text's features are the relative frequencies of its hashed byte n-grams (one to four bytes of the lower-cased text, words
 marked by a blank at both ends). A linear one-versus-one support vector machine for each pair of families votes for a family;
 within it, one for each pair of languages votes for the language. All machines are trained by the Pegasos method on a bounded,
-hash-chosen sample of the labelled rows; every whole text is scored.
+hash-chosen sample of the labelled rows (at most twice per_language rows of each language); every whole text is scored.
 
 The families of languages are a parameter; a language that isn't listed forms a family of its own.
 
 Edge cases: a text that is null or has no letter is `und` with score 0. Without any labelled row every text is `und`.
-Repeated rows get equal results; a null doc_id is no obstacle. Other columns of the input are ignored.
+Repeated rows get equal results and count once in the sample, however many they are; null or repeated ids are no obstacle,
+since a row is sampled by its id and text together. Very long texts are counted whole, in pieces. Columns of the input are
+carried in `record`, so names can't clash.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from corvid.llm.common import hashed_share
 
@@ -29,6 +32,8 @@ from corvid.llm.common import hashed_share
 FAMILIES = {"germanic": ["da", "de", "en", "is", "nl", "no", "sv"], "romance": ["ca", "es", "fr", "gl", "it", "pt", "ro"], "slavic": ["bg", "cs", "pl", "ru", "sk", "uk"]}
 #: Hash cells of the n-grams, and the longest n-gram in bytes.
 CELLS, LONGEST = 1 << 13, 4
+#: A score below which a text is in none of the learnt languages, or has too little to tell: 0.25 is a toss at both steps.
+LEAST_SCORE = 0.37
 #: Bytes of a text that are counted at once.
 CHUNK = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
@@ -116,22 +121,24 @@ class Model:
 
 
 def train(docs: DataFrame, learnable: Column, per_language: int = 300, families: dict[str, list[str]] = FAMILIES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits the model on about per_language rows of each language, chosen by a hash of the id among the learnable rows."""
-    rows = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """Fits the model on about per_language rows of each language, chosen by a hash of id and text among the learnable rows."""
+    rows = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("mark"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    size = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("mark").alias("least")).collect()}
     if not size:
         return Model(np.zeros((0, CELLS)), [], families)
     wanted = F.lit(False)
-    for lang, n in sorted(size.items()):
-        wanted = wanted | ((F.col("lang") == lang) & hashed_share(F.col("key"), n, per_language))
-    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("counts", T.BinaryType())])
+    for lang, (n, least) in sorted(size.items()):
+        wanted = wanted | ((F.col("lang") == lang) & (hashed_share(F.col("mark"), n, per_language) | (F.col("mark") == least)))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    chosen = rows.where(wanted).dropDuplicates(["lang", "mark"]).withColumn("nth", nth).where(F.col("nth") <= 2 * per_language).select("mark", "lang", "text")
+    schema = T.StructType([T.StructField("mark", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [features(counts(t)).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("lang"), pa.array(data, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("lang"), pa.array(data, pa.binary())], names=schema.names)
 
-    found = sorted(rows.where(wanted).mapInArrow(run, schema).collect(), key=lambda r: (r["lang"], r["key"] or "", r["counts"]))
+    found = sorted(chosen.mapInArrow(run, schema).collect(), key=lambda r: (r["lang"], r["mark"]))
     return Model(np.stack([np.frombuffer(r["counts"], np.float32) for r in found]), [r["lang"] for r in found], families)
 
 
@@ -149,6 +156,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return packed.mapInArrow(run, schema)
 
 
+def accepted(found: str = "found", least: float = LEAST_SCORE) -> Column:
+    """Whether the machines are sure enough of a text's language."""
+    return (F.col(found)["lang_pred"] != "und") & (F.col(found)["score"] >= least)
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))

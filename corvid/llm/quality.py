@@ -8,7 +8,9 @@ Training takes a bounded, hash-chosen sample of the labelled documents; a docume
 field's likelihood is climbed by full-batch Adam steps with a penalty on large weights.
 
 Edge cases: a null or blank text has one empty line, and is scored like any other. Very long lines and texts are counted
-whole. Without a labelled row every score is 0.5. Repeated rows get equal scores. Columns of the input are carried in `record`.
+whole. Without a labelled row every score is 0.5. Of labels that repeat an id the lowest holds. Repeated rows get equal scores
+and count once in the sample; it holds 2 * sample_rows documents at most, however often an id is repeated. Ids may be of any
+type. Columns of the input are carried in `record`, so names can't clash.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvid.llm.common import hashed_share
+from corvid.llm.common import sample_of
 
 #: Byte classes: lower, upper, digit, blank, full stop and comma, exclamation and question mark, bar, other marks, non-ASCII.
 CLASSES = 9
@@ -169,21 +171,23 @@ def spread(rows: np.ndarray, most: int, runs: int = 4) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, most_lines: int = 400, steps: int = 400, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """labels: (doc_id, quality) rows to learn from. About sample_rows of them are used, chosen by a hash of the id; of a
+    """labels: (doc_id, quality) rows to learn from. About sample_rows of their documents are used, chosen by hashes; of a
     sampled document of more lines about most_lines are learnt from, in four runs spread evenly over it (scoring always takes
     all)."""
-    labels = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("key"), F.col("quality").cast("int").alias("y"))
-    chosen = labels.where(hashed_share(F.col("key"), labels.count(), sample_rows)).dropDuplicates(["key"]).limit(4 * sample_rows)
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("own", T.BinaryType())])
+    labels = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("string").alias("key")).agg(F.min("quality").cast("int").alias("y"))
+    # hashes of ids choose the labels, so that at most 2 * sample_rows small rows are broadcast; those of ids and texts bound what
+    # many rows of one id can add
+    chosen = sample_of(labels.withColumn("mark", F.xxhash64("key")), "mark", sample_rows).drop("mark")
+    rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key")
+    rows = sample_of(rows.withColumn("mark", F.xxhash64("key", "text")), "mark", sample_rows)
+    schema = T.StructType([T.StructField("mark", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("own", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [spread(own_features(t or "")[0], most_lines).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.int64()), batch.column("y"), pa.array(own, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("y"), pa.array(own, pa.binary())], names=schema.names)
 
-    # at most 4 * sample_rows small rows are broadcast
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key")
-    found = sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: (r["key"], r["own"]))
+    found = sorted(rows.select("mark", "y", "text").mapInArrow(run, schema).collect(), key=lambda r: r["mark"])
     return fit([expand(np.frombuffer(r["own"], np.float32).reshape(-1, OWN).astype(float)) for r in found], [r["y"] for r in found], steps)
 
 

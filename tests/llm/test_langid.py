@@ -34,3 +34,51 @@ def test_edges(spark):
     empty = langid.train(docs.limit(0), F.lit(True))
     assert {r.found.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
     assert langid.identify(docs.limit(0), model).collect() == []
+
+
+def test_repeated_and_null_ids_train_within_the_bound(spark):
+    for key in (None, 3, 7, 12, 21, 35, 1043):
+        rows = [(key, f"der die das und {i}" if i % 2 else f"the and of {i}", "de" if i % 2 else "en") for i in range(5000)] + [(9, "los las que por", "es")] * 3000
+        sizes = []
+        build = langid.Model.__init__
+        langid.Model.__init__ = lambda self, x, langs, families: (sizes.append(len(x)), build(self, x, langs, families))[1]
+        try:
+            model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), per_language=50)
+        finally:
+            langid.Model.__init__ = build
+        assert sizes[0] <= 300 and model.predict("der und die")[0] == "de" and model.predict("los que las")[0] == "es"
+
+
+def test_predictions_against_a_plain_count(spark):
+    """Features by a dictionary of n-grams, votes by plain sums."""
+    from collections import Counter
+
+    docs = spark.read.parquet(DATA)
+    model = langid.train(docs, langid.fold(F.col("doc_id"), 3) != 1, per_language=40)
+
+    def plain(text):
+        data = (" " + " ".join(text.lower().split()) + " ").encode()
+        cells = Counter()
+        for n in range(1, 5):
+            for at in range(len(data) - n + 1):
+                key = 0
+                for b in data[at : at + n]:
+                    key = (key * 0x01000193 + b + 1) % 2**32
+                cells[(key * 0x9E3779B1 % 2**32) >> 19] += 1
+        total = sum(cells.values())
+        x = {c: (n / total) ** 0.5 for c, n in cells.items()}
+
+        def vote(names, machines):
+            votes, sums = Counter({n: 0 for n in names}), Counter()
+            for i, j, w in machines:
+                m = sum(float(w[c]) * v for c, v in x.items())
+                votes[names[i] if m >= 0 else names[j]] += 1
+                sums[names[i]] += m
+                sums[names[j]] -= m
+            return max(names, key=lambda n: (votes[n], sums[n]))
+
+        family = vote(model.families, model.between)
+        return vote(model.members[family], model.within[family])
+
+    texts = [r.text for r in docs.orderBy("doc_id").limit(40).collect() if any(c.isalpha() for c in r.text)]
+    assert [model.predict(t)[0] for t in texts] == [plain(t) for t in texts]

@@ -20,7 +20,8 @@ def test_stages_on_the_corpus(spark):
         assert docs.columns == columns
         kept.append((before, docs.collect()))
     (raw, lang), (_, good), (pool, unique), (_, lines) = kept
-    assert len(lang) == sum(any(c.isalpha() for c in r.text or "") for r in raw)
+    told = {r.doc_id for r in raw if any(c.isalpha() for c in r.text or "")}
+    assert {r.doc_id for r in lang} <= told and len(lang) > 0.98 * len(told)
     assert 0 < len(good) < len(lang)
     want = brute.near_duplicates([(r.doc_id, r.text) for r in pool], 5, 80)
     assert {r.doc_id for r in unique} == {i for i, (_, _, keep) in want.items() if keep}
@@ -52,3 +53,13 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     assert got.columns == docs.columns
     want = [(3, a), (5, b), (7, c), (None, d), (9, None), (9, None), (None, "")]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_languages_never_learnt_are_rejected(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = ["Za\u017c\u00f3\u0142\u0107 g\u0119\u015bl\u0105 ja\u017a\u0144 i inne polskie s\u0142owa, kt\u00f3re s\u0105 tutaj napisane dla pr\u00f3by.", "Привет, это русский текст о погоде и жизни в городе.", "これは日本語の文章です。"]
+    more = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(foreign)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in p.language_stage(spark, docs.select(*more.columns).unionByName(more), "").select("doc_id").collect()}
+    assert not any(i >= 10**6 for i in kept) and len(kept) > 0.99 * docs.count()

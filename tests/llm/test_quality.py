@@ -52,3 +52,40 @@ def test_lines_learnt_from_are_spread_over_the_document():
     got = spread(rows, 40)
     assert got[0] == 0 and got[-1] == 999 and len(got) == 40 and (np.diff(got) > 1).sum() == 3
     assert len(spread(rows, 999)) <= 999 and len(spread(rows, 1)) == 1
+
+
+def test_scores_against_enumeration(spark):
+    """Features by plain counting, line probabilities by enumerating all labellings, weighted by the lines' bytes."""
+    rows = [(1, "A good line. It ends well.\nAnother one follows here.\nSo it goes on.", 1), (2, "BAD!! BAD!! BAD!!\n||||\nword word word word", 0), (3, "é 12, a?\n\nlast", 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    field = quality.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int"), steps=40)
+    groups = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "\t\n\r ", ".,", "!?", "|"]
+    for r in quality.score(docs, field).collect():
+        lines = r.record.text.split("\n")
+        length = [len(x.encode()) + 1 for x in lines]
+        own = []
+        for one, n in zip(lines, length):
+            data = (one + "\n").encode()
+            kind = [next((k for k, g in enumerate(groups) if chr(b) in g), 8 if b > 127 else 7) for b in data]
+            words = one.split()
+            shape = [sum(a == b for a, b in zip(words, words[1:])) / len(words), 1 - len(set(words)) / len(words), min(len(one) / len(words), 30) / 30, float(words[0][0].isupper()), float(one.rstrip()[-1:] in ".!?" and bool(one.rstrip())), 0.0] if words else [0.0] * 5 + [1.0]
+            own.append([kind.count(k) / n for k in range(9)] + shape + [np.log1p(n) / 10])
+        none = [0.0] * quality.OWN
+        full = [o + [x**0.5 for x in o[:11]] + (own[k - 1] if k else none) + (own[k + 1] if k + 1 < len(own) else none) + [float(k == 0), float(k == len(own) - 1), 1.0] for k, o in enumerate(own)]
+        gains = [sum(a * b for a, b in zip(f, field.weights)) for f in full]
+        weight = {y: np.exp(sum(g for g, one in zip(gains, y) if one) + sum(field.moves[a, b] for a, b in zip(y, y[1:]))) for y in itertools.product((0, 1), repeat=len(lines))}
+        good = [sum(w for y, w in weight.items() if y[k]) / sum(weight.values()) for k in range(len(lines))]
+        assert np.isclose(r.score, sum(g * n for g, n in zip(good, length)) / sum(length), atol=1e-6)
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    docs = spark.createDataFrame([(f"id{i % 3}", f"text {i}") for i in range(5000)] + [("same", "copy")] * 3000, "doc_id string, text string")
+    labels = spark.createDataFrame([("id0", 1), ("id0", 0), ("id1", 1), ("same", 1)] * 500, "doc_id string, quality int")
+    sizes = []
+    fit = quality.fit
+    quality.fit = lambda documents, y, steps: (sizes.append((len(documents), sorted(set(y)))), fit(documents, y, steps))[1]
+    try:
+        quality.train(docs, labels, sample_rows=100, steps=2)
+    finally:
+        quality.fit = fit
+    assert 0 < sizes[0][0] <= 200
