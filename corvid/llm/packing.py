@@ -3,12 +3,16 @@
 The number of sequences is minimised by the configuration linear program over the histogram of piece lengths: one variable for
 each way to fill a sequence, one covering row for each length. Multiplicative weights solve it: lengths that are still badly
 covered weigh more, a knapsack dynamic program prices the best filling under these weights, and the filling joins the solution.
-The solution is rounded down, and what rounding leaves over is packed best-fit on the histogram.
+The solution is rounded down, and what rounding leaves over is packed best-fit on the histogram. Where the number of sequences
+is further above the least possible one than a stated gap, the program is solved with four times the rounds, up to a limit; the
+best plan is taken, and it is never worse than best-fit alone.
 
-The driver sees only the histogram (at most `capacity` rows whatever the input); pieces get their places on the executors.
+The driver sees only the histogram (at most `capacity` rows whatever the input); pieces get their places on the executors, a
+bounded number of them in each window.
 
 Edge cases: a null text counts as empty, and an empty text is one piece that holds the end id alone. Repeated rows are packed
-each on its own. An empty table gives an empty result. Other columns of the input are ignored.
+each on its own; which of several pieces of one length comes first is decided by their place in a written table. A very long
+text gives many pieces. An empty table gives an empty result. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,8 +43,8 @@ BLOCK = 4000
 LETTER_THEN_MARKS = r"([a-zA-ZÀ-ÖØ-öø-ÿ])([!-&(-/:;=?@\[-^`{}~]+)( |$)"
 #: A word of such letters in lower case: it is one word of the merge model, and normalising leaves it alone.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
-#: Salts that split the pieces of one length when they are numbered.
-SALTS = 64
+#: Pieces of one length that are numbered together, about.
+NUMBERED = 100_000
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
@@ -146,20 +150,24 @@ def best_filling(value: np.ndarray, capacity: int) -> dict[int, int]:
     return dict(filling)
 
 
-def fractional_fillings(counts: np.ndarray, capacity: int, effort: int = 400_000, rate: float = 0.1) -> list[tuple[dict[int, int], float]]:
+def least_sequences(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound: all tokens must fit, and pieces of more than half a sequence need one each."""
+    lengths = np.arange(1, len(counts) + 1)
+    return int(max(-(-int(lengths @ counts) // capacity), counts[2 * lengths > capacity].sum()))
+
+
+def fractional_fillings(counts: np.ndarray, capacity: int, rounds: int = 120, rate: float = 0.1) -> list[tuple[dict[int, int], float]]:
     """The configuration linear program by multiplicative weights: fillings and how often each is used, a fraction.
 
     In each round the knapsack prices the best filling under the weights; a length's weight then grows or shrinks by
     exp(rate * (1 - what this filling gives it, relative to what a sequence must give it on average)). The answer is the mean
-    over all rounds, scaled to the least number of sequences there can be. There are effort / capacity rounds, but 120 at
-    least and 3000 at most.
+    over all rounds, scaled to the least number of sequences there can be.
     """
     lengths = np.flatnonzero(counts) + 1
     if not len(lengths):
         return []
     wanted = counts[lengths - 1]
-    least = float(max(-(-(lengths * wanted).sum() // capacity), wanted[2 * lengths > capacity].sum()))
-    rounds = min(3000, max(120, effort // capacity))
+    least = float(least_sequences(counts, capacity))
     weight = (lengths / capacity) ** 1.3
     used: dict[tuple, float] = defaultdict(float)
     value = np.zeros(len(counts))
@@ -210,22 +218,32 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
     return done + [(f, n) for g in groups.values() for f, n in g]
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int, effort: int = 400_000) -> list[tuple[dict[int, int], int]]:
+def plan_sequences(histogram: dict[int, int], capacity: int, rounds: int = 120, most_rounds: int = 480, gap: float = 0.001) -> list[tuple[dict[int, int], int]]:
     """Fillings and how many sequences use each; together they hold exactly the pieces of the histogram."""
     counts = np.zeros(capacity, dtype=np.int64)
     for length, number in histogram.items():
         counts[length - 1] = number
-    plan: dict[tuple, int] = defaultdict(int)
-    left = counts.copy()
-    for filling, times in fractional_fillings(counts, capacity, effort):
-        number = min([int(times + 1e-9), *(int(left[n - 1]) // k for n, k in filling.items())])
-        if number > 0:
-            plan[tuple(sorted(filling.items(), reverse=True))] += number
-            for n, k in filling.items():
-                left[n - 1] -= k * number
-    for filling, number in best_fit(left, capacity):
-        plan[tuple(sorted(filling.items(), reverse=True))] += number
-    return [(dict(f), n) for f, n in sorted(plan.items(), reverse=True)]
+    best = best_fit(counts, capacity)
+    allowed = int(least_sequences(counts, capacity) * (1 + gap))
+    while rounds <= most_rounds:
+        plan: list[tuple[dict[int, int], int]] = []
+        left = counts.copy()
+        for filling, times in fractional_fillings(counts, capacity, rounds):
+            number = min([int(times + 1e-9), *(int(left[n - 1]) // k for n, k in filling.items())])
+            if number > 0:
+                plan.append((filling, number))
+                for n, k in filling.items():
+                    left[n - 1] -= k * number
+        plan += best_fit(left, capacity)
+        if sum(n for _, n in plan) <= sum(n for _, n in best):
+            best = plan
+        if sum(n for _, n in best) <= allowed:
+            break
+        rounds *= 4
+    total: dict[tuple, int] = defaultdict(int)
+    for filling, number in best:
+        total[tuple(sorted(filling.items(), reverse=True))] += number
+    return [(dict(f), n) for f, n in sorted(total.items(), reverse=True)]
 
 
 def slots_of(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
@@ -243,20 +261,22 @@ def slots_of(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {length: np.asarray(r, dtype=np.int64) for length, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, effort: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs the pieces of all documents; adds sequence_id and offset to what token_pieces returns."""
     spark = docs.sparkSession
     work = shared_dir(spark)
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    pieces = written(token_pieces(docs, tokenizer_file, capacity, end_id, id_col, text_col).withColumn("salt", salt), f"{work}/pieces")
-    # numbers the pieces of each length from 0, by (length, salt), so that no length lands in one task
-    cells = written(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), f"{work}/cells")
+    # row numbers are in a written table, so they never change
+    pieces = written(token_pieces(docs, tokenizer_file, capacity, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), f"{work}/pieces")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    slots = slots_of(plan_sequences(histogram, capacity))
+    # numbers the pieces of each length from 0, by (length, salt): as many salts as its pieces need, so that no length lands in one task
+    salts = F.broadcast(spark.createDataFrame([(n, -(-k // NUMBERED)) for n, k in sorted(histogram.items())], "length long, salts long"))  # at most capacity rows
+    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts"))).drop("salts")
+    cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = slots_of(plan_sequences(histogram, capacity, effort))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(within) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
+    within = Window.partitionBy("length", "salt").orderBy("row")
+    ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
