@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvid.llm.common import shared_dir, sifted, written
+from corvid.llm.common import matched, shared_dir, sifted, written
 
 #: Where units end.
 LINES, PARAGRAPHS = r"(?<=\n)", r"(?<=\n\n)"
 SENTENCES = r"(?<=\n)|(?<=[.!?] )|(?<=[。！？])"
-#: Digests that are joined by broadcast make up at least so large a share of all units, and occur so often.
-HOT_SHARE, HOT_LEAST = 1000, 1000
 
 
 def removable(repeated: list[tuple[int, int]], blank: list[bool], min_chars: int) -> list[int]:
@@ -64,12 +62,7 @@ def remove_repeats(docs: DataFrame, min_chars: int = 160, units: str = SENTENCES
     place = F.struct("doc", "tie", "row", "pos")
     digest = ["h1", "h2"]
     first = written(hashed.groupBy(*digest).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), f"{work}/first")
-    often = max(HOT_LEAST, hashed.count() // HOT_SHARE)
-    likely = sifted(hashed, "h1", first).where("maybe").select("record.*")
-    hot = F.broadcast(first.where(F.col("n") >= often))
-    hot_ones = likely.join(hot, digest)
-    others = likely.join(hot.select(*digest), digest, "left_anti").join(first.where(F.col("n") < often), digest)
-    repeats = hot_ones.unionByName(others).where(place != F.col("first"))
+    repeats = matched(hashed, digest, first, hashed.count()).where(place != F.col("first"))
     # texts whose repeats are too short taken together lose nothing; the exact runs are told with the text at hand
     losing = repeats.groupBy("row").agg(F.collect_list(F.struct("pos", "chars")).alias("repeated"), F.sum("chars").alias("chars")).where(F.col("chars") >= min_chars).drop("chars")
     losing = written(losing, f"{work}/losing")

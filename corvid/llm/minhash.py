@@ -5,19 +5,24 @@ hash evaluations. Values are banded; documents that share a band are candidates,
 shingle sets, so nothing below the threshold is linked.
 
 Documents with equal sets are folded into one class first. In a band's bucket each member is paired with the bucket's smallest
-member only; these pairs are confirmed and joined into components. Members outside their bucket's largest component are then
-compared with all members of other components, in blocks that yield links between components only. So every candidate pair is
-either confirmed, refuted or already connected, and no bucket is ever expanded into all its pairs.
+member only; these pairs are confirmed and joined into components. In a bucket of at most STRAY_BLOCK members those outside its
+largest component are then compared with all members of other components. In larger buckets, which documents with a common
+template make, members of different components are compared only where they share one of their rarest shingles: two sets above
+the threshold must share one of the rarest fifth of each (of |set| - ceil(threshold * |set|) + 1 shingles), counted over all
+members of such buckets. So every candidate pair is confirmed, refuted or already connected, and documents that only share a
+template are never paired.
 
 Edge cases: a null or blank text has no shingle; it links with nothing and is its own component. A text of fewer words than a
 shingle has one shingle, the whole sequence. A null doc_id links with nothing: its component_id is null and it is kept. Rows
-that share a doc_id are one node of the graph, so they get the same component. Other columns of the input are ignored.
+that share a doc_id are one node of the graph, so they get the same component. Of ties the smallest doc_id wins everywhere. Very
+long texts are shingled whole, their signatures in pieces. An empty table gives an empty result. Other columns of the input are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from corvid.llm.common import among, components, shared_dir, written
+from corvid.llm.common import among, components, matched, shared_dir, written
 
 #: Documents whose words are hashed together.
 BLOCK = 2000
 #: Shingles that go through the permutations at once.
 CHUNK = 2048
-#: Most members of a bucket in one side of a comparison by blocks.
+#: Members of a bucket that are compared without regard to their shingles, and most of them in one side of a block comparison.
 STRAY_BLOCK = 512
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -148,11 +154,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.join(left, "a").join(right, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b")
 
 
-def stray_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join what is still apart in the buckets of placed (key, doc_id, part).
+CELL = ["key", "i", "j"]
+
+
+def cells(placed: DataFrame) -> DataFrame:
+    """(key, i, j, doc_id, part, stray): members of placed (key, doc_id, part) in the block comparisons that join what is apart.
 
-    Members outside their bucket's largest part are compared with all members of other parts, by blocks of bounded size: a
-    pair of blocks is one group, and yields at most one link for each pair of parts that it joins.
+    Members outside their bucket's largest part (the strays) meet all members, by blocks of bounded size.
     """
     parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("largest"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
@@ -162,8 +170,63 @@ def stray_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     place = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     left = cut.where("part <> main").select("key", "doc_id", "part", F.lit(True).alias("stray"), place(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
     right = cut.select("key", "doc_id", "part", F.lit(False).alias("stray"), place(F.col("columns")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"))
-    full = left.unionByName(right).join(sets, "doc_id")
-    cell = ["key", "i", "j"]
+    return left.unionByName(right)
+
+
+def rare_pairs(wide: DataFrame, sets: DataFrame, percent: int, work: str) -> DataFrame:
+    """Pairs (a, b) of wide (doc_id, part) in different parts that share one of their rarest shingles."""
+    own = sets.join(wide, "doc_id").select("doc_id", "part", "n", F.explode("shingles").alias("key"))
+    own = written(own, f"{work}/wide")
+    often = own.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    ranked = own.join(often, "key", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("times", "key"))
+    rarest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    kept = ranked.withColumn("nth", nth).where((F.col("nth") <= rarest) & (F.col("times") > 1)).select("key", "doc_id", "part", "n")
+    kept = written(kept, f"{work}/rare")
+    own_keys = kept.groupBy("doc_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("key")).alias("keys"))
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def pair(key: int, rows: list[tuple]) -> list[tuple]:
+        """rows: (doc_id, part, stray, n, keys); a pair is named in the first shingle that it shares."""
+        out = []
+        for a, part, _, n, keys in (r for r in rows if r[2]):
+            for b, other, _, m, theirs in (r for r in rows if not r[2] and r[1] != part and min(r[3], n) * 100 >= max(r[3], n) * percent):
+                if np.intersect1d(keys, theirs, assume_unique=True)[0] == key:
+                    out.append((a, b))
+        return out
+
+    full = cells(kept.select("key", "doc_id", "part")).join(own_keys, "doc_id")
+    return full.repartition(*CELL).sortWithinPartitions(*CELL).select(*CELL, "doc_id", "part", "stray", "n", "keys").mapInArrow(cell_by_cell(pair, ["doc_id", "part", "stray", "n"], ["keys"]), schema).distinct()
+
+
+def cell_by_cell(settle: Callable[[int, list[tuple]], list[tuple]], plain: list[str], lists: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Calls settle(key, rows) with the rows of each cell, which follow each other; yields the pairs that it returns."""
+
+    def batch_of(links: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows = None, []
+        for batch in batches:
+            links = []
+            columns = [batch.column(c) for c in lists]
+            for at, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (*CELL, *plain)), strict=True)):
+                if row[:3] != current:
+                    links += settle(current[0], rows) if rows else []
+                    current, rows = row[:3], []
+                rows.append((*row[3:], *(c[at].values.to_numpy() for c in columns)))
+            if links:
+                yield batch_of(links)
+        if rows and (links := settle(current[0], rows)):
+            yield batch_of(links)
+
+    return run
+
+
+def stray_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what is still apart in the buckets of placed (key, doc_id, part): at most one for each pair of
+    parts in a block comparison."""
+    full = cells(placed).join(sets, "doc_id")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def settle(key: int, rows: list[tuple]) -> list[tuple]:
@@ -199,22 +262,7 @@ def stray_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     links.append((doc, others[k][0]))
         return links
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows = None, []
-        for batch in batches:
-            links = []
-            shingles, keys = batch.column("shingles"), batch.column("keys")
-            for n, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (*cell, "doc_id", "part", "stray")), strict=True)):
-                if row[:3] != current:
-                    links += settle(current[0], rows) if rows else []
-                    current, rows = row[:3], []
-                rows.append((*row[3:], shingles[n].values.to_numpy(), keys[n].values.to_numpy()))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=schema.names)
-        if rows and (links := settle(current[0], rows)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=schema.names)
-
-    return full.repartition(*cell).sortWithinPartitions(*cell).select(*cell, "doc_id", "part", "stray", "shingles", "keys").mapInArrow(run, schema)
+    return full.repartition(*CELL).sortWithinPartitions(*CELL).select(*CELL, "doc_id", "part", "stray", "shingles", "keys").mapInArrow(cell_by_cell(settle, ["doc_id", "part", "stray"], ["shingles", "keys"]), schema)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,9 +279,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     classes = written(linkable.groupBy("digest").agg(F.min("doc_id").alias("class")), f"{work}/classes")
     # a class's row of band keys: that of its smallest document
     chosen = linkable.join(classes, (linkable.digest == classes.digest) & (linkable.doc_id == F.col("class")), "left_semi").dropDuplicates(["doc_id", "digest"])
-    members = chosen.select("doc_id", F.explode("keys").alias("key"))
-    firsts = members.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = written(members.join(firsts, "key"), f"{work}/members")
+    every = written(chosen.select("doc_id", F.explode("keys").alias("key")), f"{work}/keys")
+    firsts = written(every.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), f"{work}/firsts")
+    members = written(matched(every, ["key"], firsts, every.count()), f"{work}/members")
     stars = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     wanted = written(members.select("doc_id").distinct(), f"{work}/wanted")
     sets = written(full_sets(among(docs, "doc_id", wanted).select("doc_id", "text"), words, bands, rows), f"{work}/sets")
@@ -241,8 +289,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     found = written(confirmed(stars, sets, percent), f"{work}/stars")
     # what its bucket's largest component leaves out is compared with all of the bucket
     labels = components(found, f"{work}/parts").withColumnRenamed("node", "doc_id")
-    placed = written(members.where("n > 2").select("key", "doc_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part")), f"{work}/placed")
-    found = found.union(written(stray_links(placed, sets, percent), f"{work}/strays"))
+    placed = members.where("n > 2").select("key", "doc_id", "n").join(labels, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("part"))
+    placed = written(placed, f"{work}/placed")
+    small, large = placed.where(F.col("n") <= STRAY_BLOCK).drop("n"), placed.where(F.col("n") > STRAY_BLOCK)
+    found = found.union(written(stray_links(small, sets, percent), f"{work}/strays"))
+    apart = large.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    wide = written(large.join(apart, "key", "left_semi").select("doc_id", "part").distinct(), f"{work}/apart")
+    if wide.limit(1).count():
+        rare = written(rare_pairs(wide, sets.drop("keys"), percent, work), f"{work}/rare_pairs")
+        found = found.union(written(confirmed(rare, sets, percent), f"{work}/rare_links"))
     links = found.union(copies)
     labels = components(links, f"{work}/last")
     out = signed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))

@@ -1,6 +1,6 @@
 import brute
 
-from corvid.llm import linededup
+from corvid.llm import common, linededup
 from corvid.llm.linededup import LINES, PARAGRAPHS, remove_repeats
 
 SCHEMA = "doc_id long, text string, row int, n_units string, removed int, pos int"
@@ -21,8 +21,8 @@ def test_earliest_stays_and_offsets_point_into_the_original(spark):
 
 
 def test_whole_corpus_with_passages_in_mid_line_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "HOT_LEAST", 5)  # frequent digests take the other way
-    monkeypatch.setattr(linededup, "HOT_SHARE", 300)
+    monkeypatch.setattr(common, "HOT_LEAST", 5)  # frequent digests take the other way
+    monkeypatch.setattr(common, "HOT_SHARE", 300)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     passage = " ".join(f"Sentence {k} of a passage that several documents quote in their midst." for k in range(6))
     rows += [(90_000 + k, f"Own words {k} then: {passage} And more words {k} after it.\nLast line {k}. Fin.") for k in range(30)]

@@ -55,3 +55,18 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.node: r.component for r in components(df, shared_dir(spark)).collect()}
     nodes = {n for e in edges if e[0] != e[1] for n in e}
     assert got == brute.smallest_reachable(nodes, edges[:-1])
+
+
+def test_documents_that_share_a_template_are_not_paired(spark, monkeypatch):
+    """1,500 unrelated documents of one bucket, of similarity 0.6 through 300 words they share, and two true copies among them."""
+    from corvid.llm import minhash
+
+    seen = []
+    pairs = minhash.rare_pairs
+    monkeypatch.setattr(minhash, "rare_pairs", lambda *a: (seen.append(pairs(*a)), seen[-1])[1])
+    template = " ".join(f"t{i}" for i in range(300))
+    rows = [(k, template + " " + " ".join(f"u{k}x{i}" for i in range(100))) for k in range(1500)]
+    rows += [(2000 + k, rows[7 * k][1] + " more") for k in range(2)]
+    got = {r[0]: r[2] for r in run(spark, rows, words=4, percent=80)}
+    assert {i for i, c in got.items() if c != i} == {2000, 2001} and got[2001] == 7
+    assert len(seen) == 1 and seen[0].count() <= 4
