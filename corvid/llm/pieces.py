@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 
 BLANK = "\u2581"
 #: What a worker remembers before it starts anew: bytes of stretches with their ids, and pairs of pieces (about 150 bytes each).
-MEMORY_BYTES, PAIR_MEMORY = 24 << 20, 150_000
+MEMORY_BYTES, PAIR_MEMORY = 64 << 20, 300_000
 #: Bytes of text that are encoded together, and ids that are decoded together.
-BLOCK_BYTES, BLOCK_IDS = 1 << 20, 1 << 18
+BLOCK_BYTES, BLOCK_IDS = 2 << 20, 1 << 18
 #: About what a remembered stretch takes besides its characters and ids.
 ENTRY_BYTES = 200
 STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
