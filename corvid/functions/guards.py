@@ -7,6 +7,7 @@ import posixpath
 import re
 from collections.abc import Callable
 from typing import Any
+from urllib.parse import urlsplit
 
 from pyspark.sql import types as T
 
@@ -20,7 +21,17 @@ SECRET_WORDS = ["token", "secret", "password", "passwd", "apikey", "api_key", "a
 REFERENCES = ("env:", "file:")
 UNKNOWN_REFERENCES = ("secret:", "vault:")
 
-PASSWORD_IN_URL = re.compile(r"[A-Za-z][\w+.\-]*://[^/\s:@]+:[^/\s@]+@")
+
+
+def has_password(text: str) -> bool:
+    """Whether any word of a text is a url with a password."""
+    for word in text.split():
+        try:
+            if urlsplit(word).password:
+                return True
+        except ValueError:  # no url at all
+            continue
+    return False
 
 
 def identifier(name: str) -> str:
@@ -40,6 +51,8 @@ def text_columns(schema: T.StructType, keys: tuple[str, ...] = ()) -> list[str]:
 def target(text: str) -> tuple[str, str]:
     """(scheme, uri) that a user's target names; a bare path is a local file tree, and so is file:///path."""
     scheme, mark, rest = text.partition("://")
+    if not mark and re.fullmatch(r"github:[\w.-]+/[\w.-]+", text):
+        return "github", f"github://{text.partition(':')[2]}"
     if not mark:
         return "file", f"file://local{posixpath.normpath(posixpath.join(os.getcwd(), text))}"
     if scheme == "file" and rest.startswith("/"):
@@ -62,7 +75,7 @@ def exposed(key: str, value: Any) -> bool:
     """Whether a value is a secret in plain sight."""
     if value is None or value == "" or isinstance(value, str) and value.startswith(REFERENCES):
         return False
-    return any(w in key.lower() for w in SECRET_WORDS) or isinstance(value, str) and PASSWORD_IN_URL.search(value) is not None
+    return any(w in key.lower() for w in SECRET_WORDS) or isinstance(value, str) and has_password(value)
 
 
 def redacted(config: Any) -> Any:

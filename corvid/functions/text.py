@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import mimetypes
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,9 +29,9 @@ def line_of_offset(text: Column, offset: Column) -> Column:
 
 
 def json_text(value: Column) -> Column:
-    """A JSON string literal."""
-    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit('"'))
+    """A JSON string literal; control characters are escaped too."""
+    listed = F.to_json(F.array(value))
+    return F.when(value.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
 
 
 def locator_json(**fields: Column) -> Column:
@@ -112,6 +113,13 @@ def task_priority(path: Column) -> Column:
     return out.otherwise(0)
 
 
+def safe_name(name: Column, id: Column | None = None) -> Column:
+    """A name as a folder: runs of anything but letters, digits, _, . and - become one -; with an id, name__id."""
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\p{L}\p{M}\p{N}_.-]+", "-"), "^-+|-+$", "")
+    clean = F.when(clean == "", "unnamed").otherwise(clean)
+    return clean if id is None else F.concat(clean, F.lit("__"), id.cast("string"))
+
+
 # html and urls
 
 
@@ -152,8 +160,8 @@ def allowed_domain(url: Column, domains: list[str]) -> Column:
 def error_class(message: Column) -> Column:
     """auth, quota or retryable"""
     text = F.lower(message)
-    auth = text.rlike(r"invalid_api_key|invalid x-api-key|authentication|unauthorized|permission denied|401")
-    return F.when(auth, "auth").when(text.rlike("insufficient_quota|402"), "quota").otherwise("retryable")
+    holds = lambda words: reduce(Column.__or__, [text.contains(w) for w in words])
+    return F.when(holds(model.AUTH_MARKERS), "auth").when(holds(model.QUOTA_MARKERS), "quota").otherwise("retryable")
 
 
 def backoff(attempt: Column, initial: float = 1.0, most: float = 60.0) -> Column:
@@ -168,6 +176,12 @@ def time_bound(value: Column, now: Column) -> Column:
     return F.coalesce(value.try_cast("double"), now - amount * seconds, F.when(value.rlike(r"^\d{4}-\d\d-\d\d"), F.unix_timestamp(value.try_cast("timestamp")).cast("double")))
 
 
+def rfc3339(value: Column) -> Column:
+    """A date as the beginning of that day; a date and time stays."""
+    text = F.trim(value)
+    return F.when(text.contains("T"), text).otherwise(F.concat(text, F.lit("T00:00:00")))
+
+
 def ignore_rule(folder: str, line: str) -> tuple[bool, str] | None:
     """(keeps, regular expression on root-relative paths) of one line of an ignore file found in folder; None for blanks and comments."""
     rule = line.strip()

@@ -15,6 +15,10 @@ CHUNK_SIZE, CHUNK_MAX, CONTENT_CAP = 2048, 1_000_000, 65_000
 BARE_READ_BYTES, GREP_HITS, GREP_OBJECTS, GREP_HITS_PER_OBJECT = 5 * 1024 * 1024, 100, 200, 200
 RESULT_WINDOW, OVERFETCH, QUERY_CHARS = 16_384, 3, 8000
 THREAD_CHARS, THREAD_OVERLAP = 1500, 2
+CHILD_EXCERPT, FOLDER_TEXT, QUEUED_JOBS = 16 * 1024, 64 * 1024, 8
+
+# Codes of errors
+CODES = ("bad_range", "dimension_mismatch", "invalid_config", "locator_not_found", "missing_option", "missing_secret", "not_found", "object_too_large_for_cat", "plaintext_secret", "query_too_long", "range_unsupported", "tail_unsupported", "top_k_too_large", "unknown_chunk_kind", "unknown_mode", "unknown_reference", "unknown_scheme", "unsafe_identifier", "version_conflict")
 
 
 @dataclass(frozen=True)
@@ -81,5 +85,12 @@ PRIORITY_NAMES = [
 ]
 PRIORITY_DIRS = [(-220, ["src", "lib", "app"]), (-190, ["docs", "guides"]), (80, ["tests", "test", "__tests__", "fixtures"]), (260, ["dist", "build", "vendor", "node_modules", "target", "out"])]
 
+# What a line that defines a symbol begins with
+SYMBOL_WORDS = ["def ", "class ", "func ", "fn ", "public ", "private ", "func(", "type "]
+
+# Parts of messages that tell failed authentication, and a spent quota
+AUTH_MARKERS = ["invalid_api_key", "invalid x-api-key", "authentication", "unauthorized", "permission denied", "401"]
+QUOTA_MARKERS = ["insufficient_quota", "402"]
+
 # Ignored by default
 DEFAULT_IGNORE = [".git/", ".hg/", ".svn/", "node_modules/", "__pycache__/", ".venv/", "venv/", ".mypy_cache/", ".pytest_cache/", ".ruff_cache/", "dist/", "build/", ".idea/", ".vscode/", "*.pyc", "*.pyo", "*.so", "*.o", "*.a", "*.dll", "*.dylib", "*.exe", "*.class", "*.jar", "*.zip", "*.tar", "*.gz", "*.tgz", "*.bz2", "*.7z", "*.rar", "*.mp4", "*.mov", "*.avi", "*.mkv", "*.mp3", "*.wav", "*.flac", ".DS_Store", "*.swp", "*.lock"]

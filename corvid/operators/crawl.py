@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import itertools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvid.functions import text as t
-
-
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder that the cluster names; where it names none (tests), to a local one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvid-"))
+from corvid.session import shared_folder
 
 
 def absolute(link: Column, base: Column) -> Column:
@@ -25,7 +20,7 @@ def absolute(link: Column, base: Column) -> Column:
     return whole.when(link.startswith("/"), F.concat(host, link)).otherwise(F.concat(F.when(folder == "", F.concat(host, F.lit("/"))).otherwise(folder), link))
 
 
-def crawl(pages: DataFrame, seeds: list[str], domains: list[str] | None = None, most: int = 50, deepest: int = 64) -> DataFrame:
+def crawl(pages: DataFrame, seeds: list[str], domains: list[str] | None = None, most: int = 50) -> DataFrame:
     """(url, depth, nth) of the pages that a crawl from seeds visits, in the order of the visits, `most` of them.
 
     pages: (url, links), each url once. A link that is no page of the table could not be fetched: it doesn't count. A page is
@@ -33,11 +28,11 @@ def crawl(pages: DataFrame, seeds: list[str], domains: list[str] | None = None,
     it is bounded; the join with pages is all that is shuffled. Each level is checkpointed, so its plan doesn't grow.
     """
     spark = pages.sparkSession
-    ensure_checkpoints(spark)
+    shared_folder(spark)
     known = pages.where(t.allowed_domain(F.col("url"), domains)) if domains else pages
     found = spark.createDataFrame([(u, 0, i) for i, u in enumerate(dict.fromkeys(seeds))], "url string, parent int, pos int")
     visited, held = None, 0
-    for depth in range(deepest + 1):
+    for depth in itertools.count():
         best = found.groupBy("url").agg(F.min(F.struct("parent", "pos")).alias("at"))
         fresh = best if visited is None else best.join(visited.select("url"), "url", "left_anti")
         # by hash: most of a level's links may be new, or hardly any
@@ -51,3 +46,16 @@ def crawl(pages: DataFrame, seeds: list[str], domains: list[str] | None = None,
             break
         found = level.select(F.col("nth").alias("parent"), F.posexplode("links").alias("pos", "url"))
     return visited
+
+
+def conditional(pages: DataFrame, stored: DataFrame) -> DataFrame:
+    """(url, change, etag, links) of a conditional fetch: pages (url, status, etag, links) as they answered now, stored (url, etag,
+    links) as they were. An unchanged page (same etag, or status 304) keeps its stored links, so that a crawl goes on below it; a
+    page that failed keeps its stored state; nothing is ever deleted."""
+    old = stored.select("url", F.col("etag").alias("_etag"), F.col("links").alias("_links"), F.lit(True).alias("_known"))
+    joined = pages.join(old, "url", "full_outer")
+    same = (F.col("status") == 304) | ((F.col("status") == 200) & F.col("etag").isNotNull() & (F.col("etag") == F.col("_etag")))
+    change = F.when(F.col("status").isNull(), "not_visited").when(F.col("_known") & same, "unchanged").when(F.col("status") != 200, "failed")
+    change = change.when(F.col("_known"), "modified").otherwise("added")
+    fresh = change.isin("added", "modified")
+    return joined.select("url", change.alias("change"), F.when(fresh, F.col("etag")).otherwise(F.col("_etag")).alias("etag"), F.when(fresh, F.col("links")).otherwise(F.col("_links")).alias("links"))

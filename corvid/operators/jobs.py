@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvid import model
+from corvid.functions import text as t
 
 ACTIVE = ("preparing", "queued", "running")
 
@@ -15,6 +16,27 @@ def claim(tasks: DataFrame, n: int = 64) -> DataFrame:
     return tasks.where("status = 'pending'").orderBy("priority", "started_at", "id").limit(n)
 
 
+def oldest_queued(jobs: DataFrame, n: int = model.QUEUED_JOBS) -> DataFrame:
+    return jobs.where("status = 'queued'").orderBy("queued_at", "id").limit(n)
+
+
+def requeued(tasks: DataFrame, lost: DataFrame) -> DataFrame:
+    """Running tasks of jobs whose worker is lost (job_id) are pending again, as if never started."""
+    gone = lost.select("job_id", F.lit(True).alias("_lost")).distinct()
+    back = F.col("_lost").isNotNull() & (F.col("status") == "running")
+    return tasks.join(gone, "job_id", "left").withColumn("status", F.when(back, "pending").otherwise(F.col("status"))).select(*tasks.columns)
+
+
+def retried(tasks: DataFrame, most: int = 3) -> DataFrame:
+    """(*, next, wait): what becomes of each failed task (id, job_id, status, attempts, error). Failed authentication or a spent
+    quota aborts, and so its job; others wait longer from try to try, up to a number of attempts."""
+    kind = t.error_class(F.coalesce("error", F.lit("")))
+    again = (kind == "retryable") & (F.col("attempts") < most)
+    failed = F.col("status") == "failed"
+    then = F.when(failed & (kind != "retryable"), "abort").when(failed & again, "pending").when(failed, "failed")
+    return tasks.withColumn("next", then).withColumn("wait", F.when(F.col("next") == "pending", t.backoff(F.col("attempts").cast("double"))))
+
+
 def illegal_moves(moves: DataFrame, legal: list[tuple[str, str]] = model.TASK_MOVES) -> DataFrame:
     """Rows of (id, before, after) that no legal move covers."""
     table = moves.sparkSession.createDataFrame(legal, "before string, after string")

@@ -75,14 +75,15 @@ def _tokens(query: str) -> list[str]:
 
 
 def dense(vectors: DataFrame, query: list[float], top_k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, score): exact cosine; vectors of another length than the query's are left out."""
+    """(id, score): exact cosine. A vector of another length than the query's raises; null ones are left out."""
     norm = math.sqrt(sum(x * x for x in query))
     q = F.array(*map(F.lit, query))
     v = F.transform(vector_col, lambda x: x.cast("double"))
     dot = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     own = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    fitting = vectors.where(F.size(vector_col) == len(query))
-    return fitting.select(id_col, F.round(dot / (own * norm), 6).alias("score")).orderBy(F.desc("score"), id_col).limit(top_k)
+    other = F.raise_error(F.concat(F.lit(f"dimension_mismatch: the query has {len(query)} dimensions, a vector has "), F.size(vector_col).cast("string")))
+    score = F.when(F.size(vector_col) == len(query), F.round(dot / (own * norm), 6)).otherwise(other)
+    return vectors.where(F.col(vector_col).isNotNull()).select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(top_k)
 
 
 def fuse(legs: list[DataFrame], key: str, top_k: int) -> DataFrame:
@@ -102,9 +103,10 @@ def collapse(hits: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return hits.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
-def envelope(hits: DataFrame, content: Column, kind: Column, locator: Column) -> DataFrame:
-    """(source, content, score, locator, metadata) of ranked hits."""
-    meta = F.concat(F.lit('{"chunk_kind":'), t.json_text(kind), F.lit("}"))
+def envelope(hits: DataFrame, content: Column, kind: Column, locator: Column, fields: Column | None = None) -> DataFrame:
+    """(source, content, score, locator, metadata) of ranked hits; fields: the metadata of the hit's record, as JSON."""
+    own = F.coalesce(fields, F.lit("{}")) if fields is not None else F.lit("{}")
+    meta = F.concat(F.lit('{"chunk_kind":'), t.json_text(kind), F.lit(',"fields":'), own, F.lit(',"kind":"search"}'))
     return hits.select(F.col("object_uri").alias("source"), content.alias("content"), "score", locator.alias("locator"), meta.alias("metadata"))
 
 

@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share: spark.checkpoint.dir.
+
+    A session of one machine that names none gets a temporary folder; a cluster must name one.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="corvid-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def get_session(app: str = "corvid", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution on; conf overrides any default."""
     builder = SparkSession.builder.appName(app)
