@@ -5,6 +5,7 @@ Every call returns a lazy DataFrame, or raises an EngineError with a stable code
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -13,24 +14,37 @@ from pyspark.sql import functions as F
 from corvid import model
 from corvid.functions import text as t
 from corvid.operators import browse, grep, index, jobs, search
+from corvid.operators.postings import Postings
 
 MODES = ("hybrid", "semantic", "keyword")
 #: Keys of a locator that tell the parts of one object or record apart.
 PART_KEYS = ("lines", "chunk_index", "msg_range")
 
 
+def json_lines(path: str, records: DataFrame, by: list[str]) -> DataFrame:
+    """(object_uri, content): one JSON line for each record, in order."""
+    return records.orderBy(*by).select(F.lit(path).alias("object_uri"), F.to_json(F.struct(*records.columns)).alias("content"))
+
+
 def whole_locator(locator: Column) -> Column:
     """A locator without what tells the parts of one record apart."""
     entries = F.from_json(locator, "map<string,string>")
     return F.coalesce(F.to_json(F.map_filter(entries, lambda k, v: ~k.isin(*PART_KEYS))), F.lit("{}"))
 
 
+#: Records of a structured object, the fields that locate one, and a total order.
+Records = tuple[DataFrame, list[str], list[str]]
+
+
 class Engine:
     """objects: (connector_uri, object_uri, content, search_status); chunks: (chunk_id, connector_uri, object_uri, locator,
-    content, chunk_kind and, for other modes than keyword, dense_vec). connectors: the roots of all registered sources."""
+    content, chunk_kind and, for other modes than keyword, dense_vec). connectors: the roots of all registered sources.
+    records: objects that are tables, by uri: (their records, the fields that locate one, a total order). postings: the inverted
+    index of chunks; without one, keyword search reads all chunks."""
 
-    def __init__(self, connectors: list[str], objects: DataFrame, chunks: DataFrame, embedder: Callable[[Column], Column] = index.hash_embedding):
+    def __init__(self, connectors: list[str], objects: DataFrame, chunks: DataFrame, embedder: Callable[[Column], Column] = index.hash_embedding, records: dict[str, Records] | None = None, postings: Postings | None = None):
         self.connectors, self.objects, self.chunks, self.embedder = sorted(connectors, key=len, reverse=True), objects, chunks, embedder
+        self.records, self.postings = records or {}, postings
 
     def scope(self, path: str | None) -> tuple[str | None, str | None]:
         """(connector, object prefix): the longest root that holds the path."""
@@ -61,22 +75,28 @@ class Engine:
             raise model.EngineError("unknown_mode", mode, MODES)
         where = self._within(path, kinds)
         asked = search.check_request(query, top_k)
-        extra = ("content", "chunk_kind", "locator")
+        extra = ("content", "chunk_kind", "locator", *(["metadata"] if "metadata" in self.chunks.columns else []))
         if not asked:
             hits = self.chunks.select("chunk_id", "object_uri", *extra, F.lit(0.0).alias("score")).limit(0)
-        elif mode == "keyword":
+        elif mode == "keyword" and self.postings is None:
             hits = search.bm25(self.chunks, query, where, top_k, extra)
+        elif mode == "keyword":
+            hits = self.chunks.select("chunk_id", "object_uri", *extra).join(F.broadcast(self._ranked(query, where, top_k)), "chunk_id")  # top_k rows
         else:
             vector = [float(x) for x in self.chunks.sparkSession.range(1).select(self.embedder(F.lit(query))).first()[0]]
             most = top_k * (model.OVERFETCH if mode == "hybrid" else 1)
             hits = search.dense(self.chunks.where(where), vector, most, "chunk_id", "dense_vec")
             if mode == "hybrid":
-                hits = search.fuse([search.bm25(self.chunks, query, where, most).select("chunk_id", "score"), hits], "chunk_id", top_k).select("chunk_id", "score")
+                hits = search.fuse([self._ranked(query, where, most), hits], "chunk_id", top_k).select("chunk_id", "score")
             # top_k rows find their chunks
             hits = self.chunks.select("chunk_id", "object_uri", *extra).join(F.broadcast(hits), "chunk_id")
         if collapse:
             hits = search.collapse(hits.withColumn("_whole", whole_locator(F.col("locator"))), ["object_uri", "_whole"], [F.desc("score"), F.col("chunk_id")])
-        return search.envelope(hits.orderBy(F.desc("score"), "chunk_id"), F.col("content"), F.col("chunk_kind"), F.col("locator"))
+        return search.envelope(hits.orderBy(F.desc("score"), "chunk_id"), F.col("content"), F.col("chunk_kind"), F.col("locator"), F.col("metadata") if "metadata" in extra else None)
+
+    def _ranked(self, query: str, where: Column, top_k: int) -> DataFrame:
+        found = self.postings.bm25(query, where, top_k) if self.postings else search.bm25(self.chunks, query, where, top_k)
+        return found.select("chunk_id", "score")
 
     def grep(self, pattern: str, path: str, pushdown: bool = False) -> DataFrame:
         """(source, locator, content, via). A source that searches itself answers alone, even with nothing; else BM25 hits and
@@ -107,14 +127,32 @@ class Engine:
             raise model.EngineError("not_found", path)
         return found
 
-    def cat(self, path: str, lines: str | None = None, density: str | None = None, meta: bool = False) -> DataFrame:
-        """An object whole, a range of its lines, its outline, or what is known of it."""
+    def cat(self, path: str, lines: str | None = None, density: str | None = None, meta: bool = False, locator: str | None = None) -> DataFrame:
+        """An object whole, a range of its lines or records, the part that a locator names, its outline, or what is known of it.
+
+        Records come as one JSON line each, in their order.
+        """
         one = self._one(path)
+        structured = path in self.records
         if meta:
             uri = F.col("object_uri")
             return one.select("object_uri", t.media_type(uri).alias("media_type"), F.octet_length("content").cast("long").alias("size"), F.sha1("content").alias("fingerprint"))
+        if locator is not None:
+            return self._located(path, one, locator)
+        if lines and structured:
+            rows, _, by = self.records[path]
+            begin, end = browse.parse_range(lines)
+            return json_lines(path, browse.page(rows, by, begin - 1, end - 1), by)
         if lines:
+            if one.select(t.object_kind(F.col("object_uri"))).first()[0] in ("image", "binary"):
+                raise model.EngineError("range_unsupported", path)
             return browse.cat_range(one, lines)
+        if structured:
+            rows, _, by = self.records[path]
+            size = rows.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))) + 1), F.lit(0))).first()[0]
+            if size > model.BARE_READ_BYTES:
+                raise model.EngineError("object_too_large_for_cat", path, ("lines", "head", "export"))
+            return json_lines(path, rows, by)
         if density:
             ext = model.MARKDOWN_EXT
             return browse.outline(one, density, markdown=any(path.lower().endswith(e) for e in ext if e) or "." not in path.rsplit("/", 1)[-1])
@@ -122,14 +160,38 @@ class Engine:
             raise model.EngineError("object_too_large_for_cat", path, ("lines", "head", "export"))
         return one.select("object_uri", "content")
 
+    def _located(self, path: str, one: DataFrame, locator: str) -> DataFrame:
+        """The lines, or the record, that a locator names."""
+        wanted = json.loads(locator)
+        if "lines" in wanted:
+            begin, end = wanted["lines"]
+            return browse.cat_range(one, f"{begin}:{end}")
+        if path not in self.records:
+            raise model.EngineError("locator_not_found", locator)
+        rows, fields, by = self.records[path]
+        found = browse.locate(rows, json.dumps({k: v for k, v in wanted.items() if k not in PART_KEYS}), fields, by)
+        if not found.limit(1).count():
+            raise model.EngineError("locator_not_found", locator)
+        return json_lines(path, found, by)
+
     def head(self, path: str, n: int = 10) -> DataFrame:
-        return browse.head(self._one(path), n)
+        one = self._one(path)
+        return self.cat(path, lines=f"1:{n + 1}") if path in self.records else browse.head(one, n)
 
     def tail(self, path: str, n: int = 10) -> DataFrame:
-        return browse.tail(self._one(path), n)
+        one = self._one(path)
+        if path in self.records:
+            raise model.EngineError("tail_unsupported", path, ("lines",))
+        return browse.tail(one, n)
 
     def export(self, path: str, to: str, limit: int | None = None) -> bool:
-        return browse.export(self._one(path).select("content"), to, limit)
+        """Writes an object to a folder; true if a limit on its lines or records cut it."""
+        one = self._one(path)
+        if path in self.records:
+            rows, _, by = self.records[path]
+            return browse.export(rows, to, limit, by)
+        lines = browse.numbered(one)
+        return browse.export(lines.select("line_no", "line"), to, limit, ["line_no"]) if limit else browse.export(one.select("content"), to)
 
     # manage
 
@@ -156,4 +218,4 @@ class Engine:
         if connector not in self.connectors:
             raise model.EngineError("not_found", connector, tuple(self.connectors))
         other = F.col("connector_uri") != connector
-        return Engine([c for c in self.connectors if c != connector], self.objects.where(other), self.chunks.where(other), self.embedder)
+        return Engine([c for c in self.connectors if c != connector], self.objects.where(other), self.chunks.where(other), self.embedder, self.records, self.postings)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +17,12 @@ from pyspark.sql.window import Window
 from corvid import model
 from corvid.functions import records as r
 from corvid.functions import text as t
+from corvid.session import shared_folder
 
+#: Where texts are cut, by level: marks, and how many of their characters stay before the cut.
+LEVELS = ((("\n# ", "\n## ", "\n### "), 1), (("\n\n",), 2), ((". ", "! ", "? "), 2), (tuple(" \t\n\r\f\v"), 1))
+#: Bytes of text that are cut before their pieces are handed on.
+BLOCK_BYTES = 4 << 20
 SYMBOL_START = re.compile(r"^(?:def |class |func |fn |public |private |type |async def )", re.M)
 
 
@@ -23,14 +31,61 @@ def capped(content: Column) -> tuple[Column, Column]:
     return F.substring(content, 1, model.CONTENT_CAP), F.length(content) > model.CONTENT_CAP
 
 
-def record_chunks(records: DataFrame, object_uri: str, config: model.ObjectConfig, locator: Column, order: list[str] | None = None) -> DataFrame:
-    """(object_uri, locator, content, cut) of every record with text. order: only needed where chunk_max may bind."""
+def json_value(records: DataFrame, path: str) -> Column:
+    """A path's value as JSON: numbers and truth values as they are, all else as text or lists of it."""
+    value, many = r.resolve(records, path)
+    if many:
+        return F.to_json(F.transform(value, lambda x: x.cast("string")))
+    plain = dict(records.select(value.alias("v")).dtypes)["v"].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")
+    return F.coalesce(value.cast("string") if plain else t.json_text(value.cast("string")), F.lit("null"))
+
+
+def record_chunks(records: DataFrame, object_uri: str, config: model.ObjectConfig, locator: Column | None = None, order: list[str] | None = None) -> DataFrame:
+    """(object_uri, locator, content, cut, metadata, chunk_index, partial) of every record with text.
+
+    Locator and metadata are the configuration's fields as JSON. A text of more than a chunk's size becomes several chunks with
+    their number in the locator. order: only needed where chunk_max may bind; the object's chunks are then marked as partial.
+    Where none of the text fields exists in the records there is no chunk (and missing_fields tells why).
+    """
     content = r.render_template(records, config.render_template) if config.render_template else r.render(records, config.text_fields)
-    text, cut = capped(F.col("content"))
-    out = records.select(locator.alias("locator"), content.alias("content"), *(order or [])).where("content <> ''")
+    fields = {f: json_value(records, f) for f in config.locator_fields}
+    own = locator if locator is not None else t.locator_json(**fields) if fields else t.locator_json(_row=F.col("_row"))
+    part = t.locator_json(**fields, chunk_index=F.lit("@")) if fields else None
+    metadata = t.locator_json(**{f: json_value(records, f) for f in config.metadata_fields}) if config.metadata_fields else F.lit("{}")
+    out = records.select(own.alias("locator"), (part if part is not None else F.lit(None).cast("string")).alias("_part"), metadata.alias("metadata"), content.alias("content"), *(order or [])).where(F.trim("content") != "")
+    partial = F.lit(False)
     if order and config.chunk_max < model.CHUNK_MAX:
+        first = out.orderBy(*order).limit(config.chunk_max + 1)
+        partial = F.lit(first.count() > config.chunk_max)
         out = out.orderBy(*order).limit(config.chunk_max)
-    return out.select(F.lit(object_uri).alias("object_uri"), "locator", text.alias("content"), cut.alias("cut"))
+    small = out.where(F.length("content") <= model.CHUNK_SIZE)
+    text, cut = capped(F.col("content"))
+    whole = small.select("locator", text.alias("content"), cut.alias("cut"), "metadata", F.lit(0).alias("chunk_index"))
+    split = text_chunks(out.where(F.length("content") > model.CHUNK_SIZE).drop("partial"), keep=("_part", "metadata"))
+    numbered = F.replace("_part", F.lit('"chunk_index":@'), F.concat(F.lit('"chunk_index":'), F.col("chunk_index").cast("string")))
+    parts = split.select(F.coalesce(numbered, F.concat(F.lit('{"chunk_index":'), F.col("chunk_index").cast("string"), F.lit("}"))).alias("locator"), "content", F.lit(False).alias("cut"), "metadata", "chunk_index")
+    return whole.unionByName(parts).select(F.lit(object_uri).alias("object_uri"), "locator", "content", "cut", "metadata", "chunk_index", partial.alias("partial"))
+
+
+def missing_fields(records: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, seen): whether any record has a value under each field's top key."""
+    tops = [r.top_field(f) for f in fields]
+    seen = [F.max(F.col(k).isNotNull()).alias(f"s{i}") if k in records.columns else F.lit(False).alias(f"s{i}") for i, k in enumerate(tops)]
+    row = records.agg(*seen) if any(k in records.columns for k in tops) else records.agg(F.count("*")).select(*seen)
+    return row.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(f"s{i}", F.lit(False)).alias("seen")) for i, f in enumerate(fields)])).alias("x")).select("x.*")
+
+
+#: What tells a record's thread, the first that it has, and its place without one.
+THREAD_KEYS, PLACE_KEYS = ("thread_ts", "threadId", "thread_id", "thread"), ("ts", "id")
+
+
+def thread_key(messages: DataFrame, group_by: str | None = None) -> Column:
+    """The thread of each message: the configured field, else the first known thread field with a value, else the message's own place."""
+    names = [group_by] if group_by else [*THREAD_KEYS, *PLACE_KEYS]
+    found = [F.col(n).cast("string") for n in names if n in messages.columns]
+    if not found:
+        raise model.EngineError("invalid_config", "no field tells the thread of a message")
+    return F.coalesce(*found)
 
 
 def thread_messages(messages: DataFrame, key: str, order: str, rendered: Column) -> DataFrame:
@@ -64,24 +119,21 @@ def thread_parts(threads: DataFrame, key: str, most: int = model.THREAD_CHARS, o
     return parts.select(key, "chunk_index", F.col("range.first").alias("first"), F.col("range.last").alias("last"), text.alias("content"))
 
 
-def split_text(text: str, size: int, levels: tuple[str, ...] = ("\n# |\n## |\n### ", "\n\n", r"(?<=[.!?]) ", r"\s")) -> list[tuple[int, int]]:
+def split_text(text: str, size: int) -> list[tuple[int, int]]:
     """(begin, end) of pieces of at most size characters that make up the text, cut at the highest level that serves.
 
-    Greedy: the cut is the last place of the first level that has one within size characters; without any, a hard cut.
+    Greedy: the cut is the last place within size characters before a heading, else after a blank line, else after a sentence,
+    else after white space; without any, a hard cut.
     """
-    cuts = [[m.start() + (0 if k < 1 else len(m[0])) + (1 if k < 1 else 0) for m in re.finditer(p, text)] for k, p in enumerate(levels)]
-    at, out, where = 0, [], [0] * len(levels)
+    at, out = 0, []
     while len(text) - at > size:
-        cut = at + size
-        for k, places in enumerate(cuts):
-            while where[k] < len(places) and places[where[k]] <= at:
-                where[k] += 1
-            i = where[k]
-            while i < len(places) and places[i] <= at + size:
-                i += 1
-            if i > where[k]:
-                cut = places[i - 1]
+        for marks, ahead in LEVELS:
+            # ahead: how much of the mark stands before the cut
+            cut = max((i + ahead for m in marks if (i := text.rfind(m, at, at + size - ahead + len(m))) >= 0), default=at)
+            if cut > at:
                 break
+        else:
+            cut = at + size
         out.append((at, cut))
         at = cut
     return [*out, (at, len(text))] if at < len(text) else out
@@ -99,28 +151,46 @@ def split_code(text: str, size: int) -> list[tuple[int, int]]:
     return out
 
 
-TEXT_CHUNKS = T.StructType([T.StructField("object_uri", T.StringType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("locator", T.StringType()), T.StructField("content", T.StringType())])
-
+def text_chunks(objects: DataFrame, size: int = model.CHUNK_SIZE, code: bool = False, text_col: str = "content", keep: tuple[str, ...] = ("object_uri",), most: int = model.CHUNK_MAX) -> DataFrame:
+    """(*keep, chunk_index, locator, content, partial): body chunks with the lines [start, end) they span; blank pieces are dropped.
 
-def text_chunks(objects: DataFrame, size: int = model.CHUNK_SIZE, code: bool = False, text_col: str = "content") -> DataFrame:
-    """Body chunks with the lines [start, end) they span; blank pieces are dropped."""
+    Pieces of one text that span the same lines have their number in the locator too, so that locators tell chunks apart. Of a
+    text with more than `most` pieces the first are kept, and they are marked as partial.
+    """
     cut = split_code if code else split_text
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for uri, text in zip(frame["object_uri"], frame["text"]):
-                line, seen, n = 1, 0, 0
-                for a, b in cut(text or "", size):
-                    line += text.count("\n", seen, a)
-                    seen = a
-                    end = line + text.count("\n", a, b) + (text[b - 1] != "\n")
-                    if text[a:b].strip():
-                        rows.append((uri, n, f'{{"lines":[{line},{end}]}}', text[a:b]))
-                        n += 1
-            yield pd.DataFrame(rows, columns=TEXT_CHUNKS.names)
-
-    return objects.select("object_uri", F.col(text_col).alias("text")).mapInPandas(run, TEXT_CHUNKS)
+    schema = T.StructType([*(objects.schema[c] for c in keep), T.StructField("chunk_index", T.IntegerType()), T.StructField("locator", T.StringType()), T.StructField("content", T.StringType()), T.StructField("partial", T.BooleanType())])
+
+    def pieces(text: str) -> list[tuple[int, str, str, bool]]:
+        line, seen, found = 1, 0, []
+        for a, b in cut(text, size):
+            line += text.count("\n", seen, a)
+            seen = a
+            if text[a:b].strip(" \t\n\r\f\v"):
+                found.append((line, line + text.count("\n", a, b) + (text[b - 1] != "\n"), text[a:b]))
+        times = Counter((x, y) for x, y, _ in found)
+        number = lambda n, x, y: f'"chunk_index":{n},' if times[x, y] > 1 else ""
+        return [(n, f'{{{number(n, x, y)}"lines":[{x},{y}]}}', piece, len(found) > most) for n, (x, y, piece) in enumerate(found[:most])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, begin = batch.column(len(keep)), 0
+            held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // BLOCK_BYTES
+            for end in [*(np.flatnonzero(np.diff(held)) + 1).tolist(), batch.num_rows]:
+                made = [pieces(t or "") for t in texts.slice(begin, end - begin).to_pylist()]
+                which = pa.array(np.repeat(np.arange(begin, end), [len(m) for m in made]))
+                columns = list(zip(*(x for m in made for x in m), strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(which) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.bool_()), strict=True))], names=schema.names)
+                begin = end
+
+    return objects.select(*keep, F.col(text_col).alias("_text_to_cut")).mapInArrow(run, schema)
+
+
+def located_chunks(objects: DataFrame, keep: tuple[str, ...] = (), size: int = model.CHUNK_SIZE, code: bool = False, most: int = model.CHUNK_MAX) -> DataFrame:
+    """Body chunks of objects (connector_uri, object_uri, content, *keep) in the chunk table's columns."""
+    made = text_chunks(objects, size, code, keep=("connector_uri", "object_uri", *keep), most=most).withColumn("chunk_kind", F.lit("body"))
+    text, cut = capped(F.col("content"))
+    made = made.withColumns({"chunk_id": t.chunk_id(F.col("connector_uri"), F.col("object_uri"), F.col("chunk_kind"), F.col("locator")), "partial": F.col("partial") | cut}).withColumn("content", text)
+    return made.select("chunk_id", "connector_uri", "object_uri", "locator", "content", "chunk_kind", F.lit("{}").alias("metadata"), "chunk_index", "partial", *keep)
 
 
 def schema_summary(df: DataFrame, object_uri: str) -> DataFrame:
@@ -129,25 +199,28 @@ def schema_summary(df: DataFrame, object_uri: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(object_uri, "schema_summary", text)], "object_uri string, chunk_kind string, content string")
 
 
-def folder_summaries(objects: DataFrame, root: str, excerpt: int = 64, most: int = 16_384, deepest: int = 32) -> DataFrame:
+def folder_summaries(objects: DataFrame, root: str, excerpt: int = model.CHILD_EXCERPT, most: int = model.FOLDER_TEXT, salts: int = 64) -> DataFrame:
     """(folder, n_children, content): bottom-up, each folder from excerpts of its files and of its sub-folders' summaries.
 
-    One aggregation for each level, the deepest first. Only the first characters of each text move, and of a folder only as
-    many children as a summary can hold, the first by name.
+    One aggregation for each level, the deepest first; a level is checkpointed, so that the plan of the next one doesn't grow. A
+    summary is the children in order of their names, cut at `most` characters. Children that can't be in it are told in salted
+    groups before they move: there what earlier ones of the same group take is enough already.
     """
+    shared_folder(objects.sparkSession)
     base = root.rstrip("/")
     depth = F.size(F.split("path", "/"))
     nodes = objects.where(F.col("object_uri").startswith(base + "/")).select(F.col("object_uri").alias("path"), F.substring("content", 1, excerpt).alias("text")).withColumn("depth", depth)
-    bottom = min(deepest, nodes.agg(F.max("depth").alias("d")).first()["d"] or 0)
+    bottom = nodes.agg(F.max("depth").alias("d")).first()["d"] or 0
     top, done, current = len(base.split("/")), None, nodes.limit(0)
     for level in range(bottom, top, -1):
         here = nodes.where(F.col("depth") == level).unionByName(current)
-        named = here.select(t.parent(F.col("path")).alias("folder"), t.basename(F.col("path")).alias("name"), "text")
-        shown = most // excerpt
-        first = named.withColumn("_salt", F.pmod(F.xxhash64("name"), F.lit(64))).withColumn("_n", F.row_number().over(Window.partitionBy("folder", "_salt").orderBy("name"))).where(F.col("_n") <= shown)
-        text = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("name", "text"))), 1, shown), lambda x: F.concat(x["name"], F.lit(": "), x["text"])), "\n")
-        folded = first.groupBy("folder").agg(F.substring(text, 1, most).alias("content"))
-        folded = named.groupBy("folder").agg(F.count("*").alias("n_children")).join(folded, "folder")
+        line = F.concat(t.basename(F.col("path")), F.lit(": "), F.col("text"))
+        named = here.select(t.parent(F.col("path")).alias("folder"), t.basename(F.col("path")).alias("name"), line.alias("line"))
+        group = Window.partitionBy("folder", F.pmod(F.xxhash64("name"), F.lit(salts))).orderBy("name")
+        taken = F.coalesce(F.sum(F.length("line") + 1).over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        shown = named.withColumn("_taken", taken).where(F.col("_taken") < most)
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "line"))), lambda x: x["line"]), "\n")
+        folded = named.groupBy("folder").agg(F.count("*").alias("n_children")).join(shown.groupBy("folder").agg(F.substring(text, 1, most).alias("content")), "folder").checkpoint()
         done = folded if done is None else done.unionByName(folded)
         current = folded.select(F.col("folder").alias("path"), F.substring("content", 1, excerpt).alias("text"), F.lit(level - 1).alias("depth"))
     return done if done is not None else objects.sparkSession.createDataFrame([], "folder string, n_children long, content string")

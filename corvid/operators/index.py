@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,13 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from corvid import model
 from corvid.functions import text as t
+from corvid.operators import order
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+def latest(rows: DataFrame, key: str, by: str) -> DataFrame:
     """Of rows with one key the last; whole rows are compared, not sorted."""
     others = [c for c in rows.columns if c != key]
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_row"))
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), by).alias("_row"))
     return best.select(key, *[F.col("_row")[c].alias(c) for c in others])
 
 
@@ -49,13 +53,35 @@ def search_status(error: Column, chunks: Column, partial: Column) -> Column:
     return F.when(error, "failed").when(F.coalesce(chunks, F.lit(0)) == 0, "not_indexed").when(partial, "partial").otherwise("indexed")
 
 
+def dispatched(changes: DataFrame) -> DataFrame:
+    """changes (path, change, okind, indexable) with `action`: what becomes of each changed object in the index."""
+    pipeline = F.col("indexable") & t.producer_of(F.col("okind")).isNotNull()
+    action = F.when(F.col("change") == "deleted", "delete").when(F.col("change") == "renamed", "rename").when(F.col("change").isin("unchanged", "touched"), "keep")
+    return changes.withColumn("action", action.when(pipeline, "pipeline").otherwise("metadata"))
+
+
+def fresh_artifacts(objects: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """objects (object_uri, currency) with `reuse`: whether an artifact was made from the same source by the same converter."""
+    known = artifacts.select("object_uri", F.col("currency").alias("_made_from"))
+    return objects.join(known, "object_uri", "left").withColumn("reuse", F.col("_made_from").eqNullSafe(F.col("currency")) & F.col("currency").isNotNull()).drop("_made_from")
+
+
+def cache_stats(cache: DataFrame) -> DataFrame:
+    """(entries, dims, bytes) of an embedding cache."""
+    return cache.agg(F.count("*").alias("entries"), F.coalesce(F.max(F.size("dense_vec")), F.lit(0)).alias("dims"), F.coalesce(F.sum(F.size("dense_vec").cast("long") * 4), F.lit(0)).alias("bytes"))
+
+
+def indexed_objects(chunks: DataFrame) -> DataFrame:
+    """The distinct objects that have chunks."""
+    return chunks.select("connector_uri", "object_uri").distinct()
+
+
 def evicted(artifacts: DataFrame, budget: int) -> DataFrame:
     """Least recently used artifacts that must go for the rest to fit. Sizes are summed by time first, so the running sum
     is over distinct times; artifacts of one time go in order of their uri."""
     total = artifacts.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total"))
     by_time = artifacts.groupBy("last_accessed").agg(F.sum("size_bytes").alias("at_once"))
-    before = F.coalesce(F.sum("at_once").over(Window.orderBy("last_accessed").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    earlier = by_time.select("last_accessed", before.alias("before"))
+    earlier = order.sums_before(by_time, ["last_accessed"], "at_once", "before").select("last_accessed", "before")
     within = F.coalesce(F.sum("size_bytes").over(Window.partitionBy("last_accessed").orderBy("object_uri").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = artifacts.join(earlier, "last_accessed").withColumn("freed", F.col("before") + within)
     return placed.join(F.broadcast(total)).where(F.col("total") - F.col("freed") > budget).select(*artifacts.columns)  # one row
@@ -87,28 +113,73 @@ def embed(chunks: DataFrame, cache: DataFrame, embedder: Callable[[Column], Colu
 
 
 class Snapshots:
-    """A table kept as numbered folders and a pointer to the current one; what is being read is never overwritten."""
+    """A table kept in buckets of its key; each version is a list of the folder that holds each bucket.
+
+    A change rewrites the buckets that it touches and leaves the others where they are, so a small batch costs its share of the
+    table. What is being read is never overwritten, and of two writers of one version the second raises.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        jvm = spark._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str = "object_uri", buckets: int = 64):
+        self.spark, self.root, self.schema, self.key, self.buckets = spark, root.rstrip("/"), schema, key, buckets
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
+    def _names(self) -> list[str]:
         if not self.fs.exists(self.path(self.root)):
-            return 0
-        names = [f.getPath().getName() for f in self.fs.listStatus(self.path(self.root))]
-        return max([int(n[8:]) for n in names if n.startswith("CURRENT-")], default=0)
+            return []
+        return [f.getPath().getName() for f in self.fs.listStatus(self.path(self.root))]
 
-    def read(self) -> DataFrame:
+    def version(self) -> int:
+        return max([int(n[8:]) for n in self._names() if n.startswith("CURRENT-")], default=0)
+
+    def _folders(self) -> dict[int, str]:
+        """The folder of each bucket that has rows."""
         v = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={v}") if v else self.spark.createDataFrame([], self.schema)
-
-    def commit(self, df: DataFrame, partition: str | None = "connector_uri") -> int:
-        """Writes the next version, then points to it."""
-        v = self.version() + 1
-        writer = df.select(*self.schema.names).write.mode("overwrite")
-        (writer.partitionBy(partition) if partition else writer).parquet(f"{self.root}/v={v}")
-        self.fs.create(self.path(f"{self.root}/CURRENT-{v}"), True).close()
+        if not v:
+            return {}
+        stream = self.fs.open(self.path(f"{self.root}/CURRENT-{v}"))
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return {int(k): f for k, f in json.loads(text).items()}
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _at(self, folders: dict[int, str]) -> DataFrame:
+        paths = [f"{self.root}/{f}/bucket={k}" for k, f in sorted(folders.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        return self._at(self._folders())
+
+    def _write(self, df: DataFrame, v: int, kept: dict[int, str]) -> int:
+        folder = f"v={v}-{uuid.uuid4().hex[:8]}"
+        df.select(*self.schema.names, self.bucket().alias("bucket")).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        made = [f.getPath().getName() for f in self.fs.listStatus(self.path(f"{self.root}/{folder}"))]
+        folders = kept | {int(n[7:]): folder for n in made if n.startswith("bucket=")}
+        try:
+            out = self.fs.create(self.path(f"{self.root}/CURRENT-{v}"), False)
+        except Exception as e:
+            raise model.EngineError("version_conflict", f"{self.root} has a version {v} already") from e
+        out.write(bytearray(json.dumps(folders, sort_keys=True).encode()))
+        out.close()
         return v
+
+    def commit(self, df: DataFrame) -> int:
+        """The whole table anew."""
+        return self._write(df, self.version() + 1, {})
+
+    def merge(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> int:
+        """Rewrites the buckets of keys by change, which gets and returns their rows."""
+        v, folders = self.version(), self._folders()
+        touched = {r[0] for r in keys.select(self.bucket()).distinct().collect()}  # at most `buckets` numbers
+        if not touched:
+            return v
+        return self._write(change(self._at({k: f for k, f in folders.items() if k in touched})), v + 1, {k: f for k, f in folders.items() if k not in touched})
+
+    def vacuum(self) -> None:
+        """Deletes what the current version doesn't need; for when nothing reads an earlier one."""
+        v, used = self.version(), set(self._folders().values())
+        for name in self._names():
+            if name.startswith("v=") and name not in used or name.startswith("CURRENT-") and name != f"CURRENT-{v}":
+                self.fs.delete(self.path(f"{self.root}/{name}"), True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.functions import text as t
+from corvid.operators import chunk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +20,8 @@ def document_uri(df: DataFrame) -> DataFrame:
 
 
 def document_chunks(df: DataFrame) -> DataFrame:
-    """One body chunk with the whole text of each document, in the chunk table's columns."""
-    located = document_uri(df)
-    locator = F.lit(None).cast("string")
-    kind = F.lit("body")
-    return located.select(t.chunk_id(F.col("connector_uri"), F.col("object_uri"), kind, locator).alias("chunk_id"), "connector_uri", "object_uri", locator.alias("locator"), F.col("text").alias("content"), kind.alias("chunk_kind"), "doc_id")
+    """The documents' chunks of at most 2048 characters, whole texts, in the chunk table's columns and doc_id."""
+    return chunk.located_chunks(document_uri(df).withColumnRenamed("text", "content"), ("doc_id",))
 
 
 def page_objects(df: DataFrame) -> DataFrame:

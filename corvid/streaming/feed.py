@@ -2,23 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from corvid.operators.chunk import thread_messages
 from corvid.operators.index import Snapshots, latest, replace_objects, upsert
 
 
-def sync(changes: DataFrame, snapshots: Snapshots, checkpoint: str, whole_objects: bool = True) -> None:
+def sync(changes: DataFrame, snapshots: Snapshots, checkpoint: str, whole_objects: bool = True, on_success: Callable[[int, int], None] | None = None, seconds: int | None = None) -> StreamingQuery | None:
     """Drains a stream of chunk rows into a snapshot table. Progress is checkpointed after a batch has been committed; a batch
-    that is run again replaces the same rows, so it changes nothing. whole_objects: a batch's objects replace all their chunks."""
+    that is run again replaces the same rows, so it changes nothing. whole_objects: a batch's objects replace all their chunks.
+    A batch rewrites only the buckets that its objects are in.
+
+    on_success is called with each batch's number and version once it is committed.
+    seconds: None drains what is there and ends; else a batch starts so often, until the query is stopped.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         rows = latest(batch, "chunk_id", "indexed_at") if "indexed_at" in batch.columns else batch.dropDuplicates(["chunk_id"])
-        current = snapshots.read()
-        rows = rows.select(*current.columns)
-        snapshots.commit(replace_objects(current, rows) if whole_objects else upsert(current, rows))
+        rows = rows.select(*snapshots.schema.names)
+        version = snapshots.merge(rows, lambda current: replace_objects(current, rows) if whole_objects else upsert(current, rows))
+        if on_success:
+            on_success(number, version)
+
+    writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    if seconds is not None:
+        return writer.trigger(processingTime=f"{seconds} seconds").start()
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return None
+
+
+def bounded(spark: SparkSession, path: str, schema: T.StructType, most_files: int = 100, format: str = "parquet") -> DataFrame:
+    """A stream over a folder of files that takes at most so many of them into one batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).format(format).load(path)
+
+
+def regroup(messages: DataFrame, log: Snapshots, threads: Snapshots, checkpoint: str, rendered: Column, key: str = "thread", by: str = "seq") -> None:
+    """Drains a stream of messages, in whatever order they come, and keeps each thread whole: a batch's messages join the log, and
+    the threads that they belong to are put together again from it, in order. log: kept by thread and in buckets of it."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*log.schema.names).dropDuplicates([key, by])
+        log.merge(rows, lambda current: current.join(rows, [key, by], "left_anti").unionByName(rows))
+        touched = rows.select(key).distinct()
+        whole = thread_messages(log.read().join(touched, key, "left_semi"), key, by, rendered)
+        threads.merge(touched, lambda current: current.join(touched, key, "left_anti").unionByName(whole.select(*threads.schema.names)))
+
+    messages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+class Watcher(StreamingQueryListener):
+    """Keeps each query's last progress and how it ended: (batch, rows in, rows a second), for a job's heartbeat."""
+
+    def __init__(self):
+        self.progress: dict[str, tuple[int, int, float]] = {}
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event):
+        self.progress[str(event.id)] = (-1, 0, 0.0)
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.progress[str(p.id)] = (p.batchId, p.numInputRows, p.processedRowsPerSecond)
+
+    def onQueryIdle(self, event):
+        pass
 
-    changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    def onQueryTerminated(self, event):
+        self.ended[str(event.id)] = event.exception
 
 
 def once(events: DataFrame, key: str, time: str, late: str = "10 minutes") -> DataFrame:
