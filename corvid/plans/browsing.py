@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from corvid.engine import Engine
 from corvid.functions import text as t
 from corvid.operators import browse, crawl
 from corvid.plans.common import DOC_URI, LINES
+from corvid.session import shared_folder
 from corvid.sources.tables import document_uri, page_objects, table
 
 
@@ -54,6 +58,13 @@ def density_code(spark, d):
     return browse.outline(objects(spark, d), "peek", markdown=False)
 
 
+def density_symbols(spark, d):
+    """Outlines of code made from parts: definitions at several depths among other lines."""
+    body = F.concat(F.lit("import x\n"), F.lit("def f"), F.col("p_partkey").cast("string"), F.lit("(a, b):\n    return a\n\nclass K"), F.col("p_size").cast("string"), F.lit("(B):\n    def m(self):  \n        pass\nfn rust(x)\nvalue = 3"))
+    code = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("object_uri"), body.alias("content"))
+    return browse.outline(code, "peek", markdown=False).withColumn("density", F.lit("peek")).unionByName(browse.outline(code, "skim", markdown=False).withColumn("density", F.lit("skim")))
+
+
 def cat_meta(spark, d):
     path = F.col("object_uri")
     return objects(spark, d).select("object_uri", t.media_type(path).alias("media_type"), F.octet_length("content").cast("long").alias("size"), F.sha1("content").alias("fingerprint"), t.object_kind(path).alias("okind"))
@@ -80,10 +91,27 @@ def cat_budget_guard(spark, d):
 
 
 def export_partial(spark, d):
-    """What an export capped at 500 records holds, and that it is partial."""
-    part = table(spark, d, "part")
-    capped = browse.page(part, ["p_partkey"], 0, 500)
-    return capped.agg(F.count("*").alias("rows"), F.sum("p_partkey").alias("keys")).withColumn("partial", F.lit(part.count() > 500))
+    """What an export capped at 150 records wrote, and that it is partial."""
+    to = f"{shared_folder(spark)}/corvid-export/{uuid.uuid4().hex}"
+    partial = browse.export(table(spark, d, "part").select("p_partkey", "p_name"), to, 150, ["p_partkey"])
+    return spark.read.schema("p_partkey long, p_name string").json(to).agg(F.count("*").alias("rows"), F.sum("p_partkey").alias("keys")).withColumn("partial", F.lit(partial))
+
+
+def engine_records(spark, d):
+    """Records of a structured object by locator, by range and from the front."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_name")
+    uri = "warehouse://tpch/customer/rows.jsonl"
+    objects = spark.createDataFrame([("warehouse://tpch", uri, "", "indexed")], "connector_uri string, object_uri string, content string, search_status string")
+    engine = Engine(["warehouse://tpch"], objects, objects, records={uri: (rows, ["c_custkey"], ["c_custkey"])})
+    asked = {"locator": engine.cat(uri, locator='{"c_custkey":7,"chunk_index":0}'), "row": engine.cat(uri, locator='{"_row":3}'), "range": engine.cat(uri, lines="11:14"), "head": engine.head(uri, 2)}
+    parts = [df.select(F.lit(name).alias("asked"), "content") for name, df in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def safe_names(spark, d):
+    """Folders named after suppliers, with odd characters between the words."""
+    name = F.concat(F.lit("#"), F.replace("s_name", F.lit("#"), F.lit(" é/")), F.when(F.col("s_suppkey") % 3 == 0, "!!").otherwise(""))
+    return table(spark, d, "supplier").select("s_suppkey", t.safe_name(F.when(F.col("s_suppkey") % 5 > 0, name).otherwise("?"), F.col("s_suppkey")).alias("name"))
 
 
 def line_of_offset(spark, d):
@@ -91,8 +119,8 @@ def line_of_offset(spark, d):
 
 
 def record_rows(spark, d):
-    """The position of each nation's record."""
-    return browse.seen_records(table(spark, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"]).select("n_nationkey", F.col("_row").cast("long").alias("row"))
+    """The position of each order's record by date and key."""
+    return browse.seen_records(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.col("_row").cast("long").alias("row"))
 
 
 def web_url_to_path(spark, d):
@@ -121,7 +149,7 @@ def html_to_text(spark, d):
     return page_objects(table(spark, d, "pages")).select("page_id", F.col("content").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (ls_children, tree_depth2, cat_range, head_n, tail_n, density_peek, density_skim, density_code, cat_meta, cat_locator_pk, cat_locator_row, cat_records_page, cat_budget_guard, export_partial, line_of_offset, record_rows, web_url_to_path, web_links, web_crawl, web_allowed, html_to_text)}
+QUERIES = {f.__name__: f for f in (ls_children, tree_depth2, cat_range, head_n, tail_n, density_peek, density_skim, density_code, density_symbols, cat_meta, cat_locator_pk, cat_locator_row, cat_records_page, cat_budget_guard, export_partial, engine_records, safe_names, line_of_offset, record_rows, web_url_to_path, web_links, web_crawl, web_allowed, html_to_text)}
 
 _L = LINES.format("text")
 _MD = r"regexp_replace(regexp_replace(regexp_replace(html, '<h[1-6]>(.*?)</h[1-6]>', chr(10) || '# \1' || chr(10), 'gis'), '<br>|<p>|</p>', chr(10), 'gi'), '<[^>]*>', '', 'g')"
@@ -145,14 +173,19 @@ ORACLE = {
     "density_skim": f"""WITH l AS ({_PAGE_LINES}), nxt AS (SELECT *, first_value(CASE WHEN trim(line, ' ') <> '' THEN trim(line, ' ') END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS prose FROM l)
         SELECT CAST(page_id AS VARCHAR) AS object_uri, string_agg(rtrim(line, ' ') || coalesce(chr(10) || '    ' || substring(prose, 1, 120), ''), chr(10) ORDER BY n) AS content FROM nxt WHERE starts_with(ltrim(line, ' '), '#') GROUP BY page_id""",
     "density_code": f"SELECT {DOC_URI} AS object_uri, array_to_string(list_transform({_L}[1:15], lambda x: rtrim(x, ' ')), chr(10)) AS content FROM documents",
+    "density_symbols": """SELECT CAST(p_partkey AS VARCHAR) AS object_uri, 'def f' || p_partkey || chr(10) || 'class K' || p_size || chr(10) || '    def m' || chr(10) || 'fn rust' AS content, 'peek' AS density FROM part
+        UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'def f' || p_partkey || '(a, b):' || chr(10) || 'class K' || p_size || '(B):' || chr(10) || '    def m(self):' || chr(10) || 'fn rust(x)', 'skim' FROM part""",
     "cat_meta": f"SELECT {DOC_URI} AS object_uri, 'text/markdown' AS media_type, CAST(strlen(text) AS BIGINT) AS size, sha1(text) AS fingerprint, 'document' AS okind FROM documents",
     "cat_locator_pk": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE CAST(o_orderkey AS VARCHAR) = '37' ORDER BY o_orderkey LIMIT 1",
     "cat_locator_row": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 100",
     "cat_records_page": """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}' AS record FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 20)""",
     "cat_budget_guard": "SELECT CAST(conv_id AS VARCHAR) AS object_uri, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, sum(strlen(text) + 1) <= 1000 AS allowed FROM conversations GROUP BY conv_id",
-    "export_partial": "SELECT count(*) AS rows, CAST(sum(p_partkey) AS BIGINT) AS keys, (SELECT count(*) FROM part) > 500 AS partial FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 500)",
+    "export_partial": "SELECT count(*) AS rows, CAST(sum(p_partkey) AS BIGINT) AS keys, (SELECT count(*) FROM part) > 150 AS partial FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 150)",
+    "engine_records": """WITH c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS n, c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}' AS content FROM customer)
+        SELECT 'locator' AS asked, content FROM c WHERE c_custkey = 7 UNION ALL SELECT 'row', content FROM c WHERE n = 3 UNION ALL SELECT 'range', content FROM c WHERE n BETWEEN 10 AND 12 UNION ALL SELECT 'head', content FROM c WHERE n < 2""",
+    "safe_names": r"""SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'unnamed' ELSE regexp_replace(replace(s_name, '#', ' é/'), '[^\p{L}\p{N}_.-]+', '-', 'g') END || '__' || s_suppkey AS name FROM supplier""",
     "line_of_offset": f"SELECT {DOC_URI} AS object_uri, CAST(length(left(text, CAST(floor(length(text) / 2) AS BIGINT))) - length(replace(left(text, CAST(floor(length(text) / 2) AS BIGINT)), chr(10), '')) + 1 AS BIGINT) AS line FROM documents",
-    "record_rows": "SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS row FROM nation",
+    "record_rows": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row FROM orders",
     "web_url_to_path": f"SELECT page_id, '/pages/' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || CASE WHEN {_PATH} = '' THEN 'index' ELSE {_PATH} END || '.md' AS path FROM pages",
     "web_links": """WITH f AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda u: regexp_replace(u, '#.*$', '')), lambda u: u <> '') AS a FROM pages),
         e AS (SELECT page_id, unnest(a) AS link, generate_subscripts(a, 1) AS i FROM f), g AS (SELECT page_id, link, min(i) AS i FROM e GROUP BY ALL)

@@ -8,7 +8,7 @@ from corvid.functions import records as r
 from corvid.functions import text as t
 from corvid.model import ObjectConfig
 from corvid.operators import chunk, index
-from corvid.plans.common import DOC_URI, WORDS
+from corvid.plans.common import CHUNKS, DOC_URI, WORDS
 from corvid.sources.tables import document_uri, table
 
 CUSTOMER = ObjectConfig(["c_name", "c_mktsegment"], ["c_nationkey"], ["c_custkey"])
@@ -66,8 +66,47 @@ def record_chunks_capped(spark, d):
     config = ObjectConfig(["p_name", "p_brand"], [], ["p_partkey"], chunk_max=1000)
     parts = table(spark, d, "part")
     made = chunk.record_chunks(parts, "warehouse://tpch/part/rows.jsonl", config, t.locator_json(p_partkey=F.col("p_partkey")), ["p_partkey"])
-    status = index.search_status(F.lit(False), F.lit(1000), F.lit(parts.count() > config.chunk_max))
-    return made.select("locator", "content", status.alias("search_status"))
+    return made.select("locator", "content", "metadata", index.search_status(F.lit(False), F.lit(1), F.col("partial")).alias("search_status"))
+
+
+def record_parts(spark, d):
+    """Each customer with all its orders: long records become several chunks with their number in the locator."""
+    config = ObjectConfig(["c_name", "orders[].o_orderpriority"], ["c_mktsegment", "c_nationkey"], ["c_custkey"])
+    made = chunk.record_chunks(nested(spark, d).withColumn("c_name", F.repeat("c_name", 113)), "warehouse://tpch/customer/rows.jsonl", config)
+    return made.groupBy(F.regexp_extract("locator", r'"c_custkey":(\d+)', 1).cast("long").alias("c_custkey"), "metadata").agg(F.count("*").alias("parts"), F.sum(F.length("content")).alias("size"), F.max(F.length("content") <= 2048).alias("within"), F.countDistinct("locator").alias("locators"))
+
+
+def field_presence(spark, d):
+    """Which of the configured fields a table's records have at all."""
+    return chunk.missing_fields(nested(spark, d), ["c_name", "orders[].o_orderkey", "c_nothing", "c_phone.x"])
+
+
+def thread_keys(spark, d):
+    """Turns without a thread of their own stand alone."""
+    turns = table(spark, d, "conversations").select(F.when(F.col("conv_id") % 3 > 0, F.col("conv_id")).alias("thread_id"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "turn", "text")
+    threads = chunk.thread_messages(turns.withColumn("key", chunk.thread_key(turns)), "key", "turn", F.col("text"))
+    return threads.select("key", F.size("messages").alias("n"))
+
+
+def routed_chunks(spark, d):
+    """Objects of three kinds go to their producers; what has none makes no chunk."""
+    docs = document_uri(table(spark, d, "documents")).select("connector_uri", "object_uri", F.col("text").alias("content"))
+    number = F.regexp_extract("object_uri", r"(\d+)\.md$", 1).cast("long")
+    okind = F.when(number % 3 == 0, "text_blob").when(number % 3 == 1, "binary").otherwise("document")
+    made = chunk.produced(docs.withColumn("okind", okind), {"text": lambda rows: chunk.located_chunks(rows, ("okind",)).select("object_uri", "okind", "chunk_index")})
+    return made.groupBy("okind").agg(F.countDistinct("object_uri").alias("objects"), F.count("*").alias("chunks"))
+
+
+def converted_freshness(spark, d):
+    """Pages whose converted text can be used again: made from the same html by the same converter."""
+    pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("object_uri"), F.concat(F.sha1("html"), F.lit(":html-2")).alias("currency"))
+    made = table(spark, d, "pages").where("page_id % 4 < 3").select(F.col("page_id").cast("string").alias("object_uri"), F.concat(F.sha1("html"), F.when(F.col("page_id") % 4 == 1, ":html-1").otherwise(":html-2")).alias("currency"))
+    return index.fresh_artifacts(pages, made).groupBy("reuse").agg(F.count("*").alias("n"))
+
+
+def embedding_cache_stats(spark, d):
+    empty = spark.createDataFrame([], "cache_key string, dense_vec array<float>")
+    return index.cache_stats(index.embed(table(spark, d, "benchmark").select("item_id", F.col("text").alias("content")), empty)[1])
 
 
 def chunk_ids(spark, d):
@@ -93,7 +132,7 @@ def thread_split(spark, d):
 def document_chunks(spark, d):
     """Pieces of at most 2048 characters at sentence or word ends."""
     docs = document_uri(table(spark, d, "documents")).withColumnRenamed("text", "content")
-    return chunk.text_chunks(docs)
+    return chunk.text_chunks(docs).drop("partial")
 
 
 def document_chunks_rejoined(spark, d):
@@ -148,7 +187,7 @@ def hash_embeddings(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.filter(v, lambda x: x > 0)).alias("used"))
 
 
-QUERIES = {f.__name__: f for f in (render_labelled, render_multi, render_template, resolve_path_multi, json_path, record_chunks, record_chunks_capped, chunk_ids, content_cap, thread_aggregate, thread_split, document_chunks, document_chunks_rejoined, schema_summary, dir_summary_fold, object_kind, task_priority, cache_miss_embed, token_estimates, hash_embeddings)}
+QUERIES = {f.__name__: f for f in (render_labelled, render_multi, render_template, resolve_path_multi, json_path, record_chunks, record_chunks_capped, chunk_ids, content_cap, thread_aggregate, thread_split, record_parts, field_presence, thread_keys, routed_chunks, converted_freshness, embedding_cache_stats, document_chunks, document_chunks_rejoined, schema_summary, dir_summary_fold, object_kind, task_priority, cache_miss_embed, token_estimates, hash_embeddings)}
 
 _MESSAGES = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role || ': ' || text AS m FROM conversations"
 _NESTED = "SELECT c_custkey, c_name, list({o_orderkey: o_orderkey, p: o_orderpriority} ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name"
@@ -160,7 +199,14 @@ ORACLE = {
     "resolve_path_multi": f"""SELECT c_custkey, CAST(coalesce(len(orders), 0) AS INTEGER) AS n, orders[2].o_orderkey AS second, coalesce(array_to_string(list_transform(orders[1:2], lambda x: CAST(x.o_orderkey AS VARCHAR)), ','), '') AS first_two, '' AS none FROM ({_NESTED})""",
     "json_path": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "record_chunks": """SELECT 'warehouse://tpch/customer/rows.jsonl' AS object_uri, '{"c_custkey":' || c_custkey || '}' AS locator, 'c_name: ' || c_name || chr(10) || chr(10) || 'c_mktsegment: ' || c_mktsegment AS content FROM customer""",
-    "record_chunks_capped": """SELECT '{"p_partkey":' || p_partkey || '}' AS locator, 'p_name: ' || p_name || chr(10) || chr(10) || 'p_brand: ' || p_brand AS content, CASE WHEN (SELECT count(*) FROM part) > 1000 THEN 'partial' ELSE 'indexed' END AS search_status FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 1000)""",
+    "record_chunks_capped": """SELECT '{"p_partkey":' || p_partkey || '}' AS locator, 'p_name: ' || p_name || chr(10) || chr(10) || 'p_brand: ' || p_brand AS content, '{}' AS metadata, CASE WHEN (SELECT count(*) FROM part) > 1000 THEN 'partial' ELSE 'indexed' END AS search_status FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 1000)""",
+    "record_parts": f"""WITH r AS (SELECT n.c_custkey, c_mktsegment, c_nationkey, 'c_name: ' || repeat(n.c_name, 113) || coalesce(chr(10) || chr(10) || 'orders[].o_orderpriority:' || chr(10) || '- ' || array_to_string(list_transform(orders, lambda x: x.p), chr(10) || '- '), '') AS content FROM ({_NESTED}) n JOIN customer USING (c_custkey))
+        SELECT c_custkey, '{{"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}}' AS metadata, CASE WHEN length(content) > 2048 THEN 2 ELSE 1 END AS parts, CAST(length(content) AS BIGINT) AS size, true AS within, CASE WHEN length(content) > 2048 THEN 2 ELSE 1 END AS locators FROM r""",
+    "routed_chunks": f"SELECT okind, count(DISTINCT object_uri) AS objects, count(*) AS chunks FROM (SELECT *, ['text_blob', 'binary', 'document'][doc_id % 3 + 1] AS okind FROM ({CHUNKS})) WHERE okind <> 'binary' GROUP BY okind",
+    "field_presence": "SELECT * FROM (VALUES ('c_name', true), ('orders[].o_orderkey', true), ('c_nothing', false), ('c_phone.x', false)) t(field, seen)",
+    "thread_keys": "SELECT CASE WHEN conv_id % 3 > 0 THEN CAST(conv_id AS VARCHAR) ELSE conv_id || '-' || turn END AS key, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY 1",
+    "converted_freshness": "SELECT page_id % 4 IN (0, 2) AS reuse, count(*) AS n FROM pages GROUP BY 1",
+    "embedding_cache_stats": "SELECT count(DISTINCT text) AS entries, 64 AS dims, CAST(count(DISTINCT text) * 256 AS BIGINT) AS bytes FROM benchmark",
     "chunk_ids": f"""SELECT doc_id, sha1('default|docs://corpus|' || {DOC_URI} || '|body|{{"id":' || doc_id || ',"source":"' || source || '"}}') AS chunk_id FROM documents""",
     "content_cap": "SELECT doc_id, CAST(least(length(text), 65000) AS INTEGER) AS kept, length(text) > 65000 AS cut FROM documents",
     "thread_aggregate": f"SELECT conv_id, CAST(count(*) AS INTEGER) AS n, string_agg(m, chr(10) || chr(10) ORDER BY i) AS content FROM ({_MESSAGES}) GROUP BY conv_id",
@@ -174,12 +220,13 @@ ORACLE = {
         parts AS (SELECT conv_id, f AS first, l AS last FROM walk WHERE f IS NOT NULL UNION ALL SELECT conv_id, start, i FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
         numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY last, first) - 1 AS INTEGER) AS chunk_index FROM parts)
         SELECT n.conv_id, chunk_index, first, last, string_agg(m.m, chr(10) || chr(10) ORDER BY m.i) AS content FROM numbered n JOIN m ON m.conv_id = n.conv_id AND m.i BETWEEN first AND last GROUP BY ALL""",
+    "document_chunks": f"SELECT object_uri, chunk_index, locator, content FROM ({CHUNKS})",
     "document_chunks_rejoined": f"SELECT {DOC_URI} AS object_uri, sha1(text) AS sha1, true AS within FROM documents WHERE trim(text, ' ' || chr(10)) <> ''",
     "schema_summary": "SELECT 'warehouse://tpch/orders/schema.json' AS object_uri, 'schema_summary' AS chunk_kind, 'columns: o_orderkey bigint; o_custkey bigint; o_orderstatus string; o_totalprice double; o_orderdate timestamp_ntz; o_orderpriority string' AS content",
-    "dir_summary_fold": """WITH leaf AS (SELECT 'docs://corpus/' || lang || '/' || source AS folder, 'docs://corpus/' || lang AS up, source AS name, doc_id || '.md' AS file, left(text, 64) AS text FROM documents),
-        a AS (SELECT folder, any_value(up) AS up, any_value(name) AS name, count(*) AS n_children, left(array_to_string(list(file || ': ' || text ORDER BY file)[1:256], chr(10)), 16384) AS content FROM leaf GROUP BY folder),
-        b AS (SELECT up AS folder, count(*) AS n_children, string_agg(name || ': ' || left(content, 64), chr(10) ORDER BY name) AS content FROM a GROUP BY up),
-        c AS (SELECT 'docs://corpus' AS folder, count(*) AS n_children, string_agg(split_part(folder, '/', 4) || ': ' || left(content, 64), chr(10) ORDER BY folder) AS content FROM b)
+    "dir_summary_fold": """WITH leaf AS (SELECT 'docs://corpus/' || lang || '/' || source AS folder, 'docs://corpus/' || lang AS up, source AS name, doc_id || '.md' AS file, left(text, 16384) AS text FROM documents),
+        a AS (SELECT folder, any_value(up) AS up, any_value(name) AS name, count(*) AS n_children, left(string_agg(file || ': ' || text, chr(10) ORDER BY file), 65536) AS content FROM leaf GROUP BY folder),
+        b AS (SELECT up AS folder, count(*) AS n_children, left(string_agg(name || ': ' || left(content, 16384), chr(10) ORDER BY name), 65536) AS content FROM a GROUP BY up),
+        c AS (SELECT 'docs://corpus' AS folder, count(*) AS n_children, left(string_agg(split_part(folder, '/', 4) || ': ' || left(content, 16384), chr(10) ORDER BY folder), 65536) AS content FROM b)
         SELECT folder, n_children, CAST(length(content) AS INTEGER) AS size, left(content, 200) AS head FROM (SELECT folder, n_children, content FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)""",
     "object_kind": """SELECT p_partkey, ['document', 'code', 'image', 'text_blob', 'binary', 'binary'][p_partkey % 6 + 1] AS okind, ['text', 'text', 'vision', 'text', NULL, NULL][p_partkey % 6 + 1] AS producer,
         ['text/markdown', 'text/x-python', 'image/png', 'application/x-ndjson', NULL, NULL][p_partkey % 6 + 1] AS media_type FROM part""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvid.catalog import Control
 from corvid.functions import text as t
 from corvid.model import JOB_MOVES, TASK_MOVES
 from corvid.operators import jobs
@@ -94,11 +95,45 @@ def time_bounds(spark, d):
     return table(spark, d, "part").select("p_partkey", t.time_bound(F.element_at(values, (F.col("p_partkey") % 6 + 1).cast("int")), F.lit(1_800_000_000.0)).alias("since"))
 
 
+def _jobs(spark, d):
+    """Customers as jobs: every third is queued, every third running."""
+    status = F.element_at(F.array(*map(F.lit, ["queued", "running", "succeeded"])), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), status.alias("status"), (F.col("c_nationkey") * 1000 + F.col("c_custkey") % 7).alias("queued_at"))
+
+
+def oldest_queued(spark, d):
+    return jobs.oldest_queued(_jobs(spark, d)).select("id", "queued_at")
+
+
+def job_cancel(spark, d):
+    """Tasks by status after job 4 was cancelled."""
+    after = Control(_jobs(spark, d), tasks(spark, d)).cancel(4)
+    return after.tasks.where("job_id = 4").groupBy("status").agg(F.count("*").alias("n")).unionByName(after.jobs.where("id = 4").select(F.concat(F.lit("job "), "status").alias("status"), F.lit(1).cast("long").alias("n")))
+
+
+def task_requeue(spark, d):
+    """Running tasks of jobs without a worker, those of every fifth customer, wait again."""
+    lost = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("job_id"))
+    return jobs.requeued(tasks(spark, d), lost).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def task_retry(spark, d):
+    messages = F.array(*map(F.lit, ["HTTP 401 Unauthorized", "insufficient_quota", "timeout"]))
+    failed = tasks(spark, d).select("id", "job_id", "status", (F.col("id") % 5).cast("int").alias("attempts"), F.element_at(messages, (F.col("id") % 3 + 1).cast("int")).alias("error"))
+    return jobs.retried(failed).groupBy("status", "next", "wait").agg(F.count("*").alias("n"))
+
+
+def since_bounds(spark, d):
+    """What a user gives as a beginning, as a drive wants it."""
+    values = F.array(*map(F.lit, [" 2024-05-01 ", "2024-05-01T12:30:00Z", "2024"]))
+    return table(spark, d, "part").select("p_partkey", t.rfc3339(F.element_at(values, (F.col("p_partkey") % 3 + 1).cast("int"))).alias("since"))
+
+
 def legal_task_moves(spark, d):
     return spark.createDataFrame(TASK_MOVES, "before string, after string")
 
 
-QUERIES = {f.__name__: f for f in (task_claim_order, jobs_newest, task_status_counts, job_finalize, illegal_transitions, illegal_job_moves, breaker_trip, double_active, stale_jobs, status_summary, inspect_summary, estimate_extrapolate, error_classes, time_bounds, legal_task_moves)}
+QUERIES = {f.__name__: f for f in (task_claim_order, jobs_newest, task_status_counts, job_finalize, illegal_transitions, illegal_job_moves, breaker_trip, double_active, stale_jobs, status_summary, inspect_summary, estimate_extrapolate, error_classes, time_bounds, oldest_queued, job_cancel, task_requeue, task_retry, since_bounds, legal_task_moves)}
 
 _TASKS = f"SELECT o_orderkey AS id, o_custkey AS job_id, {_STATES!r}[o_orderkey % 5 + 1] AS status, CAST(left(o_orderpriority, 1) AS INTEGER) AS priority, o_orderdate AS started_at FROM orders"
 _VALUES = lambda moves: ", ".join(map(str, moves))
@@ -122,5 +157,11 @@ ORACLE = {
     "estimate_extrapolate": f"""WITH o AS ({_OBJECTS}), f AS (SELECT avg(chunk_count) AS c, avg(tokens) AS k FROM (SELECT * FROM o ORDER BY object_uri LIMIT 3)), n AS (SELECT count(*) AS objects FROM o) SELECT objects, round(c * objects, 6) AS chunks, round(k * objects, 6) AS tokens FROM n, f""",
     "error_classes": "SELECT p_partkey, ['auth', 'quota', 'retryable', 'retryable', 'auth', 'quota'][p_partkey % 6 + 1] AS kind, least(pow(2.0::double, p_partkey % 10), 60.0) AS wait FROM part",
     "time_bounds": "SELECT p_partkey, [1700000000.0::double, 1800000000.0 - 2 * 604800, epoch(TIMESTAMP '2024-05-01 00:00:00'), epoch(TIMESTAMP '2024-05-01 12:30:00'), NULL, 1800000000.0 - 30 * 86400][p_partkey % 6 + 1] AS since FROM part",
+    "oldest_queued": "SELECT c_custkey AS id, c_nationkey * 1000 + c_custkey % 7 AS queued_at FROM customer WHERE c_custkey % 3 = 0 ORDER BY queued_at, id LIMIT 8",
+    "job_cancel": f"SELECT CASE WHEN status IN ('pending', 'running') THEN 'cancelled' ELSE status END AS status, count(*) AS n FROM ({_TASKS}) WHERE job_id = 4 GROUP BY 1 UNION ALL SELECT 'job cancelled', 1",
+    "task_requeue": f"SELECT CASE WHEN status = 'running' AND job_id % 5 = 0 AND job_id IN (SELECT c_custkey FROM customer) THEN 'pending' ELSE status END AS status, count(*) AS n FROM ({_TASKS}) GROUP BY 1",
+    "task_retry": f"""WITH x AS (SELECT status, id % 5 AS attempts, id % 3 AS e FROM ({_TASKS})), y AS (SELECT *, CASE WHEN status <> 'failed' THEN NULL WHEN e < 2 THEN 'abort' WHEN attempts < 3 THEN 'pending' ELSE 'failed' END AS next FROM x)
+        SELECT status, next, CASE WHEN next = 'pending' THEN pow(2.0::double, attempts) END AS wait, count(*) AS n FROM y GROUP BY ALL""",
+    "since_bounds": "SELECT p_partkey, ['2024-05-01T00:00:00', '2024-05-01T12:30:00Z', '2024T00:00:00'][p_partkey % 3 + 1] AS since FROM part",
     "legal_task_moves": f"SELECT * FROM (VALUES {_VALUES(TASK_MOVES)}) m(before, after)",
 }

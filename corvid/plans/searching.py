@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvid.engine import Engine
 from corvid.functions import text as t
 from corvid.model import OVERFETCH
-from corvid.operators import grep, search
+from corvid.operators import grep, index, search
+from corvid.operators.postings import Postings
 from corvid.plans.browsing import PAGE_TEXT, PAGE_URI
 from corvid.plans.common import CHUNKS, DOC_URI, LINES, WORDS, bm25_sql
+from corvid.session import shared_folder
 from corvid.sources.tables import document_chunks, document_uri, page_objects, table
 
 QUERY, TERMS = "Tion the rely", ["rely", "the", "tion"]
@@ -52,8 +56,8 @@ def dense_topk(spark, d):
 
 
 def hybrid_rrf(spark, d):
-    """Vector k and document k stand for one chunk; each leg brings three times what is asked for."""
-    lexical = search.bm25(chunks(spark, d), QUERY, top_k=10 * OVERFETCH, extra=("doc_id",)).select("doc_id", "score")
+    """Vector k stands for document k; each leg brings three times what is asked for, of chunks of one document the best."""
+    lexical = search.bm25(chunks(spark, d), QUERY, top_k=10 * OVERFETCH, extra=("doc_id",)).groupBy("doc_id").agg(F.max("score").alias("score"))
     dense = search.dense(table(spark, d, "embeddings"), query_vector(spark, d), 10 * OVERFETCH).select(F.col("vec_id").alias("doc_id"), "score")
     return search.fuse([lexical, dense], "doc_id", 10)
 
@@ -65,14 +69,14 @@ def search_collapse(spark, d):
 
 
 def search_envelope(spark, d):
-    hits = search.bm25(chunks(spark, d), QUERY, extra=("content", "chunk_kind"))
-    return search.envelope(hits, F.substring("content", 1, 80), F.col("chunk_kind"), F.lit(None).cast("string"))
+    hits = search.bm25(chunks(spark, d), QUERY, extra=("content", "chunk_kind", "locator", "metadata"))
+    return search.envelope(hits, F.substring("content", 1, 80), F.col("chunk_kind"), F.col("locator"), F.col("metadata"))
 
 
 def engine_search(spark, d):
-    """The same through the engine's front, in one folder, collapsed."""
+    """The same through the engine's front, in one folder, collapsed: the best chunk of each document among the best ten."""
     rows = chunks(spark, d)
-    hits = Engine(["docs://corpus"], rows, rows).search(QUERY, "docs://corpus/en", "keyword", collapse=True)
+    hits = Engine(["docs://corpus"], document_uri(table(spark, d, "documents")), rows).search(QUERY, "docs://corpus/en", "keyword", collapse=True)
     return hits.withColumn("content", F.substring("content", 1, 80))
 
 
@@ -87,7 +91,7 @@ def engine_status(spark, d):
 
 def benchmark_retrieval(spark, d):
     """For each benchmark item the documents that hold all of its rarest words: one inverted-index join."""
-    words = chunks(spark, d).select("doc_id", F.explode(F.array_distinct(t.tokens(F.col("content")))).alias("term"))
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(t.tokens(F.col("text")))).alias("term"))
     df = words.groupBy("term").agg(F.count("*").alias("df"))
     items = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(t.tokens(F.col("text")))).alias("term"))
     known = items.join(df, "term").withColumn("nth", F.row_number().over(search.Window.partitionBy("item_id").orderBy("df", "term"))).where("nth <= 5")
@@ -95,6 +99,30 @@ def benchmark_retrieval(spark, d):
     return hits.where("matched = 5")
 
 
+def bm25_indexed(spark, d):
+    """The same hits from the persisted index: English documents were indexed with another text first, then again."""
+    postings = Postings(spark, f"{shared_folder(spark)}/corvid-postings/{uuid.uuid4().hex}")
+    rows = chunks(spark, d)
+    english = F.col("object_uri").startswith("docs://corpus/en/")
+    postings.add(rows.withColumn("content", F.when(english, F.concat(F.lit("rely rely the "), "content")).otherwise(F.col("content"))))
+    postings.add(rows.where(english))
+    return postings.bm25(QUERY)
+
+
+def bm25_compacted(spark, d):
+    """Documents of one source are gone from the index, which is then written as one segment."""
+    postings = Postings(spark, f"{shared_folder(spark)}/corvid-postings/{uuid.uuid4().hex}")
+    rows = chunks(spark, d)
+    postings.add(rows)
+    postings.add(rows.limit(0), rows.where(F.col("object_uri").contains("/src0/")))
+    postings.compact()
+    return postings.bm25(QUERY, search.in_scope("docs://corpus", "docs://corpus/en"))
+
+
+def indexed_objects(spark, d):
+    return index.indexed_objects(chunks(spark, d))
+
+
 def grep_literal(spark, d):
     return grep.line_hits(document_uri(table(spark, d, "documents")).withColumnRenamed("text", "content"), "rely and").select("source", "locator", "content", "via")
 
@@ -132,23 +160,27 @@ _DENSE = f"""SELECT vec_id, round({_DOT} / (sqrt(list_sum(list_transform(embeddi
     FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) ORDER BY score DESC, vec_id LIMIT """
 _HIT_LINES = f"(SELECT {DOC_URI} AS source, unnest({LINES.format('text')}) AS line, generate_subscripts({LINES.format('text')}, 1) AS n FROM documents)"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_scoped, bm25_kind_filter, token_stats, corpus_stats, dense_topk, hybrid_rrf, search_collapse, search_envelope, engine_search, engine_status, benchmark_retrieval, grep_literal, grep_regex, grep_sql_pushdown, grep_linear_notice, grep_chain_union, connector_match)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_scoped, bm25_kind_filter, bm25_indexed, bm25_compacted, indexed_objects, token_stats, corpus_stats, dense_topk, hybrid_rrf, search_collapse, search_envelope, engine_search, engine_status, benchmark_retrieval, grep_literal, grep_regex, grep_sql_pushdown, grep_linear_notice, grep_chain_union, connector_match)}
 
 ORACLE = {
     "bm25_topk": bm25_sql(TERMS),
     "bm25_scoped": bm25_sql(TERMS, "object_uri = 'docs://corpus/en' OR starts_with(object_uri, 'docs://corpus/en/')"),
     "bm25_kind_filter": bm25_sql(TERMS, "chunk_kind IN ('body', 'row_text')", 25),
-    "token_stats": f"SELECT term, count(*) AS df, CAST(sum(c) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term",
-    "corpus_stats": f"SELECT count(*) AS n, round(avg(len({WORDS.format('text')})), 6) AS avgdl, CAST(sum(len({WORDS.format('text')})) AS BIGINT) AS tokens FROM documents",
+    "bm25_indexed": bm25_sql(TERMS),
+    "bm25_compacted": bm25_sql(TERMS, "starts_with(object_uri, 'docs://corpus/en/')", source="source <> 'src0'"),
+    "indexed_objects": f"SELECT DISTINCT connector_uri, object_uri FROM ({CHUNKS})",
+    "token_stats": f"SELECT term, count(*) AS df, CAST(sum(c) AS BIGINT) AS cf FROM (SELECT chunk_id, term, count(*) AS c FROM (SELECT chunk_id, unnest({WORDS.format('content')}) AS term FROM ({CHUNKS})) GROUP BY ALL) GROUP BY term",
+    "corpus_stats": f"SELECT count(*) AS n, round(avg(len({WORDS.format('content')})), 6) AS avgdl, CAST(sum(len({WORDS.format('content')})) AS BIGINT) AS tokens FROM ({CHUNKS})",
     "dense_topk": _DENSE + "10",
-    "hybrid_rrf": f"""WITH lex AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({bm25_sql(TERMS, k=30, extra=', doc_id')})),
+    "hybrid_rrf": f"""WITH lex AS (SELECT doc_id, row_number() OVER (ORDER BY max(score) DESC, doc_id) AS r FROM ({bm25_sql(TERMS, k=30, extra=', doc_id')}) GROUP BY doc_id),
         den AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ({_DENSE}30))
         SELECT doc_id, round(sum(1.0::double / (60 + r)), 6) AS score, CAST(count(*) AS INTEGER) AS legs FROM (SELECT * FROM lex UNION ALL SELECT * FROM den) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""",
     "search_collapse": f"""SELECT folder, object_uri, score FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, chunk_id) AS r FROM
         (SELECT *, regexp_replace(object_uri, '/?[^/]*$', '') AS folder FROM ({bm25_sql(TERMS, k=30)}))) WHERE r = 1""",
-    "search_envelope": f"""SELECT h.object_uri AS source, substring(c.content, 1, 80) AS content, score, CAST(NULL AS VARCHAR) AS locator, '{{"chunk_kind":"body"}}' AS metadata FROM ({bm25_sql(TERMS)}) h JOIN ({CHUNKS}) c USING (chunk_id)""",
-    "engine_search": f"""SELECT h.object_uri AS source, substring(c.content, 1, 80) AS content, score, CAST(NULL AS VARCHAR) AS locator, '{{"chunk_kind":"body"}}' AS metadata FROM ({bm25_sql(TERMS, "starts_with(object_uri, 'docs://corpus/en/')")}) h JOIN ({CHUNKS}) c USING (chunk_id)""",
-    "engine_status": """SELECT 'docs://corpus' AS connector_uri, count(*) AS objects, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS chunks, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS indexed FROM documents
+    "search_envelope": f"""SELECT h.object_uri AS source, substring(c.content, 1, 80) AS content, score, locator, '{{"chunk_kind":"body","fields":{{}},"kind":"search"}}' AS metadata FROM ({bm25_sql(TERMS)}) h JOIN ({CHUNKS}) c USING (chunk_id)""",
+    "engine_search": f"""SELECT h.object_uri AS source, substring(c.content, 1, 80) AS content, score, locator, '{{"chunk_kind":"body","fields":{{}},"kind":"search"}}' AS metadata
+        FROM (SELECT * FROM ({bm25_sql(TERMS, "starts_with(object_uri, 'docs://corpus/en/')")}) QUALIFY row_number() OVER (PARTITION BY object_uri ORDER BY score DESC, chunk_id) = 1) h JOIN ({CHUNKS}) c USING (chunk_id)""",
+    "engine_status": f"""SELECT 'docs://corpus' AS connector_uri, count(*) AS objects, (SELECT count(*) FROM ({CHUNKS}) WHERE doc_id IN (SELECT doc_id FROM labels)) AS chunks, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS indexed FROM documents
         UNION ALL SELECT 'web://crawl', 0, 0, 0""",
     "benchmark_retrieval": f"""WITH words AS (SELECT DISTINCT doc_id, unnest({WORDS.format('text')}) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM words GROUP BY term),
         items AS (SELECT DISTINCT item_id, unnest({WORDS.format('text')}) AS term FROM benchmark),

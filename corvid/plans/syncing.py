@@ -6,14 +6,16 @@ fingerprint, and known paths of Spanish documents have since gone.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from corvid.functions import text as t
-from corvid.operators import index, sync
-from corvid.plans.common import CHUNKS
-from corvid.sources.tables import document_chunks, document_uri, table
+from corvid.catalog import Catalog
+from corvid.operators import crawl, index, keys, sync
+from corvid.plans.common import CHUNKS, DOC_URI, bm25_sql
+from corvid.session import shared_folder
+from corvid.sources.tables import document_chunks, document_uri, page_objects, table
 from corvid.streaming import feed
 
 
@@ -100,7 +102,7 @@ def delete_by_object(spark, d):
 def rename_rekey(spark, d):
     """German documents move to another folder: new ids, same contents."""
     chunks = document_chunks(table(spark, d, "documents"))
-    moves = chunks.where(F.col("object_uri").startswith("docs://corpus/de/")).select(F.col("object_uri").alias("old_uri"), F.replace("object_uri", F.lit("/de/"), F.lit("/deutsch/")).alias("new_uri"))
+    moves = chunks.where(F.col("object_uri").startswith("docs://corpus/de/")).select(F.col("object_uri").alias("old_uri"), F.replace("object_uri", F.lit("/de/"), F.lit("/deutsch/")).alias("new_uri")).distinct()
     return index.rename(chunks, moves).select("chunk_id", "object_uri")
 
 
@@ -124,9 +126,84 @@ def lru_evict(spark, d):
 
 
 def event_feed_dedupe(spark, d):
-    """Each event once, though the feed repeats it."""
-    events = table(spark, d, "events").select("event_id", "ts", "event_type", "value")
-    return feed.hourly(events.unionAll(events).dropDuplicates(["event_id"])).groupBy("event_type").agg(F.sum("n").alias("n"))
+    """Each event once, though the feed, a stream of two files, repeats it."""
+    work = f"{shared_folder(spark)}/corvid-events/{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    for _ in range(2):
+        events.coalesce(1).write.mode("append").parquet(f"{work}/in")
+    once = feed.once(feed.bounded(spark, f"{work}/in", events.schema, 10), "event_id", "ts", "10000 days")
+    once.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint").option("path", f"{work}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{work}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def stream_regroup(spark, d):
+    """Turns that come in the wrong order, in several batches, end as whole threads."""
+    work = f"{shared_folder(spark)}/corvid-threads/{uuid.uuid4().hex}"
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").cast("long").alias("seq"), "text")
+    turns.repartitionByRange(3, F.desc("seq")).write.parquet(f"{work}/in")
+    log = index.Snapshots(spark, f"{work}/log", turns.schema, key="thread", buckets=8)
+    threads = index.Snapshots(spark, f"{work}/threads", spark.createDataFrame([], "thread long, messages array<string>").schema, key="thread", buckets=8)
+    feed.regroup(feed.bounded(spark, f"{work}/in", turns.schema, 1), log, threads, f"{work}/checkpoint", F.col("text"))
+    return threads.read().select(F.col("thread").cast("long").alias("thread"), F.size("messages").alias("n"), F.sha1(F.array_join("messages", "|")).alias("sha1"))
+
+
+def catalog(spark):
+    return Catalog(spark, f"{shared_folder(spark)}/corvid-catalog/{uuid.uuid4().hex}")
+
+
+def engine_add(spark, d):
+    """All documents taken in, and a search through the engine's index."""
+    own = catalog(spark)
+    own.add("docs://corpus", document_uri(table(spark, d, "documents")).select("object_uri", F.col("text").alias("content")))
+    return own.objects.read().select("object_uri", "okind", "search_status", "chunk_count")
+
+
+def _resynced(spark, d):
+    own = catalog(spark)
+    docs = document_uri(table(spark, d, "documents"))
+    text = F.when(F.col("toxic") == 1, F.concat("text", F.lit(" outdated"))).otherwise(F.col("text"))
+    own.add("docs://corpus", docs.join(table(spark, d, "labels"), "doc_id").select("object_uri", text.alias("content")))
+    moved = F.when(F.col("lang") == "de", F.replace("object_uri", F.lit("/de/"), F.lit("/deutsch/"))).otherwise(F.col("object_uri"))
+    return own, own.add("docs://corpus", docs.where("lang <> 'es'").select(moved.alias("object_uri"), F.col("text").alias("content")))
+
+
+def engine_resync(spark, d):
+    """Labelled documents are known, toxic ones in an outdated text; then Spanish ones have gone and German ones have moved."""
+    return _resynced(spark, d)[0].objects.read().select("object_uri", "search_status", "chunk_count")
+
+
+def engine_resync_changes(spark, d):
+    return _resynced(spark, d)[1]
+
+
+def engine_resync_search(spark, d):
+    """What a search of the resynced catalog finds is what one over fresh chunks would find."""
+    own, _ = _resynced(spark, d)
+    return own.engine(["docs://corpus"]).search("Tion the rely", mode="keyword").select("source", "score", "locator")
+
+
+def index_dispatch(spark, d):
+    """What becomes of changed objects of several kinds."""
+    exts = F.array(*map(F.lit, [".md", ".py", ".exe", ".png"]))
+    changes = F.array(*map(F.lit, ["added", "modified", "deleted", "renamed", "unchanged"]))
+    path = F.concat(F.lit("x/"), F.col("p_partkey").cast("string"), F.element_at(exts, (F.col("p_partkey") % 4 + 1).cast("int")))
+    rows = table(spark, d, "part").select(path.alias("path"), F.element_at(changes, (F.col("p_partkey") % 5 + 1).cast("int")).alias("change"), t.object_kind(path).alias("okind"), (F.col("p_partkey") % 7 > 0).alias("indexable"))
+    return index.dispatched(rows).groupBy("change", "action").agg(F.count("*").alias("n"))
+
+
+def web_conditional(spark, d):
+    """Crawled pages asked for again: some unchanged, some new, some failing, some not visited."""
+    pages = page_objects(table(spark, d, "pages")).select("page_id", "url", "links")
+    etag = F.sha1("url")
+    stored = pages.where("page_id % 5 > 0").select("url", etag.alias("etag"), "links")
+    now = pages.where("page_id % 7 > 0").select("url", F.when(F.col("page_id") % 3 == 0, 304).when(F.col("page_id") % 11 == 0, 500).otherwise(200).alias("status"), F.when(F.col("page_id") % 2 == 0, etag).otherwise("new").alias("etag"), F.array().cast("array<string>").alias("links"))
+    return crawl.conditional(now, stored).groupBy("change").agg(F.count("*").alias("n"), F.sum(F.size("links")).cast("long").alias("links"))
+
+
+def pk_discovery(spark, d):
+    """The columns that tell the records of each table apart."""
+    found = [(name, ",".join(keys.primary_key(table(spark, d, name).drop("text")))) for name in ("nation", "customer", "orders", "supplier", "conversations", "labels")]
+    return spark.createDataFrame(found, "name string, key string")
 
 
 def event_hours(spark, d):
@@ -136,9 +213,8 @@ def event_hours(spark, d):
 
 def stream_sync(spark, d):
     """A stream of chunk rows drained into a snapshot table, twice; the second time changes nothing."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    work = f"{base.rstrip('/')}/corvid-stream/{spark.sparkContext.applicationId}-{abs(hash(d))}-{id(object())}"
-    rows = document_chunks(table(spark, d, "documents")).drop("doc_id")
+    work = f"{shared_folder(spark)}/corvid-stream/{uuid.uuid4().hex}"
+    rows = document_chunks(table(spark, d, "documents")).select("chunk_id", "connector_uri", "object_uri", "locator", "content", "chunk_kind")
     rows.write.mode("overwrite").parquet(f"{work}/in")
     snapshots = index.Snapshots(spark, f"{work}/chunks", rows.schema)
     for name in ("a", "b"):
@@ -146,14 +222,36 @@ def stream_sync(spark, d):
     return snapshots.read().select("chunk_id", "object_uri", F.sha1("content").alias("sha1"))
 
 
-QUERIES = {f.__name__: f for f in (sync_diff, file_diff, rename_pairing, delete_gating, since_merge, manifest_diff, upload_replay, fingerprint_count_max, schema_fingerprint, upsert_chunks, delete_by_object, rename_rekey, orphan_gc, last_write_wins, lru_evict, event_feed_dedupe, event_hours, stream_sync)}
+QUERIES = {f.__name__: f for f in (sync_diff, file_diff, rename_pairing, delete_gating, since_merge, manifest_diff, upload_replay, fingerprint_count_max, schema_fingerprint, upsert_chunks, delete_by_object, rename_rekey, orphan_gc, last_write_wins, lru_evict, event_feed_dedupe, event_hours, stream_sync, stream_regroup, engine_add, engine_resync, engine_resync_changes, engine_resync_search, index_dispatch, web_conditional, pk_discovery)}
 
 _URI = "'docs://corpus/' || lang || '/' || source || '/' || doc_id || '.md'"
 _OLD = f"SELECT {_URI} AS path, CASE WHEN toxic = 1 THEN 'outdated' ELSE sha1(text) END AS fingerprint FROM documents JOIN labels USING (doc_id)"
 _NEW = f"SELECT {_URI} AS path, sha1(text) AS fingerprint FROM documents WHERE lang <> 'es'"
 _DIFF = f"SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN o.fingerprint = n.fingerprint THEN 'unchanged' ELSE 'modified' END AS change FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.path = n.path"
 
+_O = f"SELECT {_URI} AS uri, CASE WHEN toxic = 1 THEN sha1(text || ' outdated') ELSE sha1(text) END AS f FROM documents JOIN labels USING (doc_id)"
+_N = f"SELECT replace({_URI}, '/de/', '/deutsch/') AS uri, sha1(text) AS f FROM documents WHERE lang <> 'es'"
+_SHARED = f"o AS ({_O}), n AS ({_N}), a AS (SELECT f, count(*) AS k FROM n WHERE uri NOT IN (SELECT uri FROM o) GROUP BY f), d AS (SELECT f, count(*) AS k FROM o WHERE uri NOT IN (SELECT uri FROM n) GROUP BY f), r AS (SELECT coalesce(sum(least(a.k, d.k)), 0) AS k FROM a JOIN d USING (f))"
+
 ORACLE = {
+    "stream_regroup": "SELECT CAST(conv_id AS BIGINT) AS thread, CAST(count(*) AS INTEGER) AS n, sha1(string_agg(text, '|' ORDER BY turn)) AS sha1 FROM conversations GROUP BY conv_id",
+    "engine_add": f"SELECT {_URI} AS object_uri, 'document' AS okind, CASE WHEN count(c.chunk_id) = 0 THEN 'not_indexed' ELSE 'indexed' END AS search_status, count(c.chunk_id) AS chunk_count FROM documents d LEFT JOIN (SELECT doc_id, chunk_id FROM ({CHUNKS})) c USING (doc_id) GROUP BY ALL",
+    "engine_resync": f"SELECT replace({_URI}, '/de/', '/deutsch/') AS object_uri, CASE WHEN count(c.chunk_id) = 0 THEN 'not_indexed' ELSE 'indexed' END AS search_status, count(c.chunk_id) AS chunk_count FROM documents d LEFT JOIN (SELECT doc_id, chunk_id FROM ({CHUNKS})) c USING (doc_id) WHERE lang <> 'es' GROUP BY ALL",
+    "engine_resync_changes": f"""WITH {_SHARED}, x AS (
+            SELECT 'unchanged' AS change, 'keep' AS action, count(*) AS n FROM o JOIN n USING (uri, f) UNION ALL
+            SELECT 'modified', 'pipeline', count(*) FROM o JOIN n USING (uri) WHERE o.f <> n.f UNION ALL
+            SELECT 'added', 'pipeline', (SELECT sum(k) FROM a) - (SELECT k FROM r) UNION ALL
+            SELECT 'deleted', 'delete', (SELECT sum(k) FROM d) - (SELECT k FROM r) UNION ALL
+            SELECT 'renamed', 'rename', k FROM r)
+        SELECT change, action, CAST(n AS BIGINT) AS n FROM x WHERE n > 0""",
+    "engine_resync_search": f"""WITH c AS ({CHUNKS}) SELECT replace(h.object_uri, '/de/', '/deutsch/') AS source, score, locator FROM ({bm25_sql(['rely', 'the', 'tion'], source="lang <> 'es'", chunks=CHUNKS.replace("SELECT sha1('default|docs://corpus|' || " + DOC_URI + " ||", "SELECT sha1('default|docs://corpus|' || replace(" + DOC_URI + ", '/de/', '/deutsch/') ||"), extra=", locator")}) h""",
+    "index_dispatch": """WITH x AS (SELECT ['added', 'modified', 'deleted', 'renamed', 'unchanged'][p_partkey % 5 + 1] AS change, p_partkey % 4 <> 2 AND p_partkey % 7 > 0 AS pipeline FROM part)
+        SELECT change, CASE change WHEN 'deleted' THEN 'delete' WHEN 'renamed' THEN 'rename' WHEN 'unchanged' THEN 'keep' ELSE CASE WHEN pipeline THEN 'pipeline' ELSE 'metadata' END END AS action, count(*) AS n FROM x GROUP BY ALL""",
+    "web_conditional": """WITH l AS (SELECT page_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda u: regexp_replace(u, '#.*$', '')), lambda u: u <> ''))) AS links FROM pages),
+        x AS (SELECT page_id % 5 > 0 AS known, page_id % 7 > 0 AS asked, CASE WHEN page_id % 3 = 0 THEN 304 WHEN page_id % 11 = 0 THEN 500 ELSE 200 END AS status, page_id % 2 = 0 AS same, links FROM l),
+        y AS (SELECT CASE WHEN NOT asked THEN 'not_visited' WHEN known AND (status = 304 OR status = 200 AND same) THEN 'unchanged' WHEN status <> 200 THEN 'failed' WHEN known THEN 'modified' ELSE 'added' END AS change, known, links FROM x WHERE known OR asked)
+        SELECT change, count(*) AS n, CAST(CASE WHEN change IN ('added', 'modified') THEN 0 ELSE sum(CASE WHEN known THEN links END) END AS BIGINT) AS links FROM y GROUP BY change""",
+    "pk_discovery": "SELECT * FROM (VALUES ('nation', 'n_nationkey'), ('customer', 'c_custkey'), ('orders', 'o_orderkey'), ('supplier', 's_suppkey'), ('conversations', 'conv_id,turn'), ('labels', 'doc_id')) t(name, key)",
     "sync_diff": _DIFF,
     "file_diff": """SELECT lang || '/' || doc_id AS path, CASE lang WHEN 'de' THEN 'deleted' WHEN 'fr' THEN 'modified' WHEN 'en' THEN 'touched' ELSE 'unchanged' END AS change FROM documents
         UNION ALL SELECT 'moved/' || doc_id, 'added' FROM documents WHERE lang = 'de'""",
@@ -166,7 +264,7 @@ ORACLE = {
     "schema_fingerprint": "SELECT 'c_custkey:bigint;c_name:string;c_nationkey:int;c_acctbal:double;c_mktsegment:string' AS fingerprint",
     "upsert_chunks": f"SELECT chunk_id, sha1(CASE WHEN lang = 'en' THEN content || '!' ELSE content END) AS sha1 FROM ({CHUNKS})",
     "delete_by_object": f"SELECT chunk_id, object_uri FROM ({CHUNKS}) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
-    "rename_rekey": f"SELECT sha1('default|docs://corpus|' || u || '|body|') AS chunk_id, u AS object_uri FROM (SELECT replace({_URI}, '/de/', '/deutsch/') AS u FROM documents)",
+    "rename_rekey": f"SELECT sha1('default|docs://corpus|' || u || '|body|' || locator) AS chunk_id, u AS object_uri FROM (SELECT replace(object_uri, '/de/', '/deutsch/') AS u, locator FROM ({CHUNKS}))",
     "orphan_gc": f"SELECT chunk_id, object_uri FROM ({CHUNKS}) WHERE lang = 'es'",
     "last_write_wins": "SELECT key, CAST(l_shipdate AS DATE) AS shipped, l_partkey FROM (SELECT l_orderkey || '-' || l_linenumber AS key, *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS n FROM lineitem) WHERE n = 1",
     "lru_evict": """SELECT p_partkey AS object_uri, CAST(p_size AS BIGINT) AS size_bytes FROM (SELECT *, sum(p_size) OVER () AS total, coalesce(sum(p_size) OVER (ORDER BY p_name, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM part) WHERE total - freed > 20000""",
