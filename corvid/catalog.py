@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 
 from corvid import model
 from corvid.engine import Engine
+from corvid.functions import guards
 from corvid.functions import text as t
-from corvid.operators import chunk, index, sync
+from corvid.operators import browse, chunk, index, keys, sync
 from corvid.operators.postings import Postings
 from corvid.session import shared_folder
+from corvid.sources.registry import Source, detection_of
 
 
 def _strings(*names: str) -> list[T.StructField]:
@@ -38,8 +40,8 @@ def text_producer(objects: DataFrame) -> DataFrame:
 class Catalog:
     """Objects, chunks, the embedding cache and the inverted index of all connectors, as versioned tables below root."""
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Callable[[Column], Column] = index.hash_embedding):
-        self.spark, self.embedder = spark, embedder
+    def __init__(self, spark: SparkSession, root: str, embedder: Callable[[Column], Column] = index.hash_embedding, presets: dict[str, model.ObjectConfig] | None = None):
+        self.spark, self.embedder, self.presets = spark, embedder, presets or {}
         self.objects = index.Snapshots(spark, f"{root}/objects", OBJECTS)
         self.chunks = index.Snapshots(spark, f"{root}/chunks", CHUNKS)
         self.cache = index.Snapshots(spark, f"{root}/cache", CACHE, key="cache_key")
@@ -91,6 +93,33 @@ class Catalog:
             on_success(done)
         return done
 
+    def sync(self, connector: str, source: Source, incremental: bool = False) -> DataFrame:
+        """Takes in a source; what it has as records becomes chunks by its presets or its text columns."""
+        listing = source.listing(self.spark)
+
+        def of_records(objects: DataFrame) -> DataFrame:
+            made = None
+            for row in objects.select("object_uri").collect():  # a source has few structured objects, each with many records
+                rows, cut = source.records(self.spark, row.object_uri)
+                config = self.presets.get(row.object_uri) or model.ObjectConfig(guards.text_columns(rows.schema), [], keys.primary_key(rows))
+                rows = rows if config.locator_fields else browse.seen_records(rows, rows.columns)
+                one = chunk.record_chunks(rows, row.object_uri, config).withColumns({"connector_uri": F.lit(connector), "chunk_kind": F.lit("row_text"), "partial": F.col("partial") | F.lit(cut)})
+                one = one.withColumn("chunk_id", t.chunk_id(F.col("connector_uri"), F.col("object_uri"), F.col("chunk_kind"), F.col("locator"))).select(*[f.name for f in CHUNKS if f.name != "dense_vec"])
+                made = one if made is None else made.unionByName(one)
+            return made if made is not None else self.spark.createDataFrame([], T.StructType([f for f in CHUNKS if f.name != "dense_vec"]))
+
+        def of_schemas(objects: DataFrame) -> DataFrame:
+            text, kind = F.concat(F.lit("columns: "), "content"), F.lit("schema_summary")
+            none = F.lit(None).cast("string")
+            return objects.select(t.chunk_id(F.col("connector_uri"), F.col("object_uri"), kind, none).alias("chunk_id"), "connector_uri", "object_uri", none.alias("locator"), text.alias("content"), kind.alias("chunk_kind"), F.lit("{}").alias("metadata"), F.lit(0).alias("chunk_index"), F.lit(False).alias("partial"))
+
+        structured = F.col("okind").isin("table_rows", "record_collection", "message_stream")
+        # records have no content of their own in the listing: how many there are and their hash tell whether they changed
+        facts = [(r.object_uri, source.records(self.spark, r.object_uri)[0].agg(F.concat_ws("|", F.count("*"), F.sum(F.xxhash64(F.struct("*")).cast("decimal(38,0)"))).alias("f")).first().f) for r in listing.where(structured).select("object_uri").collect()]
+        told = listing.join(F.broadcast(self.spark.createDataFrame(facts, "object_uri string, facts string")), "object_uri", "left")  # as few rows
+        whole = told.select("object_uri", "okind", F.coalesce("content", "facts").alias("content"))
+        return self.add(connector, whole, {"text": text_producer, "records": of_records, "threads": of_records, "schema": of_schemas}, detection_of(source.scheme), incremental)
+
     def remove(self, connector: str) -> None:
         """Drops a connector's objects, chunks and postings."""
         own = self.objects.read().where(F.col("connector_uri") == connector).select("object_uri").checkpoint()

@@ -113,9 +113,10 @@ class Engine:
     # browse
 
     def ls(self, path: str) -> DataFrame:
-        """Children with their search status; folders have none."""
+        """Children with their search status and whether they can be searched at all; folders have no status."""
         found = browse.children(self._inside(path), path)
-        return found.join(self.objects.select(F.col("object_uri").alias("path"), "search_status"), "path", "left").select("name", "path", "is_dir", "n_objects", "search_status")
+        indexable = F.when(~F.col("is_dir"), t.producer_of(t.object_kind(F.col("path"))).isNotNull())
+        return found.join(self.objects.select(F.col("object_uri").alias("path"), "search_status"), "path", "left").select("name", "path", "is_dir", "n_objects", "search_status", indexable.alias("indexable"))
 
     def tree(self, path: str, levels: int = 2) -> DataFrame:
         return browse.tree(self._inside(path), path, levels)

@@ -11,8 +11,9 @@ def _has(df: DataFrame, name: str) -> bool:
     return name in df.columns
 
 
-def slack_messages(df: DataFrame) -> DataFrame:
-    """A message outside any thread starts its own."""
+def slack_messages(df: DataFrame, oldest: float | None = None) -> DataFrame:
+    """A message outside any thread starts its own; with oldest only later ones."""
+    df = df.where(F.col("ts").cast("double") >= oldest) if oldest is not None else df
     return df.withColumn("thread_ts", F.coalesce("thread_ts", "ts") if _has(df, "thread_ts") else F.col("ts"))
 
 
@@ -22,6 +23,11 @@ def github_issues(df: DataFrame) -> DataFrame:
     return issues.select("number", "title", F.coalesce("body", F.lit("")).alias("body"), "state", F.col("user.login").alias("author"), F.transform("labels", lambda x: x["name"]).alias("labels"), "updated_at")
 
 
+def github_pulls(df: DataFrame) -> DataFrame:
+    """Pull requests with plain author and label names."""
+    return df.select("number", "title", F.coalesce("body", F.lit("")).alias("body"), "state", F.coalesce("draft", F.lit(False)).alias("draft"), F.col("user.login").alias("author"), F.transform("labels", lambda x: x["name"]).alias("labels"), "merged_at", "updated_at")
+
+
 def jira_issues(df: DataFrame) -> DataFrame:
     """Issue key, summary, description, names of status, priority and people, labels, and comments as [{body}]."""
     f = "fields."
@@ -33,6 +39,10 @@ def linear_issues(df: DataFrame) -> DataFrame:
     return df.select("identifier", "title", "description", F.col("state.name").alias("state"), "priority", F.col("assignee.name").alias("assignee"), F.transform("labels.nodes", lambda x: x["name"]).alias("labels"), "updatedAt")
 
 
+def linear_users(df: DataFrame) -> DataFrame:
+    return df.select("id", "name", "email", F.coalesce("active", F.lit(True)).alias("active"))
+
+
 def zendesk_comments(tickets: DataFrame, comments: DataFrame) -> DataFrame:
     """Each ticket's comments, by ticket id."""
     return tickets.select(F.col("id").alias("ticket_id"), "subject").join(comments, "ticket_id").select("ticket_id", "subject", F.col("id").alias("comment_id"), "body")
@@ -84,6 +94,15 @@ def notion_markdown(kind, text, checked=None, language=None):
     return out.when(kind == "code", F.concat(F.lit("```"), language if language is not None else F.lit(""), F.lit("\n"), text, F.lit("\n```"))).otherwise(text)
 
 
+def notion_property(value):
+    """A property's value (a struct with its type and one field for each type) as text."""
+    kind = value["type"]
+    plain = lambda f: F.array_join(F.transform(value[f], lambda x: x["plain_text"]), "")
+    out = F.when(kind == "title", plain("title")).when(kind == "rich_text", plain("rich_text")).when(kind == "number", value["number"].cast("string"))
+    out = out.when(kind == "select", value["select"]["name"]).when(kind == "multi_select", F.array_join(F.transform(value["multi_select"], lambda x: x["name"]), ", "))
+    return out.when(kind == "checkbox", value["checkbox"].cast("string")).when(kind == "date", value["date"]["start"]).when(kind == "url", value["url"])
+
+
 def drive_paths(files: DataFrame, most: int = 64) -> DataFrame:
     """(id, path) of files (id, name, parent): names joined along the parent chain, at most `most` levels up.
 

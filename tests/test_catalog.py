@@ -11,6 +11,7 @@ from corvid.model import EngineError, ObjectConfig
 from corvid.operators import browse, chunk, crawl, index, jobs, keys, order, search
 from corvid.operators.postings import Postings
 from corvid.session import shared_folder
+from corvid.sources import flatten, registry
 from corvid.streaming import feed
 
 
@@ -191,3 +192,51 @@ def test_streams(spark):
     query.processAllAvailable()
     query.stop()
     assert table.read().count() == 6
+
+
+def test_sources_by_scheme(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("def alpha():\n    return 1\n")
+    (tmp_path / "README.md").write_text("# Read me\nalpha text")
+    (tmp_path / "x.png").write_bytes(b"\x89PNG")
+    own = Catalog(spark, folder(spark))
+    tree = registry.source_of("file")(str(tmp_path))
+    assert summary(own.sync(f"file://local{tmp_path}", tree)) == {("added", "pipeline"): 3}
+    rows = spark.createDataFrame([(i, f"name {i}", "alpha " * (i % 3)) for i in range(30)], "id int, name string, note string")
+    tables = registry.Tables("postgres://db", {"people": lambda s: rows}, {"people": ["id"]}, max_read_rows=20)
+    own.sync("postgres://db", tables)
+    state = {r.object_uri: (r.search_status, r.chunk_count) for r in own.objects.read().where("connector_uri = 'postgres://db'").collect()}
+    assert state == {"postgres://db/people/rows.jsonl": ("partial", 20), "postgres://db/people/schema.json": ("indexed", 1)}
+    hit = own.engine(["postgres://db", f"file://local{tmp_path}"]).search("name 7", "postgres://db", "keyword", 1).first()
+    assert hit.locator == '{"id":7}' and hit.metadata == '{"chunk_kind":"row_text","fields":{},"kind":"search"}'
+    assert summary(own.sync("postgres://db", tables)) == {("unchanged", "keep"): 2}
+    with pytest.raises(EngineError):
+        registry.source_of("nope")
+    registry.register_source("mine", registry.Pages)
+    assert registry.source_of("mine") is registry.Pages and "gmail" in registry.schemes() and registry.detection_of("slack") == "never"
+    pages = registry.Pages(lambda s: s.createDataFrame([("http://h/a", "<h1>T</h1>alpha")], "url string, html string"))
+    assert [tuple(r) for r in pages.listing(spark).collect()] == [("web://crawl/pages/h/a.md", "document", "\n# T\nalpha")]
+    (tmp_path / "rec").mkdir()
+    (tmp_path / "rec" / "m.jsonl").write_text('{"text": "hello"}\n{"text": "bye"}')
+    chat = registry.RecordFolder("slack://w", f"file://{tmp_path}/rec")
+    assert [r.object_uri for r in chat.listing(spark).collect()] == ["slack://w/m.jsonl"] and chat.records(spark, "slack://w/m.jsonl")[0].count() == 2
+
+
+def test_more_flatteners(spark):
+    chat = spark.createDataFrame([("1.5", None), ("2.5", "1.5")], "ts string, thread_ts string")
+    assert [(r.ts, r.thread_ts) for r in flatten.slack_messages(chat, 2.0).collect()] == [("2.5", "1.5")]
+    pull = spark.createDataFrame([(1, "t", None, "open", None, ("ann",), [("bug",)], None, "now")], "number int, title string, body string, state string, draft boolean, user struct<login:string>, labels array<struct<name:string>>, merged_at string, updated_at string")
+    assert [(r.author, r.labels, r.draft, r.body) for r in flatten.github_pulls(pull).collect()] == [("ann", ["bug"], False, "")]
+    users = spark.createDataFrame([("1", "A", "a@x", None)], "id string, name string, email string, active boolean")
+    assert flatten.linear_users(users).first().active is True
+    kind = "p struct<type:string,title:array<struct<plain_text:string>>,rich_text:array<struct<plain_text:string>>,number:double,select:struct<name:string>,multi_select:array<struct<name:string>>,checkbox:boolean,date:struct<start:string>,url:string>"
+    none = (None,) * 8
+    cells = [("title", [("a",), ("b",)], *none[1:]), ("number", None, None, 2.5, *none[3:]), ("select", None, None, None, ("s",), *none[4:]), ("multi_select", None, None, None, None, [("x",), ("y",)], *none[5:]), ("checkbox", *none[:5], True, None, None), ("date", *none[:6], ("2024-01-01",), None), ("url", *none[:7], "u")]
+    assert [r[0] for r in spark.createDataFrame([(c,) for c in cells], kind).select(flatten.notion_property(F.col("p"))).collect()] == ["ab", "2.5", "s", "x, y", "true", "2024-01-01", "u"]
+    issue = spark.createDataFrame([("K-1", ("s", "d", ("Open",), ("High",), None, ("rep",), ["l"], "now", ([("c1",), ("",)],)))], "key string, fields struct<summary:string,description:string,status:struct<name:string>,priority:struct<name:string>,assignee:struct<displayName:string>,reporter:struct<displayName:string>,labels:array<string>,updated:string,comment:struct<comments:array<struct<body:string>>>>")
+    row = flatten.jira_issues(issue).first()
+    assert (row.status, row.assignee, row.reporter, [c.body for c in row.comments]) == ("Open", None, "rep", ["c1"])
+    tickets, notes = spark.createDataFrame([(1, "s")], "id int, subject string"), spark.createDataFrame([(5, 1, "b"), (6, 2, "c")], "id int, ticket_id int, body string")
+    assert [tuple(r) for r in flatten.zendesk_comments(tickets, notes).collect()] == [(1, "s", 5, "b")]
+    crm = spark.createDataFrame([("1", ("Ann", "x"))], "id string, properties struct<firstname:string,email:string>")
+    assert flatten.hubspot_objects(crm).columns == ["id", "firstname", "email"]
