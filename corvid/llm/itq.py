@@ -1,20 +1,23 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-A rotation of the centred, normalised vectors is learnt so that their signs are balanced binary codes that keep angles. A code
-is cut into substrings, one table for each; vectors that agree in a substring meet in a bucket, and there the original vectors
-are compared by their cosine in double precision. A pair that agrees in several substrings is counted in the first of them only.
+A rotation of the centred, normalised vectors is learnt so that their signs are balanced binary codes that keep angles. Each
+table takes a substring of the code (the first tables cut it up, further ones cut up a shuffled code); vectors that agree in a
+substring meet in a bucket, and there the original vectors are compared by their cosine in double precision. A pair that agrees
+in several substrings is counted in the first of them only. Substrings grow by a bit whenever the vectors double, so buckets
+keep their size, and as many tables are built as it takes to miss a pair at the threshold with a chance of one in a hundred.
 
 Equal vectors of one label are folded into one class first. A large bucket is cut into blocks of bounded size; each pair of
 blocks is compared on its own and gives, for each vector, its number of links and the smallest vector that it reaches inside
 the pair of blocks. So no task sees a whole large bucket and no list of pairs is ever written.
 
 Edge cases: a vector that is null, empty, zero, or holds a null or non-finite component, or whose label or id is null, links
-with nothing. Vectors of different lengths don't link. Rows that repeat an id are one node: they share
-a component and the sum of their links. Other columns of the input are ignored.
+with nothing. Vectors of different lengths don't link. Rows that repeat an id are one node: they share a component and the sum
+of their links. An empty table gives an empty result. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvid.llm.common import components, hashed_share, shared_dir, written
+from corvid.llm.common import components, sample_of, shared_dir, written
 
 
 def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 50, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -59,16 +62,36 @@ def unit_rows(column: pa.ListArray) -> list[np.ndarray | None]:
     return out
 
 
-CODED = T.StructType([T.StructField("vec", T.LongType()), T.StructField("times", T.LongType()), T.StructField("label", T.StringType()), T.StructField("unit", T.BinaryType()), T.StructField("code", T.LongType()), T.StructField("parts", T.ArrayType(T.IntegerType()))])
+def units_of(raw: np.ndarray) -> np.ndarray:
+    """unit_rows for vectors of equal length that can link."""
+    x = raw.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def table_positions(rows: int, bits: int, threshold: float, miss: float = 0.01, seed: int = 9) -> list[np.ndarray]:
+    """The code bits of each table's substring.
+
+    A bit of two codes differs with a chance of angle / pi, so a substring of b bits agrees with a chance of (1 - angle / pi)^b.
+    """
+    width = min(max(8, round(math.log2(max(rows, 1))) - 2), max(1, bits // 2), 48)
+    agree = (1 - math.acos(threshold) / math.pi) ** width
+    wanted = math.ceil(math.log(miss) / math.log(1 - agree)) if agree < 1 else 1
+    random, order, out = np.random.default_rng(seed), np.arange(bits), []
+    while len(out) < wanted:
+        out += [order[i : i + width] for i in range(0, bits - width + 1, width)]
+        order = random.permutation(bits)
+    return out[:wanted]
+
+
+CODED = T.StructType([T.StructField("vec", T.LongType()), T.StructField("times", T.LongType()), T.StructField("label", T.StringType()), T.StructField("raw", T.BinaryType()), T.StructField("code", T.LongType()), T.StructField("parts", T.ArrayType(T.LongType()))])
 LINKED = T.StructType([T.StructField("vec", T.LongType()), T.StructField("links", T.LongType()), T.StructField("low", T.LongType())])
 
 
-def codes(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, tables: int, table_bits: int) -> DataFrame:
-    """(vec, times, label, unit vector, code, substrings) of the vectors that can link."""
+def codes(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, tables: list[np.ndarray]) -> DataFrame:
+    """(vec, times, label, vector, code, substrings) of the vectors that can link."""
     dims, bits = projection.shape
     weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-    shifts = np.arange(tables, dtype=np.uint64) * np.uint64(table_bits)
-    mask = np.uint64(2**table_bits - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,11 +101,13 @@ def codes(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, tables:
             for k, i in enumerate(good):
                 n = min(dims, len(units[i]))
                 fitted[k, :n] = units[i][:n]  # other lengths than the usual one still get a code
-            code = ((((fitted - mean) @ projection) >= 0) * weights).sum(axis=1, dtype=np.uint64)
-            parts = ((code[:, None] >> shifts) & mask).astype(np.int32)
+            bit = ((fitted - mean) @ projection) >= 0
+            code = (bit * weights).sum(axis=1, dtype=np.uint64)
+            parts = np.stack([bit[:, t] @ (np.int64(1) << np.arange(len(t), dtype=np.int64)) for t in tables], axis=1)
             kept = batch.take(pa.array(good, pa.int64()))
-            offsets = pa.array(np.arange(len(good) + 1, dtype=np.int32) * tables)
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array([units[i].tobytes() for i in good], pa.binary()), pa.array(code.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(parts.ravel()))], names=CODED.names)
+            raw = [v.values.to_numpy(zero_copy_only=False).tobytes() for v in kept.column(3)]
+            offsets = pa.array(np.arange(len(good) + 1, dtype=np.int32) * len(tables))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array(raw, pa.binary()), pa.array(code.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(parts.ravel()))], names=CODED.names)
 
     return classes.select("vec", "times", "label", "embedding").mapInArrow(run, CODED)
 
@@ -98,25 +123,30 @@ def lowest_reachable(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         low = step
 
 
-def compare(left: tuple, right: tuple | None, table: int, threshold: float, table_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links within one block (right None) or between two blocks of a bucket: (vec, links, lowest reachable vec)."""
+def compare(left: tuple, right: tuple | None, masks: list[np.uint64], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within one block (right None) or between two blocks of a bucket: (vec, links, lowest reachable vec).
+
+    masks: the substrings of the tables before this one; pairs that agree in one of them are counted there.
+    """
     ids, times, units, code = left if right is None else tuple(np.concatenate(x) for x in zip(left, right, strict=True))
     linked = units @ units.T >= threshold
     np.fill_diagonal(linked, False)
     if right is not None:
         linked[: len(left[0]), : len(left[0])] = False
         linked[len(left[0]) :, len(left[0]) :] = False
-    differ = code[:, None] ^ code[None, :]
-    for earlier in range(table):
-        linked &= (differ >> np.uint64(earlier * table_bits)) & np.uint64(2**table_bits - 1) != 0
+    i, j = np.nonzero(linked)
+    differ = code[i] ^ code[j]
+    for mask in masks:
+        linked[i, j] &= differ & mask != 0
     links = linked @ times
     some = links > 0
     return ids[some], links[some], lowest_reachable(linked[np.ix_(some, some)], ids[some])
 
 
-def bucket_links(coded: DataFrame, tables: int, table_bits: int, block: int, threshold: float) -> DataFrame:
+def bucket_links(coded: DataFrame, tables: list[np.ndarray], block: int, threshold: float, kind: str) -> DataFrame:
     """(vec, links, low): partial link counts, and an edge to the smallest vector reached, for each block comparison."""
-    members = coded.select("vec", "times", "label", "unit", "code", F.length("unit").alias("width"), F.posexplode("parts").alias("table", "part"))
+    members = coded.select("vec", "times", "label", "raw", "code", F.length("raw").alias("width"), F.posexplode("parts").alias("table", "part"))
+    masks = [np.uint64(sum(1 << int(p) for p in t)) for t in tables]
     bucket = ["label", "width", "table", "part"]
     sizes = members.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
     own = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
@@ -127,18 +157,18 @@ def bucket_links(coded: DataFrame, tables: int, table_bits: int, block: int, thr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block_of(rows: list[tuple]) -> tuple:
-            return (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.stack([np.frombuffer(r[2]) for r in rows]), np.array([r[3] for r in rows], np.int64).view(np.uint64))
+            return (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), units_of(np.stack([np.frombuffer(r[2], kind) for r in rows])), np.array([r[3] for r in rows], np.int64).view(np.uint64))
 
         def settle(key: tuple, rows: list[tuple]) -> tuple:
             left, right = [r for r in rows if r[4] == key[4]], [r for r in rows if r[4] != key[4]]
             if key[4] != key[5] and not (left and right) or len(rows) < 2:
                 return (np.zeros(0, np.int64),) * 3
-            return compare(block_of(left), block_of(right) if right else None, key[2], threshold, table_bits)
+            return compare(block_of(left), block_of(right) if right else None, masks[: key[2]], threshold)
 
         key, rows = None, []
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in (*keys, "vec", "times", "unit", "code", "own")]
+            columns = [batch.column(c).to_pylist() for c in (*keys, "vec", "times", "raw", "code", "own")]
             for row in zip(*columns, strict=True):
                 if row[:6] != key:
                     if rows:
@@ -150,36 +180,37 @@ def bucket_links(coded: DataFrame, tables: int, table_bits: int, block: int, thr
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in settle(key, rows)], names=LINKED.names)
 
-    return paired.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "vec", "times", "unit", "code", "own").mapInArrow(run, LINKED)
+    return paired.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "vec", "times", "raw", "code", "own").mapInArrow(run, LINKED)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 6, table_bits: int = 10, block: int = 192, sample_rows: int = 20_000, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 192, sample_rows: int = 20_000, miss: float = 0.01, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    The rotation is fitted on about sample_rows rows, chosen by a hash of the id; every vector is indexed. With 6 tables of 10
-    bits a pair at cosine 0.98 is found with a chance of about 0.98, closer pairs more surely.
+    The rotation is fitted on about sample_rows rows (twice as many at most), chosen by a hash of label and vector; every vector
+    is indexed. A pair at the threshold is missed with a chance of about miss, closer pairs less often.
     """
     spark = vectors.sparkSession
     work = shared_dir(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    single = isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("embedding"))
+    # vectors are told apart by 128 bits of hashes, so that arrays are never join keys
+    same = ["label", "m1", "m2"]
+    rows = rows.withColumns({"m1": F.xxhash64(F.lit(1), "label", "embedding"), "m2": F.xxhash64(F.lit(2), "embedding", "label")})
     usable = rows.where("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0")
-    total = usable.count()
     width = usable.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dims = width[0]["d"] if width else 1
-    sample = [x for r in usable.where(F.size("embedding") == dims).where(hashed_share(F.col("vec_id"), total, sample_rows)).select("embedding").toArrow().column(0).chunks for x in unit_rows(r) if x is not None]
+    sample = [x for r in sample_of(usable.where(F.size("embedding") == dims), "m1", sample_rows).select("embedding").toArrow().column(0).chunks for x in unit_rows(r) if x is not None]
     mean, projection = learn_rotation(np.stack(sample) if sample else np.eye(dims), min(64, dims))
     # equal vectors of a label: the smallest id stands for all
-    folded = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec"), F.count("*").alias("times"))
-    classes = written(folded, f"{work}/classes")
-    # in few dimensions fewer, shorter substrings
-    table_bits = max(1, min(table_bits, projection.shape[1] // tables))
-    coded = written(codes(classes, mean, projection, tables, table_bits), f"{work}/codes")
-    found = written(bucket_links(coded, tables, table_bits, block, threshold), f"{work}/found")
+    classes = written(usable.groupBy(*same).agg(F.min("vec_id").alias("vec"), F.count("*").alias("times"), F.first("embedding").alias("embedding")), f"{work}/classes")
+    tables = table_positions(classes.count(), projection.shape[1], threshold, miss)
+    coded = written(codes(classes, mean, projection, tables), f"{work}/codes")
+    found = written(bucket_links(coded, tables, block, threshold, "<f4" if single else "<f8"), f"{work}/found")
     counts = found.groupBy("vec").agg(F.sum("links").alias("links"))
-    owners = written(usable.join(classes, ["label", "embedding"]).select("vec_id", "vec", "times"), f"{work}/owners")
+    owners = written(usable.select("vec_id", *same).join(classes.select(*same, "vec", "times"), same).select("vec_id", "vec", "times"), f"{work}/owners")
     edges = found.select(F.col("vec").alias("a"), F.col("low").alias("b")).union(owners.join(coded.select("vec"), "vec", "left_semi").select(F.col("vec").alias("a"), F.col("vec_id").alias("b")))
     labels = components(edges, f"{work}/parts")
     sums = coded.select("vec").distinct().join(counts, "vec", "left").select("vec", F.coalesce("links", F.lit(0)).alias("links"))
-    known = classes.join(sums, "vec", "left").select("label", "embedding", F.when(F.col("links").isNotNull(), F.col("links") + F.col("times") - 1).otherwise(0).alias("n_links"))
-    out = rows.join(known, ["label", "embedding"], "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    known = classes.join(sums, "vec", "left").select(*same, F.when(F.col("links").isNotNull(), F.col("links") + F.col("times") - 1).otherwise(0).alias("n_links"))
+    out = rows.select("vec_id", *same).join(known, same, "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.col("vec_id").eqNullSafe(F.coalesce("component", "vec_id")).alias("kept"))

@@ -1,7 +1,8 @@
 import brute
 import numpy as np
 
-from corvid.llm.itq import near_vectors
+from corvid.llm import itq
+from corvid.llm.itq import near_vectors, table_positions
 
 SCHEMA = "vec_id long, embedding array<float>, label int, code long, n_links int"
 
@@ -41,3 +42,38 @@ def test_edges(spark):
     assert {k: v for k, v in got.items() if v[0]} == {7: (2, 7, True), 8: (2, 7, False), 10: (2, 7, False)}
     assert all(v == (0, k, True) for k, v in got.items() if k not in (7, 8, 10))
     assert run(spark, []) == {}
+
+
+def test_comparisons_a_row_stay_level_and_recall_holds():
+    """Pairs that meet in a bucket, counted from the codes, for 4,000 and 32,000 vectors; recall on planted pairs at the threshold."""
+    each = []
+    for n in (4000, 32_000):
+        random = np.random.default_rng(n)
+        base = random.standard_normal((n - 400, 64))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        across = random.standard_normal((400, 64))
+        across -= (across * base[:400]).sum(axis=1, keepdims=True) * base[:400]
+        across /= np.linalg.norm(across, axis=1, keepdims=True)
+        near = 0.9805 * base[:400] + np.sqrt(1 - 0.9805**2) * across  # just above the threshold
+        rows = np.concatenate([base, near])
+        mean, projection = itq.learn_rotation(rows[:4000], 64, rounds=10)
+        tables = table_positions(n, 64, 0.98)
+        bit = ((rows - mean) @ projection) >= 0
+        met, pairs = np.zeros(400, bool), 0
+        for t in tables:
+            part = bit[:, t] @ (1 << np.arange(len(t)))
+            size = np.unique(part, return_counts=True)[1]
+            pairs += (size * (size - 1) // 2).sum()
+            met |= part[:400] == part[-400:]
+        each.append(pairs / n)
+        assert met.mean() >= 0.96
+    assert each[1] < 2.5 * each[0]
+
+
+def test_double_vectors_and_few_dimensions(spark):
+    random = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in random.standard_normal(3)], 1) for k in range(300)]
+    df = spark.createDataFrame([(i, v, y) for i, v, y in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_vectors(df).collect()}
+    links = brute.vector_links(rows, 0.98)
+    assert sum(got.values()) >= 0.9 * 2 * len(links) > 0
