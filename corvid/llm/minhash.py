@@ -9,8 +9,9 @@ member only; these pairs are confirmed and joined into components. In a bucket o
 largest component are then compared with all members of other components. In larger buckets, which documents with a common
 template make, members of different components are compared only where they share one of their rarest shingles: two sets above
 the threshold must share one of the rarest fifth of each (of |set| - ceil(threshold * |set|) + 1 shingles), counted over all
-members of such buckets. So every candidate pair is confirmed, refuted or already connected, and documents that only share a
-template are never paired.
+members of such buckets. Pairs are named for rare shingles of at most RARE documents; documents that share one which more have
+(families of copies that differ a little) are compared by blocks as in small buckets. So every candidate pair is confirmed,
+refuted or already connected, and documents that only share a template are never paired.
 
 Edge cases: a null or blank text has no shingle; it links with nothing and is its own component. A text of fewer words than a
 shingle has one shingle, the whole sequence. A null doc_id links with nothing: its component_id is null and it is kept. Rows
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corvid.llm.common import among, components, matched, shared_dir, written
+from corvid.llm.common import among, components, matched, remove, shared_dir, written
 
 #: Documents whose words are hashed together.
 BLOCK = 2000
@@ -41,6 +42,8 @@ BLOCK = 2000
 CHUNK = 2048
 #: Members of a bucket that are compared without regard to their shingles, and most of them in one side of a block comparison.
 STRAY_BLOCK = 512
+#: Documents that hold a rare shingle, up to which its pairs are written out.
+RARE = 16
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -173,8 +176,9 @@ def cells(placed: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def rare_pairs(wide: DataFrame, sets: DataFrame, percent: int, work: str) -> DataFrame:
-    """Pairs (a, b) of wide (doc_id, part) in different parts that share one of their rarest shingles."""
+def rarest(wide: DataFrame, sets: DataFrame, percent: int, work: str) -> DataFrame:
+    """(key, doc_id, part, n, held): the rarest shingles of each of wide (doc_id, part) that others have among theirs; n is the
+    size of the document's set, held the number of documents with the shingle among their rarest."""
     own = sets.join(wide, "doc_id").select("doc_id", "part", "n", F.explode("shingles").alias("key"))
     own = written(own, f"{work}/wide")
     often = own.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
@@ -183,6 +187,12 @@ def rare_pairs(wide: DataFrame, sets: DataFrame, percent: int, work: str) -> Dat
     rarest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     kept = ranked.withColumn("nth", nth).where((F.col("nth") <= rarest) & (F.col("times") > 1)).select("key", "doc_id", "part", "n")
     kept = written(kept, f"{work}/rare")
+    counts = kept.groupBy("key").agg(F.count("*").alias("held"), F.min("part").alias("low"), F.max("part").alias("high"))
+    return written(kept.join(counts.where("low <> high").select("key", "held"), "key"), f"{work}/shared")
+
+
+def rare_pairs(kept: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different parts that share a shingle of kept (key, doc_id, part, n); each shingle has few documents."""
     own_keys = kept.groupBy("doc_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("key")).alias("keys"))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -296,9 +306,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     apart = large.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     wide = written(large.join(apart, "key", "left_semi").select("doc_id", "part").distinct(), f"{work}/apart")
     if wide.limit(1).count():
-        rare = written(rare_pairs(wide, sets.drop("keys"), percent, work), f"{work}/rare_pairs")
-        found = found.union(written(confirmed(rare, sets, percent), f"{work}/rare_links"))
+        shared = rarest(wide, sets.drop("keys"), percent, work)
+        named = written(rare_pairs(shared.where(F.col("held") <= RARE), percent), f"{work}/rare_pairs")
+        found = found.union(written(confirmed(named, sets, percent), f"{work}/rare_links"))
+        families = shared.where(F.col("held") > RARE).select("doc_id").distinct()
+        found = found.union(written(stray_links(large.join(families, "doc_id", "left_semi").drop("n"), sets, percent), f"{work}/family_links"))
     links = found.union(copies)
     labels = components(links, f"{work}/last")
+    # what is returned reads the signatures and the components only
+    remove(spark, *(f"{work}/{t}" for t in ("classes", "keys", "firsts", "members", "wanted", "sets", "stars", "parts", "placed", "strays", "apart", "wide", "rare", "shared", "rare_pairs", "rare_links", "family_links")))
     out = signed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

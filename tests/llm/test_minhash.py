@@ -1,4 +1,5 @@
 import brute
+import pytest
 from pyspark.sql import types as T
 
 from corvid.llm.common import components, shared_dir
@@ -21,12 +22,15 @@ def test_matches_brute_force_on_documents(spark):
     assert got == brute.near_duplicates(rows, 4, 80)
 
 
-def test_strays_of_a_large_bucket_are_all_compared(spark, monkeypatch):
+@pytest.mark.parametrize("rare", [1, 4, 1000])
+def test_strays_of_a_large_bucket_are_all_compared(spark, monkeypatch, rare):
+    """Families of copies that differ a little: compared by blocks, by pairs of rare shingles, or by both."""
     import random
 
     from corvid.llm import minhash
 
     monkeypatch.setattr(minhash, "STRAY_BLOCK", 7)
+    monkeypatch.setattr(minhash, "RARE", rare)
     rnd = random.Random(2)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -63,10 +67,10 @@ def test_documents_that_share_a_template_are_not_paired(spark, monkeypatch):
 
     seen = []
     pairs = minhash.rare_pairs
-    monkeypatch.setattr(minhash, "rare_pairs", lambda *a: (seen.append(pairs(*a)), seen[-1])[1])
+    monkeypatch.setattr(minhash, "rare_pairs", lambda *a: (seen.append((found := pairs(*a)).count()), found)[1])
     template = " ".join(f"t{i}" for i in range(300))
     rows = [(k, template + " " + " ".join(f"u{k}x{i}" for i in range(100))) for k in range(1500)]
     rows += [(2000 + k, rows[7 * k][1] + " more") for k in range(2)]
     got = {r[0]: r[2] for r in run(spark, rows, words=4, percent=80)}
     assert {i for i, c in got.items() if c != i} == {2000, 2001} and got[2001] == 7
-    assert len(seen) == 1 and seen[0].count() <= 4
+    assert len(seen) == 1 and seen[0] <= 4
