@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A stage works
 on all that its predecessor kept. Rows with null or empty texts, repeated rows and empty tables pass through as the operators'
-docstrings define.
+docstrings define; columns beyond those of documents are carried along whatever their names, and texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import langid, linededup, minhash, packing, quality
-from corvid.llm.common import among, not_among, shared_dir, written
+from corvid.llm.common import among, not_among, remove, shared_dir, written
 from corvid.llm.queries import tokenizer_path
 
 
@@ -67,7 +67,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents."""
     work = shared_dir(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"{work}/{name}")
+        if before:
+            remove(spark, f"{work}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvid.session import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share; where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corvid-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/corvid/{uuid.uuid4().hex}"
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share; a cluster that names none is an error."""
+    return f"{shared_folder(spark)}/corvid/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -24,10 +21,11 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared file system."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def hashed_share(key, rows: int, bound: int):
@@ -94,7 +92,8 @@ def components(edges: DataFrame, work: str) -> DataFrame:
 
     Rounds of contraction: each node hooks to its smallest neighbour, the resulting trees are flattened by pointer jumping,
     and edges are rewritten between roots until none is left. Minima are combined before the shuffle, and joins are on plain
-    equality, so a hub with very many edges is split by adaptive execution. Every table is written below work.
+    equality, so a hub with very many edges is split by adaptive execution. Every table is written below work, and deleted once
+    the next one is there; the last one stays.
     """
     spark = edges.sparkSession
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{work}/edges0")
@@ -110,6 +109,7 @@ def components(edges: DataFrame, work: str) -> DataFrame:
             jump += 1
             above = hooks.select(F.col("x").alias("up"), F.col("up").alias("top"))
             hooks = written(hooks.join(above, "up", "left").select("x", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), f"{work}/hooks{step}_{jump}")
+            remove(spark, f"{work}/hooks{step}_{jump - 1}")
             if not hooks.where("moved").limit(1).count():
                 break
             hooks = hooks.select("x", "up")
@@ -118,4 +118,5 @@ def components(edges: DataFrame, work: str) -> DataFrame:
         left = edges.join(hooks, F.col("a") == F.col("x"), "left").select(F.coalesce("up", "a").alias("a"), "b")
         both = left.join(hooks, F.col("b") == F.col("x"), "left").select("a", F.coalesce("up", "b").alias("b"))
         edges = written(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{work}/edges{step}")
+        remove(spark, f"{work}/labels{step - 1}", f"{work}/edges{step - 1}", f"{work}/hooks{step}_{jump}")
     return labels

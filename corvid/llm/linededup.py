@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvid.llm.common import matched, shared_dir, sifted, written
+from corvid.llm.common import matched, remove, shared_dir, sifted, written
 
 #: Where units end.
 LINES, PARAGRAPHS = r"(?<=\n)", r"(?<=\n\n)"
@@ -66,6 +66,7 @@ def remove_repeats(docs: DataFrame, min_chars: int = 160, units: str = SENTENCES
     # texts whose repeats are too short taken together lose nothing; the exact runs are told with the text at hand
     losing = repeats.groupBy("row").agg(F.collect_list(F.struct("pos", "chars")).alias("repeated"), F.sum("chars").alias("chars")).where(F.col("chars") >= min_chars).drop("chars")
     losing = written(losing, f"{work}/losing")
+    remove(docs.sparkSession, f"{work}/units", f"{work}/first")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
     schema = T.StructType([rows.schema["record"], T.StructField("text", T.StringType()), T.StructField("n_units", T.IntegerType()), T.StructField("n_removed", T.IntegerType()), T.StructField("removed", T.ArrayType(span))])
     told = sifted(rows, "row", losing.select("row"))

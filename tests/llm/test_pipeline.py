@@ -38,9 +38,12 @@ def test_edges(spark):
 
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "No id here but words.", "en", None, 3), (3, "the word " * 30_000, None, "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for frame in (docs, docs.limit(0)):
-        for _, stage in p.STAGES:
-            stage(spark, frame, "/root/testdata/sf0.001").collect()
+    clashing = docs.withColumns({c: F.lit(1) for c in ("record", "row", "found", "score", "place", "component", "units", "piece", "length", "maybe", "word")})
+    for frame in (docs, docs.limit(0), clashing):
+        for name, stage in p.STAGES:
+            out = stage(spark, frame, "/root/testdata/sf0.001")
+            out.collect()
+            assert name == "packing" or out.columns == frame.columns
 
 
 def test_near_duplicates_with_repeated_and_null_ids(spark):

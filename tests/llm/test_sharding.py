@@ -1,5 +1,8 @@
+import struct
 import zlib
 
+import xxhash
+
 from corvid.llm.common import shared_dir
 from corvid.llm.sharding import digest, shuffle_into_shards
 
@@ -69,3 +72,16 @@ def test_repeated_rows_spread_over_buckets(spark):
     hot = got.where("record.doc_id = 7").select("shard").first().shard
     slots = sorted(r.slot for r in got.where(f"shard = {hot} and record.doc_id <> 7").collect())
     assert slots[0] < 200 and slots[-1] > 2200
+
+
+def test_the_largest_draw_wins(spark):
+    """Shards against hashes by the xxhash library: each hash is the seed of the next column's."""
+
+    def draw(shard, key, seed=17):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), xxhash.xxh64_intdigest(struct.pack("<i", seed), 42))
+        h = h if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+        return (h + 2**63) % 2**64 - 2**63
+
+    keys = [None, 0, -5, 2**62, *range(100, 160)]
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in digest(frame(spark, [(k, "t") for k in keys]), shards=7).collect()}
+    assert got == {k: tuple(max(range(n), key=lambda s: (draw(s, k), s)) for n in (7, 8)) for k in keys}
