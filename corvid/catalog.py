@@ -38,13 +38,16 @@ def text_producer(objects: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """Objects, chunks, the embedding cache and the inverted index of all connectors, as versioned tables below root."""
+    """Objects, chunks, the embedding cache and the inverted index of all connectors, as versioned tables below root.
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Callable[[Column], Column] = index.hash_embedding, presets: dict[str, model.ObjectConfig] | None = None):
+    buckets: how finely the tables are cut; a change rewrites the buckets that it falls into.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, embedder: Callable[[Column], Column] = index.hash_embedding, presets: dict[str, model.ObjectConfig] | None = None, buckets: int = 64):
         self.spark, self.embedder, self.presets = spark, embedder, presets or {}
-        self.objects = index.Snapshots(spark, f"{root}/objects", OBJECTS)
-        self.chunks = index.Snapshots(spark, f"{root}/chunks", CHUNKS)
-        self.cache = index.Snapshots(spark, f"{root}/cache", CACHE, key="cache_key")
+        self.objects = index.Snapshots(spark, f"{root}/objects", OBJECTS, buckets=buckets)
+        self.chunks = index.Snapshots(spark, f"{root}/chunks", CHUNKS, buckets=buckets)
+        self.cache = index.Snapshots(spark, f"{root}/cache", CACHE, key="cache_key", buckets=buckets)
         self.postings = Postings(spark, f"{root}/postings")
 
     def add(self, connector: str, listing: DataFrame, producers: dict[str, Producer] | None = None, detection: str = "full_scan", incremental: bool = False, on_success: Callable[[DataFrame], None] | None = None) -> DataFrame:

@@ -45,6 +45,9 @@ class Postings:
 
     def _living(self, rows: DataFrame, span: tuple[int, int] | None = None) -> DataFrame:
         """Rows of objects that no later segment lists as gone or replaced."""
+        base, last = span or self.segments()
+        if base == last:
+            return rows
         gone = self._read("gone", "object_uri string, seg int", span).groupBy("object_uri").agg(F.max("seg").alias("until"))
         return rows.join(gone, "object_uri", "left").where(F.col("seg") >= F.coalesce("until", F.lit(0))).drop("until")
 
@@ -81,6 +84,10 @@ class Postings:
         buckets = [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(bucket_of(F.col("w"))).distinct().collect()]
         return self._living(self._read("postings", POSTINGS).where(F.col("bucket").isin(buckets) & F.col("term").isin(words)))
 
+    def vocabulary(self) -> DataFrame:
+        """(term, df, cf): how many living chunks hold each term, and how often it occurs."""
+        return self._living(self._read("postings", POSTINGS)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
     def stats(self) -> DataFrame:
         """(n, avgdl) of all living chunks: one row."""
         _, last = self.segments()

@@ -13,14 +13,25 @@ from corvid.operators import grep, index, search
 from corvid.operators.postings import Postings
 from corvid.plans.browsing import PAGE_TEXT, PAGE_URI
 from corvid.plans.common import CHUNKS, DOC_URI, LINES, WORDS, bm25_sql
+from corvid.plans.stored import build, stored
 from corvid.session import shared_folder
-from corvid.sources.tables import document_chunks, document_uri, page_objects, table
+from corvid.sources.tables import document_uri, page_objects, table
 
 QUERY, TERMS = "Tion the rely", ["rely", "the", "tion"]
 
 
 def chunks(spark, d):
-    return document_chunks(table(spark, d, "documents"))
+    return stored(spark, d)[0]
+
+
+def ranked(spark, d, query=QUERY, where=None, top_k=10):
+    return stored(spark, d)[1].bm25(query, where, top_k)
+
+
+def index_build(spark, d):
+    """Chunks and postings of all documents from nothing: what a first sync costs."""
+    _, postings = build(spark, d, f"{shared_folder(spark)}/corvid-index/{uuid.uuid4().hex}")
+    return postings.stats().select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def query_vector(spark, d):
@@ -29,21 +40,25 @@ def query_vector(spark, d):
 
 
 def bm25_topk(spark, d):
+    return ranked(spark, d)
+
+
+def bm25_scan(spark, d):
+    """The same without an index, over all chunks."""
     return search.bm25(chunks(spark, d), QUERY)
 
 
 def bm25_scoped(spark, d):
-    return search.bm25(chunks(spark, d), QUERY, search.in_scope("docs://corpus", "docs://corpus/en"))
+    return ranked(spark, d, where=search.in_scope("docs://corpus", "docs://corpus/en"))
 
 
 def bm25_kind_filter(spark, d):
-    return search.bm25(chunks(spark, d), QUERY, search.in_scope(kinds=["body", "row_text"]), top_k=25)
+    return ranked(spark, d, where=search.in_scope(kinds=["body", "row_text"]), top_k=25)
 
 
 def token_stats(spark, d):
     """How many chunks hold each term, and how often it occurs."""
-    words = chunks(spark, d).select("chunk_id", F.explode(t.tokens(F.col("content"))).alias("term"))
-    return words.groupBy("chunk_id", "term").count().groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
+    return stored(spark, d)[1].vocabulary()
 
 
 def corpus_stats(spark, d):
@@ -57,26 +72,28 @@ def dense_topk(spark, d):
 
 def hybrid_rrf(spark, d):
     """Vector k stands for document k; each leg brings three times what is asked for, of chunks of one document the best."""
-    lexical = search.bm25(chunks(spark, d), QUERY, top_k=10 * OVERFETCH, extra=("doc_id",)).groupBy("doc_id").agg(F.max("score").alias("score"))
+    hits = ranked(spark, d, top_k=10 * OVERFETCH)
+    lexical = hits.withColumn("doc_id", F.regexp_extract("object_uri", r"(\d+)\.md$", 1).cast("long")).groupBy("doc_id").agg(F.max("score").alias("score"))
     dense = search.dense(table(spark, d, "embeddings"), query_vector(spark, d), 10 * OVERFETCH).select(F.col("vec_id").alias("doc_id"), "score")
     return search.fuse([lexical, dense], "doc_id", 10)
 
 
 def search_collapse(spark, d):
     """The best hit of each folder among the best 30."""
-    hits = search.bm25(chunks(spark, d), QUERY, top_k=30).withColumn("folder", t.parent(F.col("object_uri")))
+    hits = ranked(spark, d, top_k=30).withColumn("folder", t.parent(F.col("object_uri")))
     return search.collapse(hits, ["folder"], [F.desc("score"), F.col("chunk_id")]).select("folder", "object_uri", "score")
 
 
 def search_envelope(spark, d):
-    hits = search.bm25(chunks(spark, d), QUERY, extra=("content", "chunk_kind", "locator", "metadata"))
+    rows, postings = stored(spark, d)
+    hits = rows.join(F.broadcast(postings.bm25(QUERY).select("chunk_id", "score")), "chunk_id")  # ten rows
     return search.envelope(hits, F.substring("content", 1, 80), F.col("chunk_kind"), F.col("locator"), F.col("metadata"))
 
 
 def engine_search(spark, d):
     """The same through the engine's front, in one folder, collapsed: the best chunk of each document among the best ten."""
-    rows = chunks(spark, d)
-    hits = Engine(["docs://corpus"], document_uri(table(spark, d, "documents")), rows).search(QUERY, "docs://corpus/en", "keyword", collapse=True)
+    rows, postings = stored(spark, d)
+    hits = Engine(["docs://corpus"], document_uri(table(spark, d, "documents")), rows, postings=postings).search(QUERY, "docs://corpus/en", "keyword", collapse=True)
     return hits.withColumn("content", F.substring("content", 1, 80))
 
 
@@ -144,10 +161,9 @@ def grep_linear_notice(spark, d):
 
 def grep_chain_union(spark, d):
     """BM25 hits and lines of what isn't indexed, told apart by via."""
-    docs = chunks(spark, d)
-    ranked = search.bm25(docs, "rely", top_k=100).select(F.col("object_uri").alias("source"), F.lit("bm25").alias("via"))
+    found = ranked(spark, d, "rely", top_k=100).select(F.col("object_uri").alias("source"), F.lit("bm25").alias("via"))
     pages = page_objects(table(spark, d, "pages")).select("object_uri", "content", F.lit("not_indexed").alias("search_status"))
-    return ranked.unionByName(grep.linear(pages, "rely").where("via = 'linear'").select("source", "via"))
+    return found.unionByName(grep.linear(pages, "rely").where("via = 'linear'").select("source", "via"))
 
 
 def connector_match(spark, d):
@@ -160,12 +176,14 @@ _DENSE = f"""SELECT vec_id, round({_DOT} / (sqrt(list_sum(list_transform(embeddi
     FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) ORDER BY score DESC, vec_id LIMIT """
 _HIT_LINES = f"(SELECT {DOC_URI} AS source, unnest({LINES.format('text')}) AS line, generate_subscripts({LINES.format('text')}, 1) AS n FROM documents)"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_scoped, bm25_kind_filter, bm25_indexed, bm25_compacted, indexed_objects, token_stats, corpus_stats, dense_topk, hybrid_rrf, search_collapse, search_envelope, engine_search, engine_status, benchmark_retrieval, grep_literal, grep_regex, grep_sql_pushdown, grep_linear_notice, grep_chain_union, connector_match)}
+QUERIES = {f.__name__: f for f in (index_build, bm25_topk, bm25_scan, bm25_scoped, bm25_kind_filter, bm25_indexed, bm25_compacted, indexed_objects, token_stats, corpus_stats, dense_topk, hybrid_rrf, search_collapse, search_envelope, engine_search, engine_status, benchmark_retrieval, grep_literal, grep_regex, grep_sql_pushdown, grep_linear_notice, grep_chain_union, connector_match)}
 
 ORACLE = {
     "bm25_topk": bm25_sql(TERMS),
     "bm25_scoped": bm25_sql(TERMS, "object_uri = 'docs://corpus/en' OR starts_with(object_uri, 'docs://corpus/en/')"),
     "bm25_kind_filter": bm25_sql(TERMS, "chunk_kind IN ('body', 'row_text')", 25),
+    "bm25_scan": bm25_sql(TERMS),
+    "index_build": f"SELECT count(*) AS n, round(avg(len({WORDS.format('content')})), 6) AS avgdl FROM ({CHUNKS})",
     "bm25_indexed": bm25_sql(TERMS),
     "bm25_compacted": bm25_sql(TERMS, "starts_with(object_uri, 'docs://corpus/en/')", source="source <> 'src0'"),
     "indexed_objects": f"SELECT DISTINCT connector_uri, object_uri FROM ({CHUNKS})",

@@ -14,8 +14,9 @@ from corvid.functions import text as t
 from corvid.catalog import Catalog
 from corvid.operators import crawl, index, keys, sync
 from corvid.plans.common import CHUNKS, DOC_URI, bm25_sql
+from corvid.plans.stored import stored
 from corvid.session import shared_folder
-from corvid.sources.tables import document_chunks, document_uri, page_objects, table
+from corvid.sources.tables import document_uri, page_objects, table
 from corvid.streaming import feed
 
 
@@ -89,26 +90,26 @@ def schema_fingerprint(spark, d):
 
 def upsert_chunks(spark, d):
     """English documents come again with another end."""
-    old = document_chunks(table(spark, d, "documents"))
+    old = stored(spark, d)[0]
     new = old.where(F.col("object_uri").startswith("docs://corpus/en/")).withColumn("content", F.concat("content", F.lit("!")))
     return index.upsert(old, new).select("chunk_id", F.sha1("content").alias("sha1"))
 
 
 def delete_by_object(spark, d):
     gone = document_uri(table(spark, d, "documents").join(table(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi")).select("object_uri")
-    return index.delete_objects(document_chunks(table(spark, d, "documents")), gone).select("chunk_id", "object_uri")
+    return index.delete_objects(stored(spark, d)[0], gone).select("chunk_id", "object_uri")
 
 
 def rename_rekey(spark, d):
     """German documents move to another folder: new ids, same contents."""
-    chunks = document_chunks(table(spark, d, "documents"))
+    chunks = stored(spark, d)[0]
     moves = chunks.where(F.col("object_uri").startswith("docs://corpus/de/")).select(F.col("object_uri").alias("old_uri"), F.replace("object_uri", F.lit("/de/"), F.lit("/deutsch/")).alias("new_uri")).distinct()
     return index.rename(chunks, moves).select("chunk_id", "object_uri")
 
 
 def orphan_gc(spark, d):
     """Chunks of documents that the new listing lacks."""
-    return index.orphans(document_chunks(table(spark, d, "documents")), new_listing(spark, d).withColumnRenamed("path", "object_uri")).select("chunk_id", "object_uri")
+    return index.orphans(stored(spark, d)[0], new_listing(spark, d).withColumnRenamed("path", "object_uri")).select("chunk_id", "object_uri")
 
 
 def last_write_wins(spark, d):
@@ -148,7 +149,7 @@ def stream_regroup(spark, d):
 
 
 def catalog(spark):
-    return Catalog(spark, f"{shared_folder(spark)}/corvid-catalog/{uuid.uuid4().hex}")
+    return Catalog(spark, f"{shared_folder(spark)}/corvid-catalog/{uuid.uuid4().hex}", buckets=8)
 
 
 def engine_add(spark, d):
@@ -214,7 +215,7 @@ def event_hours(spark, d):
 def stream_sync(spark, d):
     """A stream of chunk rows drained into a snapshot table, twice; the second time changes nothing."""
     work = f"{shared_folder(spark)}/corvid-stream/{uuid.uuid4().hex}"
-    rows = document_chunks(table(spark, d, "documents")).select("chunk_id", "connector_uri", "object_uri", "locator", "content", "chunk_kind")
+    rows = stored(spark, d)[0].select("chunk_id", "connector_uri", "object_uri", "locator", "content", "chunk_kind")
     rows.write.mode("overwrite").parquet(f"{work}/in")
     snapshots = index.Snapshots(spark, f"{work}/chunks", rows.schema)
     for name in ("a", "b"):

@@ -28,7 +28,7 @@ def summary(df):
 
 
 def test_add_resync_rename_delete(spark):
-    own = Catalog(spark, folder(spark))
+    own = Catalog(spark, folder(spark), buckets=4)
     first = own.add("docs://a", listing(spark, [("docs://a/x.md", "alpha beta"), ("docs://a/y.md", "gamma"), ("docs://a/z.py", "def f():\n    pass"), ("docs://a/e.md", " "), ("docs://a/b.bin", "binary")]))
     assert summary(first) == {("added", "pipeline"): 4, ("added", "metadata"): 1}
     own.add("docs://b", listing(spark, [("docs://b/other.md", "alpha elsewhere")]))
@@ -199,7 +199,7 @@ def test_sources_by_scheme(spark, tmp_path):
     (tmp_path / "src" / "a.py").write_text("def alpha():\n    return 1\n")
     (tmp_path / "README.md").write_text("# Read me\nalpha text")
     (tmp_path / "x.png").write_bytes(b"\x89PNG")
-    own = Catalog(spark, folder(spark))
+    own = Catalog(spark, folder(spark), buckets=4)
     tree = registry.source_of("file")(str(tmp_path))
     assert summary(own.sync(f"file://local{tmp_path}", tree)) == {("added", "pipeline"): 3}
     rows = spark.createDataFrame([(i, f"name {i}", "alpha " * (i % 3)) for i in range(30)], "id int, name string, note string")
