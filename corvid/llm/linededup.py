@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,7 +56,10 @@ def remove_repeats(docs: DataFrame, min_chars: int = 160, units: str = SENTENCES
     rows = written(docs.select(F.struct(*docs.columns).alias("record"), F.monotonically_increasing_id().alias("row")), f"{work}/rows")
     text = F.col("record")[text_col]
     cut_up = rows.select("row", F.col("record")[id_col].alias("doc"), F.hash(text).alias("tie"), F.posexplode(F.split(text, units)).alias("pos", "unit"))
-    folded = F.trim(F.regexp_replace(F.lower("unit"), r"\s+", " "))
+    # most units have single blanks only, which needs no regular expression
+    odd = reduce(Column.__or__, [F.col("unit").contains(c) for c in ("  ", "\t", "\r", "\f", "\v")])
+    plain = F.btrim(F.lower("unit"), F.lit(" \n"))
+    folded = F.when(odd, F.trim(F.regexp_replace(F.lower("unit"), r"\s+", " "))).otherwise(plain)
     cut_up = cut_up.select("row", "doc", "tie", "pos", folded.alias("folded")).where(F.length("folded") > 0)
     hashed = cut_up.select("row", F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), "tie", "pos", F.length("folded").alias("chars"), F.xxhash64(F.lit(1), "folded").alias("h1"), F.hash("folded").alias("h2"))
     hashed = written(hashed, f"{work}/units")
@@ -92,6 +96,6 @@ def remove_repeats(docs: DataFrame, min_chars: int = 160, units: str = SENTENCES
             yield pa.RecordBatch.from_arrays([batch.column("record"), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=schema.names)
 
     whole = told.where("not maybe").select("record.record")
-    pieces = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, units)))
+    pieces = F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(units)) + 1)
     whole = whole.select("record", text.alias("text"), pieces.alias("n_units"), F.lit(0).alias("n_removed"), F.array().cast(schema["removed"].dataType).alias("removed"))
     return whole.union(touched.mapInArrow(cut, schema))
