@@ -7,6 +7,8 @@ and no longer count in earlier segments. Statistics over all living chunks are o
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +83,14 @@ class Postings:
 
     def terms(self, words: list[str]) -> DataFrame:
         """Living postings of a few terms: only their buckets are read, and within these only the row groups that hold them."""
-        buckets = [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(bucket_of(F.col("w"))).distinct().collect()]
-        return self._living(self._read("postings", POSTINGS).where(F.col("bucket").isin(buckets) & F.col("term").isin(words)))
+        base, last = self.segments()
+        buckets = sorted({zlib.crc32(w.encode()) % BUCKETS for w in words})  # as bucket_of
+        folders = [f"{self.root}/postings/seg={seg}/bucket={b}" for seg in range(base, last + 1) for b in buckets]
+        held = [f for f in folders if self.fs.exists(self.path(f))]
+        if not held:
+            return self.spark.createDataFrame([], POSTINGS)
+        rows = self.spark.read.schema(POSTINGS).option("basePath", f"{self.root}/postings").parquet(*held)
+        return self._living(rows.where(F.col("term").isin(words)))
 
     def vocabulary(self) -> DataFrame:
         """(term, df, cf): how many living chunks hold each term, and how often it occurs."""
