@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import fingerprint, itq, langid, linededup, minhash, packing, pieces, quality, sharding, warc
+from corvid.llm import audit, fingerprint, itq, langid, linededup, minhash, packing, pieces, quality, sharding, warc
 from corvid.llm.common import shared_dir, written
 
 
@@ -76,6 +76,10 @@ def op7_itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_crf": op2_quality_crf,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_external_shuffle": op8_external_shuffle,
     "op9_canonical_fingerprint": op9_canonical_fingerprint,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 #: Smallest node reachable over links(a, b) from each of nodes(id).
@@ -137,4 +142,26 @@ ORACLE: dict[str, str] = {
         links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))), {_REACH}
         SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN parts ON id = doc_id
     """,
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^ \t\n\x0b\f\r]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+                CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END ||
+                CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t) THEN 'C' ELSE '' END ||
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+              FROM w LEFT JOIN l USING (doc_id)),
+        h AS (SELECT part, fails, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+        s AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[1 : step - 1] AS before FROM o, range(1, 6) r(step)),
+        x AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, f, h.*, contains(fails, f) AS hit, coalesce(list_has_any(string_split(before, ''), string_split(fails, '')), false) AND before <> '' AND fails <> '' AS early FROM s, h),
+        r AS (SELECT part, filter_order, step, f,
+                CAST(sum(n) FILTER (NOT hit AND NOT early) AS BIGINT) AS kept, CAST(sum(n) FILTER (hit AND NOT early) AS BIGINT) AS removed, CAST(sum(n) FILTER (hit AND early) AS BIGINT) AS redundant,
+                CAST(sum(n) FILTER (fails = f) AS BIGINT) AS unique_fails, CAST(sum(n) FILTER (hit AND NOT early AND good) AS BIGINT) AS good_lost, CAST(sum(n) FILTER (hit AND NOT early AND toxic) AS BIGINT) AS toxic_lost
+              FROM x GROUP BY part, filter_order, step, f)
+        SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+               coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+        FROM r
+    """,
 }
