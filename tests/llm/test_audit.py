@@ -6,7 +6,7 @@ from corvid.llm.audit import filter_audit
 
 def brute(rows, labels):
     """rows: (doc_id, text, source); labels: (doc_id, quality, toxic). Every order is applied to every document."""
-    good, toxic = {d for d, q, _ in labels if q == 1}, {d for d, _, t in labels if t == 1}
+    good, toxic = {d for d, q, _ in labels if q == 1} - {None}, {d for d, _, t in labels if t == 1} - {None}
     judged = []
     for key, text, source in rows:
         t = text or ""
@@ -46,7 +46,8 @@ def test_every_order_like_brute_force(spark):
     rows += [(90, plain, "s2"), (90, plain, "s1"), (None, plain, "s1"), (None, "few words", None), (300, "word " * 40_000, "long"), (301, "word " * 40_000, "s1")]
     rows += [(1000 + i, "copied text that many have", f"s{i % 3}") for i in range(200)]
     labels = [(100, 1, 0), (102, 1, 1), (103, 0, 1), (103, 1, None), (90, 1, 0), (None, 1, 1), (1000, 1, 1), (1005, 1, None), (7777, 1, 1)]
-    assert run(spark, rows, labels) == brute(rows, labels)
+    got, want = run(spark, rows, labels), brute(rows, labels)
+    assert {k: (got.get(k), v) for k, v in want.items() if got.get(k) != v} == {} and got.keys() == want.keys()
 
 
 def test_without_rows_or_labels(spark):
