@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import audit, fingerprint, itq, langid, linededup, minhash, packing, pieces, quality, sharding, warc, weakrules
+from corvid.llm import align, audit, fingerprint, itq, langid, linededup, minhash, packing, pieces, quality, sharding, warc, weakrules
 from corvid.llm.common import shared_dir, written
 
 
@@ -80,6 +80,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = align.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return done.select("doc_id", *align.FIELDS, "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def op13_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = weakrules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(F.col("record.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("probability", 6).alias("probability"))
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_canonical_fingerprint": op9_canonical_fingerprint,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_token_alignment": op12_token_alignment,
     "op13_weak_rules": op13_weak_rules,
 }
 
