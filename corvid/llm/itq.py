@@ -3,8 +3,11 @@
 A rotation of the centred, normalised vectors is learnt so that their signs are balanced binary codes that keep angles. Each
 table takes a substring of the code (the first tables cut it up, further ones cut up a shuffled code); vectors that agree in a
 substring meet in a bucket, and there the original vectors are compared by their cosine in double precision. A pair that agrees
-in several substrings is counted in the first of them only. Substrings grow by a bit whenever the vectors double, so buckets
-keep their size, and as many tables are built as it takes to miss a pair at the threshold with a chance of one in a hundred.
+in several substrings is counted in the first of them only. Codes are of centred vectors, the threshold is one on the vectors as
+they are, so how many bits two codes share at the threshold depends on the data: it is measured on pairs made from the sample,
+half of them apart in any direction, half in that of another vector. For each length of substrings as many tables are drawn as it
+takes to miss no more than one pair in a hundred of either half; the length is taken whose tables compare and move least. So
+substrings grow with the number of vectors, and comparisons a vector stay about level.
 
 Equal vectors of one label are folded into one class first. A large bucket is cut into blocks of bounded size; each pair of
 blocks is compared on its own and gives, for each vector, its number of links and the smallest vector that it reaches inside
@@ -69,19 +72,42 @@ def units_of(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def table_positions(rows: int, bits: int, threshold: float, miss: float = 0.01, seed: int = 9) -> list[np.ndarray]:
-    """The code bits of each table's substring.
-
-    A bit of two codes differs with a chance of angle / pi, so a substring of b bits agrees with a chance of (1 - angle / pi)^b.
-    """
-    width = min(max(8, round(math.log2(max(rows, 1))) - 2), max(1, bits // 2), 48)
-    agree = (1 - math.acos(threshold) / math.pi) ** width
-    wanted = math.ceil(math.log(miss) / math.log(1 - agree)) if agree < 1 else 1
-    random, order, out = np.random.default_rng(seed), np.arange(bits), []
-    while len(out) < wanted:
-        out += [order[i : i + width] for i in range(0, bits - width + 1, width)]
-        order = random.permutation(bits)
-    return out[:wanted]
+#: Comparisons that cost as much as moving a vector into a bucket, and most tables that are tried for one length of substrings.
+MOVE, MOST_TABLES = 200, 400
+
+
+def threshold_pairs(sample: np.ndarray, threshold: float, pairs: int = 4000, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays of unit vectors, row by row at a cosine of threshold: vectors of the sample and what they are moved to, for the
+    first half in a random direction, for the second in that of another vector of the sample."""
+    random = np.random.default_rng(seed)
+    left = sample[random.integers(0, len(sample), pairs)]
+    other = random.standard_normal(left.shape)
+    other[pairs // 2 :] = sample[random.integers(0, len(sample), pairs - pairs // 2)]
+    other -= (other * left).sum(axis=1, keepdims=True) * left
+    length = np.sqrt((other * other).sum(axis=1, keepdims=True))
+    other = np.divide(other, length, out=np.zeros_like(other), where=length > 1e-9)  # no other direction: the pair is one vector
+    right = threshold * left + math.sqrt(1 - threshold**2) * other
+    return left, right / np.sqrt((right * right).sum(axis=1, keepdims=True))
+
+
+def table_positions(rows: int, agree: np.ndarray, miss: float = 0.01, seed: int = 9) -> list[np.ndarray]:
+    """The code bits of each table's substring. agree: for pairs at the threshold (as threshold_pairs makes them), by bit, whether
+    their codes agree."""
+    pairs, bits = agree.shape
+    best: tuple[float, list[np.ndarray]] = (math.inf, [])
+    for width in range(1, min(bits, 48) + 1):
+        random, order, tables, met, at = np.random.default_rng(seed), np.arange(bits), [], np.zeros(pairs, bool), 0
+        cost = lambda n, width=width: n * (MOVE + rows / 2**width)
+        while len(tables) < MOST_TABLES and cost(len(tables) + 1) < best[0]:
+            if at + width > bits:
+                order, at = random.permutation(bits), 0
+            tables.append(order[at : at + width])
+            met |= agree[:, tables[-1]].all(axis=1)
+            at += width
+            if max(1 - met[: pairs // 2].mean(), 1 - met[pairs // 2 :].mean()) <= miss:
+                best = (cost(len(tables)), tables)
+                break
+    return best[1]
 
 
 CODED = T.StructType([T.StructField("vec", T.LongType()), T.StructField("times", T.LongType()), T.StructField("label", T.StringType()), T.StructField("raw", T.BinaryType()), T.StructField("code", T.LongType()), T.StructField("parts", T.ArrayType(T.LongType()))])
@@ -187,7 +213,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 192,
     """(vec_id, n_links, component_id, kept) of every row.
 
     The rotation is fitted on about sample_rows rows (twice as many at most), chosen by a hash of label and vector; every vector
-    is indexed. A pair at the threshold is missed with a chance of about miss, closer pairs less often.
+    is indexed. Of pairs at the threshold a share of about miss is missed, of closer pairs less.
     """
     spark = vectors.sparkSession
     work = shared_dir(spark)
@@ -203,7 +229,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 192,
     mean, projection = learn_rotation(np.stack(sample) if sample else np.eye(dims), min(64, dims))
     # equal vectors of a label: the smallest id stands for all
     classes = written(usable.groupBy(*same).agg(F.min("vec_id").alias("vec"), F.count("*").alias("times"), F.first("embedding").alias("embedding")), f"{work}/classes")
-    tables = table_positions(classes.count(), projection.shape[1], threshold, miss)
+    left, right = threshold_pairs(np.stack(sample) if sample else np.eye(dims), threshold)
+    agree = ((left - mean) @ projection >= 0) == ((right - mean) @ projection >= 0)
+    tables = table_positions(classes.count(), agree, miss)
     coded = written(codes(classes, mean, projection, tables), f"{work}/codes")
     found = written(bucket_links(coded, tables, block, threshold, "<f4" if single else "<f8"), f"{work}/found")
     counts = found.groupBy("vec").agg(F.sum("links").alias("links"))
