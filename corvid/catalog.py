@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import fnmatch
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvid import model
-from corvid.engine import Engine
+from corvid.engine import Engine, Records
 from corvid.functions import guards
 from corvid.functions import text as t
-from corvid.operators import browse, chunk, index, keys, sync
+from corvid.operators import chunk, index, sync
+from corvid.operators.keys import primary_key
+from corvid.operators.ledger import STALE, Ledger, Transaction
 from corvid.operators.postings import Postings
 from corvid.session import shared_folder
-from corvid.sources.registry import Source, detection_of
+from corvid.sources import registry
+from corvid.sources.registry import Source
 
 
 def _strings(*names: str) -> list[T.StructField]:
@@ -37,31 +41,91 @@ def text_producer(objects: DataFrame) -> DataFrame:
     return chunk.located_chunks(objects.where(~is_code)).unionByName(chunk.located_chunks(objects.where(is_code), code=True))
 
 
+def schema_producer(objects: DataFrame) -> DataFrame:
+    """A table's columns as one chunk."""
+    text, kind = F.concat(F.lit("columns: "), "content"), F.lit("schema_summary")
+    none = F.lit(None).cast("string")
+    return objects.select(t.chunk_id(F.col("connector_uri"), F.col("object_uri"), kind, none).alias("chunk_id"), "connector_uri", "object_uri", none.alias("locator"), text.alias("content"), kind.alias("chunk_kind"), F.lit("{}").alias("metadata"), F.lit(0).alias("chunk_index"), F.lit(False).alias("partial"))
+
+
+class SourceRecords(Mapping):
+    """Records of structured objects by uri, read from the sources of their connectors when they are asked for."""
+
+    def __init__(self, spark: SparkSession, sources: dict[str, Source], objects: index.Snapshots):
+        self.spark, self.sources, self.objects = spark, sources, objects
+
+    def _source(self, uri: str) -> Source | None:
+        root = max((c for c in self.sources if uri.startswith(c + "/")), key=len, default=None)
+        known = root is not None and self.objects.of([uri]).where(F.col("okind").isin(*STRUCTURED)).limit(1).count()
+        return self.sources[root] if known else None
+
+    def __contains__(self, uri: object) -> bool:
+        return isinstance(uri, str) and self._source(uri) is not None
+
+    def __getitem__(self, uri: str) -> Records:
+        source = self._source(uri)
+        if source is None:
+            raise KeyError(uri)
+        rows, _ = source.records(self.spark, uri)
+        keys = ["_row"] if "_row" in rows.columns else primary_key(rows) or rows.columns
+        return rows, [c for c in rows.columns if c != "_row"], keys
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(())  # sources have too many to list
+
+    def __len__(self) -> int:
+        return 0
+
+    def __bool__(self) -> bool:
+        return bool(self.sources)
+
+
+STRUCTURED = ("table_rows", "record_collection", "message_stream")
+
+
 class Catalog:
     """Objects, chunks, the embedding cache and the inverted index of all connectors, as versioned tables below root.
 
-    buckets: how finely the tables are cut; a change rewrites the buckets that it falls into.
+    All four are committed together by one manifest: a writer that dies at any point leaves the state before it, and the next sync
+    finds the same changes again. What it had written is deleted when a catalog is opened `stale` seconds later.
+    buckets: how finely the tables are cut; a change rewrites the buckets that it falls into. presets: configurations by pattern of
+    an object's uri (as of file names), which go before those of well-known sources.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Callable[[Column], Column] = index.hash_embedding, presets: dict[str, model.ObjectConfig] | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, embedder: Callable[[Column], Column] = index.hash_embedding, presets: dict[str, model.ObjectConfig] | None = None, buckets: int = 64, stale: float = STALE):
         self.spark, self.embedder, self.presets = spark, embedder, presets or {}
-        self.objects = index.Snapshots(spark, f"{root}/objects", OBJECTS, buckets=buckets)
-        self.chunks = index.Snapshots(spark, f"{root}/chunks", CHUNKS, buckets=buckets)
-        self.cache = index.Snapshots(spark, f"{root}/cache", CACHE, key="cache_key", buckets=buckets)
-        self.postings = Postings(spark, f"{root}/postings")
+        self.ledger = Ledger(spark, root)
+        self.recovered = self.ledger.recover(stale)
+        table = lambda name, schema, key: index.Snapshots(spark, root, schema, key, buckets, self.ledger, name)
+        self.objects, self.chunks, self.cache = table("objects", OBJECTS, "object_uri"), table("chunks", CHUNKS, "object_uri"), table("cache", CACHE, "cache_key")
+        self.postings = Postings(spark, root, self.ledger)
 
     def add(self, connector: str, listing: DataFrame, producers: dict[str, Producer] | None = None, detection: str = "full_scan", incremental: bool = False, on_success: Callable[[DataFrame], None] | None = None) -> DataFrame:
         """Takes in a connector's listing (object_uri, content, and where there is one okind); returns (change, action, n).
 
         What is unchanged is left alone. A file that went while another of the same content came is renamed: its chunks keep
         their vectors. Gone objects go only where the listing is known to be whole (detection and incremental). The buckets
-        that changes fall into are rewritten, the others stay.
+        that changes fall into are rewritten, the others stay. on_success is called once all is committed.
         """
         shared_folder(self.spark)  # for checkpoints
+        tx = self.ledger.begin()
+        try:
+            done = self._add(connector, listing, producers, detection, incremental, tx)
+        except Exception:
+            tx.abort()
+            raise
+        if done.where("action <> 'keep'").limit(1).count():
+            tx.commit()
+        else:
+            tx.abort()
+        if on_success:
+            on_success(done)
+        return done
+
+    def _add(self, connector: str, listing: DataFrame, producers: dict[str, Producer] | None, detection: str, incremental: bool, tx: Transaction) -> DataFrame:
         uri = F.col("object_uri")
         seen = listing.select(F.lit(connector).alias("connector_uri"), "object_uri", (F.col("okind") if "okind" in listing.columns else t.object_kind(uri)).alias("okind"), "content", F.sha1("content").alias("fingerprint"))
-        before = self.objects.read()
-        known = before.where(F.col("connector_uri") == connector)
+        known = self.objects.read(tx).where(F.col("connector_uri") == connector)
         changes = sync.gated(sync.diff(known, seen, "object_uri"), detection, incremental)
         both = changes.join(known.select("object_uri", F.col("fingerprint").alias("_old")), "object_uri", "left").join(seen.select("object_uri", F.col("fingerprint").alias("_new"), "okind"), "object_uri", "left")
         files = both.select(uri.alias("path"), "change", F.lit(None).cast("long").alias("inode"), F.lit(0).alias("size"), F.when(F.col("change") == "added", F.col("_new")).otherwise(F.col("_old")).alias("sha1"))
@@ -69,69 +133,80 @@ class Catalog:
         told = both.join(moves, "object_uri", "left").join(moves.select(F.col("old_uri").alias("object_uri"), F.lit(True).alias("_moved")), "object_uri", "left")
         told = told.where("_moved is null").withColumn("change", F.when(F.col("old_uri").isNotNull(), "renamed").otherwise(F.col("change"))).withColumn("indexable", F.lit(True))
         told = index.dispatched(told).select("object_uri", "old_uri", "change", "action").checkpoint()
+        done = told.groupBy("change", "action").agg(F.count("*").alias("n")).checkpoint()
+        if not done.where("action <> 'keep'").limit(1).count():
+            return done
 
         fresh = seen.join(told.where("action = 'pipeline'").select("object_uri"), "object_uri", "left_semi")
-        made = chunk.produced(fresh, producers or {"text": text_producer})
-        cache = self.cache.read()
-        missing = index.embed(made, cache, self.embedder)[1].join(cache.select("cache_key"), "cache_key", "left_anti").checkpoint()
-        vectors, _ = index.embed(made, cache.unionByName(missing), self.embedder)  # all are known by now
+        made = chunk.produced(fresh, producers or {"text": text_producer}).withColumn("cache_key", index.embedding_key(F.col("content"))).checkpoint()
+        # of the cache only the buckets of the texts at hand are read
+        held = self.cache.near(made.select("cache_key"), tx)
+        missing = made.select("cache_key", "content").dropDuplicates(["cache_key"]).join(held.select("cache_key"), "cache_key", "left_anti").select("cache_key", self.embedder(F.col("content")).alias("dense_vec")).checkpoint()
+        vectors = made.join(held.unionByName(missing), "cache_key")
         moved = told.where("action = 'rename'").select("old_uri", F.col("object_uri").alias("new_uri"))
-        old_chunks = self.chunks.read()
-        renamed = index.rename(old_chunks.join(moved.select(F.col("old_uri").alias("object_uri")), "object_uri", "left_semi"), moved)
+        gone = told.where("change in ('modified', 'deleted')").select("object_uri").unionByName(told.where("old_uri is not null").select(F.col("old_uri").alias("object_uri"))).distinct()
+        left = self.chunks.near(gone, tx).join(gone, "object_uri", "left_semi").checkpoint()
+        renamed = index.rename(left.join(moved.select(F.col("old_uri").alias("object_uri")), "object_uri", "left_semi"), moved)
         new = vectors.select(*CHUNKS.names).unionByName(renamed.select(*CHUNKS.names)).checkpoint()
-        self.cache.merge(missing, lambda current: current.unionByName(missing))
 
-        gone = told.where("change in ('modified', 'deleted')").select("object_uri").unionByName(told.where("old_uri is not null").select(F.col("old_uri").alias("object_uri"))).distinct()
-        keys = gone.unionByName(new.select("object_uri").distinct())
-        self.chunks.merge(keys, lambda current: index.delete_objects(current, gone).unionByName(new))
+        self.cache.merge(missing, lambda current: index.upsert(current, missing, "cache_key"), tx)
+        self.chunks.merge(gone.unionByName(new.select("object_uri").distinct()), lambda current: index.delete_objects(current, gone).unionByName(new), tx)
         counts = new.groupBy("object_uri").agg(F.count("*").alias("chunk_count"), F.max("partial").alias("partial"))
         status = index.search_status(F.lit(False), F.col("chunk_count"), F.coalesce("partial", F.lit(False)))
         touched = told.where("action <> 'keep' and action <> 'delete'").select("object_uri")
         rows = seen.join(touched, "object_uri", "left_semi").join(counts, "object_uri", "left").select("connector_uri", "object_uri", "okind", "content", "fingerprint", status.alias("search_status"), F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"))
-        self.objects.merge(gone.unionByName(touched), lambda current: index.delete_objects(current, gone.unionByName(touched).distinct()).unionByName(rows))
-        if told.where("action <> 'keep'").limit(1).count():
-            self.postings.add(new, gone)
-        done = told.groupBy("change", "action").agg(F.count("*").alias("n"))
-        if on_success:
-            on_success(done)
+        replaced = gone.unionByName(touched).distinct()
+        self.objects.merge(replaced, lambda current: index.delete_objects(current, replaced).unionByName(rows), tx)
+        self.postings.add(new, left, tx)
         return done
 
     def sync(self, connector: str, source: Source, incremental: bool = False) -> DataFrame:
-        """Takes in a source; what it has as records becomes chunks by its presets or its text columns."""
+        """Takes in a source; what it has as records becomes chunks by its presets or its text columns, message streams by thread."""
         listing = source.listing(self.spark)
-
-        def of_records(objects: DataFrame) -> DataFrame:
-            made = None
-            for row in objects.select("object_uri").collect():  # a source has few structured objects, each with many records
-                rows, cut = source.records(self.spark, row.object_uri)
-                config = self.presets.get(row.object_uri) or model.ObjectConfig(guards.text_columns(rows.schema), [], keys.primary_key(rows))
-                rows = rows if config.locator_fields else browse.seen_records(rows, rows.columns)
-                one = chunk.record_chunks(rows, row.object_uri, config).withColumns({"connector_uri": F.lit(connector), "chunk_kind": F.lit("row_text"), "partial": F.col("partial") | F.lit(cut)})
-                one = one.withColumn("chunk_id", t.chunk_id(F.col("connector_uri"), F.col("object_uri"), F.col("chunk_kind"), F.col("locator"))).select(*[f.name for f in CHUNKS if f.name != "dense_vec"])
-                made = one if made is None else made.unionByName(one)
-            return made if made is not None else self.spark.createDataFrame([], T.StructType([f for f in CHUNKS if f.name != "dense_vec"]))
-
-        def of_schemas(objects: DataFrame) -> DataFrame:
-            text, kind = F.concat(F.lit("columns: "), "content"), F.lit("schema_summary")
-            none = F.lit(None).cast("string")
-            return objects.select(t.chunk_id(F.col("connector_uri"), F.col("object_uri"), kind, none).alias("chunk_id"), "connector_uri", "object_uri", none.alias("locator"), text.alias("content"), kind.alias("chunk_kind"), F.lit("{}").alias("metadata"), F.lit(0).alias("chunk_index"), F.lit(False).alias("partial"))
-
-        structured = F.col("okind").isin("table_rows", "record_collection", "message_stream")
+        structured = F.col("okind").isin(*STRUCTURED)
         # records have no content of their own in the listing: how many there are and their hash tell whether they changed
-        facts = [(r.object_uri, source.records(self.spark, r.object_uri)[0].agg(F.concat_ws("|", F.count("*"), F.sum(F.xxhash64(F.struct("*")).cast("decimal(38,0)"))).alias("f")).first().f) for r in listing.where(structured).select("object_uri").collect()]
-        told = listing.join(F.broadcast(self.spark.createDataFrame(facts, "object_uri string, facts string")), "object_uri", "left")  # as few rows
-        whole = told.select("object_uri", "okind", F.coalesce("content", "facts").alias("content"))
-        return self.add(connector, whole, {"text": text_producer, "records": of_records, "threads": of_records, "schema": of_schemas}, detection_of(source.scheme), incremental)
+        uris = None if hasattr(source, "facts") else [r.object_uri for r in listing.where(structured).select("object_uri").collect()]  # few
+        told = listing.join(registry.facts_of(source, self.spark, uris), "object_uri", "left")
+        whole = told.select("object_uri", "okind", F.coalesce("content", F.when(structured, F.col("facts"))).alias("content"))
+        makers = {"text": text_producer, "records": lambda o: self._of_records(connector, source, o, False), "threads": lambda o: self._of_records(connector, source, o, True), "schema": schema_producer}
+        return self.add(connector, whole, makers, registry.detection_of(source.scheme), incremental)
+
+    def _of_records(self, connector: str, source: Source, objects: DataFrame, streams: bool) -> DataFrame:
+        """Chunks of the records of objects: each object by the first of the presets that matches it, else by what is known of its
+        kind, else by its text columns."""
+        columns = [f for f in CHUNKS if f.name != "dense_vec"]
+        out = self.spark.createDataFrame([], T.StructType(columns))
+        if not objects.limit(1).count():
+            return out
+        for group in registry.groups_of(source, self.spark, objects.select("object_uri")):
+            known = model.PRESETS.get(group.preset) if group.preset else None
+            rest = group.rows
+            for pattern, config in [*self.presets.items(), (None, known or model.ObjectConfig(guards.text_columns(group.rows.drop("_object_uri").schema), [], list(group.keys)))]:
+                matches = F.col("_object_uri").rlike(fnmatch.translate(pattern).replace(r"\Z", "$").replace(r"\z", "$")) if pattern else F.lit(True)
+                own, rest = rest.where(matches), rest.where(~matches) if pattern else rest
+                if not config.indexable or not config.text_fields:
+                    continue
+                made = chunk.thread_chunks(own, config) if streams else chunk.record_chunks(own, None, config)
+                kind = F.lit("thread_aggregate" if streams else "row_text")
+                made = made.withColumns({"connector_uri": F.lit(connector), "chunk_kind": kind, "partial": F.col("partial") | F.col("cut") | F.lit(group.cut)})
+                made = made.withColumn("chunk_id", t.chunk_id(F.col("connector_uri"), F.col("object_uri"), F.col("chunk_kind"), F.col("locator")))
+                out = out.unionByName(made.select(*[f.name for f in columns]))
+        return out
 
     def remove(self, connector: str) -> None:
         """Drops a connector's objects, chunks and postings."""
-        own = self.objects.read().where(F.col("connector_uri") == connector).select("object_uri").checkpoint()
-        self.chunks.merge(own, lambda current: index.delete_objects(current, own))
-        self.objects.merge(own, lambda current: index.delete_objects(current, own))
-        self.postings.add(self.spark.createDataFrame([], CHUNKS), own)
-
-    def engine(self, connectors: list[str]) -> Engine:
-        return Engine(connectors, self.objects.read(), self.chunks.read(), self.embedder, postings=self.postings)
+        tx = self.ledger.begin()
+        own = self.objects.read(tx).where(F.col("connector_uri") == connector).select("object_uri").checkpoint()
+        left = self.chunks.near(own, tx).join(own, "object_uri", "left_semi").checkpoint()
+        self.chunks.merge(own, lambda current: index.delete_objects(current, own), tx)
+        self.objects.merge(own, lambda current: index.delete_objects(current, own), tx)
+        self.postings.add(self.spark.createDataFrame([], CHUNKS), left, tx)
+        tx.commit()
+
+    def engine(self, connectors: list[str], sources: dict[str, Source] | None = None) -> Engine:
+        """The engine over the last version. sources: by connector, for reading the records of structured objects."""
+        records = SourceRecords(self.spark, sources, self.objects) if sources else None
+        return Engine(connectors, self.objects.read(), self.chunks.read(), self.embedder, records, self.postings, self.chunks)
 
 
 class Control:

@@ -6,7 +6,7 @@ Every call returns a lazy DataFrame, or raises an EngineError with a stable code
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +40,12 @@ class Engine:
     """objects: (connector_uri, object_uri, content, search_status); chunks: (chunk_id, connector_uri, object_uri, locator,
     content, chunk_kind and, for other modes than keyword, dense_vec). connectors: the roots of all registered sources.
     records: objects that are tables, by uri: (their records, the fields that locate one, a total order). postings: the inverted
-    index of chunks; without one, keyword search reads all chunks."""
+    index of chunks; without one, keyword search reads all chunks. table: the chunks' table by object, where hits are looked up;
+    without it they are looked up in chunks. An index or table may hold connectors that aren't listed: they aren't found."""
 
-    def __init__(self, connectors: list[str], objects: DataFrame, chunks: DataFrame, embedder: Callable[[Column], Column] = index.hash_embedding, records: dict[str, Records] | None = None, postings: Postings | None = None):
+    def __init__(self, connectors: list[str], objects: DataFrame, chunks: DataFrame, embedder: Callable[[Column], Column] = index.hash_embedding, records: Mapping[str, Records] | None = None, postings: Postings | None = None, table: index.Snapshots | None = None):
         self.connectors, self.objects, self.chunks, self.embedder = sorted(connectors, key=len, reverse=True), objects, chunks, embedder
-        self.records, self.postings = records or {}, postings
+        self.records, self.postings, self.table = records or {}, postings, table
 
     def scope(self, path: str | None) -> tuple[str | None, str | None]:
         """(connector, object prefix): the longest root that holds the path."""
@@ -57,7 +58,8 @@ class Engine:
         return root, (base if base != root else None)
 
     def _within(self, path: str | None, kinds: list[str] | None = None) -> Column:
-        return search.in_scope(*self.scope(path), kinds)
+        inside = search.in_scope(*self.scope(path), kinds)
+        return inside if path is not None else inside & F.col("connector_uri").isin(self.connectors)
 
     def _inside(self, path: str) -> DataFrame:
         """The objects at or below a path; none is an error."""
@@ -81,22 +83,31 @@ class Engine:
         elif mode == "keyword" and self.postings is None:
             hits = search.bm25(self.chunks, query, where, top_k, extra)
         elif mode == "keyword":
-            hits = self.chunks.select("chunk_id", "object_uri", *extra).join(F.broadcast(self._ranked(query, where, top_k)), "chunk_id")  # top_k rows
+            hits = self._fetched(self._ranked(query, where, top_k), extra)
         else:
             vector = [float(x) for x in self.chunks.sparkSession.range(1).select(self.embedder(F.lit(query))).first()[0]]
             most = top_k * (model.OVERFETCH if mode == "hybrid" else 1)
-            hits = search.dense(self.chunks.where(where), vector, most, "chunk_id", "dense_vec")
+            hits = search.dense(self.chunks.where(where), vector, most, "chunk_id", "dense_vec", ("object_uri",))
             if mode == "hybrid":
-                hits = search.fuse([self._ranked(query, where, most), hits], "chunk_id", top_k).select("chunk_id", "score")
-            # top_k rows find their chunks
-            hits = self.chunks.select("chunk_id", "object_uri", *extra).join(F.broadcast(hits), "chunk_id")
+                legs = [self._ranked(query, where, most), hits.select("chunk_id", "object_uri", "score")]
+                places = legs[0].unionByName(legs[1]).select("chunk_id", "object_uri").distinct()
+                hits = search.fuse(legs, "chunk_id", top_k).join(places, "chunk_id").select("chunk_id", "object_uri", "score")
+            hits = self._fetched(hits, extra)
         if collapse:
             hits = search.collapse(hits.withColumn("_whole", whole_locator(F.col("locator"))), ["object_uri", "_whole"], [F.desc("score"), F.col("chunk_id")])
         return search.envelope(hits.orderBy(F.desc("score"), "chunk_id"), F.col("content"), F.col("chunk_kind"), F.col("locator"), F.col("metadata") if "metadata" in extra else None)
 
     def _ranked(self, query: str, where: Column, top_k: int) -> DataFrame:
         found = self.postings.bm25(query, where, top_k) if self.postings else search.bm25(self.chunks, query, where, top_k)
-        return found.select("chunk_id", "score")
+        return found.select("chunk_id", "object_uri", "score")
+
+    def _fetched(self, ranked: DataFrame, extra: tuple[str, ...]) -> DataFrame:
+        """Ranked hits (chunk_id, object_uri, score) with the chunks' columns; only the buckets of their objects are read."""
+        if self.table is None:
+            return self.chunks.select("chunk_id", "object_uri", *extra).join(F.broadcast(ranked.select("chunk_id", "score")), "chunk_id")  # top_k rows
+        found = ranked.collect()  # top_k rows
+        rows = self.table.of(sorted({r["object_uri"] for r in found})).select("chunk_id", "object_uri", *extra)
+        return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(r["chunk_id"], r["score"]) for r in found], "chunk_id string, score double")), "chunk_id")
 
     def grep(self, pattern: str, path: str, pushdown: bool = False) -> DataFrame:
         """(source, locator, content, via). A source that searches itself answers alone, even with nothing; else BM25 hits and
@@ -107,7 +118,10 @@ class Engine:
         lines = grep.linear(inside, pattern)
         if not search.check_request(pattern, model.GREP_HITS):
             return lines
-        ranked = search.bm25(self.chunks, pattern, self._within(path), model.GREP_HITS, ("locator", "content"))
+        if self.postings is None:
+            ranked = search.bm25(self.chunks, pattern, self._within(path), model.GREP_HITS, ("locator", "content"))
+        else:
+            ranked = self._fetched(self._ranked(pattern, self._within(path), model.GREP_HITS), ("locator", "content")).orderBy(F.desc("score"), "chunk_id")
         return ranked.select(F.col("object_uri").alias("source"), "locator", "content", F.lit("bm25").alias("via")).unionByName(lines)
 
     # browse
@@ -219,4 +233,4 @@ class Engine:
         if connector not in self.connectors:
             raise model.EngineError("not_found", connector, tuple(self.connectors))
         other = F.col("connector_uri") != connector
-        return Engine([c for c in self.connectors if c != connector], self.objects.where(other), self.chunks.where(other), self.embedder, self.records, self.postings)
+        return Engine([c for c in self.connectors if c != connector], self.objects.where(other), self.chunks.where(other), self.embedder, self.records, self.postings, self.table)

@@ -66,6 +66,9 @@ PRESETS = {
     "linear.users": ObjectConfig(["name", "email"], ["active"], ["id"]),
 }
 
+# What tells a message's thread, the first that it has, and its place without one
+THREAD_KEYS, PLACE_KEYS = ("thread_ts", "threadId", "thread_id", "thread"), ("ts", "id")
+
 # Legal moves of a task and of a job
 TASK_MOVES = [("pending", "running"), ("pending", "cancelled"), ("pending", "pending"), ("running", "succeeded"), ("running", "failed"), ("running", "skipped"), ("running", "cancelled"), ("running", "pending"), ("failed", "pending")]
 JOB_MOVES = [("preparing", "queued"), ("preparing", "failed"), ("preparing", "cancelled"), ("queued", "running"), ("queued", "failed"), ("queued", "cancelled"), ("running", "succeeded"), ("running", "partial"), ("running", "failed"), ("running", "cancelled"), ("running", "queued")]

@@ -23,7 +23,7 @@ from corvid.session import shared_folder
 LEVELS = ((("\n# ", "\n## ", "\n### "), 1), (("\n\n",), 2), ((". ", "! ", "? "), 2), (tuple(" \t\n\r\f\v"), 1))
 #: Bytes of text that are cut before their pieces are handed on.
 BLOCK_BYTES = 4 << 20
-SYMBOL_START = re.compile(r"^(?:def |class |func |fn |public |private |type |async def )", re.M)
+SYMBOL_START = re.compile(rf"^(?:{'|'.join(map(re.escape, [*model.SYMBOL_WORDS, 'async def ']))})", re.M)
 
 
 def capped(content: Column) -> tuple[Column, Column]:
@@ -40,19 +40,21 @@ def json_value(records: DataFrame, path: str) -> Column:
     return F.coalesce(value.cast("string") if plain else t.json_text(value.cast("string")), F.lit("null"))
 
 
-def record_chunks(records: DataFrame, object_uri: str, config: model.ObjectConfig, locator: Column | None = None, order: list[str] | None = None) -> DataFrame:
+def record_chunks(records: DataFrame, object_uri: str | None, config: model.ObjectConfig, locator: Column | None = None, order: list[str] | None = None) -> DataFrame:
     """(object_uri, locator, content, cut, metadata, chunk_index, partial) of every record with text.
 
     Locator and metadata are the configuration's fields as JSON. A text of more than a chunk's size becomes several chunks with
     their number in the locator. order: only needed where chunk_max may bind; the object's chunks are then marked as partial.
-    Where none of the text fields exists in the records there is no chunk (and missing_fields tells why).
+    Where none of the text fields exists in the records there is no chunk (and missing_fields tells why). object_uri: None where
+    the records are of several objects, which _object_uri tells.
     """
+    uri = F.lit(object_uri) if object_uri is not None else F.col("_object_uri")
     content = r.render_template(records, config.render_template) if config.render_template else r.render(records, config.text_fields)
     fields = {f: json_value(records, f) for f in config.locator_fields}
     own = locator if locator is not None else t.locator_json(**fields) if fields else t.locator_json(_row=F.col("_row"))
     part = t.locator_json(**fields, chunk_index=F.lit("@")) if fields else None
     metadata = t.locator_json(**{f: json_value(records, f) for f in config.metadata_fields}) if config.metadata_fields else F.lit("{}")
-    out = records.select(own.alias("locator"), (part if part is not None else F.lit(None).cast("string")).alias("_part"), metadata.alias("metadata"), content.alias("content"), *(order or [])).where(F.trim("content") != "")
+    out = records.select(uri.alias("object_uri"), own.alias("locator"), (part if part is not None else F.lit(None).cast("string")).alias("_part"), metadata.alias("metadata"), content.alias("content"), *(order or [])).where(F.trim("content") != "")
     partial = F.lit(False)
     if order and config.chunk_max < model.CHUNK_MAX:
         first = out.orderBy(*order).limit(config.chunk_max + 1)
@@ -60,11 +62,11 @@ def record_chunks(records: DataFrame, object_uri: str, config: model.ObjectConfi
         out = out.orderBy(*order).limit(config.chunk_max)
     small = out.where(F.length("content") <= model.CHUNK_SIZE)
     text, cut = capped(F.col("content"))
-    whole = small.select("locator", text.alias("content"), cut.alias("cut"), "metadata", F.lit(0).alias("chunk_index"))
-    split = text_chunks(out.where(F.length("content") > model.CHUNK_SIZE).drop("partial"), keep=("_part", "metadata"))
+    whole = small.select("object_uri", "locator", text.alias("content"), cut.alias("cut"), "metadata", F.lit(0).alias("chunk_index"))
+    split = text_chunks(out.where(F.length("content") > model.CHUNK_SIZE).drop("partial"), keep=("object_uri", "_part", "metadata"))
     numbered = F.replace("_part", F.lit('"chunk_index":@'), F.concat(F.lit('"chunk_index":'), F.col("chunk_index").cast("string")))
-    parts = split.select(F.coalesce(numbered, F.concat(F.lit('{"chunk_index":'), F.col("chunk_index").cast("string"), F.lit("}"))).alias("locator"), "content", F.lit(False).alias("cut"), "metadata", "chunk_index")
-    return whole.unionByName(parts).select(F.lit(object_uri).alias("object_uri"), "locator", "content", "cut", "metadata", "chunk_index", partial.alias("partial"))
+    parts = split.select("object_uri", F.coalesce(numbered, F.concat(F.lit('{"chunk_index":'), F.col("chunk_index").cast("string"), F.lit("}"))).alias("locator"), "content", F.lit(False).alias("cut"), "metadata", "chunk_index")
+    return whole.unionByName(parts).select("object_uri", "locator", "content", "cut", "metadata", "chunk_index", partial.alias("partial"))
 
 
 def missing_fields(records: DataFrame, fields: list[str]) -> DataFrame:
@@ -75,13 +77,9 @@ def missing_fields(records: DataFrame, fields: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(f"s{i}", F.lit(False)).alias("seen")) for i, f in enumerate(fields)])).alias("x")).select("x.*")
 
 
-#: What tells a record's thread, the first that it has, and its place without one.
-THREAD_KEYS, PLACE_KEYS = ("thread_ts", "threadId", "thread_id", "thread"), ("ts", "id")
-
-
 def thread_key(messages: DataFrame, group_by: str | None = None) -> Column:
     """The thread of each message: the configured field, else the first known thread field with a value, else the message's own place."""
-    names = [group_by] if group_by else [*THREAD_KEYS, *PLACE_KEYS]
+    names = [group_by] if group_by else [*model.THREAD_KEYS, *model.PLACE_KEYS]
     found = [F.col(n).cast("string") for n in names if n in messages.columns]
     if not found:
         raise model.EngineError("invalid_config", "no field tells the thread of a message")
@@ -119,6 +117,32 @@ def thread_parts(threads: DataFrame, key: str, most: int = model.THREAD_CHARS, o
     return parts.select(key, "chunk_index", F.col("range.first").alias("first"), F.col("range.last").alias("last"), text.alias("content"))
 
 
+def thread_chunks(messages: DataFrame, config: model.ObjectConfig) -> DataFrame:
+    """(object_uri, locator, content, cut, metadata, chunk_index, partial): the threads of message streams (with _object_uri and
+    _row), each in its order of arrival, cut between messages; a message that is too long for a chunk is cut as text.
+
+    A message's thread is the value of the configured field, else of the first known thread field that has one, else its own
+    time, id or place. The locator of a thread of one chunk is its thread; further chunks have their number and their messages.
+    """
+    name = config.group_by or "thread"
+    fields = [c for c in ([config.group_by] if config.group_by else [*model.THREAD_KEYS]) + [*model.PLACE_KEYS] if c in messages.columns]
+    said = lambda c: F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), json_value(messages, c))
+    thread = F.coalesce(*map(said, fields), t.json_text(F.col("_row").cast("string")))
+    rendered = r.render_template(messages, config.render_template) if config.render_template else r.render(messages, config.text_fields)
+    told = messages.select("_object_uri", thread.alias("_thread"), "_row", rendered.alias("_text")).where(F.trim("_text") != "")
+    keyed = told.withColumn("_key", F.struct("_object_uri", "_thread"))
+    parts = thread_parts(thread_messages(keyed, "_key", "_row", F.col("_text")), "_key").select("_key", F.col("chunk_index").alias("_part"), "first", "last", "content")
+    cut = text_chunks(parts, keep=("_key", "_part", "first", "last")).drop("locator", "partial")
+    own = Window.partitionBy("_key")
+    numbered = cut.withColumns({"n": F.count("*").over(own), "at": F.row_number().over(own.orderBy("_part", "chunk_index")) - 1})
+    key = t.json_text(F.lit(name))
+    whole = F.concat(F.lit("{"), key, F.lit(":"), F.col("_key._thread"), F.lit("}"))
+    entries = F.array_sort(F.array(F.concat(F.lit('"chunk_index":'), F.col("at").cast("string")), F.concat(F.lit('"msg_range":['), F.col("first").cast("string"), F.lit(","), F.col("last").cast("string"), F.lit("]")), F.concat(key, F.lit(":"), F.col("_key._thread"))))
+    locator = F.when(F.col("n") == 1, whole).otherwise(F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")))
+    text, long = capped(F.col("content"))
+    return numbered.select(F.col("_key._object_uri").alias("object_uri"), locator.alias("locator"), text.alias("content"), long.alias("cut"), F.lit("{}").alias("metadata"), F.col("at").alias("chunk_index"), F.lit(False).alias("partial"))
+
+
 def split_text(text: str, size: int) -> list[tuple[int, int]]:
     """(begin, end) of pieces of at most size characters that make up the text, cut at the highest level that serves.
 

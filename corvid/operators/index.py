@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +12,7 @@ from pyspark.sql.window import Window
 from corvid import model
 from corvid.functions import text as t
 from corvid.operators import order
+from corvid.operators.ledger import Ledger, Transaction, once
 
 
 def latest(rows: DataFrame, key: str, by: str) -> DataFrame:
@@ -101,9 +100,14 @@ def hash_embedding(text: Column, dims: int = 64) -> Column:
     return F.transform(with_norm, lambda p: F.transform(p["v"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(0.0).cast("float")))[0]
 
 
+def embedding_key(content: Column, provider: str = "hash", name: str = "crc32-64") -> Column:
+    """What a text's vector is remembered by."""
+    return t.cache_key(content, "embedding", provider, name)
+
+
 def embed(chunks: DataFrame, cache: DataFrame, embedder: Callable[[Column], Column] = hash_embedding, provider: str = "hash", name: str = "crc32-64") -> tuple[DataFrame, DataFrame]:
     """(chunks with dense_vec, the cache with what was missing): each distinct missing text is embedded once."""
-    keyed = chunks.withColumn("cache_key", t.cache_key(F.col("content"), "embedding", provider, name))
+    keyed = chunks.withColumn("cache_key", embedding_key(F.col("content"), provider, name))
     missing = keyed.select("cache_key", "content").dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
     filled = cache.unionByName(missing.select("cache_key", embedder(F.col("content")).alias("dense_vec")))
     return keyed.join(filled, "cache_key").drop("cache_key"), filled
@@ -113,34 +117,25 @@ def embed(chunks: DataFrame, cache: DataFrame, embedder: Callable[[Column], Colu
 
 
 class Snapshots:
-    """A table kept in buckets of its key; each version is a list of the folder that holds each bucket.
+    """A table kept in buckets of its key; its state names the folder that holds each bucket.
 
     A change rewrites the buckets that it touches and leaves the others where they are, so a small batch costs its share of the
-    table. What is being read is never overwritten, and of two writers of one version the second raises.
+    table. What is being read is never overwritten, and of two writers of one version the second raises. A table is committed on
+    its own, or with others of its ledger in one transaction (tx). Within a bucket rows are sorted by key.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str = "object_uri", buckets: int = 64):
-        self.spark, self.root, self.schema, self.key, self.buckets = spark, root.rstrip("/"), schema, key, buckets
-        self.path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _names(self) -> list[str]:
-        if not self.fs.exists(self.path(self.root)):
-            return []
-        return [f.getPath().getName() for f in self.fs.listStatus(self.path(self.root))]
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str = "object_uri", buckets: int = 64, ledger: Ledger | None = None, name: str = "rows"):
+        self.spark, self.schema, self.key, self.buckets, self.name = spark, schema, key, buckets, name
+        self.ledger = ledger or Ledger(spark, root)
+        self.root = f"{self.ledger.root}/{name}"
 
     def version(self) -> int:
-        return max([int(n[8:]) for n in self._names() if n.startswith("CURRENT-")], default=0)
+        return self.ledger.version()
 
-    def _folders(self) -> dict[int, str]:
+    def folders(self, tx: Transaction | None = None) -> dict[int, str]:
         """The folder of each bucket that has rows."""
-        v = self.version()
-        if not v:
-            return {}
-        stream = self.fs.open(self.path(f"{self.root}/CURRENT-{v}"))
-        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return {int(k): f for k, f in json.loads(text).items()}
+        state = tx.state if tx is not None else self.ledger.state()
+        return {int(k): f for k, f in state.get(self.name, {}).get("folders", {}).items()}
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
@@ -149,37 +144,45 @@ class Snapshots:
         paths = [f"{self.root}/{f}/bucket={k}" for k, f in sorted(folders.items())]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def read(self) -> DataFrame:
-        return self._at(self._folders())
-
-    def _write(self, df: DataFrame, v: int, kept: dict[int, str]) -> int:
-        folder = f"v={v}-{uuid.uuid4().hex[:8]}"
-        df.select(*self.schema.names, self.bucket().alias("bucket")).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
-        made = [f.getPath().getName() for f in self.fs.listStatus(self.path(f"{self.root}/{folder}"))]
-        folders = kept | {int(n[7:]): folder for n in made if n.startswith("bucket=")}
-        try:
-            out = self.fs.create(self.path(f"{self.root}/CURRENT-{v}"), False)
-        except Exception as e:
-            raise model.EngineError("version_conflict", f"{self.root} has a version {v} already") from e
-        out.write(bytearray(json.dumps(folders, sort_keys=True).encode()))
-        out.close()
-        return v
-
-    def commit(self, df: DataFrame) -> int:
+    def read(self, tx: Transaction | None = None) -> DataFrame:
+        return self._at(self.folders(tx))
+
+    def _touched(self, keys: DataFrame) -> set[int]:
+        return {r[0] for r in keys.select(self.bucket()).distinct().collect()}  # at most `buckets` numbers
+
+    def near(self, keys: DataFrame, tx: Transaction | None = None) -> DataFrame:
+        """The buckets that hold keys: all of their rows, and others."""
+        touched = self._touched(keys)
+        return self._at({k: f for k, f in self.folders(tx).items() if k in touched})
+
+    def of(self, keys: list[str], tx: Transaction | None = None) -> DataFrame:
+        """The rows of a few keys: only their buckets are read, and in these only the row groups that may hold them."""
+        if not keys:
+            return self.spark.createDataFrame([], self.schema)
+        return self.near(self.spark.createDataFrame([(k,) for k in keys], f"{self.key} string"), tx).where(F.col(self.key).isin(keys))
+
+    def _stage(self, df: DataFrame, kept: dict[int, str], tx: Transaction) -> None:
+        folder = tx.folder()
+        placed = df.select(*self.schema.names, self.bucket().alias("bucket"))
+        placed.sortWithinPartitions("bucket", self.key).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        made = {int(n[7:]): folder for n in self.ledger.names(f"{self.name}/{folder}") if n.startswith("bucket=")}
+        tx.state[self.name] = {"folders": {str(k): f for k, f in (kept | made).items()}}
+
+    def commit(self, df: DataFrame, tx: Transaction | None = None) -> int | None:
         """The whole table anew."""
-        return self._write(df, self.version() + 1, {})
+        return once(self.ledger, tx, lambda own: self._stage(df, {}, own))
 
-    def merge(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> int:
+    def merge(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame], tx: Transaction | None = None) -> int | None:
         """Rewrites the buckets of keys by change, which gets and returns their rows."""
-        v, folders = self.version(), self._folders()
-        touched = {r[0] for r in keys.select(self.bucket()).distinct().collect()}  # at most `buckets` numbers
+        touched = self._touched(keys)
         if not touched:
-            return v
-        return self._write(change(self._at({k: f for k, f in folders.items() if k in touched})), v + 1, {k: f for k, f in folders.items() if k not in touched})
+            return None if tx is not None else self.version()
+
+        def apply(own: Transaction) -> None:
+            folders = self.folders(own)
+            self._stage(change(self._at({k: f for k, f in folders.items() if k in touched})), {k: f for k, f in folders.items() if k not in touched}, own)
+
+        return once(self.ledger, tx, apply)
 
     def vacuum(self) -> None:
-        """Deletes what the current version doesn't need; for when nothing reads an earlier one."""
-        v, used = self.version(), set(self._folders().values())
-        for name in self._names():
-            if name.startswith("v=") and name not in used or name.startswith("CURRENT-") and name != f"CURRENT-{v}":
-                self.fs.delete(self.path(f"{self.root}/{name}"), True)
+        self.ledger.vacuum()

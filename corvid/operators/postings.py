@@ -1,116 +1,227 @@
-"""A persisted inverted index over a chunk table, and BM25 on it.
+"""A persisted inverted index over a chunk table, with block-max skipping, and BM25 on it.
 
-Postings lie in buckets of their term, sorted by term, so a query reads the few row groups of its terms and nothing else. The
-index grows by segments: new chunks are a new segment, and the objects that they replace, or that are gone, are listed with it
-and no longer count in earlier segments. Statistics over all living chunks are one row, written with each segment.
+The chunks of a segment are numbered in the order of their objects and cut into ranges of RANGE. The postings of a term in a range
+are one row, a block, with the most that any of them can add to a score. A query adds up these bounds by range, scores the ranges
+of the largest bounds first, and then only those whose bound reaches the score of the worst hit so far. So hits are those of
+scoring everything, while most blocks are never read. Blocks lie in buckets of their term, sorted by term and range.
+
+The index grows by segments: new chunks are a new segment, and the objects that they replace, or that are gone, are listed with it
+and no longer count in earlier ones. Term and chunk counts are kept as sums that each segment adds to or subtracts from, so a
+segment costs its own size. Where segments become many they are written as one.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.functions import text as t
-from corvid.operators import search
+from corvid.operators import order, search
+from corvid.operators.ledger import Ledger, Transaction, once
 
-#: Buckets of terms, and shares into which a bucket is cut when it is written (a frequent term has very many postings).
-BUCKETS, SHARES = 64, 8
-POSTINGS = "term string, chunk_id string, object_uri string, connector_uri string, chunk_kind string, tf int, len int, seg int, bucket int"
-CHUNKS = "chunk_id string, object_uri string, connector_uri string, len int, seg int"
+#: Chunks in a range; ranges that are scored first, and how many times as many in each further round while hits are too few.
+RANGE, FIRST_RANGES, GROWTH = 128, 64, 8
+#: Postings in a bucket of terms, about; blocks in a share of a bucket, about; most buckets; segments up to which none are merged.
+BUCKET_POSTINGS, SHARE_BLOCKS, MOST_BUCKETS, MOST_SEGMENTS = 4_000_000, 200_000, 4096, 16
+#: Up to so many ranges are named in a filter on the blocks; more are joined.
+NAMED_RANGES = 1000
+BLOCKS = "term string, range long, n int, cf long, max_tf int, min_len int, impact double, docs array<long>, tfs array<int>, lens array<int>"
+DOCS = "doc long, range long, chunk_id string, object_uri string, connector_uri string, chunk_kind string, len int"
+TERMS = "term string, df long, cf long"
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
+def saturated(tf: Column, length: Column, avgdl: float) -> Column:
+    """What a posting adds to a score, but for its term's weight."""
+    return tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * length / F.lit(avgdl)))
 
 
 class Postings:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def segments(self) -> tuple[int, int]:
-        """(the first segment that counts, the last one); (1, 0) for an empty index."""
-        if not self.fs.exists(self.path(self.root)):
-            return 1, 0
-        marks = [n.getPath().getName().split("-")[1:] for n in self.fs.listStatus(self.path(self.root)) if n.getPath().getName().startswith("CURRENT-")]
-        last, base = max(((int(v), int(b)) for v, b in marks), default=(0, 1))
-        return base, last
-
-    def _read(self, name: str, schema: str, span: tuple[int, int] | None = None) -> DataFrame:
-        base, last = span or self.segments()
-        if not last:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").where(F.col("seg").between(base, last))
-
-    def _living(self, rows: DataFrame, span: tuple[int, int] | None = None) -> DataFrame:
-        """Rows of objects that no later segment lists as gone or replaced."""
-        base, last = span or self.segments()
-        if base == last:
-            return rows
-        gone = self._read("gone", "object_uri string, seg int", span).groupBy("object_uri").agg(F.max("seg").alias("until"))
-        return rows.join(gone, "object_uri", "left").where(F.col("seg") >= F.coalesce("until", F.lit(0))).drop("until")
-
-    def _write(self, postings: DataFrame, chunks: DataFrame, gone: DataFrame, seg: int, base: int) -> None:
-        shared = postings.select("term", "chunk_id", "object_uri", "connector_uri", "chunk_kind", "tf", "len", bucket_of(F.col("term")).alias("bucket"))
-        dealt = shared.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SHARES))).sortWithinPartitions("bucket", "term", "chunk_id")
-        # an attempt that failed before its mark was set is overwritten
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/seg={seg}")
-        for name, rows in (("chunks", chunks.select("chunk_id", "object_uri", "connector_uri", "len")), ("gone", gone.select("object_uri").distinct())):
-            rows.write.mode("overwrite").parquet(f"{self.root}/{name}/seg={seg}")
-        span = (base, seg)
-        stats = self._living(self._read("chunks", CHUNKS, span), span).agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
-        stats.write.mode("overwrite").parquet(f"{self.root}/stats/seg={seg}")
-        self.fs.create(self.path(f"{self.root}/CURRENT-{seg}-{base}"), False).close()
-
-    def add(self, chunks: DataFrame, gone: DataFrame | None = None) -> int:
-        """Indexes chunks as a new segment. All earlier chunks of their objects, and of the objects in gone, count no more."""
-        base, last = self.segments()
-        worded = chunks.select("chunk_id", "object_uri", "connector_uri", "chunk_kind", t.tokens(F.col("content")).alias("words")).withColumn("len", F.size("words"))
-        counted = worded.withColumn("term", F.explode("words")).groupBy("term", "chunk_id", "object_uri", "connector_uri", "chunk_kind", "len").agg(F.count("*").cast("int").alias("tf"))
-        replaced = chunks.select("object_uri")
-        self._write(counted, worded, replaced if gone is None else replaced.unionByName(gone.select("object_uri")), last + 1, base)
-        return last + 1
-
-    def compact(self) -> int:
-        """All living postings as one segment; the earlier ones are read no more."""
-        _, last = self.segments()
-        rows = self._living(self._read("postings", POSTINGS)), self._living(self._read("chunks", CHUNKS))
-        self._write(*rows, self.spark.createDataFrame([], "object_uri string"), last + 1, last + 1)
-        return last + 1
-
-    def terms(self, words: list[str]) -> DataFrame:
-        """Living postings of a few terms: only their buckets are read, and within these only the row groups that hold them."""
-        base, last = self.segments()
-        buckets = sorted({zlib.crc32(w.encode()) % BUCKETS for w in words})  # as bucket_of
-        folders = [f"{self.root}/postings/seg={seg}/bucket={b}" for seg in range(base, last + 1) for b in buckets]
-        held = [f for f in folders if self.fs.exists(self.path(f))]
-        if not held:
-            return self.spark.createDataFrame([], POSTINGS)
-        rows = self.spark.read.schema(POSTINGS).option("basePath", f"{self.root}/postings").parquet(*held)
-        return self._living(rows.where(F.col("term").isin(words)))
+    def __init__(self, spark: SparkSession, root: str, ledger: Ledger | None = None, name: str = "postings"):
+        self.spark, self.name = spark, name
+        self.ledger = ledger or Ledger(spark, root)
+        self.root = f"{self.ledger.root}/{name}"
+
+    def state(self, tx: Transaction | None = None) -> dict:
+        """segments: their number, folder, buckets and how many chunks they have; next, chunks and words: sums over what lives."""
+        return (tx.state if tx is not None else self.ledger.state()).get(self.name) or {"segments": [], "next": 1, "chunks": 0, "words": 0}
+
+    def segments(self) -> int:
+        return len(self.state()["segments"])
+
+    # reading
+
+    def _read(self, state: dict, table: str, schema: str, words: list[str] | None = None) -> DataFrame:
+        """A table of all segments, with the segment's number; words: only the buckets of these terms."""
+        out = None
+        for s in state["segments"]:
+            if table not in s["tables"]:
+                continue
+            folder = f"{self.root}/{s['folder']}/{table}"
+            if words is not None:
+                wanted = {zlib.crc32(w.encode()) % s["buckets"] for w in words} & set(s["held"])
+                if not wanted:
+                    continue
+                own = self.spark.read.schema(schema).parquet(*[f"{folder}/bucket={b}" for b in sorted(wanted)]).where(F.col("term").isin(words))
+            else:
+                own = self.spark.read.schema(schema).parquet(folder)
+            own = own.withColumn("seg", F.lit(s["number"]))
+            out = own if out is None else out.unionByName(own)
+        return out if out is not None else self.spark.createDataFrame([], f"{schema}, seg int")
+
+    def _living(self, docs: DataFrame, state: dict) -> DataFrame:
+        """Chunks of objects that no later segment lists as gone or replaced."""
+        if not any("gone" in s["tables"] for s in state["segments"]):
+            return docs
+        gone = self._read(state, "gone", "object_uri string").groupBy("object_uri").agg(F.max("seg").alias("until"))
+        return docs.join(gone, "object_uri", "left").where(F.col("seg") >= F.coalesce("until", F.lit(0))).drop("until")
 
     def vocabulary(self) -> DataFrame:
         """(term, df, cf): how many living chunks hold each term, and how often it occurs."""
-        return self._living(self._read("postings", POSTINGS)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        return self._read(self.state(), "terms", TERMS).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
 
     def stats(self) -> DataFrame:
         """(n, avgdl) of all living chunks: one row."""
-        _, last = self.segments()
-        return self.spark.read.parquet(f"{self.root}/stats/seg={last}").select("n", "avgdl")
+        state = self.state()
+        return self.spark.createDataFrame([(state["chunks"], state["words"] / state["chunks"] if state["chunks"] else 0.0)], "n long, avgdl double")
+
+    # writing
+
+    def add(self, chunks: DataFrame, removed: DataFrame | None = None, tx: Transaction | None = None) -> int | None:
+        """Indexes chunks as a new segment. removed: the chunks, with their content, that these replace or that are gone; all
+        earlier chunks of their objects count no more."""
+        return once(self.ledger, tx, lambda own: self._add(chunks, removed, own))
+
+    def _add(self, chunks: DataFrame, removed: DataFrame | None, tx: Transaction) -> None:
+        state = self.state(tx)
+        words = t.tokens(F.col("content"))
+        keys = ["chunk_id", "object_uri", "connector_uri", "chunk_kind"]
+        worded = order.positions(chunks.select(*keys, words.alias("words")), ["object_uri", "chunk_id"], "doc")
+        docs = worded.select("doc", F.floor(F.col("doc") / RANGE).cast("long").alias("range"), *keys, F.size("words").alias("len"), "words")
+        once_each = docs.select("range", "doc", "len", F.explode("words").alias("term")).repartition("term", "range").groupBy("term", "range", "doc", "len").agg(F.count("*").cast("int").alias("tf"))
+        tables, less = {"gone"} if removed is not None else set(), None
+        if removed is not None:
+            less = removed.select("chunk_id", words.alias("words"))
+        self._write(once_each, docs.drop("words"), less, removed, state, tx, tables)
+
+    def _write(self, postings: DataFrame, docs: DataFrame, less: DataFrame | None, removed: DataFrame | None, state: dict, tx: Transaction, tables: set[str], replaces: bool = False) -> None:
+        """postings: (term, range, doc, len, tf); docs: as DOCS; less: (chunk_id, words) that no longer count."""
+        folder = tx.folder()
+        at = f"{self.root}/{folder}"
+        docs.repartitionByRange("doc").sortWithinPartitions("doc").write.parquet(f"{at}/docs")
+        written = self.spark.read.schema(DOCS).parquet(f"{at}/docs")
+        new = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words")).first()
+        gone = less.agg(F.countDistinct("chunk_id").alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).first() if less is not None else {"n": 0, "words": 0}
+        chunks, total = (new["n"], new["words"]) if replaces else (state["chunks"] + new["n"] - gone["n"], state["words"] + new["words"] - gone["words"])
+        mean = max(total / chunks, 1e-9) if chunks else 1.0
+        # how finely it is cut follows from how much it is; a term of every range has as many blocks as there are ranges
+        buckets = min(MOST_BUCKETS, max(1, math.ceil(new["words"] / BUCKET_POSTINGS)))
+        shares = max(1, math.ceil(new["n"] / RANGE / SHARE_BLOCKS))
+        bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
+        sorted_by_doc = F.array_sort(F.collect_list(F.struct("doc", "tf", "len")))
+        blocks = postings.groupBy("term", "range").agg(F.count("*").cast("int").alias("n"), F.sum("tf").cast("long").alias("cf"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.max(saturated(F.col("tf"), F.col("len"), mean)).alias("impact"), sorted_by_doc.alias("p"))
+        packed = blocks.select("term", "range", "n", "cf", "max_tf", "min_len", "impact", F.col("p.doc").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"), bucket)
+        packed.repartition("bucket", F.pmod(F.col("range"), F.lit(shares))).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{at}/blocks")
+        counts = self.spark.read.schema(BLOCKS).parquet(f"{at}/blocks").groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")) if new["words"] else self.spark.createDataFrame([], TERMS)
+        if less is not None:
+            each = less.dropDuplicates(["chunk_id"]).select("chunk_id", F.explode("words").alias("term")).groupBy("term").agg((-F.countDistinct("chunk_id")).alias("df"), (-F.count("*")).alias("cf"))
+            counts = counts.unionByName(each).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df <> 0 or cf <> 0")
+            removed.select("object_uri").distinct().write.parquet(f"{at}/gone")
+        counts.select("term", "df", "cf", bucket).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
+        held = lambda table: {int(n[7:]) for n in self.ledger.names(f"{self.name}/{folder}/{table}") if n.startswith("bucket=")}
+        in_blocks, in_terms = held("blocks"), held("terms")
+        entry = {"number": state["next"], "folder": folder, "buckets": buckets, "held": sorted(in_blocks), "chunks": new["n"], "mean": mean, "tables": sorted(tables | {"docs"} | ({"blocks"} if in_blocks else set()) | ({"terms"} if in_terms else set()))}
+        if in_terms - in_blocks and "blocks" in entry["tables"] or in_terms and not in_blocks:
+            entry["held_terms"] = sorted(in_terms)
+        tx.state[self.name] = {"segments": [*([] if replaces else state["segments"]), entry], "next": state["next"] + 1, "chunks": chunks, "words": total}
+        if len(tx.state[self.name]["segments"]) > MOST_SEGMENTS:
+            self._compact(tx)
+
+    def compact(self, tx: Transaction | None = None) -> int | None:
+        """All living postings as one segment; the earlier ones are read no more."""
+        return once(self.ledger, tx, self._compact)
+
+    def _compact(self, tx: Transaction) -> None:
+        state = self.state(tx)
+        keys = ["chunk_id", "object_uri", "connector_uri", "chunk_kind"]
+        living = self._living(self._read(state, "docs", DOCS), state)
+        numbered = order.positions(living.select("seg", F.col("doc").alias("old"), *keys, "len"), ["object_uri", "chunk_id"], "doc").withColumn("range", F.floor(F.col("doc") / RANGE).cast("long"))
+        flat = self._read(state, "blocks", BLOCKS).select("seg", "term", F.explode(F.arrays_zip("docs", "tfs")).alias("x")).select("seg", "term", F.col("x.docs").alias("old"), F.col("x.tfs").alias("tf"))
+        postings = flat.join(numbered.select("seg", "old", "doc", "range", "len"), ["seg", "old"]).select("term", "range", "doc", "len", "tf")
+        self._write(postings, numbered.select("doc", "range", *keys, "len"), None, None, state, tx, set(), replaces=True)
+
+    # searching
+
+    def _bounds(self, state: dict, weights: dict[str, float], mean: float) -> DataFrame:
+        """(seg, range, bound, blocks): the most that a chunk of each range can score, from the blocks' heads alone."""
+        words = sorted(weights)
+        weight = F.create_map(*[F.lit(x) for w in words for x in (w, weights[w])])
+        # bounds from the time of writing hold for a smaller mean length; for a larger one they grow with it at most
+        own = F.least(saturated(F.col("max_tf"), F.col("min_len"), mean), F.col("impact") * F.greatest(F.lit(1.0), F.lit(mean) / F.col("mean")))
+        then = F.create_map(*[x for s in state["segments"] for x in (F.lit(s["number"]), F.lit(float(s.get("mean", mean))))])
+        heads = self._read(state, "blocks", BLOCKS, words).select("seg", "term", "range", "max_tf", "min_len", "impact").withColumn("mean", F.element_at(then, F.col("seg")))
+        return heads.groupBy("seg", "range").agg(F.sum(own * F.element_at(weight, F.col("term"))).alias("bound"), F.count("*").alias("blocks"))
+
+    def _score(self, state: dict, weights: dict[str, float], mean: float, ranges: DataFrame, n: int, where: Column | None) -> DataFrame:
+        """(chunk_id, object_uri, score) of the living chunks of some ranges."""
+        words = sorted(weights)
+        weight = F.create_map(*[F.lit(x) for w in words for x in (w, weights[w])])
+        blocks, docs = self._read(state, "blocks", BLOCKS, words), self._read(state, "docs", DOCS)
+        if n <= NAMED_RANGES:  # the numbers reach the scan
+            named = [r["range"] for r in ranges.select("range").distinct().collect()]
+            blocks, docs = blocks.where(F.col("range").isin(named)), docs.where(F.col("range").isin(named))
+        own = blocks.join(ranges.select("seg", "range"), ["seg", "range"], "left_semi").select("seg", "range", "term", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("x"))
+        part = F.element_at(weight, F.col("term")) * saturated(F.col("x.tfs"), F.col("x.lens"), mean)
+        sums = own.groupBy("seg", "range", F.col("x.docs").alias("doc")).agg(F.round(F.sum(part), 6).alias("score"))
+        told = docs.join(sums, ["seg", "range", "doc"])
+        return self._living(told if where is None else told.where(where), state).select("chunk_id", "object_uri", "score")
+
+    def _weights(self, state: dict, query: str) -> dict[str, float]:
+        """The weight of each of the query's words that any living chunk holds."""
+        words = sorted(set(search._tokens(query)))
+        if not words or not state["chunks"]:
+            return {}
+        counts = {**state, "segments": [{**s, "held": s.get("held_terms", s["held"])} for s in state["segments"]]}
+        df = self._read(counts, "terms", TERMS, words).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").collect()  # the query's words
+        return {r["term"]: math.log(1 + (state["chunks"] - r["df"] + 0.5) / (r["df"] + 0.5)) for r in df}
 
     def bm25(self, query: str, where: Column | None = None, top_k: int = 10) -> DataFrame:
         """(chunk_id, object_uri, score): as search.bm25 over the living chunks."""
-        words = sorted(set(search._tokens(query)))
-        if not words or not self.segments()[1]:
-            return self.spark.createDataFrame([], "chunk_id string, object_uri string, score double")
-        found = self.terms(words)
-        often = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each word of the query
-        hits = found if where is None else found.where(where)
-        scored = hits.join(F.broadcast(often), "term").join(F.broadcast(self.stats()))  # one row
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") * (search.K1 + 1) / (F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("len") / F.col("avgdl")))
-        ranked = scored.groupBy("chunk_id", "object_uri").agg(F.round(F.sum(part), 6).alias("score"))
-        return ranked.orderBy(F.desc("score"), "chunk_id").limit(top_k)
+        return self.skipping(query, where, top_k)[0]
+
+    def skipping(self, query: str, where: Column | None = None, top_k: int = 10) -> tuple[DataFrame, int, int]:
+        """(hits, ranges whose blocks were read, ranges with any of the words)."""
+        state = self.state()
+        weights = self._weights(state, query)
+        best = [F.desc("score"), F.col("chunk_id")]
+        if not weights:
+            return self.spark.createDataFrame([], "chunk_id string, object_uri string, score double"), 0, 0
+        mean = state["words"] / state["chunks"]
+        few = sum(math.ceil(s["chunks"] / RANGE) for s in state["segments"]) <= FIRST_RANGES
+        bounds = self._bounds(state, weights, mean)
+        if few:  # not worth a second look
+            return self._score(state, weights, mean, bounds, FIRST_RANGES, where).orderBy(*best).limit(top_k), 0, 0
+        bounds = bounds.persist()
+        try:
+            every, taken, wanted = bounds.count(), 0, max(FIRST_RANGES, 2 * top_k // RANGE)
+            hits, worst = [], -math.inf
+            first = [F.desc("bound"), F.col("seg"), F.col("range")]
+            while taken < every:
+                # the best ranges first; once there are hits enough, all that may still hold a better one
+                if len(hits) >= top_k:
+                    left = bounds.where(F.col("bound") >= worst - 1e-5).count()
+                    if left <= taken:
+                        break
+                    wanted = left
+                chosen = bounds.orderBy(*first).limit(wanted)
+                done = bounds.orderBy(*first).limit(taken) if taken else None
+                part = chosen if done is None else chosen.join(done.select("seg", "range"), ["seg", "range"], "left_anti")
+                hits += [tuple(r) for r in self._score(state, weights, mean, part, wanted - taken, where).orderBy(*best).limit(top_k).collect()]  # top_k rows
+                hits = sorted(hits, key=lambda h: (-h[2], h[0]))[:top_k]
+                worst, taken = (hits[-1][2] if len(hits) >= top_k else -math.inf), min(wanted, every)
+                wanted = min(every, wanted * GROWTH)
+        finally:
+            bounds.unpersist()
+        return self.spark.createDataFrame(hits, "chunk_id string, object_uri string, score double").orderBy(*best), taken, every

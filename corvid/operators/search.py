@@ -74,8 +74,8 @@ def _tokens(query: str) -> list[str]:
     return [w for w in regex.split(r"[^\p{L}\p{N}]+", query.lower()) if w]
 
 
-def dense(vectors: DataFrame, query: list[float], top_k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, score): exact cosine. A vector of another length than the query's raises; null ones are left out."""
+def dense(vectors: DataFrame, query: list[float], top_k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score, *extra): exact cosine. A vector of another length than the query's raises; null ones are left out."""
     norm = math.sqrt(sum(x * x for x in query))
     q = F.array(*map(F.lit, query))
     v = F.transform(vector_col, lambda x: x.cast("double"))
@@ -83,7 +83,7 @@ def dense(vectors: DataFrame, query: list[float], top_k: int = 10, id_col: str =
     own = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     other = F.raise_error(F.concat(F.lit(f"dimension_mismatch: the query has {len(query)} dimensions, a vector has "), F.size(vector_col).cast("string")))
     score = F.when(F.size(vector_col) == len(query), F.round(dot / (own * norm), 6)).otherwise(other)
-    return vectors.where(F.col(vector_col).isNotNull()).select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(top_k)
+    return vectors.where(F.col(vector_col).isNotNull()).select(id_col, score.alias("score"), *extra).orderBy(F.desc("score"), id_col).limit(top_k)
 
 
 def fuse(legs: list[DataFrame], key: str, top_k: int) -> DataFrame:

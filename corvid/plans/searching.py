@@ -121,8 +121,9 @@ def bm25_indexed(spark, d):
     postings = Postings(spark, f"{shared_folder(spark)}/corvid-postings/{uuid.uuid4().hex}")
     rows = chunks(spark, d)
     english = F.col("object_uri").startswith("docs://corpus/en/")
-    postings.add(rows.withColumn("content", F.when(english, F.concat(F.lit("rely rely the "), "content")).otherwise(F.col("content"))))
-    postings.add(rows.where(english))
+    outdated = rows.withColumn("content", F.when(english, F.concat(F.lit("rely rely the "), "content")).otherwise(F.col("content")))
+    postings.add(outdated)
+    postings.add(rows.where(english), outdated.where(english))
     return postings.bm25(QUERY)
 
 

@@ -25,7 +25,7 @@ def stored(spark: SparkSession, d: str) -> tuple[DataFrame, Postings]:
     """(chunks, postings) of a data folder; built anew where they aren't there (any more)."""
     key = (spark.sparkContext.applicationId, d)
     root = _BUILT.get(key)
-    if root and Postings(spark, f"{root}/postings").segments()[1]:
+    if root and Postings(spark, f"{root}/postings").segments():
         return spark.read.parquet(f"{root}/chunks"), Postings(spark, f"{root}/postings")
     root = f"{shared_folder(spark)}/corvid-index/{uuid.uuid4().hex}"
     made = build(spark, d, root)

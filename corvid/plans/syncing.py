@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from corvid.functions import text as t
 from corvid.catalog import Catalog
+from corvid.model import EngineError, ObjectConfig
 from corvid.operators import crawl, index, keys, sync
-from corvid.plans.common import CHUNKS, DOC_URI, bm25_sql
+from corvid.plans import chunking
+from corvid.plans.common import CHUNKS, CUT, DOC_URI, bm25_sql
 from corvid.plans.stored import stored
 from corvid.session import shared_folder
+from corvid.sources.registry import RecordFolder
 from corvid.sources.tables import document_uri, page_objects, table
 from corvid.streaming import feed
 
@@ -183,6 +186,49 @@ def engine_resync_search(spark, d):
     return own.engine(["docs://corpus"]).search("Tion the rely", mode="keyword").select("source", "score", "locator")
 
 
+class _Lost(Exception):
+    """The writer's machine is gone."""
+
+
+def engine_recovered(spark, d):
+    """A sync whose writer dies when all is written but the manifest; whoever opens the catalog next clears up and syncs again."""
+    docs, labels = document_uri(table(spark, d, "documents")), table(spark, d, "labels")
+    own = catalog(spark)
+    text = F.when(F.col("toxic") == 1, F.concat("text", F.lit(" outdated"))).otherwise(F.col("text"))
+    own.add("docs://corpus", docs.join(labels, "doc_id").select("object_uri", text.alias("content")))
+    now = docs.where("lang <> 'es'").select("object_uri", F.col("text").alias("content"))
+    broken = Catalog(spark, own.ledger.root, buckets=8)
+
+    def die(*_):
+        raise _Lost
+
+    broken.ledger._rename, broken.ledger._drop, broken.ledger.delete = die, lambda token: None, lambda name: None
+    try:
+        broken.add("docs://corpus", now)
+    except EngineError:
+        pass
+    again = Catalog(spark, own.ledger.root, buckets=8, stale=0)
+    again.add("docs://corpus", now)
+    hits = again.postings.bm25("Tion the rely", top_k=25).groupBy("object_uri").agg(F.max("score").alias("best"))
+    return again.objects.read().join(hits, "object_uri", "left").select("object_uri", "search_status", "chunk_count", "best")
+
+
+def engine_sync_threads(spark, d):
+    """Conversations as a folder of record files, taken in as message streams: one thread for each conversation."""
+    path = f"{shared_folder(spark)}/corvid-chats/{uuid.uuid4().hex}"
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.format_string("room%d", F.col("conv_id") % 4).alias("room"))
+    turns.repartition("room").sortWithinPartitions("room", "conv_id", "turn").write.partitionBy("room").json(path)
+    file = spark._jvm.org.apache.hadoop.fs.Path
+    fs = file(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for room in [f.getPath() for f in fs.listStatus(file(path)) if f.getPath().getName().startswith("room=")]:  # four
+        part = next(f.getPath() for f in fs.listStatus(room) if f.getPath().getName().startswith("part-"))
+        fs.rename(part, file(f"{path}/{room.getName()[5:]}.jsonl"))
+    config = ObjectConfig(["text"], [], [], group_by="conv_id", render_template="{role}: {text}")
+    own = Catalog(spark, f"{shared_folder(spark)}/corvid-catalog/{uuid.uuid4().hex}", buckets=8, presets={"*.jsonl": config})
+    own.sync("slack://team", RecordFolder("slack://team", path))
+    return own.chunks.read().select("chunk_id", "object_uri", "locator", "chunk_kind", F.sha1("content").alias("sha1"))
+
+
 def index_dispatch(spark, d):
     """What becomes of changed objects of several kinds."""
     exts = F.array(*map(F.lit, [".md", ".py", ".exe", ".png"]))
@@ -223,7 +269,7 @@ def stream_sync(spark, d):
     return snapshots.read().select("chunk_id", "object_uri", F.sha1("content").alias("sha1"))
 
 
-QUERIES = {f.__name__: f for f in (sync_diff, file_diff, rename_pairing, delete_gating, since_merge, manifest_diff, upload_replay, fingerprint_count_max, schema_fingerprint, upsert_chunks, delete_by_object, rename_rekey, orphan_gc, last_write_wins, lru_evict, event_feed_dedupe, event_hours, stream_sync, stream_regroup, engine_add, engine_resync, engine_resync_changes, engine_resync_search, index_dispatch, web_conditional, pk_discovery)}
+QUERIES = {f.__name__: f for f in (sync_diff, file_diff, rename_pairing, delete_gating, since_merge, manifest_diff, upload_replay, fingerprint_count_max, schema_fingerprint, upsert_chunks, delete_by_object, rename_rekey, orphan_gc, last_write_wins, lru_evict, event_feed_dedupe, event_hours, stream_sync, stream_regroup, engine_add, engine_resync, engine_resync_changes, engine_resync_search, engine_recovered, engine_sync_threads, index_dispatch, web_conditional, pk_discovery)}
 
 _URI = "'docs://corpus/' || lang || '/' || source || '/' || doc_id || '.md'"
 _OLD = f"SELECT {_URI} AS path, CASE WHEN toxic = 1 THEN 'outdated' ELSE sha1(text) END AS fingerprint FROM documents JOIN labels USING (doc_id)"
@@ -238,6 +284,16 @@ ORACLE = {
     "stream_regroup": "SELECT CAST(conv_id AS BIGINT) AS thread, CAST(count(*) AS INTEGER) AS n, sha1(string_agg(text, '|' ORDER BY turn)) AS sha1 FROM conversations GROUP BY conv_id",
     "engine_add": f"SELECT {_URI} AS object_uri, 'document' AS okind, CASE WHEN count(c.chunk_id) = 0 THEN 'not_indexed' ELSE 'indexed' END AS search_status, count(c.chunk_id) AS chunk_count FROM documents d LEFT JOIN (SELECT doc_id, chunk_id FROM ({CHUNKS})) c USING (doc_id) GROUP BY ALL",
     "engine_resync": f"SELECT replace({_URI}, '/de/', '/deutsch/') AS object_uri, CASE WHEN count(c.chunk_id) = 0 THEN 'not_indexed' ELSE 'indexed' END AS search_status, count(c.chunk_id) AS chunk_count FROM documents d LEFT JOIN (SELECT doc_id, chunk_id FROM ({CHUNKS})) c USING (doc_id) WHERE lang <> 'es' GROUP BY ALL",
+    "engine_recovered": f"""WITH h AS (SELECT object_uri, max(score) AS best FROM ({bm25_sql(['rely', 'the', 'tion'], k=25, source="lang <> 'es'")}) GROUP BY object_uri)
+        SELECT o.object_uri, search_status, chunk_count, best FROM (SELECT {_URI} AS object_uri, CASE WHEN count(c.chunk_id) = 0 THEN 'not_indexed' ELSE 'indexed' END AS search_status, count(c.chunk_id) AS chunk_count
+            FROM documents d LEFT JOIN (SELECT doc_id, chunk_id FROM ({CHUNKS})) c USING (doc_id) WHERE lang <> 'es' GROUP BY ALL) o LEFT JOIN h USING (object_uri)""",
+    "engine_sync_threads": f"""WITH RECURSIVE parts AS ({chunking.ORACLE['thread_split']}),
+        cuts AS (SELECT conv_id, chunk_index AS part, first, last, content AS rest, 0 AS n, CAST(NULL AS VARCHAR) AS content FROM parts
+            UNION ALL SELECT conv_id, part, first, last, substring(rest, k + 1), n + 1, left(rest, k) FROM (SELECT *, {CUT} AS k FROM cuts WHERE rest <> '')),
+        pieces AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS all_, row_number() OVER (PARTITION BY conv_id ORDER BY part, n) - 1 AS pos FROM cuts WHERE regexp_matches(content, '[^ \\t\\n\\r\\f\\v]')),
+        told AS (SELECT 'slack://team/room' || conv_id % 4 || '.jsonl' AS object_uri, content,
+            CASE WHEN all_ = 1 THEN '{{"conv_id":' || conv_id || '}}' ELSE '{{"chunk_index":' || pos || ',"conv_id":' || conv_id || ',"msg_range":[' || first || ',' || last || ']}}' END AS locator FROM pieces)
+        SELECT sha1('default|slack://team|' || object_uri || '|thread_aggregate|' || locator) AS chunk_id, object_uri, locator, 'thread_aggregate' AS chunk_kind, sha1(content) AS sha1 FROM told""",
     "engine_resync_changes": f"""WITH {_SHARED}, x AS (
             SELECT 'unchanged' AS change, 'keep' AS action, count(*) AS n FROM o JOIN n USING (uri, f) UNION ALL
             SELECT 'modified', 'pipeline', count(*) FROM o JOIN n USING (uri) WHERE o.f <> n.f UNION ALL

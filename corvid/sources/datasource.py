@@ -71,7 +71,7 @@ class RecordReader(DataSourceReader):
                 rest = parts.pop() if block else b""
                 for raw in parts:
                     if raw.strip():
-                        text = json.dumps(json.loads(raw), ensure_ascii=False, separators=(",", ":"))
+                        text = compact(raw)
                         if all(w in text for w in self.words):
                             yield partition.value, row, text
                         row += 1
@@ -79,6 +79,14 @@ class RecordReader(DataSourceReader):
                     return
 
 
+def compact(line: bytes) -> str:
+    """A record without blanks between its parts; a line that is no JSON stays as it is."""
+    try:
+        return json.dumps(json.loads(line), ensure_ascii=False, separators=(",", ":"))
+    except ValueError:
+        return line.decode("utf-8", "replace")
+
+
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordFiles)

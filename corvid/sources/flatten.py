@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvid.functions.records import resolve
+
+#: Columns that aren't the record's own: every flattener passes them on.
+PLACE = ("_object_uri", "_row")
+
 
 def _has(df: DataFrame, name: str) -> bool:
     return name in df.columns
 
 
+def _place(df: DataFrame) -> list[str]:
+    return [c for c in PLACE if c in df.columns]
+
+
+def _at(df: DataFrame, path: str, name: str | None = None) -> Column:
+    """A path's value under its last name; null where these records don't have it."""
+    return resolve(df, path)[0].alias(name or path.rsplit(".", 1)[-1])
+
+
+def _names(df: DataFrame, path: str, name: str) -> Column:
+    """The `name` of each entry of a list."""
+    return resolve(df, f"{path}[*].{name}")[0]
+
+
 def slack_messages(df: DataFrame, oldest: float | None = None) -> DataFrame:
     """A message outside any thread starts its own; with oldest only later ones."""
     df = df.where(F.col("ts").cast("double") >= oldest) if oldest is not None else df
@@ -20,27 +41,29 @@ def slack_messages(df: DataFrame, oldest: float | None = None) -> DataFrame:
 def github_issues(df: DataFrame) -> DataFrame:
     """Issues without pull requests, with plain author, label and assignee names."""
     issues = df.where(F.col("pull_request").isNull()) if _has(df, "pull_request") else df
-    return issues.select("number", "title", F.coalesce("body", F.lit("")).alias("body"), "state", F.col("user.login").alias("author"), F.transform("labels", lambda x: x["name"]).alias("labels"), "updated_at")
+    return issues.select(*_place(df), *(_at(df, x) for x in ("number", "title")), F.coalesce(_at(df, "body"), F.lit("")).alias("body"), _at(df, "state"), _at(df, "user.login", "author"), _names(df, "labels", "name").alias("labels"), _names(df, "assignees", "login").alias("assignees"), _at(df, "updated_at"))
 
 
 def github_pulls(df: DataFrame) -> DataFrame:
     """Pull requests with plain author and label names."""
-    return df.select("number", "title", F.coalesce("body", F.lit("")).alias("body"), "state", F.coalesce("draft", F.lit(False)).alias("draft"), F.col("user.login").alias("author"), F.transform("labels", lambda x: x["name"]).alias("labels"), "merged_at", "updated_at")
+    return df.select(*_place(df), *(_at(df, x) for x in ("number", "title")), F.coalesce(_at(df, "body"), F.lit("")).alias("body"), _at(df, "state"), F.coalesce(_at(df, "draft").cast("boolean"), F.lit(False)).alias("draft"), _at(df, "user.login", "author"), _names(df, "labels", "name").alias("labels"), _at(df, "merged_at"), _at(df, "updated_at"))
 
 
 def jira_issues(df: DataFrame) -> DataFrame:
     """Issue key, summary, description, names of status, priority and people, labels, and comments as [{body}]."""
     f = "fields."
-    comments = F.transform(F.col(f + "comment.comments"), lambda c: F.struct(c["body"].alias("body")))
-    return df.select("key", F.col(f + "summary").alias("summary"), F.col(f + "description").alias("description"), F.col(f + "status.name").alias("status"), F.col(f + "priority.name").alias("priority"), F.col(f + "assignee.displayName").alias("assignee"), F.col(f + "reporter.displayName").alias("reporter"), F.col(f + "labels").alias("labels"), F.col(f + "updated").alias("updated"), F.filter(comments, lambda c: c["body"].isNotNull() & (c["body"] != "")).alias("comments"))
+    bodies = F.filter(resolve(df, f + "comment.comments[*].body")[0], lambda c: c.isNotNull() & (c != ""))
+    named = {"status": "status.name", "priority": "priority.name", "assignee": "assignee.displayName", "reporter": "reporter.displayName"}
+    return df.select(*_place(df), "key", *(_at(df, f + x) for x in ("summary", "description")), *(_at(df, f + x, k) for k, x in named.items()), _at(df, f + "labels"), _at(df, f + "updated"), F.transform(bodies, lambda c: F.struct(c.alias("body"))).alias("comments"))
 
 
 def linear_issues(df: DataFrame) -> DataFrame:
-    return df.select("identifier", "title", "description", F.col("state.name").alias("state"), "priority", F.col("assignee.name").alias("assignee"), F.transform("labels.nodes", lambda x: x["name"]).alias("labels"), "updatedAt")
+    """Issues with plain names of state, assignee and labels."""
+    return df.select(*_place(df), *(_at(df, x) for x in ("identifier", "title", "description")), _at(df, "state.name", "state"), _at(df, "priority"), _at(df, "assignee.name", "assignee"), _names(df, "labels.nodes", "name").alias("labels"), _at(df, "updatedAt"))
 
 
 def linear_users(df: DataFrame) -> DataFrame:
-    return df.select("id", "name", "email", F.coalesce("active", F.lit(True)).alias("active"))
+    return df.select(*_place(df), *(_at(df, x) for x in ("id", "name", "email")), F.coalesce(_at(df, "active").cast("boolean"), F.lit(True)).alias("active"))
 
 
 def zendesk_comments(tickets: DataFrame, comments: DataFrame) -> DataFrame:
@@ -50,7 +73,8 @@ def zendesk_comments(tickets: DataFrame, comments: DataFrame) -> DataFrame:
 
 def hubspot_objects(df: DataFrame) -> DataFrame:
     """Properties raised to the top level."""
-    return df.select("id", "properties.*")
+    own = [c for c in df.schema["properties"].dataType.fieldNames() if c not in ("id", *PLACE)]
+    return df.select(*_place(df), "id", *(F.col("properties")[c].alias(c) for c in own))
 
 
 def discord_path(df: DataFrame) -> DataFrame:
@@ -82,7 +106,7 @@ def gmail_messages(df: DataFrame) -> DataFrame:
 
     html = F.trim(F.regexp_replace(F.regexp_replace(decoded("text/html"), "<[^>]+>", " "), r"\s+", " "))
     wanted = {k: F.try_element_at(headers, F.lit(k)) for k in ("subject", "from", "to", "date")}
-    return df.select("id", "threadId", *(v.alias(k) for k, v in wanted.items()), F.coalesce(decoded("text/plain"), html, F.lit("")).alias("body"), "snippet", "labelIds")
+    return df.select(*_place(df), "id", "threadId", *(v.alias(k) for k, v in wanted.items()), F.coalesce(decoded("text/plain"), html, F.lit("")).alias("body"), "snippet", "labelIds")
 
 
 def notion_markdown(kind, text, checked=None, language=None):
@@ -113,3 +137,25 @@ def drive_paths(files: DataFrame, most: int = 64) -> DataFrame:
         above = step.select(F.col("id").alias("up_id"), F.col("path").alias("up_path"), F.col("up").alias("next"))
         step = step.join(above, F.col("up") == F.col("up_id"), "left").select("id", F.concat_ws("/", "up_path", "path").alias("path"), F.col("next").alias("up"))
     return step.select("id", F.concat(F.lit("/"), "path").alias("path"))
+
+
+def feishu_messages(df: DataFrame) -> DataFrame:
+    """Messages with their text, and the sender's id."""
+    kind = "msg_type" if _has(df, "msg_type") else "message_type"
+    body = "body.content" if _has(df, "body") else "content"
+    return df.withColumns({"text": feishu_text(body, kind), "sender": _at(df, "sender.id") if isinstance(df.schema["sender"].dataType, T.StructType) else F.col("sender")} if _has(df, "sender") else {"text": feishu_text(body, kind)})
+
+
+#: By preset: the flattener of its raw records, and the field by which raw records are known (flat ones pass as they are).
+FLATTENERS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
+    "slack.messages": (slack_messages, "ts"), "github.issues": (github_issues, "user"), "github.pulls": (github_pulls, "user"), "jira.issues": (jira_issues, "fields"), "linear.issues": (linear_issues, "identifier"), "linear.users": (linear_users, "email"),
+    "hubspot.contacts": (hubspot_objects, "properties"), "hubspot.companies": (hubspot_objects, "properties"), "hubspot.deals": (hubspot_objects, "properties"), "hubspot.tickets": (hubspot_objects, "properties"),
+    "gmail.messages": (gmail_messages, "payload"), "feishu.messages": (feishu_messages, "content"),
+}
+
+
+def flattened(preset: str | None, rows: DataFrame) -> DataFrame:
+    """Raw records of a preset's source as its flat records."""
+    flat, raw = FLATTENERS.get(preset or "", (None, ""))
+    known = flat is not None and (_has(rows, raw) or preset == "feishu.messages" and _has(rows, "body"))
+    return flat(rows) if known else rows
