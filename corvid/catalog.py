@@ -17,6 +17,7 @@ from corvid.operators import chunk, index, sync
 from corvid.operators.keys import primary_key
 from corvid.operators.ledger import STALE, Ledger, Transaction
 from corvid.operators.postings import Postings
+from corvid.operators.vectors import VectorIndex
 from corvid.session import shared_folder
 from corvid.sources import registry
 from corvid.sources.registry import Source
@@ -89,16 +90,18 @@ class Catalog:
     All four are committed together by one manifest: a writer that dies at any point leaves the state before it, and the next sync
     finds the same changes again. What it had written is deleted when a catalog is opened `stale` seconds later.
     buckets: how finely the tables are cut; a change rewrites the buckets that it falls into. presets: configurations by pattern of
-    an object's uri (as of file names), which go before those of well-known sources.
+    an object's uri (as of file names), which go before those of well-known sources. vectors: whether to keep a vector index too
+    (semantic search is then nearly exact and reads few lists, where without one it scans all vectors).
     """
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Callable[[Column], Column] = index.hash_embedding, presets: dict[str, model.ObjectConfig] | None = None, buckets: int = 64, stale: float = STALE):
+    def __init__(self, spark: SparkSession, root: str, embedder: Callable[[Column], Column] = index.hash_embedding, presets: dict[str, model.ObjectConfig] | None = None, buckets: int = 64, stale: float = STALE, vectors: bool = False):
         self.spark, self.embedder, self.presets = spark, embedder, presets or {}
         self.ledger = Ledger(spark, root)
         self.recovered = self.ledger.recover(stale)
         table = lambda name, schema, key: index.Snapshots(spark, root, schema, key, buckets, self.ledger, name)
         self.objects, self.chunks, self.cache = table("objects", OBJECTS, "object_uri"), table("chunks", CHUNKS, "object_uri"), table("cache", CACHE, "cache_key")
         self.postings = Postings(spark, root, self.ledger)
+        self.vectors = VectorIndex(spark, root, self.ledger) if vectors else None
 
     def add(self, connector: str, listing: DataFrame, producers: dict[str, Producer] | None = None, detection: str = "full_scan", incremental: bool = False, on_success: Callable[[DataFrame], None] | None = None) -> DataFrame:
         """Takes in a connector's listing (object_uri, content, and where there is one okind); returns (change, action, n).
@@ -158,6 +161,8 @@ class Catalog:
         replaced = gone.unionByName(touched).distinct()
         self.objects.merge(replaced, lambda current: index.delete_objects(current, replaced).unionByName(rows), tx)
         self.postings.add(new, left, tx)
+        if self.vectors is not None:
+            self.vectors.add(new, left, tx)
         return done
 
     def sync(self, connector: str, source: Source, incremental: bool = False) -> DataFrame:
@@ -200,13 +205,16 @@ class Catalog:
         left = self.chunks.near(own, tx).join(own, "object_uri", "left_semi").checkpoint()
         self.chunks.merge(own, lambda current: index.delete_objects(current, own), tx)
         self.objects.merge(own, lambda current: index.delete_objects(current, own), tx)
-        self.postings.add(self.spark.createDataFrame([], CHUNKS), left, tx)
+        none = self.spark.createDataFrame([], CHUNKS)
+        self.postings.add(none, left, tx)
+        if self.vectors is not None and self.vectors.state(tx)["model"] is not None:
+            self.vectors.add(none, left, tx)
         tx.commit()
 
     def engine(self, connectors: list[str], sources: dict[str, Source] | None = None) -> Engine:
         """The engine over the last version. sources: by connector, for reading the records of structured objects."""
         records = SourceRecords(self.spark, sources, self.objects) if sources else None
-        return Engine(connectors, self.objects.read(), self.chunks.read(), self.embedder, records, self.postings, self.chunks)
+        return Engine(connectors, self.objects.read(), self.chunks.read(), self.embedder, records, self.postings, self.chunks, self.vectors)
 
 
 class Control:

@@ -15,6 +15,7 @@ from corvid import model
 from corvid.functions import text as t
 from corvid.operators import browse, grep, index, jobs, search
 from corvid.operators.postings import Postings
+from corvid.operators.vectors import VectorIndex
 
 MODES = ("hybrid", "semantic", "keyword")
 #: Keys of a locator that tell the parts of one object or record apart.
@@ -41,11 +42,11 @@ class Engine:
     content, chunk_kind and, for other modes than keyword, dense_vec). connectors: the roots of all registered sources.
     records: objects that are tables, by uri: (their records, the fields that locate one, a total order). postings: the inverted
     index of chunks; without one, keyword search reads all chunks. table: the chunks' table by object, where hits are looked up;
-    without it they are looked up in chunks. An index or table may hold connectors that aren't listed: they aren't found."""
+    without it they are looked up in chunks. vectors: the vector index; without one, all vectors are compared. An index or table may hold connectors that aren't listed: they aren't found."""
 
-    def __init__(self, connectors: list[str], objects: DataFrame, chunks: DataFrame, embedder: Callable[[Column], Column] = index.hash_embedding, records: Mapping[str, Records] | None = None, postings: Postings | None = None, table: index.Snapshots | None = None):
+    def __init__(self, connectors: list[str], objects: DataFrame, chunks: DataFrame, embedder: Callable[[Column], Column] = index.hash_embedding, records: Mapping[str, Records] | None = None, postings: Postings | None = None, table: index.Snapshots | None = None, vectors: VectorIndex | None = None):
         self.connectors, self.objects, self.chunks, self.embedder = sorted(connectors, key=len, reverse=True), objects, chunks, embedder
-        self.records, self.postings, self.table = records or {}, postings, table
+        self.records, self.postings, self.table, self.vectors = records or {}, postings, table, vectors
 
     def scope(self, path: str | None) -> tuple[str | None, str | None]:
         """(connector, object prefix): the longest root that holds the path."""
@@ -87,7 +88,8 @@ class Engine:
         else:
             vector = [float(x) for x in self.chunks.sparkSession.range(1).select(self.embedder(F.lit(query))).first()[0]]
             most = top_k * (model.OVERFETCH if mode == "hybrid" else 1)
-            hits = search.dense(self.chunks.where(where), vector, most, "chunk_id", "dense_vec", ("object_uri",))
+            exact = lambda: search.dense(self.chunks.where(where), vector, most, "chunk_id", "dense_vec", ("object_uri",))
+            hits = self.vectors.top(vector, most, where) if self.vectors is not None else exact()
             if mode == "hybrid":
                 legs = [self._ranked(query, where, most), hits.select("chunk_id", "object_uri", "score")]
                 places = legs[0].unionByName(legs[1]).select("chunk_id", "object_uri").distinct()
@@ -233,4 +235,4 @@ class Engine:
         if connector not in self.connectors:
             raise model.EngineError("not_found", connector, tuple(self.connectors))
         other = F.col("connector_uri") != connector
-        return Engine([c for c in self.connectors if c != connector], self.objects.where(other), self.chunks.where(other), self.embedder, self.records, self.postings, self.table)
+        return Engine([c for c in self.connectors if c != connector], self.objects.where(other), self.chunks.where(other), self.embedder, self.records, self.postings, self.table, self.vectors)

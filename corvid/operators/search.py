@@ -86,6 +86,10 @@ def dense(vectors: DataFrame, query: list[float], top_k: int = 10, id_col: str =
     return vectors.where(F.col(vector_col).isNotNull()).select(id_col, score.alias("score"), *extra).orderBy(F.desc("score"), id_col).limit(top_k)
 
 
+def wrong_dimensions(asked: int, held: int) -> None:
+    raise model.EngineError("dimension_mismatch", f"the query has {asked} dimensions, a vector has {held}")
+
+
 def fuse(legs: list[DataFrame], key: str, top_k: int) -> DataFrame:
     """Reciprocal rank fusion of ranked legs (key, score), each bounded by its own top k."""
     ranked = []

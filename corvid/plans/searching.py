@@ -11,6 +11,7 @@ from corvid.functions import text as t
 from corvid.model import OVERFETCH
 from corvid.operators import grep, index, search
 from corvid.operators.postings import Postings
+from corvid.operators.vectors import VectorIndex
 from corvid.plans.browsing import PAGE_TEXT, PAGE_URI
 from corvid.plans.common import CHUNKS, DOC_URI, LINES, WORDS, bm25_sql
 from corvid.plans.stored import build, stored
@@ -70,6 +71,13 @@ def dense_topk(spark, d):
     return search.dense(table(spark, d, "embeddings"), query_vector(spark, d))
 
 
+def dense_indexed(spark, d):
+    """The same hits from a vector index that is built for it."""
+    own = VectorIndex(spark, f"{shared_folder(spark)}/corvid-vectors/{uuid.uuid4().hex}", key="vec_id", key_type="long")
+    own.add(table(spark, d, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("object_uri"), "embedding"), vector_col="embedding")
+    return own.top(query_vector(spark, d)).select("vec_id", "score")
+
+
 def hybrid_rrf(spark, d):
     """Vector k stands for document k; each leg brings three times what is asked for, of chunks of one document the best."""
     hits = ranked(spark, d, top_k=10 * OVERFETCH)
@@ -177,7 +185,7 @@ _DENSE = f"""SELECT vec_id, round({_DOT} / (sqrt(list_sum(list_transform(embeddi
     FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) ORDER BY score DESC, vec_id LIMIT """
 _HIT_LINES = f"(SELECT {DOC_URI} AS source, unnest({LINES.format('text')}) AS line, generate_subscripts({LINES.format('text')}, 1) AS n FROM documents)"
 
-QUERIES = {f.__name__: f for f in (index_build, bm25_topk, bm25_scan, bm25_scoped, bm25_kind_filter, bm25_indexed, bm25_compacted, indexed_objects, token_stats, corpus_stats, dense_topk, hybrid_rrf, search_collapse, search_envelope, engine_search, engine_status, benchmark_retrieval, grep_literal, grep_regex, grep_sql_pushdown, grep_linear_notice, grep_chain_union, connector_match)}
+QUERIES = {f.__name__: f for f in (index_build, bm25_topk, bm25_scan, bm25_scoped, bm25_kind_filter, bm25_indexed, bm25_compacted, indexed_objects, token_stats, corpus_stats, dense_topk, dense_indexed, hybrid_rrf, search_collapse, search_envelope, engine_search, engine_status, benchmark_retrieval, grep_literal, grep_regex, grep_sql_pushdown, grep_linear_notice, grep_chain_union, connector_match)}
 
 ORACLE = {
     "bm25_topk": bm25_sql(TERMS),
@@ -191,6 +199,7 @@ ORACLE = {
     "token_stats": f"SELECT term, count(*) AS df, CAST(sum(c) AS BIGINT) AS cf FROM (SELECT chunk_id, term, count(*) AS c FROM (SELECT chunk_id, unnest({WORDS.format('content')}) AS term FROM ({CHUNKS})) GROUP BY ALL) GROUP BY term",
     "corpus_stats": f"SELECT count(*) AS n, round(avg(len({WORDS.format('content')})), 6) AS avgdl, CAST(sum(len({WORDS.format('content')})) AS BIGINT) AS tokens FROM ({CHUNKS})",
     "dense_topk": _DENSE + "10",
+    "dense_indexed": _DENSE + "10",
     "hybrid_rrf": f"""WITH lex AS (SELECT doc_id, row_number() OVER (ORDER BY max(score) DESC, doc_id) AS r FROM ({bm25_sql(TERMS, k=30, extra=', doc_id')}) GROUP BY doc_id),
         den AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ({_DENSE}30))
         SELECT doc_id, round(sum(1.0::double / (60 + r)), 6) AS score, CAST(count(*) AS INTEGER) AS legs FROM (SELECT * FROM lex UNION ALL SELECT * FROM den) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""",
