@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvid.functions import text as t
 from corvid.catalog import Catalog
@@ -20,7 +21,7 @@ from corvid.plans.stored import stored
 from corvid.session import shared_folder
 from corvid.sources.registry import RecordFolder
 from corvid.sources.tables import document_uri, page_objects, table
-from corvid.streaming import feed
+from corvid.streaming import feed, threads
 
 
 def old_listing(spark, d):
@@ -141,14 +142,16 @@ def event_feed_dedupe(spark, d):
 
 
 def stream_regroup(spark, d):
-    """Turns that come in the wrong order, in several batches, end as whole threads."""
+    """Turns that come in the wrong order, in several batches, end as whole threads: keyed state keeps each thread's parts."""
     work = f"{shared_folder(spark)}/corvid-threads/{uuid.uuid4().hex}"
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").cast("long").alias("seq"), "text")
     turns.repartitionByRange(3, F.desc("seq")).write.parquet(f"{work}/in")
-    log = index.Snapshots(spark, f"{work}/log", turns.schema, key="thread", buckets=8)
-    threads = index.Snapshots(spark, f"{work}/threads", spark.createDataFrame([], "thread long, messages array<string>").schema, key="thread", buckets=8)
-    feed.regroup(feed.bounded(spark, f"{work}/in", turns.schema, 1), log, threads, f"{work}/checkpoint", F.col("text"))
-    return threads.read().select(F.col("thread").cast("long").alias("thread"), F.size("messages").alias("n"), F.sha1(F.array_join("messages", "|")).alias("sha1"))
+    kept = index.Snapshots(spark, f"{work}/threads", T.StructType.fromDDL(threads.part_schema("bigint")), key="thread", buckets=8)
+    threads.regroup(feed.bounded(spark, f"{work}/in", turns.schema, 1), kept, f"{work}/checkpoint", F.col("text"))
+    # neighbouring parts share messages
+    each = kept.read().select("thread", "first", F.posexplode("messages").alias("n", "text")).select("thread", (F.col("first") + F.col("n")).alias("at"), "text").distinct()
+    whole = each.groupBy("thread").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("m"))
+    return whole.select("thread", F.size("m").alias("n"), F.sha1(F.array_join(F.transform("m", lambda x: x["text"]), "|")).alias("sha1"))
 
 
 def catalog(spark):
