@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, StringContains
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition, StringContains
 
 from corvid.model import EngineError
 
@@ -35,6 +36,9 @@ class RecordFiles(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return RecordReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return RecordStream(self.options)
+
 
 class RecordReader(DataSourceReader):
     def __init__(self, options):
@@ -79,6 +83,109 @@ class RecordReader(DataSourceReader):
                     return
 
 
+@dataclass
+class Span(InputPartition):
+    """The lines of a file that begin at bytes [begin, end)."""
+
+    file: str
+    begin: int
+    end: int
+
+
+class RecordStream(DataSourceStreamReader):
+    """The folder as a change feed: files that come and lines that are appended, each line once it is whole. An offset is how far
+    each file has been read. In a stream, row is the byte at which a record begins.
+
+    Options: path; max_bytes, about how much a batch takes (all there is by default); span_bytes, about how much a task reads.
+    """
+
+    def __init__(self, options):
+        if "path" not in options:
+            raise EngineError("missing_option", "corvid_records needs the option path")
+        self.path = options["path"]
+        self.most, self.span = int(options.get("max_bytes", 0)), int(options.get("span_bytes", 64 << 20))
+        self.told: dict[str, int] = {}
+
+    def _files(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path)
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        """As far as whole lines go, but no more than max_bytes beyond what the last batch was told; the oldest names first."""
+        from pyarrow import fs
+
+        files, at = self._files()
+        left, now = self.most or None, dict(self.told)
+        for i in sorted((i for i in files.get_file_info(fs.FileSelector(at)) if i.is_file and i.extension in ("jsonl", "ndjson")), key=lambda i: i.base_name):
+            begin = now.get(i.base_name, 0)
+            if i.size <= begin or left is not None and left <= 0:
+                continue
+            end = self._line_end(files, f"{at}/{i.base_name}", begin, i.size if left is None else min(i.size, begin + left), i.size)
+            if end > begin:
+                now[i.base_name] = end
+                left = None if left is None else left - (end - begin)
+        self.told = now
+        return now
+
+    @staticmethod
+    def _line_end(files, name: str, begin: int, near: int, size: int) -> int:
+        """The last line's end up to `near`, else the first one after it, else begin."""
+        with files.open_input_file(name) as f:
+            stop = near
+            while stop > begin:
+                start = max(begin, stop - (1 << 16))
+                found = f.read_at(stop - start, start).rfind(b"\n")
+                if found >= 0:
+                    return start + found + 1
+                stop = start
+            while near < size:
+                block = f.read_at(min(1 << 16, size - near), near)
+                found = block.find(b"\n")
+                if found >= 0:
+                    return near + found + 1
+                near += len(block)
+        return begin
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.told = {k: max(v, self.told.get(k, 0)) for k, v in end.items()} | {k: v for k, v in self.told.items() if k not in end}  # after a restart
+        out = []
+        for name, to in sorted(end.items()):
+            for begin in range(start.get(name, 0), to, self.span):
+                out.append(Span(name, begin, min(to, begin + self.span)))
+        return out
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        """A span's lines; one that begins before it belongs to the span before, one that ends after it is read to its end."""
+        files, at = self._files()
+        with files.open_input_file(f"{at}/{partition.file}") as f:
+            place = partition.begin
+            rest = b""
+            if place and f.read_at(1, place - 1) != b"\n":
+                while block := f.read_at(1 << 16, place):
+                    found = block.find(b"\n")
+                    place += found + 1 if found >= 0 else len(block)
+                    if found >= 0:
+                        break
+            ahead = place
+            while place < partition.end:
+                block = f.read_at(1 << 20, ahead)
+                ahead += len(block)
+                parts = (rest + block).split(b"\n")
+                rest = parts.pop()
+                for raw in parts:
+                    if place >= partition.end:
+                        return
+                    if raw.strip():
+                        yield partition.file, place, compact(raw)
+                    place += len(raw) + 1
+                if not block:
+                    return
+
+
 def compact(line: bytes) -> str:
     """A record without blanks between its parts; a line that is no JSON stays as it is."""
     try:
