@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -177,18 +177,18 @@ def cells(placed: DataFrame) -> DataFrame:
 
 
 def rarest(wide: DataFrame, sets: DataFrame, percent: int, work: str) -> DataFrame:
-    """(key, doc_id, part, n, held): the rarest shingles of each of wide (doc_id, part) that others have among theirs; n is the
-    size of the document's set, held the number of documents with the shingle among their rarest."""
-    own = sets.join(wide, "doc_id").select("doc_id", "part", "n", F.explode("shingles").alias("key"))
-    own = written(own, f"{work}/wide")
-    often = own.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    ranked = own.join(often, "key", "left").withColumn("times", F.coalesce("times", F.lit(1)))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("times", "key"))
-    rarest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    kept = ranked.withColumn("nth", nth).where((F.col("nth") <= rarest) & (F.col("times") > 1)).select("key", "doc_id", "part", "n")
-    kept = written(kept, f"{work}/rare")
-    counts = kept.groupBy("key").agg(F.count("*").alias("held"), F.min("part").alias("low"), F.max("part").alias("high"))
-    return written(kept.join(counts.where("low <> high").select("key", "held"), "key"), f"{work}/shared")
+    """(key, doc_id, part, n, before, held): the rarest shingles of each of wide (doc_id, part) that others have among theirs; n is
+    the size of the document's set, before how many of its shingles are rarer, held the number of documents with the shingle among
+    their rarest. All documents have one order of shingles, by how many have them."""
+    own = written(sets.join(wide, "doc_id").select("doc_id", "part", F.col("n").alias("size"), F.explode("shingles").alias("key")), f"{work}/wide")
+    often = written(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{work}/often")
+    # shingles that no other document has come first in that order: they need no join
+    again = matched(own, ["key"], often, own.count())
+    mine = Window.partitionBy("doc_id")
+    before = F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("n", "key")) - 1
+    kept = written(again.withColumn("before", before).where(F.col("before") <= F.col("size") - F.ceil(F.col("size") * percent / 100)).select("key", "doc_id", "part", "size", "before"), f"{work}/rare")
+    counts = written(kept.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "n"), f"{work}/held")
+    return written(matched(kept, ["key"], counts, kept.count()).select("key", "doc_id", "part", F.col("size").alias("n"), "before", F.col("n").alias("held")), f"{work}/shared")
 
 
 def rare_pairs(kept: DataFrame, percent: int) -> DataFrame:
@@ -233,6 +233,33 @@ def cell_by_cell(settle: Callable[[int, list[tuple]], list[tuple]], plain: list[
     return run
 
 
+def linked_parts(strays: list[tuple], others: list[tuple], percent: int, may: Callable[[int, np.ndarray, int], np.ndarray]) -> list[tuple]:
+    """Links between strays and others, each (doc_id, part, shingles), that join different parts; at most one for each pair of parts.
+    may(k, sizes, n): which of the others stray k, with n shingles, is to be compared with."""
+    parent = {r[1]: r[1] for r in [*strays, *others]}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    size, links = np.array([len(r[2]) for r in others]), []
+    for k, (doc, part, shingles) in enumerate(strays):
+        near = np.minimum(size, len(shingles)) * 100 >= np.maximum(size, len(shingles)) * percent
+        chosen = [j for j in np.flatnonzero(near & may(k, size, len(shingles))) if root(others[j][1]) != root(part)]
+        if not chosen:
+            continue
+        ends = np.cumsum([0, *(size[j] for j in chosen)])
+        hits = np.concatenate([[0], np.cumsum(np.isin(np.concatenate([others[j][2] for j in chosen]), shingles))])
+        both = hits[ends[1:]] - hits[ends[:-1]]
+        for j, n in zip(chosen, both.tolist(), strict=True):
+            if n * 100 >= (int(size[j]) + len(shingles) - n) * percent and (x := root(part)) != (y := root(others[j][1])):
+                parent[x] = y
+                links.append((doc, others[j][0]))
+    return links
+
+
 def stray_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join what is still apart in the buckets of placed (key, doc_id, part): at most one for each pair of
     parts in a block comparison."""
@@ -244,37 +271,64 @@ def stray_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         strays, others = [r for r in rows if r[2]], [r for r in rows if not r[2]]
         if not strays or not others:
             return []
-        parent = {r[1]: r[1] for r in rows}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        size = np.array([len(r[3]) for r in others])
         keys = np.stack([r[4] for r in others])
-        links = []
-        for doc, part, _, shingles, own in strays:
-            near = np.minimum(size, len(shingles)) * 100 >= np.maximum(size, len(shingles)) * percent
-            same = keys == own
-            # a pair is compared in the first band that it shares
-            near &= own[same.argmax(axis=1)] == key
-            chosen = [k for k in np.flatnonzero(near) if root(others[k][1]) != root(part)]
-            if not chosen:
-                continue
-            ends = np.cumsum([0, *(size[k] for k in chosen)])
-            hits = np.concatenate([[0], np.cumsum(np.isin(np.concatenate([others[k][3] for k in chosen]), shingles))])
-            both = hits[ends[1:]] - hits[ends[:-1]]
-            for k, n in zip(chosen, both.tolist(), strict=True):
-                if n * 100 >= (int(size[k]) + len(shingles) - n) * percent and (x := root(part)) != (y := root(others[k][1])):
-                    parent[x] = y
-                    links.append((doc, others[k][0]))
-        return links
+        # a pair is compared in the first band that it shares
+        first = lambda k, size, n: strays[k][4][(keys == strays[k][4]).argmax(axis=1)] == key
+        return linked_parts([(r[0], r[1], r[3]) for r in strays], [(r[0], r[1], r[3]) for r in others], percent, first)
 
     return full.repartition(*CELL).sortWithinPartitions(*CELL).select(*CELL, "doc_id", "part", "stray", "shingles", "keys").mapInArrow(cell_by_cell(settle, ["doc_id", "part", "stray"], ["shingles", "keys"]), schema)
 
 
+def reaches(common: Column, apart: Column, percent: int) -> Column:
+    """Whether sets with at most `common` shingles in common and `apart` or more in one of them only can have that similarity."""
+    return common * (100 - percent) >= apart * percent
+
+
+def family_cells(shared: DataFrame, percent: int, work: str) -> DataFrame:
+    """(key, i, j, doc_id, part, stray, before): the block comparisons of the documents that have a shingle of shared (key, doc_id,
+    part, n, before) in common. Each shingle has many documents.
+
+    Where a shingle is the first, in the common order, that two documents share, what comes before it is in one of them only. So
+    documents go into groups by how much comes before, and two groups meet only if what comes after may outweigh that: a template
+    whose documents differ in just more than the threshold allows makes no comparison at all.
+    """
+    least = shared.groupBy("key").agg(F.min("before").alias("least"))
+    rest = F.col("n") - F.col("before")
+    hot = written(shared.join(least, "key").where(reaches(rest, F.col("before") + F.col("least"), percent)).select("key", "doc_id", "part", "n", "before"), f"{work}/hot")
+    groups = written(hot.groupBy("key", "before").agg(F.max(rest).alias("rest"), F.ceil(F.count("*") / STRAY_BLOCK).cast("int").alias("slots"), F.min("part").alias("low"), F.max("part").alias("high")), f"{work}/groups")
+    left, right = (groups.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("before", "rest", "slots", "low", "high"))) for k in (1, 2))
+    one_part = (F.col("low1") == F.col("high1")) & (F.col("low1") == F.col("low2")) & (F.col("low2") == F.col("high2"))
+    # a document's groups are as many as its rarest shingles at most
+    meet = left.join(right, "key").where((F.col("before1") <= F.col("before2")) & reaches(F.least("rest1", "rest2"), F.col("before1") + F.col("before2"), percent) & ~one_part)
+    meet = written(meet.select("key", "before1", "before2", "slots1", "slots2"), f"{work}/meet")
+    slot = lambda n: F.pmod(F.xxhash64("doc_id"), n)
+    cell = lambda before, own: (F.col(before).cast("long") * (1 << 32) + own).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    firsts = hot.join(meet.withColumnRenamed("before1", "before"), ["key", "before"]).withColumn("other", every("slots2"))
+    firsts = firsts.select("key", cell("before", slot(F.col("slots1"))).alias("i"), cell("before2", F.col("other")).alias("j"), "doc_id", "part", F.lit(True).alias("stray"), "before")
+    seconds = hot.join(meet.withColumnRenamed("before2", "before"), ["key", "before"]).withColumn("other", every("slots1"))
+    seconds = seconds.select("key", cell("before1", F.col("other")).alias("i"), cell("before", slot(F.col("slots2"))).alias("j"), "doc_id", "part", F.lit(False).alias("stray"), "before")
+    return firsts.unionByName(seconds).where("i <= j")
+
+
+def family_links(shared: DataFrame, sets: DataFrame, percent: int, work: str) -> DataFrame:
+    """Links (a, b) of family_cells, at most one for each pair of parts in a block comparison."""
+    full = family_cells(shared, percent, work).join(sets.select("doc_id", "shingles"), "doc_id")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def settle(key: int, rows: list[tuple]) -> list[tuple]:
+        """rows: (doc_id, part, stray, before, shingles)"""
+        firsts, seconds = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+        ahead = np.array([r[3] for r in seconds])
+
+        def may(k: int, size: np.ndarray, n: int) -> np.ndarray:
+            return np.minimum(size - ahead, n - firsts[k][3]) * (100 - percent) >= (ahead + firsts[k][3]) * percent
+
+        return linked_parts([(r[0], r[1], r[4]) for r in firsts], [(r[0], r[1], r[4]) for r in seconds], percent, may) if firsts and seconds else []
+
+    return full.repartition(*CELL).sortWithinPartitions(*CELL).select(*CELL, "doc_id", "part", "stray", "before", "shingles").mapInArrow(cell_by_cell(settle, ["doc_id", "part", "stray", "before"], ["shingles"]), schema)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
@@ -309,11 +363,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         shared = rarest(wide, sets.drop("keys"), percent, work)
         named = written(rare_pairs(shared.where(F.col("held") <= RARE), percent), f"{work}/rare_pairs")
         found = found.union(written(confirmed(named, sets, percent), f"{work}/rare_links"))
-        families = shared.where(F.col("held") > RARE).select("doc_id").distinct()
-        found = found.union(written(stray_links(large.join(families, "doc_id", "left_semi").drop("n"), sets, percent), f"{work}/family_links"))
+        found = found.union(written(family_links(shared.where(F.col("held") > RARE), sets, percent, work), f"{work}/family_links"))
     links = found.union(copies)
     labels = components(links, f"{work}/last")
     # what is returned reads the signatures and the components only
-    remove(spark, *(f"{work}/{t}" for t in ("classes", "keys", "firsts", "members", "wanted", "sets", "stars", "parts", "placed", "strays", "apart", "wide", "rare", "shared", "rare_pairs", "rare_links", "family_links")))
+    remove(spark, *(f"{work}/{t}" for t in ("classes", "keys", "firsts", "members", "wanted", "sets", "stars", "parts", "placed", "strays", "apart", "wide", "often", "rare", "held", "shared", "hot", "groups", "meet", "rare_pairs", "rare_links", "family_links")))
     out = signed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

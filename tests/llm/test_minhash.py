@@ -74,3 +74,36 @@ def test_documents_that_share_a_template_are_not_paired(spark, monkeypatch):
     got = {r[0]: r[2] for r in run(spark, rows, words=4, percent=80)}
     assert {i for i, c in got.items() if c != i} == {2000, 2001} and got[2001] == 7
     assert len(seen) == 1 and seen[0] <= 4
+
+
+@pytest.mark.parametrize("own", [46, 52])
+def test_templates_just_below_the_threshold_make_hardly_a_comparison(spark, monkeypatch, own):
+    """350 shared words and 46 or 52 of one's own: similarity 0.76 to 0.79; the bare template and one true copy are among them."""
+    from corvid.llm import minhash
+
+    template, moved, each = " ".join(f"t{i}" for i in range(350)), [], []
+    cells = minhash.family_cells
+    monkeypatch.setattr(minhash, "family_cells", lambda *a: (moved.append((found := cells(*a)).count()), found)[1])
+    for n in (600, 1200):
+        rows = [(k, template + " " + " ".join(f"u{k}x{i}" for i in range(own))) for k in range(n)]
+        rows += [(5000, rows[70][1] + " more"), (5001, template)]
+        if n == 600:  # with the bare template each has a similarity of 0.85 or more, so all are one component through it
+            assert {r[2] for r in run(spark, rows, words=4, percent=80)} == {0}
+        moved.clear()
+        got = {r[0]: r[2] for r in run(spark, rows[:-1], words=4, percent=80)}
+        assert {i: c for i, c in got.items() if c != i} == {5000: 70}
+        each.append((moved or [0])[-1] / n)
+    assert max(each) <= 0.1, each
+
+
+def test_templates_with_parts_of_many_lengths(spark, monkeypatch):
+    """Some link, most don't; compared with brute force."""
+    from corvid.llm import minhash
+
+    monkeypatch.setattr(minhash, "STRAY_BLOCK", 8)
+    monkeypatch.setattr(minhash, "RARE", 3)
+    template = " ".join(f"t{i}" for i in range(120))
+    rows = [(k, template + " " + " ".join(f"u{k}x{i}" for i in range(k % 37))) for k in range(150)]
+    rows += [(1000 + k, " ".join(f"t{i}" for i in range(k, 120)) + " " + " ".join(f"v{k}x{i}" for i in range(12))) for k in range(30)]
+    got = {r[0]: r[1:] for r in run(spark, rows, words=4, percent=80)}
+    assert got == brute.near_duplicates(rows, 4, 80)
