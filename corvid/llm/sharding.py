@@ -13,7 +13,7 @@ the same rows again. Only rows that repeat one id and size so often that they wo
 shard's buckets by their place in the input.
 
 Edge cases: a null text has size 16 and the CRC-32 of no bytes. Records with a null id are all in one shard. Repeated rows each
-get a slot. A very long text is one record of one bucket. An empty table gives no shard. Columns of the input named like one
+get a slot. A very long text is one record of one bucket, which is then as large as the text; a bucket is held whole in memory. An empty table gives no shard. Columns of the input named like one
 that is added (shard, slot, size) are carried under their own name in a nested column, so names can't clash.
 """
 
@@ -27,8 +27,9 @@ from corvid.llm.common import shared_dir, written
 
 #: Bytes that each record counts besides its text.
 OVERHEAD = 16
-#: Buckets that a task of the second pass holds, about; ids and sizes that are known to overfill a bucket are at most so many.
-BUCKETS_PER_TASK, MOST_HOT = 4, 400_000
+#: Buckets that a task of the second pass holds, about (256 MB), and tasks that there are even for less; ids and sizes that are
+#: known to overfill a bucket are at most so many.
+BUCKETS_PER_TASK, LEAST_TASKS, MOST_HOT = 64, 64, 400_000
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
@@ -53,7 +54,7 @@ def shuffle_into_shards(records: DataFrame, path: str, shards: int = 40, seed: i
     salt = F.when(F.col("hot"), F.monotonically_increasing_id()).otherwise(0)
     bucket = F.pmod(F.xxhash64(F.lit(seed + 2), "mark", salt), F.col("buckets")).alias("bucket")
     scattered = dealt.join(F.broadcast(hot), ["shard", "mark"], "left").join(F.broadcast(per_shard), "shard").select("shard", bucket, "its_id", "size", "record")
-    tasks = max(1, -(-whole // BUCKETS_PER_TASK))
+    tasks = max(1, min(whole, LEAST_TASKS), -(-whole // BUCKETS_PER_TASK))
     full = scattered.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("its_id", "size", "record"))).alias("rows"))
     mixed = full.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
