@@ -39,7 +39,7 @@ Producer = Callable[[DataFrame], DataFrame]
 def text_producer(objects: DataFrame) -> DataFrame:
     """Documents and text blobs are cut as text, code at its definitions."""
     is_code = F.col("okind") == "code"
-    return chunk.located_chunks(objects.where(~is_code)).unionByName(chunk.located_chunks(objects.where(is_code), code=True))
+    return chunk.located_chunks(objects.where(~is_code)).unionByName(chunk.located_chunks(objects.where(is_code), code_objects=True))
 
 
 def schema_producer(objects: DataFrame) -> DataFrame:

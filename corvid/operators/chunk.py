@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corvid import model
+from corvid.functions import code
 from corvid.functions import records as r
 from corvid.functions import text as t
 from corvid.session import shared_folder
@@ -23,7 +23,6 @@ from corvid.session import shared_folder
 LEVELS = ((("\n# ", "\n## ", "\n### "), 1), (("\n\n",), 2), ((". ", "! ", "? "), 2), (tuple(" \t\n\r\f\v"), 1))
 #: Bytes of text that are cut before their pieces are handed on.
 BLOCK_BYTES = 4 << 20
-SYMBOL_START = re.compile(rf"^(?:{'|'.join(map(re.escape, [*model.SYMBOL_WORDS, 'async def ']))})", re.M)
 
 
 def capped(content: Column) -> tuple[Column, Column]:
@@ -163,11 +162,10 @@ def split_text(text: str, size: int) -> list[tuple[int, int]]:
     return [*out, (at, len(text))] if at < len(text) else out
 
 
-def split_code(text: str, size: int) -> list[tuple[int, int]]:
-    """Pieces that begin at definitions of the outermost level; longer ones are cut as text."""
-    marks = sorted({0, len(text), *(m.start() for m in SYMBOL_START.finditer(text))})
+def split_code(text: str, size: int, ext: str = ".py") -> list[tuple[int, int]]:
+    """Pieces of whole definitions, as many as fit; what is longer than a piece is cut at the definitions in it, else as text."""
     out: list[tuple[int, int]] = []
-    for a, b in zip(marks, marks[1:]):
+    for a, b in code.units(text, ext, size):
         if out and b - out[-1][0] <= size:
             out[-1] = (out[-1][0], b)
         else:
@@ -175,18 +173,39 @@ def split_code(text: str, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def text_chunks(objects: DataFrame, size: int = model.CHUNK_SIZE, code: bool = False, text_col: str = "content", keep: tuple[str, ...] = ("object_uri",), most: int = model.CHUNK_MAX) -> DataFrame:
+def code_outline(objects: DataFrame, text_col: str = "content") -> DataFrame:
+    """(object_uri, kind, name, depth, first, last) of every definition in code objects, at every level; first and last are its lines
+    from 1. The extension of the uri tells the language."""
+    schema = "object_uri string, kind string, name string, depth int, first int, last int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = code.walk(code.definitions(text or "", extension(uri)))
+                if found:
+                    columns = zip(*((uri, d.kind, d.name, d.depth, d.begin + 1, d.end) for d in found), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["object_uri", "kind", "name", "depth", "first", "last"])
+
+    return objects.select("object_uri", text_col).mapInArrow(run, schema)
+
+
+def extension(uri: str | None) -> str:
+    name = (uri or "").rsplit("/", 1)[-1]
+    return "." + name.rsplit(".", 1)[1].lower() if "." in name else ""
+
+
+def text_chunks(objects: DataFrame, size: int = model.CHUNK_SIZE, is_code: bool = False, text_col: str = "content", keep: tuple[str, ...] = ("object_uri",), most: int = model.CHUNK_MAX) -> DataFrame:
     """(*keep, chunk_index, locator, content, partial): body chunks with the lines [start, end) they span; blank pieces are dropped.
 
     Pieces of one text that span the same lines have their number in the locator too, so that locators tell chunks apart. Of a
     text with more than `most` pieces the first are kept, and they are marked as partial.
     """
-    cut = split_code if code else split_text
+    told = "object_uri" in keep
     schema = T.StructType([*(objects.schema[c] for c in keep), T.StructField("chunk_index", T.IntegerType()), T.StructField("locator", T.StringType()), T.StructField("content", T.StringType()), T.StructField("partial", T.BooleanType())])
 
-    def pieces(text: str) -> list[tuple[int, str, str, bool]]:
+    def pieces(text: str, uri: str | None) -> list[tuple[int, str, str, bool]]:
         line, seen, found = 1, 0, []
-        for a, b in cut(text, size):
+        for a, b in split_code(text, size, extension(uri)) if is_code else split_text(text, size):
             line += text.count("\n", seen, a)
             seen = a
             if text[a:b].strip(" \t\n\r\f\v"):
@@ -200,7 +219,8 @@ def text_chunks(objects: DataFrame, size: int = model.CHUNK_SIZE, code: bool = F
             texts, begin = batch.column(len(keep)), 0
             held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // BLOCK_BYTES
             for end in [*(np.flatnonzero(np.diff(held)) + 1).tolist(), batch.num_rows]:
-                made = [pieces(t or "") for t in texts.slice(begin, end - begin).to_pylist()]
+                uris = batch.column(keep.index("object_uri")).slice(begin, end - begin).to_pylist() if is_code and told else [None] * (end - begin)
+                made = [pieces(t or "", u) for t, u in zip(texts.slice(begin, end - begin).to_pylist(), uris, strict=True)]
                 which = pa.array(np.repeat(np.arange(begin, end), [len(m) for m in made]))
                 columns = list(zip(*(x for m in made for x in m), strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(which) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.bool_()), strict=True))], names=schema.names)
@@ -209,9 +229,9 @@ def text_chunks(objects: DataFrame, size: int = model.CHUNK_SIZE, code: bool = F
     return objects.select(*keep, F.col(text_col).alias("_text_to_cut")).mapInArrow(run, schema)
 
 
-def located_chunks(objects: DataFrame, keep: tuple[str, ...] = (), size: int = model.CHUNK_SIZE, code: bool = False, most: int = model.CHUNK_MAX) -> DataFrame:
+def located_chunks(objects: DataFrame, keep: tuple[str, ...] = (), size: int = model.CHUNK_SIZE, code_objects: bool = False, most: int = model.CHUNK_MAX) -> DataFrame:
     """Body chunks of objects (connector_uri, object_uri, content, *keep) in the chunk table's columns."""
-    made = text_chunks(objects, size, code, keep=("connector_uri", "object_uri", *keep), most=most).withColumn("chunk_kind", F.lit("body"))
+    made = text_chunks(objects, size, code_objects, keep=("connector_uri", "object_uri", *keep), most=most).withColumn("chunk_kind", F.lit("body"))
     text, cut = capped(F.col("content"))
     made = made.withColumns({"chunk_id": t.chunk_id(F.col("connector_uri"), F.col("object_uri"), F.col("chunk_kind"), F.col("locator")), "partial": F.col("partial") | cut}).withColumn("content", text)
     return made.select("chunk_id", "connector_uri", "object_uri", "locator", "content", "chunk_kind", F.lit("{}").alias("metadata"), "chunk_index", "partial", *keep)

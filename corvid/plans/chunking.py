@@ -81,6 +81,17 @@ def field_presence(spark, d):
     return chunk.missing_fields(nested(spark, d), ["c_name", "orders[].o_orderkey", "c_nothing", "c_phone.x"])
 
 
+def code_outline(spark, d):
+    """Documents as source files: a class for each, a method for each line, which holds the line as a string, and text in strings and
+    comments that only looks like definitions."""
+    lines = F.split("text", "\n")
+    method = lambda x, i: F.concat(F.lit("    @property\n    def line_"), i.cast("string"), F.lit("(self):\n        # def no():\n        return \""), F.translate(x, "\"\\", "''"), F.lit("\"\n\n"))
+    head = F.concat(F.lit("\"\"\"\nclass Hidden:\n\"\"\"\n\nclass Document"), F.col("doc_id").cast("string"), F.lit(":\n"))
+    code = F.concat(head, F.array_join(F.transform(lines, method), ""), F.lit("def after(): return {'class': 1}\n"))
+    objects = document_uri(table(spark, d, "documents")).select(F.replace("object_uri", F.lit(".md"), F.lit(".py")).alias("object_uri"), code.alias("content"))
+    return chunk.code_outline(objects)
+
+
 def thread_keys(spark, d):
     """Turns without a thread of their own stand alone."""
     turns = table(spark, d, "conversations").select(F.when(F.col("conv_id") % 3 > 0, F.col("conv_id")).alias("thread_id"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "turn", "text")
@@ -187,7 +198,7 @@ def hash_embeddings(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.filter(v, lambda x: x > 0)).alias("used"))
 
 
-QUERIES = {f.__name__: f for f in (render_labelled, render_multi, render_template, resolve_path_multi, json_path, record_chunks, record_chunks_capped, chunk_ids, content_cap, thread_aggregate, thread_split, record_parts, field_presence, thread_keys, routed_chunks, converted_freshness, embedding_cache_stats, document_chunks, document_chunks_rejoined, schema_summary, dir_summary_fold, object_kind, task_priority, cache_miss_embed, token_estimates, hash_embeddings)}
+QUERIES = {f.__name__: f for f in (render_labelled, render_multi, render_template, resolve_path_multi, json_path, record_chunks, record_chunks_capped, chunk_ids, content_cap, thread_aggregate, thread_split, record_parts, field_presence, code_outline, thread_keys, routed_chunks, converted_freshness, embedding_cache_stats, document_chunks, document_chunks_rejoined, schema_summary, dir_summary_fold, object_kind, task_priority, cache_miss_embed, token_estimates, hash_embeddings)}
 
 _MESSAGES = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role || ': ' || text AS m FROM conversations"
 _NESTED = "SELECT c_custkey, c_name, list({o_orderkey: o_orderkey, p: o_orderpriority} ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name"
@@ -204,6 +215,10 @@ ORACLE = {
         SELECT c_custkey, '{{"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}}' AS metadata, CASE WHEN length(content) > 2048 THEN 2 ELSE 1 END AS parts, CAST(length(content) AS BIGINT) AS size, true AS within, CASE WHEN length(content) > 2048 THEN 2 ELSE 1 END AS locators FROM r""",
     "routed_chunks": f"SELECT okind, count(DISTINCT object_uri) AS objects, count(*) AS chunks FROM (SELECT *, ['text_blob', 'binary', 'document'][doc_id % 3 + 1] AS okind FROM ({CHUNKS})) WHERE okind <> 'binary' GROUP BY okind",
     "field_presence": "SELECT * FROM (VALUES ('c_name', true), ('orders[].o_orderkey', true), ('c_nothing', false), ('c_phone.x', false)) t(field, seen)",
+    "code_outline": f"""WITH l AS (SELECT replace({DOC_URI}, '.md', '.py') AS object_uri, doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n FROM documents)
+        SELECT object_uri, 'class' AS kind, 'Document' || doc_id AS name, 0::INTEGER AS depth, 5::INTEGER AS first, CAST(5 + 5 * n - 1 AS INTEGER) AS last FROM l
+        UNION ALL SELECT object_uri, 'def', 'line_' || i, 1::INTEGER, CAST(6 + 5 * i AS INTEGER), CAST(9 + 5 * i AS INTEGER) FROM (SELECT object_uri, unnest(range(0, n)) AS i FROM l)
+        UNION ALL SELECT object_uri, 'def', 'after', 0::INTEGER, CAST(6 + 5 * n AS INTEGER), CAST(6 + 5 * n AS INTEGER) FROM l""",
     "thread_keys": "SELECT CASE WHEN conv_id % 3 > 0 THEN CAST(conv_id AS VARCHAR) ELSE conv_id || '-' || turn END AS key, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY 1",
     "converted_freshness": "SELECT page_id % 4 IN (0, 2) AS reuse, count(*) AS n FROM pages GROUP BY 1",
     "embedding_cache_stats": "SELECT count(DISTINCT text) AS entries, 64 AS dims, CAST(count(DISTINCT text) * 256 AS BIGINT) AS bytes FROM benchmark",
