@@ -17,6 +17,7 @@ from corvid import model
 from corvid.functions import code
 from corvid.functions import records as r
 from corvid.functions import text as t
+from corvid.operators import threads
 from corvid.session import shared_folder
 
 #: Where texts are cut, by level: marks, and how many of their characters stay before the cut.
@@ -91,7 +92,7 @@ def thread_messages(messages: DataFrame, key: str, order: str, rendered: Column)
     return both.groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("m")).select(key, F.transform("m", lambda x: x["text"]).alias("messages"))
 
 
-def thread_parts(threads: DataFrame, key: str, most: int = model.THREAD_CHARS, overlap: int = model.THREAD_OVERLAP) -> DataFrame:
+def thread_parts(whole: DataFrame, key: str, most: int = model.THREAD_CHARS, overlap: int = model.THREAD_OVERLAP) -> DataFrame:
     """(key, chunk_index, first, last, content): threads cut between messages into parts of at most `most` characters where a
     message allows, with `overlap` messages carried over. One fold over the array of message lengths."""
     state = "struct<start:int,size:int,done:array<struct<first:int,last:int>>>"
@@ -106,7 +107,7 @@ def thread_parts(threads: DataFrame, key: str, most: int = model.THREAD_CHARS, o
         done = F.when(full, F.concat(acc["done"], F.array(F.struct(acc["start"].alias("first"), (i - 1).alias("last"))))).otherwise(acc["done"])
         return F.struct(start.alias("start"), (held + size).alias("size"), done.alias("done"))
 
-    sized = threads.where(F.size("messages") > 0).withColumn("sizes", F.transform("messages", lambda m: F.length(m) + 2))
+    sized = whole.where(F.size("messages") > 0).withColumn("sizes", F.transform("messages", lambda m: F.length(m) + 2))
     items = F.transform("sizes", lambda x, i: F.struct(i.alias("i"), x.alias("size")))
     begin = F.struct(F.lit(0).alias("start"), F.lit(0).alias("size"), F.array().cast("array<struct<first:int,last:int>>").alias("done")).cast(state)
     last = F.size("messages") - 1
@@ -130,7 +131,7 @@ def thread_chunks(messages: DataFrame, config: model.ObjectConfig) -> DataFrame:
     rendered = r.render_template(messages, config.render_template) if config.render_template else r.render(messages, config.text_fields)
     told = messages.select("_object_uri", thread.alias("_thread"), "_row", rendered.alias("_text")).where(F.trim("_text") != "")
     keyed = told.withColumn("_key", F.struct("_object_uri", "_thread"))
-    parts = thread_parts(thread_messages(keyed, "_key", "_row", F.col("_text")), "_key").select("_key", F.col("chunk_index").alias("_part"), "first", "last", "content")
+    parts = threads.thread_parts(keyed, "_key", "_row", "_text").select("_key", F.col("chunk_index").alias("_part"), "first", "last", "content")
     cut = text_chunks(parts, keep=("_key", "_part", "first", "last")).drop("locator", "partial")
     own = Window.partitionBy("_key")
     numbered = cut.withColumns({"n": F.count("*").over(own), "at": F.row_number().over(own.orderBy("_part", "chunk_index")) - 1})

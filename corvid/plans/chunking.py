@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvid.functions import records as r
 from corvid.functions import text as t
 from corvid.model import ObjectConfig
-from corvid.operators import chunk, index
+from corvid.operators import chunk, index, threads
 from corvid.plans.common import CHUNKS, DOC_URI, WORDS
 from corvid.sources.tables import document_uri, table
 
@@ -136,6 +136,12 @@ def thread_aggregate(spark, d):
     return rendered(spark, d).select("conv_id", F.size("messages").alias("n"), F.array_join("messages", "\n\n").alias("content"))
 
 
+def thread_split_long(spark, d):
+    """The same for threads of any length: blocks of messages, of which each knows where its first cut is."""
+    turns = table(spark, d, "conversations")
+    return threads.thread_parts(turns.select("conv_id", "turn", r.render_template(turns, "{role}: {text}").alias("text")), "conv_id", "turn", "text", block=1)
+
+
 def thread_split(spark, d):
     return chunk.thread_parts(rendered(spark, d), "conv_id")
 
@@ -198,7 +204,7 @@ def hash_embeddings(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.filter(v, lambda x: x > 0)).alias("used"))
 
 
-QUERIES = {f.__name__: f for f in (render_labelled, render_multi, render_template, resolve_path_multi, json_path, record_chunks, record_chunks_capped, chunk_ids, content_cap, thread_aggregate, thread_split, record_parts, field_presence, code_outline, thread_keys, routed_chunks, converted_freshness, embedding_cache_stats, document_chunks, document_chunks_rejoined, schema_summary, dir_summary_fold, object_kind, task_priority, cache_miss_embed, token_estimates, hash_embeddings)}
+QUERIES = {f.__name__: f for f in (render_labelled, render_multi, render_template, resolve_path_multi, json_path, record_chunks, record_chunks_capped, chunk_ids, content_cap, thread_aggregate, thread_split, thread_split_long, record_parts, field_presence, code_outline, thread_keys, routed_chunks, converted_freshness, embedding_cache_stats, document_chunks, document_chunks_rejoined, schema_summary, dir_summary_fold, object_kind, task_priority, cache_miss_embed, token_estimates, hash_embeddings)}
 
 _MESSAGES = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role || ': ' || text AS m FROM conversations"
 _NESTED = "SELECT c_custkey, c_name, list({o_orderkey: o_orderkey, p: o_orderpriority} ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name"
@@ -249,3 +255,4 @@ ORACLE = {
     "cache_miss_embed": "SELECT count(DISTINCT text) AS entries, count(DISTINCT sha1(text)) AS keys FROM documents",
     "token_estimates": "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents",
 }
+ORACLE["thread_split_long"] = ORACLE["thread_split"]
