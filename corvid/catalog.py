@@ -13,7 +13,7 @@ from corvid import model
 from corvid.engine import Engine, Records
 from corvid.functions import guards
 from corvid.functions import text as t
-from corvid.operators import chunk, index, sync
+from corvid.operators import browse, chunk, index, sync
 from corvid.operators.keys import primary_key
 from corvid.operators.ledger import STALE, Ledger, Transaction
 from corvid.operators.postings import Postings
@@ -71,6 +71,14 @@ class SourceRecords(Mapping):
         keys = ["_row"] if "_row" in rows.columns else primary_key(rows) or rows.columns
         return rows, [c for c in rows.columns if c != "_row"], keys
 
+    def page(self, uri: str, begin: int, end: int) -> DataFrame:
+        """The records [begin, end) of an object; a source that knows its ranges reads these only."""
+        source = self._source(uri)
+        if source is not None and hasattr(source, "page"):
+            return source.page(self.spark, uri, begin, end)
+        rows, _, by = self[uri]
+        return browse.page(rows, by, begin, end)
+
     def __iter__(self) -> Iterator[str]:
         return iter(())  # sources have too many to list
 

@@ -159,7 +159,8 @@ class Engine:
         if lines and structured:
             rows, _, by = self.records[path]
             begin, end = browse.parse_range(lines)
-            return json_lines(path, browse.page(rows, by, begin - 1, end - 1), by)
+            paged = getattr(self.records, "page", None)
+            return json_lines(path, paged(path, begin - 1, end - 1) if paged else browse.page(rows, by, begin - 1, end - 1), by)
         if lines:
             if one.select(t.object_kind(F.col("object_uri"))).first()[0] in ("image", "binary"):
                 raise model.EngineError("range_unsupported", path)

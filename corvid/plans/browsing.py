@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corvid.engine import Engine
 from corvid.functions import text as t
 from corvid.operators import browse, crawl
+from corvid.operators.pages import RangePages
 from corvid.plans.common import DOC_URI, LINES
 from corvid.session import shared_folder
 from corvid.sources.tables import document_uri, page_objects, table
@@ -78,6 +79,12 @@ def cat_locator_row(spark, d):
     return browse.locate(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), '{"_row":100}', ["o_orderkey"], ["o_orderkey"])
 
 
+def cat_records_ranges(spark, d):
+    """A page from the midst of a table: one pass over the key counts its ranges, the page reads two of them at most."""
+    orders = RangePages(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey", "o_orderkey"], range_rows=1000)
+    return orders.page(len(orders) // 2, len(orders) // 2 + 50)
+
+
 def cat_records_page(spark, d):
     """Records 20 to 40 as JSON lines."""
     page = browse.page(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_custkey"], 20, 40)
@@ -149,7 +156,7 @@ def html_to_text(spark, d):
     return page_objects(table(spark, d, "pages")).select("page_id", F.col("content").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (ls_children, tree_depth2, cat_range, head_n, tail_n, density_peek, density_skim, density_code, density_symbols, cat_meta, cat_locator_pk, cat_locator_row, cat_records_page, cat_budget_guard, export_partial, engine_records, safe_names, line_of_offset, record_rows, web_url_to_path, web_links, web_crawl, web_allowed, html_to_text)}
+QUERIES = {f.__name__: f for f in (ls_children, tree_depth2, cat_range, head_n, tail_n, density_peek, density_skim, density_code, density_symbols, cat_meta, cat_locator_pk, cat_locator_row, cat_records_ranges, cat_records_page, cat_budget_guard, export_partial, engine_records, safe_names, line_of_offset, record_rows, web_url_to_path, web_links, web_crawl, web_allowed, html_to_text)}
 
 _L = LINES.format("text")
 _MD = r"regexp_replace(regexp_replace(regexp_replace(html, '<h[1-6]>(.*?)</h[1-6]>', chr(10) || '# \1' || chr(10), 'gis'), '<br>|<p>|</p>', chr(10), 'gi'), '<[^>]*>', '', 'g')"
@@ -178,6 +185,7 @@ ORACLE = {
     "cat_meta": f"SELECT {DOC_URI} AS object_uri, 'text/markdown' AS media_type, CAST(strlen(text) AS BIGINT) AS size, sha1(text) AS fingerprint, 'document' AS okind FROM documents",
     "cat_locator_pk": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE CAST(o_orderkey AS VARCHAR) = '37' ORDER BY o_orderkey LIMIT 1",
     "cat_locator_row": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 100",
+    "cat_records_ranges": "SELECT o_custkey, o_orderkey, o_orderpriority FROM orders ORDER BY o_custkey, o_orderkey LIMIT 50 OFFSET (SELECT count(*) // 2 FROM orders)",
     "cat_records_page": """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}' AS record FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 20)""",
     "cat_budget_guard": "SELECT CAST(conv_id AS VARCHAR) AS object_uri, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, sum(strlen(text) + 1) <= 1000 AS allowed FROM conversations GROUP BY conv_id",
     "export_partial": "SELECT count(*) AS rows, CAST(sum(p_partkey) AS BIGINT) AS keys, (SELECT count(*) FROM part) > 150 AS partial FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 150)",

@@ -14,6 +14,7 @@ from corvid import model
 from corvid.functions import text as t
 from corvid.operators import order
 from corvid.operators.keys import primary_key as keys_of
+from corvid.operators.pages import RangePages
 from corvid.sources import files, flatten
 from corvid.sources.datasource import CAPABILITIES, register
 
@@ -96,6 +97,7 @@ class Tables:
     keys: dict[str, list[str]] = field(default_factory=dict)
     max_read_rows: int = 100_000
     scheme: str = "postgres"
+    _pages: dict[str, RangePages] = field(default_factory=dict, repr=False)
 
     def listing(self, spark: SparkSession) -> DataFrame:
         rows = []
@@ -111,6 +113,16 @@ class Tables:
         rows = self.tables[name](spark)
         return capped_scan(rows, self.keys.get(name) or rows.columns, self.max_read_rows)
 
+    def page(self, spark: SparkSession, object_uri: str, begin: int, end: int) -> DataFrame:
+        """The rows [begin, end) of those that a scan reads; only the ranges of the key that they are in are read."""
+        name = object_uri.removeprefix(self.root + "/").removesuffix("/rows.jsonl")
+        if name not in self.tables:
+            raise model.EngineError("not_found", object_uri)
+        if name not in self._pages:
+            rows = self.tables[name](spark)
+            self._pages[name] = RangePages(rows, self.keys.get(name) or keys_of(rows) or rows.columns)
+        return self._pages[name].page(begin, min(end, self.max_read_rows))
+
 
 @dataclass
 class RecordFolder:
