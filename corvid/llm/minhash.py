@@ -295,20 +295,25 @@ def family_cells(shared: DataFrame, percent: int, work: str) -> DataFrame:
     least = shared.groupBy("key").agg(F.min("before").alias("least"))
     rest = F.col("n") - F.col("before")
     hot = written(shared.join(least, "key").where(reaches(rest, F.col("before") + F.col("least"), percent)).select("key", "doc_id", "part", "n", "before"), f"{work}/hot")
-    groups = written(hot.groupBy("key", "before").agg(F.max(rest).alias("rest"), F.ceil(F.count("*") / STRAY_BLOCK).cast("int").alias("slots"), F.min("part").alias("low"), F.max("part").alias("high")), f"{work}/groups")
-    left, right = (groups.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("before", "rest", "slots", "low", "high"))) for k in (1, 2))
+    # as in cells(): what is outside a shingle's largest part meets all
+    parts = hot.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    told = written(hot.join(parts, "key").withColumn("stray", F.col("part") != F.col("main")).drop("main", "parts"), f"{work}/told")
+
+    def groups(rows: DataFrame, k: int) -> DataFrame:
+        return rows.groupBy("key", F.col("before").alias(f"before{k}")).agg(F.max(rest).alias(f"rest{k}"), F.ceil(F.count("*") / STRAY_BLOCK).cast("int").alias(f"slots{k}"), F.min("part").alias(f"low{k}"), F.max("part").alias(f"high{k}"))
+
     one_part = (F.col("low1") == F.col("high1")) & (F.col("low1") == F.col("low2")) & (F.col("low2") == F.col("high2"))
     # a document's groups are as many as its rarest shingles at most
-    meet = left.join(right, "key").where((F.col("before1") <= F.col("before2")) & reaches(F.least("rest1", "rest2"), F.col("before1") + F.col("before2"), percent) & ~one_part)
+    meet = groups(told.where("stray"), 1).join(groups(told, 2), "key").where(reaches(F.least("rest1", "rest2"), F.col("before1") + F.col("before2"), percent) & ~one_part)
     meet = written(meet.select("key", "before1", "before2", "slots1", "slots2"), f"{work}/meet")
     slot = lambda n: F.pmod(F.xxhash64("doc_id"), n)
     cell = lambda before, own: (F.col(before).cast("long") * (1 << 32) + own).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    firsts = hot.join(meet.withColumnRenamed("before1", "before"), ["key", "before"]).withColumn("other", every("slots2"))
+    firsts = told.where("stray").join(meet.withColumnRenamed("before1", "before"), ["key", "before"]).withColumn("other", every("slots2"))
     firsts = firsts.select("key", cell("before", slot(F.col("slots1"))).alias("i"), cell("before2", F.col("other")).alias("j"), "doc_id", "part", F.lit(True).alias("stray"), "before")
-    seconds = hot.join(meet.withColumnRenamed("before2", "before"), ["key", "before"]).withColumn("other", every("slots1"))
+    seconds = told.join(meet.withColumnRenamed("before2", "before"), ["key", "before"]).withColumn("other", every("slots1"))
     seconds = seconds.select("key", cell("before1", F.col("other")).alias("i"), cell("before", slot(F.col("slots2"))).alias("j"), "doc_id", "part", F.lit(False).alias("stray"), "before")
-    return firsts.unionByName(seconds).where("i <= j")
+    return firsts.unionByName(seconds)
 
 
 def family_links(shared: DataFrame, sets: DataFrame, percent: int, work: str) -> DataFrame:
@@ -367,6 +372,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     links = found.union(copies)
     labels = components(links, f"{work}/last")
     # what is returned reads the signatures and the components only
-    remove(spark, *(f"{work}/{t}" for t in ("classes", "keys", "firsts", "members", "wanted", "sets", "stars", "parts", "placed", "strays", "apart", "wide", "often", "rare", "held", "shared", "hot", "groups", "meet", "rare_pairs", "rare_links", "family_links")))
+    remove(spark, *(f"{work}/{t}" for t in ("classes", "keys", "firsts", "members", "wanted", "sets", "stars", "parts", "placed", "strays", "apart", "wide", "often", "rare", "held", "shared", "hot", "told", "meet", "rare_pairs", "rare_links", "family_links")))
     out = signed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
