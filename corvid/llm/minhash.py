@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corvid.llm.common import among, components, matched, remove, shared_dir, written
+from corvid.llm.common import HOT_LEAST, HOT_SHARE, among, components, matched, remove, shared_dir, written
 
 #: Documents whose words are hashed together.
 BLOCK = 2000
@@ -182,11 +182,13 @@ def rarest(wide: DataFrame, sets: DataFrame, percent: int, work: str) -> DataFra
     their rarest. All documents have one order of shingles, by how many have them."""
     own = written(sets.join(wide, "doc_id").select("doc_id", "part", F.col("n").alias("size"), F.explode("shingles").alias("key")), f"{work}/wide")
     often = written(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{work}/often")
-    # shingles that no other document has come first in that order: they need no join
-    again = matched(own, ["key"], often, own.count())
-    mine = Window.partitionBy("doc_id")
-    before = F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("n", "key")) - 1
-    kept = written(again.withColumn("before", before).where(F.col("before") <= F.col("size") - F.ceil(F.col("size") * percent / 100)).select("key", "doc_id", "part", "size", "before"), f"{work}/rare")
+    # every row learns how many have its shingle; those that very many have, at most HOT_SHARE, are broadcast
+    limit = max(HOT_LEAST, own.count() // HOT_SHARE)
+    first = own.join(F.broadcast(often.where(F.col("n") >= limit)), "key", "left")
+    rest = first.where("n is null").drop("n").join(often.where(F.col("n") < limit), "key", "left")
+    ranked = first.where("n is not null").unionByName(rest).withColumn("n", F.coalesce("n", F.lit(1)))
+    before = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "key")) - 1
+    kept = written(ranked.withColumn("before", before).where((F.col("before") <= F.col("size") - F.ceil(F.col("size") * percent / 100)) & (F.col("n") > 1)).select("key", "doc_id", "part", "size", "before"), f"{work}/rare")
     counts = written(kept.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "n"), f"{work}/held")
     return written(matched(kept, ["key"], counts, kept.count()).select("key", "doc_id", "part", F.col("size").alias("n"), "before", F.col("n").alias("held")), f"{work}/shared")
 
