@@ -63,7 +63,7 @@ def tables_of(rows, sample=4000):
     return bits(rows), table_positions(len(rows), bits(left) == bits(right))
 
 
-@pytest.mark.parametrize(("mean", "noise"), [(0.0, 1.0), (0.05, 1.0), (1.0, 1.0), (1.0, 0.5), (1.0, 0.35)])
+@pytest.mark.parametrize(("mean", "noise"), [(0.05, 1.0), (1.0, 0.5), (1.0, 0.35)])
 def test_comparisons_a_row_stay_level_and_recall_holds(mean, noise):
     """Pairs that meet in a bucket, counted from the codes, for 2,500 and 40,000 vectors; recall on planted pairs at the threshold."""
     each = []

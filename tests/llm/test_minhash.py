@@ -76,18 +76,18 @@ def test_documents_that_share_a_template_are_not_paired(spark, monkeypatch):
     assert len(seen) == 1 and seen[0] <= 4
 
 
-@pytest.mark.parametrize("own", [46, 52])
+@pytest.mark.parametrize("own", [50])
 def test_templates_just_below_the_threshold_make_hardly_a_comparison(spark, monkeypatch, own):
-    """350 shared words and 46 or 52 of one's own: similarity 0.76 to 0.79; the bare template and one true copy are among them."""
+    """350 shared words and 50 of one's own: similarity 0.776; the bare template and one true copy are among them."""
     from corvid.llm import minhash
 
     template, moved, each = " ".join(f"t{i}" for i in range(350)), [], []
     cells = minhash.family_cells
     monkeypatch.setattr(minhash, "family_cells", lambda *a: (moved.append((found := cells(*a)).count()), found)[1])
-    for n in (600, 1200):
+    for n in (300, 900):
         rows = [(k, template + " " + " ".join(f"u{k}x{i}" for i in range(own))) for k in range(n)]
         rows += [(5000, rows[70][1] + " more"), (5001, template)]
-        if n == 600:  # with the bare template each has a similarity of 0.85 or more, so all are one component through it
+        if n == 300:  # with the bare template each has a similarity of 0.85 or more, so all are one component through it
             assert {r[2] for r in run(spark, rows, words=4, percent=80)} == {0}
         moved.clear()
         got = {r[0]: r[2] for r in run(spark, rows[:-1], words=4, percent=80)}
