@@ -18,7 +18,7 @@ THREAD_CHARS, THREAD_OVERLAP = 1500, 2
 CHILD_EXCERPT, FOLDER_TEXT, QUEUED_JOBS = 16 * 1024, 64 * 1024, 8
 
 # Codes of errors
-CODES = ("bad_range", "dimension_mismatch", "invalid_config", "locator_not_found", "missing_option", "missing_secret", "not_found", "object_too_large_for_cat", "plaintext_secret", "query_too_long", "range_unsupported", "tail_unsupported", "top_k_too_large", "unknown_chunk_kind", "unknown_mode", "unknown_reference", "unknown_scheme", "unsafe_identifier", "version_conflict")
+CODES = ("bad_range", "dimension_mismatch", "invalid_config", "locator_not_found", "missing_option", "missing_secret", "not_found", "object_too_large_for_cat", "plaintext_secret", "query_too_long", "range_unsupported", "stale_lease", "tail_unsupported", "top_k_too_large", "unknown_chunk_kind", "unknown_mode", "unknown_reference", "unknown_scheme", "unsafe_identifier", "version_conflict")
 
 
 @dataclass(frozen=True)

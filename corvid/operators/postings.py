@@ -22,8 +22,9 @@ from corvid.functions import text as t
 from corvid.operators import order, search
 from corvid.operators.ledger import Ledger, Transaction, once
 
-#: Chunks in a range; ranges that are scored first, and how many times as many in each further round while hits are too few.
-RANGE, FIRST_RANGES, GROWTH = 128, 64, 8
+#: Chunks in a range; ranges that are scored first, and how many times as many in each further round while hits are too few; an
+#: index of so few ranges is scored whole, in one look.
+RANGE, FIRST_RANGES, GROWTH, WHOLE = 128, 64, 8, 512
 #: Postings in a bucket of terms, about; blocks in a share of a bucket, about; most buckets; segments up to which none are merged.
 BUCKET_POSTINGS, SHARE_BLOCKS, MOST_BUCKETS, MOST_SEGMENTS = 4_000_000, 200_000, 4096, 16
 #: Up to so many ranges are named in a filter on the blocks; more are joined.
@@ -164,15 +165,16 @@ class Postings:
         heads = self._read(state, "blocks", BLOCKS, words).select("seg", "term", "range", "max_tf", "min_len", "impact").withColumn("mean", F.element_at(then, F.col("seg")))
         return heads.groupBy("seg", "range").agg(F.sum(own * F.element_at(weight, F.col("term"))).alias("bound"), F.count("*").alias("blocks"))
 
-    def _score(self, state: dict, weights: dict[str, float], mean: float, ranges: DataFrame, n: int, where: Column | None) -> DataFrame:
-        """(chunk_id, object_uri, score) of the living chunks of some ranges."""
+    def _score(self, state: dict, weights: dict[str, float], mean: float, ranges: DataFrame | None, n: int, where: Column | None) -> DataFrame:
+        """(chunk_id, object_uri, score) of the living chunks of n ranges, or of all (None)."""
         words = sorted(weights)
         weight = F.create_map(*[F.lit(x) for w in words for x in (w, weights[w])])
         blocks, docs = self._read(state, "blocks", BLOCKS, words), self._read(state, "docs", DOCS)
-        if n <= NAMED_RANGES:  # the numbers reach the scan
+        if ranges is not None and n <= NAMED_RANGES:  # the numbers reach the scan
             named = [r["range"] for r in ranges.select("range").distinct().collect()]
             blocks, docs = blocks.where(F.col("range").isin(named)), docs.where(F.col("range").isin(named))
-        own = blocks.join(ranges.select("seg", "range"), ["seg", "range"], "left_semi").select("seg", "range", "term", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("x"))
+        blocks = blocks if ranges is None else blocks.join(ranges.select("seg", "range"), ["seg", "range"], "left_semi")
+        own = blocks.select("seg", "range", "term", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("x"))
         part = F.element_at(weight, F.col("term")) * saturated(F.col("x.tfs"), F.col("x.lens"), mean)
         sums = own.groupBy("seg", "range", F.col("x.docs").alias("doc")).agg(F.round(F.sum(part), 6).alias("score"))
         told = docs.join(sums, ["seg", "range", "doc"])
@@ -199,11 +201,10 @@ class Postings:
         if not weights:
             return self.spark.createDataFrame([], "chunk_id string, object_uri string, score double"), 0, 0
         mean = state["words"] / state["chunks"]
-        few = sum(math.ceil(s["chunks"] / RANGE) for s in state["segments"]) <= FIRST_RANGES
-        bounds = self._bounds(state, weights, mean)
-        if few:  # not worth a second look
-            return self._score(state, weights, mean, bounds, FIRST_RANGES, where).orderBy(*best).limit(top_k), 0, 0
-        bounds = bounds.persist()
+        few = sum(math.ceil(s["chunks"] / RANGE) for s in state["segments"]) <= WHOLE
+        if few:
+            return self._score(state, weights, mean, None, 0, where).orderBy(*best).limit(top_k), 0, 0
+        bounds = self._bounds(state, weights, mean).persist()
         try:
             every, taken, wanted = bounds.count(), 0, max(FIRST_RANGES, 2 * top_k // RANGE)
             hits, worst = [], -math.inf

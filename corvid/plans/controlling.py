@@ -42,11 +42,19 @@ def illegal_transitions(spark, d):
     return jobs.illegal_moves(moves).groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
+_JOB_STATES = sorted({x for m in JOB_MOVES for x in m})
+
+
+def job_moves(spark, d):
+    """The states that follow each other in a customer's orders, taken as jobs."""
+    state = F.element_at(F.array(*map(F.lit, _JOB_STATES)), (F.pmod(F.col("o_orderkey"), F.lit(len(_JOB_STATES))) + 1).cast("int"))
+    w = jobs.Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", state.alias("after")).withColumn("before", F.lag("after").over(w)).where("before is not null").select("before", "after")
+
+
 def illegal_job_moves(spark, d):
-    """Of all pairs of job states those that aren't legal."""
-    names = spark.createDataFrame([(s,) for s in sorted({x for m in JOB_MOVES for x in m})], "s string")
-    pairs = names.select(F.lit(1).alias("k"), F.col("s").alias("before")).join(names.select(F.lit(1).alias("k"), F.col("s").alias("after")), "k").drop("k")
-    return jobs.illegal_moves(pairs, JOB_MOVES).select("before", "after")
+    """Each pair of job states that follow each other, if no legal move leads from one to the other."""
+    return jobs.illegal_moves(job_moves(spark, d), JOB_MOVES).groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
 def breaker_trip(spark, d):
@@ -130,7 +138,11 @@ def since_bounds(spark, d):
 
 
 def legal_task_moves(spark, d):
-    return spark.createDataFrame(TASK_MOVES, "before string, after string")
+    """Each legal pair of states that follow each other in a customer's tasks."""
+    w = jobs.Window.partitionBy("job_id").orderBy("started_at", "id")
+    moves = tasks(spark, d).select("id", F.lag("status").over(w).alias("before"), F.col("status").alias("after")).where("before is not null")
+    illegal = jobs.illegal_moves(moves).select("before", "after").distinct()
+    return moves.join(F.broadcast(illegal), ["before", "after"], "left_anti").groupBy("before", "after").agg(F.count("*").alias("n"))  # pairs of states
 
 
 QUERIES = {f.__name__: f for f in (task_claim_order, jobs_newest, task_status_counts, job_finalize, illegal_transitions, illegal_job_moves, breaker_trip, double_active, stale_jobs, status_summary, inspect_summary, estimate_extrapolate, error_classes, time_bounds, oldest_queued, job_cancel, task_requeue, task_retry, since_bounds, legal_task_moves)}
@@ -147,7 +159,9 @@ ORACLE = {
         coalesce(total, 0) AS total, coalesce(succeeded, 0) AS succeeded, coalesce(failed, 0) AS failed, coalesce(cancelled, 0) AS cancelled FROM customer LEFT JOIN
         (SELECT job_id, count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'cancelled') AS cancelled FROM ({_TASKS}) GROUP BY job_id) ON c_custkey = job_id""",
     "illegal_transitions": f"""SELECT before, after, count(*) AS n FROM (SELECT lag(status) OVER (PARTITION BY job_id ORDER BY started_at, id) AS before, status AS after FROM ({_TASKS})) WHERE before IS NOT NULL AND (before, after) NOT IN (VALUES {_VALUES(TASK_MOVES)}) GROUP BY ALL""",
-    "illegal_job_moves": f"WITH m(b, a) AS (VALUES {_VALUES(JOB_MOVES)}), s AS (SELECT b AS s FROM m UNION SELECT a FROM m) SELECT x.s AS before, y.s AS after FROM s x, s y WHERE (x.s, y.s) NOT IN (SELECT (b, a) FROM m)",
+    "illegal_job_moves": f"""WITH m(b, a) AS (VALUES {_VALUES(JOB_MOVES)}), s AS (SELECT *, {_JOB_STATES!r}[o_orderkey % {len(_JOB_STATES)} + 1] AS after FROM orders),
+        p AS (SELECT lag(after) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, after FROM s)
+        SELECT before, after, count(*) AS n FROM p WHERE before IS NOT NULL AND (before, after) NOT IN (SELECT (b, a) FROM m) GROUP BY ALL""",
     "breaker_trip": """WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS failed, sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS island FROM orders),
         r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, island ORDER BY o_orderkey) AS n FROM o WHERE failed) SELECT o_custkey, min(o_orderkey) AS at, 3 AS run FROM r WHERE n = 3 GROUP BY o_custkey""",
     "double_active": f"SELECT job_id AS connector_id, count(*) AS n FROM ({_TASKS}) WHERE status IN ('preparing', 'queued', 'running') GROUP BY job_id HAVING count(*) > 1",
@@ -163,5 +177,6 @@ ORACLE = {
     "task_retry": f"""WITH x AS (SELECT status, id % 5 AS attempts, id % 3 AS e FROM ({_TASKS})), y AS (SELECT *, CASE WHEN status <> 'failed' THEN NULL WHEN e < 2 THEN 'abort' WHEN attempts < 3 THEN 'pending' ELSE 'failed' END AS next FROM x)
         SELECT status, next, CASE WHEN next = 'pending' THEN pow(2.0::double, attempts) END AS wait, count(*) AS n FROM y GROUP BY ALL""",
     "since_bounds": "SELECT p_partkey, ['2024-05-01T00:00:00', '2024-05-01T12:30:00Z', '2024T00:00:00'][p_partkey % 3 + 1] AS since FROM part",
-    "legal_task_moves": f"SELECT * FROM (VALUES {_VALUES(TASK_MOVES)}) m(before, after)",
+    "legal_task_moves": f"""WITH m(b, a) AS (VALUES {_VALUES(TASK_MOVES)}), p AS (SELECT lag(status) OVER (PARTITION BY job_id ORDER BY started_at, id) AS before, status AS after FROM ({_TASKS}))
+        SELECT before, after, count(*) AS n FROM p WHERE before IS NOT NULL AND (before, after) IN (SELECT (b, a) FROM m) GROUP BY ALL""",
 }

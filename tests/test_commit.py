@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvid.catalog import Catalog
 from corvid.model import EngineError
-from corvid.operators import index, search
+from corvid.operators import index, postings, search
 from corvid.operators.ledger import Ledger, Transaction
 from corvid.operators.postings import RANGE, Postings
 from corvid.session import shared_folder
@@ -108,8 +108,9 @@ def test_removed_connectors_are_not_found(spark, states):
     assert {h.source for h in own.engine(["docs://a", "docs://b"]).search("alpha", mode="keyword").collect()} == {"docs://a/x.md", "docs://a/gone.md"}
 
 
-def test_few_blocks_are_read_and_hits_are_those_of_a_scan(spark):
+def test_few_blocks_are_read_and_hits_are_those_of_a_scan(spark, monkeypatch):
     """Objects of one kind stand together: words of a topic lie in few ranges, and common words everywhere."""
+    monkeypatch.setattr(postings, "WHOLE", 0)
     n = 40_000
     topic = F.concat(F.lit("topic"), F.floor(F.col("id") / 500).cast("string"))
     often = F.array_join(F.transform(F.sequence(F.lit(1), F.pmod(F.xxhash64("id"), F.lit(7)) + 1), lambda k: F.lit("common")), " ")
