@@ -184,9 +184,11 @@ def rarest(wide: DataFrame, sets: DataFrame, percent: int, work: str) -> DataFra
     often = written(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{work}/often")
     # every row learns how many have its shingle; those that very many have, at most HOT_SHARE, are broadcast
     limit = max(HOT_LEAST, own.count() // HOT_SHARE)
-    first = own.join(F.broadcast(often.where(F.col("n") >= limit)), "key", "left")
-    rest = first.where("n is null").drop("n").join(often.where(F.col("n") < limit), "key", "left")
-    ranked = first.where("n is not null").unionByName(rest).withColumn("n", F.coalesce("n", F.lit(1)))
+    told = own.join(F.broadcast(often.where(F.col("n") >= limit)), "key", "left")
+    # what is known by now looks up a number of its own, which spreads it; whatever it may find doesn't count
+    asked = F.when(F.col("n").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id", "key"))
+    others = often.where(F.col("n") < limit).select(F.col("key").alias("asked"), F.col("n").alias("n2"))
+    ranked = told.withColumn("asked", asked).join(others, "asked", "left").withColumn("n", F.coalesce("n", "n2", F.lit(1)))
     before = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "key")) - 1
     kept = written(ranked.withColumn("before", before).where((F.col("before") <= F.col("size") - F.ceil(F.col("size") * percent / 100)) & (F.col("n") > 1)).select("key", "doc_id", "part", "size", "before"), f"{work}/rare")
     counts = written(kept.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "n"), f"{work}/held")
