@@ -48,14 +48,15 @@ def crawl(pages: DataFrame, seeds: list[str], domains: list[str] | None = None,
     return visited
 
 
-def conditional(pages: DataFrame, stored: DataFrame) -> DataFrame:
-    """(url, change, etag, links) of a conditional fetch: pages (url, status, etag, links) as they answered now, stored (url, etag,
+def conditional(pages: DataFrame, stored: DataFrame, key: tuple[str, ...] = ("url",)) -> DataFrame:
+    """(*key, change, etag, links) of a conditional fetch: pages (*key, status, etag, links) as they answered now, stored (*key, etag,
     links) as they were. An unchanged page (same etag, or status 304) keeps its stored links, so that a crawl goes on below it; a
-    page that failed keeps its stored state; nothing is ever deleted."""
-    old = stored.select("url", F.col("etag").alias("_etag"), F.col("links").alias("_links"), F.lit(True).alias("_known"))
-    joined = pages.join(old, "url", "full_outer")
+    page that failed keeps its stored state; nothing is ever deleted. key tells pages apart; of pages that may share their url it
+    is more than the url."""
+    old = stored.select(*key, F.col("etag").alias("_etag"), F.col("links").alias("_links"), F.lit(True).alias("_known"))
+    joined = pages.join(old, list(key), "full_outer")
     same = (F.col("status") == 304) | ((F.col("status") == 200) & F.col("etag").isNotNull() & (F.col("etag") == F.col("_etag")))
     change = F.when(F.col("status").isNull(), "not_visited").when(F.col("_known") & same, "unchanged").when(F.col("status") != 200, "failed")
     change = change.when(F.col("_known"), "modified").otherwise("added")
     fresh = change.isin("added", "modified")
-    return joined.select("url", change.alias("change"), F.when(fresh, F.col("etag")).otherwise(F.col("_etag")).alias("etag"), F.when(fresh, F.col("links")).otherwise(F.col("_links")).alias("links"))
+    return joined.select(*key, change.alias("change"), F.when(fresh, F.col("etag")).otherwise(F.col("_etag")).alias("etag"), F.when(fresh, F.col("links")).otherwise(F.col("_links")).alias("links"))
