@@ -96,6 +96,11 @@ class Quantiser:
         left = self._parts(rows - self.centres[place])
         return place, np.stack([nearest(left[:, p], self.words[p]) for p in range(left.shape[1])], axis=1).astype(np.uint8)
 
+    def lost(self, rows: np.ndarray, place: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """How far each unit vector is from what its list and code tell: no cosine is wrong by more."""
+        told = self.words[np.arange(code.shape[1]), code]
+        return np.sqrt(((self._parts(rows - self.centres[place]) - told) ** 2).sum(axis=(1, 2)))
+
     def tables(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The query's products with every centroid, and with every codeword of each part."""
         return self.centres @ query, np.einsum("pwd,pd->pw", self.words, self._parts(query[None])[0])
@@ -106,7 +111,7 @@ class VectorIndex:
         self.spark, self.name, self.key = spark, name, key
         self.ledger = ledger or Ledger(spark, root)
         self.root = f"{self.ledger.root}/{name}"
-        self.schema = f"{key} {key_type}, object_uri string, connector_uri string, chunk_kind string, code binary, vector array<float>"
+        self.schema = f"{key} {key_type}, object_uri string, connector_uri string, chunk_kind string, code binary, lost float, vector array<float>"
         self._known: tuple[str, Quantiser] | None = None
 
     def state(self, tx: Transaction | None = None) -> dict:
@@ -149,7 +154,7 @@ class VectorIndex:
             state["segments"] = [] if retrain else state["segments"]
         q = self._quantiser(state)
         dims = q.centres.shape[1]
-        coded = T.StructType([*rows.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("list", T.IntegerType())])
+        coded = T.StructType([*rows.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("lost", T.FloatType()), T.StructField("list", T.IntegerType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -159,15 +164,15 @@ class VectorIndex:
                 fine = np.isfinite(raw).all(axis=1) & (raw != 0).any(axis=1)
                 kept = batch.take(pa.array(np.array(good, np.int64)[fine]))
                 if kept.num_rows:
-                    place, code = q.encode(unit(raw[fine]))
-                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(place.astype(np.int32))], names=coded.names)
+                    place, code = q.encode(units := unit(raw[fine]))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(q.lost(units, place, code).astype(np.float32)), pa.array(place.astype(np.int32))], names=coded.names)
 
         folder = tx.folder()
         placed = rows.mapInArrow(run, coded)
         n = rows.count()
         shares = max(1, math.ceil(n / len(q.centres) / FILE_ROWS))
         dealt = placed.repartition("list", F.pmod(F.xxhash64(self.key), F.lit(shares))).sortWithinPartitions("list", self.key)
-        dealt.select(self.key, *KEYS, "code", "vector", "list").write.partitionBy("list").parquet(f"{self.root}/{folder}/lists")
+        dealt.select(self.key, *KEYS, "code", "lost", "vector", "list").write.partitionBy("list").parquet(f"{self.root}/{folder}/lists")
         entry = {"number": state["next"], "folder": folder, "rows": n, "held": sorted(int(x[5:]) for x in self.ledger.names(f"{self.name}/{folder}/lists") if x.startswith("list=")), "gone": removed is not None}
         if removed is not None:
             removed.select("object_uri").distinct().write.parquet(f"{self.root}/{folder}/gone")
@@ -199,6 +204,32 @@ class VectorIndex:
         the lists that are read, more lists are."""
         return self.reading(query, top_k, where, probes)[0]
 
+    def exact(self, query: list[float], top_k: int = 10, where: Column | None = None) -> DataFrame:
+        """(key, object_uri, score): the top_k of highest cosine, as of a scan. Codes tell each vector's cosine but for what they
+        lost; every vector that may reach the worst hit of top by that is compared."""
+        found = self.top(query, top_k, where).collect()  # top_k rows
+        state = self.state()
+        if not found:
+            return self.spark.createDataFrame([], f"{self.schema.split(',')[0]}, object_uri string, score double")
+        # scores are rounded to six places, and what codes lost is kept as a float
+        worst = found[-1]["score"] - 1e-5 if len(found) >= top_k else -math.inf
+        q, every = self._quantiser(state), {k for s in state["segments"] for k in s["held"]}
+        of_list, of_word = q.tables(unit(np.array(query, np.float64)[None])[0])
+        parts = np.arange(len(of_word))
+        rows = self._living(self._lists(state, every), state)
+        rows = (rows if where is None else rows.where(where)).select("list", "code", "lost", self.key, "object_uri", "vector")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    most = of_list[batch.column(0).to_numpy()] + of_word[parts, code].sum(axis=1) + batch.column(2).to_numpy()
+                    near = batch.filter(pa.array(most >= worst))
+                    yield pa.RecordBatch.from_arrays(near.columns[3:], names=near.schema.names[3:])
+
+        able = rows.mapInArrow(run, T.StructType(rows.schema.fields[3:]))
+        return search.dense(able, query, top_k, self.key, "vector", ("object_uri",)).select(self.key, "object_uri", "score")
+
     def reading(self, query: list[float], top_k: int = 10, where: Column | None = None, probes: int | None = None) -> tuple[DataFrame, int, int]:
         """(hits, lists that were read, all lists)."""
         state = self.state()
