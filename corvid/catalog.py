@@ -32,6 +32,13 @@ OBJECTS = T.StructType([*_strings("connector_uri", "object_uri", "okind", "conte
 CHUNKS = T.StructType([*_strings("chunk_id", "connector_uri", "object_uri", "locator", "content", "chunk_kind", "metadata"), T.StructField("chunk_index", T.IntegerType()), T.StructField("partial", T.BooleanType()), _VECTOR])
 CACHE = T.StructType([*_strings("cache_key"), _VECTOR])
 
+#: Where a transaction keeps rows that it needs more than once.
+WORK = "work"
+#: Bytes of keys, with what goes with them, up to which they are broadcast to the texts that they select; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Objects for each bucket of a table from which on all buckets count as touched, without a look.
+DENSE = 16
+
 #: Makes chunks (in CHUNKS' columns but for the vector) of the objects that are routed to it.
 Producer = Callable[[DataFrame], DataFrame]
 
@@ -148,31 +155,48 @@ class Catalog:
         if not done.where("action <> 'keep'").limit(1).count():
             return done
 
-        fresh = seen.join(told.where("action = 'pipeline'").select("object_uri"), "object_uri", "left_semi")
-        made = chunk.produced(fresh, producers or {"text": text_producer}).withColumn("cache_key", index.embedding_key(F.col("content"))).checkpoint()
+        # texts move where they must: keys go to them if they are few, and what is needed again is kept compressed until the end
+        size = told.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("object_uri") + F.coalesce(F.octet_length("old_uri"), F.lit(0))), F.lit(0)).alias("bytes")).first()
+        beside = F.broadcast if size["bytes"] + 64 * size["n"] <= BROADCAST_BYTES else (lambda keys: keys)
+        whole = {r["action"] for r in done.select("action").distinct().collect()} <= {"pipeline", "delete"}  # then all that is seen is new
+        routed = told.where("action = 'pipeline'").select("object_uri")
+        fresh = seen.where(uri.isNotNull()) if whole else seen.join(beside(routed), "object_uri", "left_semi")
+        made = self._kept(chunk.produced(fresh, producers or {"text": text_producer}).withColumn("cache_key", index.embedding_key(F.col("content"))), tx)
         # of the cache only the buckets of the texts at hand are read
-        held = self.cache.near(made.select("cache_key"), tx)
-        missing = made.select("cache_key", "content").dropDuplicates(["cache_key"]).join(held.select("cache_key"), "cache_key", "left_anti").select("cache_key", self.embedder(F.col("content")).alias("dense_vec")).checkpoint()
-        vectors = made.join(held.unionByName(missing), "cache_key")
+        held = self.cache.read(tx) if size["n"] >= DENSE * self.cache.buckets else self.cache.near(made.select("cache_key"), tx)
+        missing = made.select("cache_key", "content").dropDuplicates(["cache_key"]).join(held.select("cache_key"), "cache_key", "left_anti").select("cache_key", self.embedder(F.col("content")).alias("dense_vec"))
+        vectors = held.unionByName(self.cache.replace(None, missing, tx))
         moved = told.where("action = 'rename'").select("old_uri", F.col("object_uri").alias("new_uri"))
         gone = told.where("change in ('modified', 'deleted')").select("object_uri").unionByName(told.where("old_uri is not null").select(F.col("old_uri").alias("object_uri"))).distinct()
-        left = self.chunks.near(gone, tx).join(gone, "object_uri", "left_semi").checkpoint()
-        renamed = index.rename(left.join(moved.select(F.col("old_uri").alias("object_uri")), "object_uri", "left_semi"), moved)
-        new = vectors.select(*CHUNKS.names).unionByName(renamed.select(*CHUNKS.names)).checkpoint()
+        left = self._kept(self.chunks.near(gone, tx).join(beside(gone), "object_uri", "left_semi"), tx)
+        renamed = index.rename(left.join(beside(moved.select(F.col("old_uri").alias("object_uri"))), "object_uri", "left_semi"), beside(moved))
+        # a key has one vector, so these are hashed, and texts aren't sorted
+        new = made.join(vectors.hint("shuffle_hash"), "cache_key").select(*CHUNKS.names).unionByName(renamed.select(*CHUNKS.names))
+        new = self.chunks.replace(beside(gone), new, tx)
 
-        self.cache.merge(missing, lambda current: index.upsert(current, missing, "cache_key"), tx)
-        self.chunks.merge(gone.unionByName(new.select("object_uri").distinct()), lambda current: index.delete_objects(current, gone).unionByName(new), tx)
         counts = new.groupBy("object_uri").agg(F.count("*").alias("chunk_count"), F.max("partial").alias("partial"))
         status = index.search_status(F.lit(False), F.col("chunk_count"), F.coalesce("partial", F.lit(False)))
-        touched = told.where("action <> 'keep' and action <> 'delete'").select("object_uri")
-        rows = seen.join(touched, "object_uri", "left_semi").join(counts, "object_uri", "left").select("connector_uri", "object_uri", "okind", "content", "fingerprint", status.alias("search_status"), F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"))
-        replaced = gone.unionByName(touched).distinct()
-        self.objects.merge(replaced, lambda current: index.delete_objects(current, replaced).unionByName(rows), tx)
+        touched = told.where("action <> 'keep' and action <> 'delete'").select("object_uri").distinct()
+        facts = touched.join(counts, "object_uri", "left").select("object_uri", status.alias("search_status"), F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"))
+        rows = seen.join(beside(facts), "object_uri").select(*OBJECTS.names)
+        self.objects.replace(beside(gone.unionByName(touched).distinct()), rows, tx)
         self.postings.add(new, left, tx)
         if self.vectors is not None:
             self.vectors.add(new, left, tx)
+        self._let_go(tx)
         return done
 
+    def _kept(self, rows: DataFrame, tx: Transaction) -> DataFrame:
+        """Rows that are needed more than once, written until the transaction's end."""
+        at = f"{self.ledger.root}/{WORK}/{tx.folder()}"
+        rows.write.option("compression", "zstd").parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def _let_go(self, tx: Transaction) -> None:
+        for name in self.ledger.names(WORK):
+            if name.startswith(tx.token):
+                self.ledger.delete(f"{WORK}/{name}")
+
     def sync(self, connector: str, source: Source, incremental: bool = False) -> DataFrame:
         """Takes in a source; what it has as records becomes chunks by its presets or its text columns, message streams by thread."""
         listing = source.listing(self.spark)

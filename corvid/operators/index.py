@@ -115,13 +115,17 @@ def embed(chunks: DataFrame, cache: DataFrame, embedder: Callable[[Column], Colu
 
 # snapshots
 
+#: Folders up to which a bucket's new rows are laid beside the others.
+MOST_FOLDERS = 8
+
 
 class Snapshots:
-    """A table kept in buckets of its key; its state names the folder that holds each bucket.
+    """A table kept in buckets of its key; its state names the folders that hold each bucket.
 
     A change rewrites the buckets that it touches and leaves the others where they are, so a small batch costs its share of the
-    table. What is being read is never overwritten, and of two writers of one version the second raises. A table is committed on
-    its own, or with others of its ledger in one transaction (tx). Within a bucket rows are sorted by key.
+    table; rows of new keys are laid beside what a bucket has. What is being read is never overwritten, and of two writers of one
+    version the second raises. A table is committed on its own, or with others of its ledger in one transaction (tx). Within a
+    folder of a bucket rows are sorted by key.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str = "object_uri", buckets: int = 64, ledger: Ledger | None = None, name: str = "rows"):
@@ -132,16 +136,16 @@ class Snapshots:
     def version(self) -> int:
         return self.ledger.version()
 
-    def folders(self, tx: Transaction | None = None) -> dict[int, str]:
-        """The folder of each bucket that has rows."""
+    def folders(self, tx: Transaction | None = None) -> dict[int, list[str]]:
+        """The folders of each bucket that has rows."""
         state = tx.state if tx is not None else self.ledger.state()
-        return {int(k): f for k, f in state.get(self.name, {}).get("folders", {}).items()}
+        return {int(k): [f] if isinstance(f, str) else f for k, f in state.get(self.name, {}).get("folders", {}).items()}
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def _at(self, folders: dict[int, str]) -> DataFrame:
-        paths = [f"{self.root}/{f}/bucket={k}" for k, f in sorted(folders.items())]
+    def _at(self, folders: dict[int, list[str]]) -> DataFrame:
+        paths = [f"{self.root}/{f}/bucket={k}" for k, own in sorted(folders.items()) for f in own]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self, tx: Transaction | None = None) -> DataFrame:
@@ -161,12 +165,20 @@ class Snapshots:
             return self.spark.createDataFrame([], self.schema)
         return self.near(self.spark.createDataFrame([(k,) for k in keys], f"{self.key} string"), tx).where(F.col(self.key).isin(keys))
 
-    def _stage(self, df: DataFrame, kept: dict[int, str], tx: Transaction) -> None:
+    def _write(self, df: DataFrame, tx: Transaction) -> dict[int, list[str]]:
+        """Writes rows into a folder of their own; where each bucket's are."""
         folder = tx.folder()
         placed = df.select(*self.schema.names, self.bucket().alias("bucket"))
-        placed.sortWithinPartitions("bucket", self.key).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
-        made = {int(n[7:]): folder for n in self.ledger.names(f"{self.name}/{folder}") if n.startswith("bucket=")}
-        tx.state[self.name] = {"folders": {str(k): f for k, f in (kept | made).items()}}
+        placed.sortWithinPartitions("bucket", self.key).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        return {int(n[7:]): [folder] for n in self.ledger.names(f"{self.name}/{folder}") if n.startswith("bucket=")}
+
+    def _stage(self, df: DataFrame | None, kept: dict[int, list[str]], tx: Transaction, new: DataFrame | None = None) -> DataFrame | None:
+        """df's rows, and new ones (as written), beside the buckets that are kept."""
+        held = kept | (self._write(df, tx) if df is not None else {})
+        added = self._write(new, tx) if new is not None else {}
+        both = {k: [*held.get(k, []), *added.get(k, [])] for k in held.keys() | added.keys()}
+        tx.state[self.name] = {"folders": {str(k): f for k, f in sorted(both.items())}}
+        return self._at(added) if new is not None else None
 
     def commit(self, df: DataFrame, tx: Transaction | None = None) -> int | None:
         """The whole table anew."""
@@ -184,5 +196,14 @@ class Snapshots:
 
         return once(self.ledger, tx, apply)
 
+    def replace(self, gone: DataFrame | None, new: DataFrame, tx: Transaction) -> DataFrame:
+        """Rows of keys gone (marked as to be broadcast where they are few) go, new ones come; returns the new ones as they are
+        stored. Only buckets that hold gone keys are rewritten, and those that have become many folders."""
+        folders = self.folders(tx)
+        rewritten = {k for k, own in folders.items() if len(own) >= MOST_FOLDERS} | (self._touched(gone) if gone is not None and folders else set())
+        old = {k: own for k, own in folders.items() if k in rewritten}
+        left = self._at(old) if gone is None else self._at(old).join(gone, self.key, "left_anti")
+        return self._stage(left if old else None, {k: own for k, own in folders.items() if k not in rewritten}, tx, new)
+
     def vacuum(self) -> None:
         self.ledger.vacuum()
