@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,12 +95,15 @@ def evicted(artifacts: DataFrame, budget: int) -> DataFrame:
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """Feature hashing: each token adds to one dimension, at unit length. An offline stand-in for a model."""
     cells = F.transform(t.tokens(text), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dims)).cast("int"))
-    # a transform over a one-element array evaluates what is in it once
-    count = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(own, lambda c: c == d)).cast("double"))
-    counted = F.transform(F.array(cells), count)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    with_norm = F.transform(counted, lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
-    return F.transform(with_norm, lambda p: F.transform(p["v"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(0.0).cast("float")))[0]
+
+    def counted(lists: pa.Array) -> pa.Array:
+        row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        counts = np.bincount(row * dims + lists.flatten().to_numpy(zero_copy_only=False), minlength=len(lists) * dims).reshape(-1, dims).astype(np.float64)
+        norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        values = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dims, pa.int32()), pa.array(values.ravel()))
+
+    return F.arrow_udf(counted, "array<float>")(cells)
 
 
 def embedding_key(content: Column, provider: str = "hash", name: str = "crc32-64") -> Column:
